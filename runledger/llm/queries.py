@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from runledger.llm.common import table
 from runledger.llm.exact_dedup import exact_duplicates
+from runledger.llm.simhash import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -34,3 +35,8 @@ def _query(name: str, sql: str | None = None):
 )
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+@_query("op9_simhash_golay")
+def op9_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
