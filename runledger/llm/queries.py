@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runledger.llm.common import table
+from runledger.llm.common import fold, table
 from runledger.llm.exact_dedup import exact_duplicates
 from runledger.llm.simhash import near_duplicates
+from runledger.llm.toxicity import toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -40,3 +41,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op9_simhash_golay")
 def op9_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@_query("op6_toxicity")
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0)
+    scored = toxicity(table(spark, sf_dir, "documents"), labels)
+    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
