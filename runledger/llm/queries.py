@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from runledger.llm.common import fold, table
 from runledger.llm.exact_dedup import exact_duplicates
+from runledger.llm.packing import pack
 from runledger.llm.simhash import near_duplicates
 from runledger.llm.toxicity import toxicity
 
@@ -48,3 +49,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0)
     scored = toxicity(table(spark, sf_dir, "documents"), labels)
     return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
+@_query("op2_best_fit_packing")
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
