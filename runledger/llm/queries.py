@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from runledger.llm.common import fold, table
 from runledger.llm.exact_dedup import exact_duplicates
+from runledger.llm.mixing import mix
 from runledger.llm.packing import pack
 from runledger.llm.simhash import near_duplicates
 from runledger.llm.toxicity import toxicity
@@ -56,3 +57,8 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@_query("op10_mixing")
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))
