@@ -267,20 +267,26 @@ def links(prints: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
-    """One row per row of docs: <id_col>, fingerprint (16 hex digits), component_id (least id reachable)."""
+    """One row per row of docs: <id_col>, fingerprint (16 hex digits), component_id (least id reachable).
+
+    With row_col (a unique long): that column too, and kept, true for one row of each class, the first with
+    the least id.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     row = F.monotonically_increasing_id() if row_col is None else F.col(row_col).cast("long")
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), row.alias("row"))
     prints = written(source.mapInArrow(_fingerprint, "id long, row long, fp long"), "prints")
-    nodes = prints.groupBy("fp").agg(F.min("id").alias("least"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
+    nodes = prints.groupBy("fp").agg(first.alias("first"))
     roots = components(links(nodes))
-    named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    classes = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    told = named.select("fp", "root").join(classes, "root").select("fp", "component_id")
+    named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    classes = named.groupBy("root").agg(F.min("first").alias("best"))
+    told = named.select("fp", "root").join(classes, "root").select("fp", "best")
+    extra = [] if row_col is None else [F.col("row").alias(row_col), (F.col("row") == F.col("best.row")).alias("kept")]
     return prints.join(told, "fp").select(
         F.col("id").alias(id_col),
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
-        "component_id",
-        *([] if row_col is None else [F.col("row").alias(row_col)]),
+        F.col("best.id").alias("component_id"),
+        *extra,
     )
