@@ -11,6 +11,7 @@ from runledger.llm.common import fold, table
 from runledger.llm.exact_dedup import exact_duplicates
 from runledger.llm.mixing import mix
 from runledger.llm.packing import pack
+from runledger.llm.quality import quality
 from runledger.llm.simhash import near_duplicates
 from runledger.llm.toxicity import toxicity
 
@@ -62,3 +63,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_mixing")
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
+
+
+@_query("op3_quality_pu")
+def op3_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").where(fold("doc_id", 4) != 2)
+    scored = quality(table(spark, sf_dir, "documents"), labels)
+    return scored.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
