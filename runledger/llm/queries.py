@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from runledger.llm.common import fold, table
 from runledger.llm.exact_dedup import exact_duplicates
+from runledger.llm.maxscore import top_k
 from runledger.llm.mixing import mix
 from runledger.llm.packing import pack
 from runledger.llm.quality import quality
@@ -70,3 +71,21 @@ def op3_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").where(fold("doc_id", 4) != 2)
     scored = quality(table(spark, sf_dir, "documents"), labels)
     return scored.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+
+
+@_query(
+    "op8_maxscore_top_k",
+    """
+    WITH v AS (
+        SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS x FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), s AS (
+        SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x)::BIGINT AS score
+        FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+    )
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+    FROM s QUALIFY rank <= 10
+    """,
+)
+def op8_maxscore_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
