@@ -16,10 +16,10 @@ import json
 import math
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -56,6 +56,21 @@ def _encoding(path: str):
     return tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+class _Words(dict):
+    """Ids, as bytes, of words that follow a space, by the word alone."""
+
+    def __init__(self, encode, most: int) -> None:
+        self.encode, self.most = encode, most
+
+    def __missing__(self, word: str) -> bytes:
+        found = array("I", self.encode(" " + word)).tobytes()
+        if len(word) < 64:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = found
+        return found
+
+
 class Tokenizer:
     """Token ids as little-endian unsigned 32-bit bytes. Words between single spaces are kept by text."""
 
@@ -64,27 +79,13 @@ class Tokenizer:
 
     def __init__(self, path: str, words: int = 400_000) -> None:
         self.encode = _encoding(path).encode_ordinary
-        self.most, self.known = words, {}
-
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.encode(text), "<u4").tobytes()
-
-    def _word(self, word: str) -> bytes:
-        found = self.known.get(word)
-        if found is None:
-            found = self._ids(word)
-            if len(word) < 64:
-                if len(self.known) >= self.most:
-                    self.known.clear()
-                self.known[word] = found
-        return found
+        self.words = _Words(self.encode, words)
 
     def __call__(self, text: str) -> bytes:
         if self._RUN.search(text):
-            return self._ids(text)
+            return array("I", self.encode(text)).tobytes()
         first, *rest = text.split(" ")
-        known, word = self.known, self._word
-        return b"".join([word(first), *[known.get(w) or word(w) for w in map(" ".__add__, rest)]])
+        return array("I", self.encode(first)).tobytes() + b"".join(map(self.words.__getitem__, rest))
 
 
 def _pieces(path: str, most: int):

@@ -15,6 +15,7 @@ from runledger.llm.packing import pack
 from runledger.llm.quality import quality
 from runledger.llm.simhash import near_duplicates
 from runledger.llm.toxicity import toxicity
+from runledger.llm.warc import lookup, write_archive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -89,3 +90,22 @@ def op3_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op8_maxscore_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@_query(
+    "op4_warc_index",
+    """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+    h AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS hex FROM p),
+    r AS (SELECT *, min(page_id) OVER (PARTITION BY hex) AS first FROM h)
+    SELECT page_id, payload_bytes,
+        array_to_string(list_transform(range(8), lambda i: array_to_string(list_transform(range(4),
+            lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(hex, (1 + 5 * i)::BIGINT, 5))::BIGINT >> (15 - 5 * j)::BIGINT) & 31)::BIGINT, 1)), '')), '') AS payload_digest,
+        CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+        CASE WHEN page_id <> first THEN first END AS refers_to
+    FROM r
+    """,
+)
+def op4_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return lookup(write_archive(pages), pages, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
