@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runledger.llm import licenses
 from runledger.llm.common import fold, table
 from runledger.llm.exact_dedup import exact_duplicates
 from runledger.llm.maxscore import top_k
@@ -109,3 +110,8 @@ def op8_maxscore_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return lookup(write_archive(pages), pages, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@_query("op1_license_scan", licenses.oracle())
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
