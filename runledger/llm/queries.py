@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runledger.llm import licenses
+from runledger.llm import licenses, pitman_yor
 from runledger.llm.common import fold, table
 from runledger.llm.exact_dedup import exact_duplicates
 from runledger.llm.maxscore import top_k
@@ -115,3 +115,8 @@ def op4_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op1_license_scan", licenses.oracle())
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@_query("op5_pitman_yor")
+def op5_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score(table(spark, sf_dir, "documents"), fold("doc_id", 5) == 1)
