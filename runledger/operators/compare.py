@@ -182,7 +182,9 @@ def overhead(df: DataFrame, metric: str, baseline: Mapping[str, object], params:
             rows.append([*key, float(_statistic(kind, sign, x, b)), low, high, kind])
         return pd.DataFrame(rows, columns=[*groups, "_is_baseline", metric, f"{metric}_low", f"{metric}_high", "_metric_type"])
 
-    return aligned.groupBy(*groups, "_is_baseline").applyInPandas(per_group, schema)
+    out = aligned.groupBy(*groups, "_is_baseline").applyInPandas(per_group, schema)
+    # NaN comes back from pandas as null.
+    return out.withColumns({c: F.coalesce(c, F.lit(NAN)) for c in (metric, f"{metric}_low", f"{metric}_high")})
 
 
 # -- other statistics ----------------------------------------------------------------------------
