@@ -14,16 +14,18 @@ from pyspark.sql import functions as F
 from runledger.functions.scalars import basename, hex_to_decimal, normal_path, snake_case, text_to_bytes
 from runledger.operators.align import before_after
 
-PATH = F.col("_metadata.file_path").alias("file")
+def _file() -> Column:
+    return F.col("_metadata.file_path").alias("file")
+
 
 
 def read_csv(spark: SparkSession, path: str | Sequence[str], schema: str, **options: str) -> DataFrame:
     """CSV, also gzipped, with a header."""
-    return spark.read.options(header=True, **options).schema(schema).csv(path).select("*", PATH)
+    return spark.read.options(header=True, **options).schema(schema).csv(path).select("*", _file())
 
 
 def read_json(spark: SparkSession, path: str | Sequence[str], schema: str, lines: bool = False) -> DataFrame:
-    return spark.read.schema(schema).json(path, multiLine=not lines).select("*", PATH)
+    return spark.read.schema(schema).json(path, multiLine=not lines).select("*", _file())
 
 
 def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -44,12 +46,12 @@ def read_runs(spark: SparkSession, path: str, schema: str, runs: DataFrame, iter
 
 
 def _lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    return spark.read.text(path).select("value", PATH)
+    return spark.read.text(path).select("value", _file())
 
 
 def _whole(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """One row per file, with its lines in order; for small reports."""
-    return spark.read.text(path, wholetext=True).select(F.split(F.regexp_replace("value", r"\n$", ""), r"\r?\n").alias("lines"), PATH)
+    return spark.read.text(path, wholetext=True).select(F.split(F.regexp_replace("value", r"\n$", ""), r"\r?\n").alias("lines"), _file())
 
 
 # -- timings -------------------------------------------------------------------------------------
@@ -249,7 +251,7 @@ _CODE = "map<string,struct<code:int>>"
 
 def read_cloc(spark: SparkSession, path: str) -> DataFrame:
     """Lines of code by file."""
-    files = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", _CODE)).alias("name", "v"), PATH)
+    files = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", _CODE)).alias("name", "v"), _file())
     return files.where(~F.col("name").isin("header", "SUM")).select("file", "name", F.col("v.code").alias("code"))
 
 
@@ -258,7 +260,7 @@ CLOC_PARTS = ("added", "modified", "removed", "same")
 
 def read_cloc_diff(spark: SparkSession, path: str) -> DataFrame:
     """Lines added, modified, removed and kept by file; 0 where a part lacks the file."""
-    parts = spark.read.text(path, wholetext=True).select(F.from_json("value", ", ".join(f"{p} {_CODE}" for p in CLOC_PARTS)).alias("d"), PATH)
+    parts = spark.read.text(path, wholetext=True).select(F.from_json("value", ", ".join(f"{p} {_CODE}" for p in CLOC_PARTS)).alias("d"), _file())
     none = F.array().cast("array<string>")
     names = F.array()
     for p in CLOC_PARTS:
@@ -288,7 +290,7 @@ def read_annotations(spark: SparkSession, path: str) -> DataFrame:
 
 def scan_sources(spark: SparkSession, path: str, patterns: dict[str, str]) -> DataFrame:
     """Lines of each file below a folder that match each pattern: pattern, file, n."""
-    lines = spark.read.option("recursiveFileLookup", True).text(path).select("value", PATH)
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select("value", _file())
     hits = F.filter(F.array(*[F.when(F.col("value").rlike(p), name) for name, p in patterns.items()]), F.isnotnull)
     return lines.select("file", F.explode(hits).alias("pattern")).groupBy("pattern", "file").agg(F.count("*").alias("n"))
 
@@ -307,7 +309,7 @@ def read_advisories(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_cache_reports(spark: SparkSession, path: str, section: str) -> DataFrame:
     """The first miss rate below a section heading, and the cache size in the file's name (K, M, G)."""
-    text = spark.read.text(path, wholetext=True).select("value", PATH)
+    text = spark.read.text(path, wholetext=True).select("value", _file())
     rate = F.regexp_extract("value", rf"(?s){section}.*?miss rate:\s*([0-9.]+)%", 1)
     size = F.regexp_extract(basename(F.col("file")), r"([0-9]+[KMG])", 1)
     return text.select("file", size.alias("size_text"), text_to_bytes(F.when(size != "", size)).alias("size"), rate.try_cast("double").alias("miss_rate")).orderBy("size")
