@@ -60,8 +60,8 @@ def _whole(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
 def read_posix_time(spark: SparkSession, path: str) -> DataFrame:
     """real, user and sys lines -> times, user, sys."""
     parts = _lines(spark, path).select("file", F.split(F.trim("value"), r"\s+").alias("p")).where(F.size("p") == 2)
-    value = F.col("p")[1].cast("double")
-    return parts.groupBy("file").agg(*[F.max(F.when(F.col("p")[0] == k, value)).alias(n) for k, n in (("real", "times"), ("user", "user"), ("sys", "sys"))])
+    value = F.get("p", F.lit(1)).cast("double")
+    return parts.groupBy("file").agg(*[F.max(F.when(F.get("p", F.lit(0)) == k, value)).alias(n) for k, n in (("real", "times"), ("user", "user"), ("sys", "sys"))])
 
 
 def read_hyperfine(spark: SparkSession, path: str) -> DataFrame:
@@ -217,26 +217,26 @@ def read_instructions(spark: SparkSession, path: str) -> DataFrame:
 def read_symbols(spark: SparkSession, path: str, base: int = 0, sized: bool = True) -> DataFrame:
     """POSIX symbol listings: name, type, hexadecimal address and size, space-separated."""
     p = F.split(F.trim("value"), r"\s+")
-    kinds = F.when(F.upper(p[1]) == "T", "FUNC").when(F.upper(p[1]) == "D", "OBJECT").otherwise("OTHER")
+    kinds = F.when(F.upper(F.get(p, F.lit(1))) == "T", "FUNC").when(F.upper(F.get(p, F.lit(1))) == "D", "OBJECT").otherwise("OTHER")
     rows = _lines(spark, path).where(F.size(p) >= (4 if sized else 3))
-    return rows.select("file", p[0].alias("name"), kinds.alias("kind"), (hex_to_decimal(p[2]) + F.lit(base)).alias("addr"), (hex_to_decimal(p[3]) if sized else F.lit(None).cast("decimal(20,0)")).alias("size"))
+    return rows.select("file", F.get(p, F.lit(0)).alias("name"), kinds.alias("kind"), (hex_to_decimal(F.get(p, F.lit(2))) + F.lit(base)).alias("addr"), (hex_to_decimal(F.get(p, F.lit(3))) if sized else F.lit(None).cast("decimal(20,0)")).alias("size"))
 
 
 def read_regions(spark: SparkSession, path: str) -> DataFrame:
     """name, start, end or +length, in hexadecimal with 0x or in decimals; bad lines are left out."""
-    p = F.transform(F.split("value", ","), F.trim)
+    p = F.transform(F.split("value", ","), lambda x: F.trim(x))
     number = lambda x: F.when(x.rlike("^0[xX]"), hex_to_decimal(x)).otherwise(x.try_cast("decimal(20,0)"))
     rows = _lines(spark, path).select(p.alias("p")).where(F.size("p") == 3)
-    start, end = number(F.col("p")[1]), number(F.regexp_replace(F.col("p")[2], r"^\+", ""))
-    named = rows.select(F.col("p")[0].alias("name"), start.alias("start"), F.when(F.col("p")[2].startswith("+"), start + end).otherwise(end).alias("end"))
+    start, end = number(F.get("p", F.lit(1))), number(F.regexp_replace(F.get("p", F.lit(2)), r"^\+", ""))
+    named = rows.select(F.get("p", F.lit(0)).alias("name"), start.alias("start"), F.when(F.get("p", F.lit(2)).startswith("+"), start + end).otherwise(end).alias("end"))
     return named.where("start is not null and end is not null and end > start").orderBy("start", "end", "name")
 
 
 def read_process_map(spark: SparkSession, path: str) -> DataFrame:
     """Whitespace columns PID START END PRT RES PRES REF SHD FLAG TP PATH."""
     p = F.split(F.trim("value"), r"\s+", 11)
-    rows = _lines(spark, path).where(p[0].rlike("^[0-9]+$"))
-    return rows.select("file", p[0].cast("bigint").alias("pid"), hex_to_decimal(p[1]).alias("start"), hex_to_decimal(p[2]).alias("end"), p[3].alias("prt"), F.get(p, F.lit(10)).alias("path"))
+    rows = _lines(spark, path).where(F.get(p, F.lit(0)).rlike("^[0-9]+$"))
+    return rows.select("file", F.get(p, F.lit(0)).cast("bigint").alias("pid"), hex_to_decimal(F.get(p, F.lit(1))).alias("start"), hex_to_decimal(F.get(p, F.lit(2))).alias("end"), F.get(p, F.lit(3)).alias("prt"), F.get(p, F.lit(10)).alias("path"))
 
 
 def mapped_binaries(maps: DataFrame) -> DataFrame:
