@@ -19,7 +19,7 @@ def power_of_two_edges(low: float, high: float) -> list[int]:
     if high > 0:
         first = 0 if low <= 1 else math.floor(math.log2(low))
         edges += [2**k for k in range(first, max(first, math.ceil(math.log2(max(1, high)))) + 1)]
-    return edges
+    return edges if len(edges) > 1 else [*edges, 2 * edges[0] if edges[0] else 1]
 
 
 def fixed_edges(low: float, high: float, width: float) -> list[float]:
