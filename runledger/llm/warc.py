@@ -282,5 +282,7 @@ def _read(folder: str, payloads: bool):
 def lookup(archive: Archive, urls: DataFrame, url_col: str = "url", payloads: bool = True) -> DataFrame:
     """Every capture of the given urls: surt, page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload."""
     n = tasks(urls.sparkSession)
-    keys = urls.select(F.col(url_col).cast("string")).mapInArrow(_shards_of(archive), "shard string, key string").distinct()
+    # A url that fills many shards is asked for once, not once for each of its rows.
+    asked = urls.select(F.col(url_col).cast("string")).distinct()
+    keys = asked.mapInArrow(_shards_of(archive), "shard string, key string").distinct()
     return keys.repartitionByRange(n, "shard", "key").sortWithinPartitions("shard", "key").mapInArrow(_read(archive.folder, payloads), _FOUND_SQL)
