@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from runledger.llm import common, exact_dedup, mixing, packing, simhash, toxicity
 
-ROW = "_row"
+#: Columns that stages add and take away; documents can't have columns of these names.
+ROW, SHARD, PLACE = "_pipeline_row", "_pipeline_shard", "_pipeline_place"
 #: The pipeline's learning rows are those of op6.
 FOLDS, HELD_OUT = 5, 0
 
@@ -47,9 +48,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whole documents as often as the mix takes them, dealt to its shards and shuffled there."""
     docs = common.with_row(docs, ROW)
     copies, _ = mixing.draw(mixing.sized(docs, "doc_id", "text", "source", ROW), whole=True)
-    copies = copies.select(F.col("row").alias(ROW), "shard", "place")
+    copies = copies.select(F.col("row").alias(ROW), F.col("shard").alias(SHARD), F.col("place").alias(PLACE))
     mixed = docs.join(copies, ROW)
-    return mixed.repartition(common.tasks(spark), "shard").sortWithinPartitions("shard", "place").drop(ROW, "shard", "place")
+    return mixed.repartition(common.tasks(spark), SHARD).sortWithinPartitions(SHARD, PLACE).drop(ROW, SHARD, PLACE)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

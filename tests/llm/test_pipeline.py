@@ -85,3 +85,13 @@ def test_run_packs_what_the_stages_keep(spark):
         used[r["sequence_id"]] += r["length"]
     assert max(used.values()) <= 2048
     assert len(used) <= -(-sum(used.values()) // 2048) * 1.03 + 1
+
+
+def test_stages_take_odd_and_empty_tables(spark, odd):
+    clash = odd.selectExpr("*", "1 as shard", "2 as place", "3 as row", "4 as kept", "5 as predicted", "6 as size", "7 as fp")
+    for name, f in corpus_pipeline.STAGES:
+        got = f(spark, clash, SF)
+        if name != "packing":
+            assert got.columns == clash.columns
+        assert 0 < got.count() <= 3 * clash.count()
+        assert f(spark, clash.limit(0), SF).count() == 0
