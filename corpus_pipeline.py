@@ -1,8 +1,8 @@
 """The corpus pipeline: each stage calls one operator and hands its documents to the next.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
-documents. Stages identify rows by their place in the scan, so rows with null or equal ids are
-kept apart; whole rows join the verdicts by that number alone.
+documents. Stages identify rows by their file and place in it, so rows with null or equal ids are
+kept apart, and whole rows join the verdicts by that number alone.
 """
 
 from __future__ import annotations

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,7 +67,14 @@ def as_bytes(column: pa.Array) -> list[bytes]:
 
 
 def with_row(df: DataFrame, name: str = "_row") -> DataFrame:
-    """Number the rows; the same scan gives the same numbers, so two branches can be joined on them."""
+    """df with a number for each row that stays the same however the table is split into tasks.
+
+    Rows of files are numbered by a 64-bit hash of the file and their place in it, so a plan that is made again
+    after executors have come or gone finds the same numbers. Other rows are numbered and written to the shared folder.
+    """
     if name in df.columns:
         raise ValueError(f"column {name} is reserved")
-    return df.withColumn(name, F.monotonically_increasing_id())
+    try:
+        return df.select("*", F.xxhash64("_metadata.file_path", "_metadata.row_index").alias(name))
+    except AnalysisException:
+        return written(df.withColumn(name, F.monotonically_increasing_id()), "rows")
