@@ -59,7 +59,7 @@ def instruction_class(mnemonic: Column, operands: Column) -> Column:
     pair = F.when(m.rlike(r"^(ldp|stp|ldnp|stnp|ldxp|stxp)"), "_pair").otherwise("")
     what = F.when(first.rlike(r"^\{?c(sp|[0-9])"), "_cap").otherwise("_int")
     cap = m.rlike(r"^(sc|gc|seal|unseal|build|clr|chk|cpy|cvt|bcc|cfhi|cthi|orrflgs|bicflgs|eorflgs|adrp?c)")
-    return F.when(move.isNotNull(), F.concat(move, pair, what)).when(cap, "cheri").otherwise("other")
+    return F.when(move.isNotNull(), F.concat(move, pair, what)).when(cap, "capability").otherwise("other")
 
 
 def is_kernel(pc: Column) -> Column:

@@ -174,7 +174,7 @@ def test_conformance(spark):
 
 
 def test_instruction_classes(spark):
-    cases = [("ldr", "x0, [x1]", "ld_int"), ("LDP", "c0, c1, [csp]", "ld_pair_cap"), ("stp", "x0, x1, [x2]", "st_pair_int"), ("str", "c3, [x0]", "st_cap"), ("scbnds", "c0, c0, x1", "cheri"), ("add", "x0, x1, x2", "other")]
+    cases = [("ldr", "x0, [x1]", "ld_int"), ("LDP", "c0, c1, [csp]", "ld_pair_cap"), ("stp", "x0, x1, [x2]", "st_pair_int"), ("str", "c3, [x0]", "st_cap"), ("scbnds", "c0, c0, x1", "capability"), ("add", "x0, x1, x2", "other")]
     frame = spark.createDataFrame(cases, "m string, o string, want string")
     assert all(r["got"] == r["want"] for r in frame.withColumn("got", trace.instruction_class(F.col("m"), F.col("o"))).collect())
     assert one(spark, trace.is_kernel(F.lit("18446462598732840960").cast("decimal(20,0)")))
