@@ -80,8 +80,8 @@ _BLOCK_SQL = "block long, " + ", ".join(f"{c} binary" for c in _COLUMNS)
 
 
 class _Block:
-    """ids, rows, held and sizes of texts; distinct words with training counts (the start last); distinct
-    pairs (numbers of words) with training counts; the pair of each token."""
+    """ids, rows, held and sizes of texts; distinct words in the order of their keys, the start among them,
+    with training counts; distinct pairs (numbers of words) with training counts; the pair of each token."""
 
     def __init__(self, **columns: np.ndarray) -> None:
         self.__dict__ |= columns
@@ -98,17 +98,19 @@ class _Block:
         inner = np.ones(len(key), bool)
         inner[last] = False
         key[inner] = hashes
-        found, word = np.unique(key, return_inverse=True)
+        found, word = np.unique(np.append(key, START), return_inverse=True)
+        start, word = word[-1], word[:-1]
         before = np.empty(len(word), np.int64)
         before[1:] = word[:-1]
-        before[np.concatenate([[0], last[:-1] + 1])] = len(found)
+        before[np.concatenate([[0], last[:-1] + 1])] = start
         learn = np.repeat(~np.array(held, bool), sizes)
-        pairs, token = np.unique(before * (len(found) + 1) + word, return_inverse=True)
+        pairs, token = np.unique(before * len(found) + word, return_inverse=True)
         counts = np.bincount(word, learn, len(found)).astype("<u4")
+        counts[start] = (~np.array(held, bool)).sum()
         return cls(
             ids=np.array(ids, "<i8"), rows=np.array(rows, "<i8"), held=np.array(held, "u1"), sizes=sizes.astype("<i8"),
-            words=np.append(found, START).astype("<u8"), counts=np.append(counts, np.uint32((~np.array(held, bool)).sum())).astype("<u4"),
-            pair_u=(pairs // (len(found) + 1)).astype("<u4"), pair_w=(pairs % (len(found) + 1)).astype("<u4"),
+            words=found.astype("<u8"), counts=counts,
+            pair_u=(pairs // len(found)).astype("<u4"), pair_w=(pairs % len(found)).astype("<u4"),
             pair_n=np.bincount(token, learn, len(pairs)).astype("<u4"), tokens=token.astype("<u4"),
         )
 
@@ -122,8 +124,8 @@ class _Block:
     def read(cls, row: dict) -> _Block:
         return cls(**{c: _unpacked(row[c], cls._TYPES[c]) for c in _COLUMNS if c in row})
 
-    def pair_keys(self) -> np.ndarray:
-        return _mixed(self.words[self.pair_u] ^ _mixed(self.words[self.pair_w], 1), 2)
+    def pair_keys(self, some: np.ndarray | slice = slice(None)) -> np.ndarray:
+        return _mixed(self.words[self.pair_u[some]] ^ _mixed(self.words[self.pair_w[some]], 1), 2)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,13 +148,13 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # -- exchange of counts by key -------------------------------------------------------------------
 
 
-def _asked(block: int, keys: np.ndarray, values: list[np.ndarray], buckets: int) -> pa.RecordBatch:
-    """A block's keys, sorted, with their values, as a row for each bucket."""
-    order = np.argsort(keys)
-    keys = keys[order]
+def _asked(block: int, keys: np.ndarray, values: list[np.ndarray], buckets: int, order: np.ndarray | None = None) -> pa.RecordBatch:
+    """A block's keys with their values, as a row for each bucket; order sorts the keys, which else are sorted."""
+    if order is not None:
+        keys, values = keys[order], [v[order] for v in values]
     shift = np.uint64(64 - buckets.bit_length() + 1)
     cuts = np.searchsorted(keys, np.arange(1, buckets, dtype=np.uint64) << shift)
-    rows = [(b, block, _packed(np.diff(k, prepend=np.uint64(0))), [_packed(v.astype("<u4")) for v in vs]) for b, (k, *vs) in enumerate(zip(*(np.split(x, cuts) for x in (keys, *(v[order] for v in values))), strict=True)) if len(k)]
+    rows = [(b, block, _packed(np.diff(k, prepend=np.uint64(0))), [_packed(v.astype("<u4")) for v in vs]) for b, (k, *vs) in enumerate(zip(*(np.split(x, cuts) for x in (keys, *values)), strict=True)) if len(k)]
     columns = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
     return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.list_(pa.binary()))], names=["bucket", "block", "keys", "vals"])
 
@@ -201,19 +203,14 @@ def _exchange(asks: DataFrame, reply: Callable, tag: str) -> tuple[DataFrame, np
     stats = np.zeros(8)
     for pos, x in sums:
         stats[pos] = x
+    # A block's answers are as many as there are buckets, and as long as the block has keys.
     parts = told.where("block is not null").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "vals"))).alias(tag))
     return parts, stats
 
 
-def _told(parts: list[dict], keys: np.ndarray, n: int) -> list[np.ndarray]:
-    """The n answers to a block, in the order of its own keys."""
-    order = np.argsort(keys)
-    out = []
-    for k in range(n):
-        x = np.empty(len(keys), np.int64)
-        x[order] = np.concatenate([_unpacked(p["vals"][k], "<u4") for p in parts]) if parts else 0
-        out.append(x)
-    return out
+def _told(parts: list[dict], n: int) -> list[np.ndarray]:
+    """The n answers to a block, in the order of its sorted keys."""
+    return [np.concatenate([_unpacked(p["vals"][k], "<u4") for p in parts]).astype(np.int64) for k in range(n)]
 
 
 # -- seating -------------------------------------------------------------------------------------
@@ -334,7 +331,7 @@ def _seated(block: _Block, pair: np.ndarray, word: list[np.ndarray], model: _Mod
     out = np.minimum(c, 1)
     many = np.flatnonzero(c > 1)
     u, w = block.pair_u[many], block.pair_w[many]
-    out[many] = tables(c[many], (STRENGTH + model.d * own[u]) * p[w], model.d, block.pair_keys()[many], 100_000 * sweep)
+    out[many] = tables(c[many], (STRENGTH + model.d * own[u]) * p[w], model.d, block.pair_keys(many), 100_000 * sweep)
     return out
 
 
@@ -345,6 +342,13 @@ def _sent(block: _Block, pair: np.ndarray, seated: np.ndarray) -> list[np.ndarra
     return [block.counts, np.bincount(block.pair_w, mine, n), np.bincount(block.pair_u, mine, n)]
 
 
+def _bucketed(df: DataFrame, tag: str, n: int) -> DataFrame:
+    """df as a table in the shared folder, bucketed by block."""
+    spark, name = df.sparkSession, f"{tag}_{uuid.uuid4().hex}"
+    df.write.bucketBy(n, "block").option("path", fresh_path(spark, tag)).option("compression", "none").saveAsTable(name)
+    return spark.table(name)
+
+
 def _discount(once: float, twice: float) -> float:
     """From how many have one and two customers, kept inside (0, 1)."""
     return min(0.95, max(0.05, once / (once + 2 * twice) if once + twice else 0.5))
@@ -360,47 +364,52 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     n = tasks(spark, 1)
     row = F.monotonically_increasing_id() if row_col is None else F.col(row_col).cast("long")
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), row.alias("row"), held_out.cast("boolean").alias("held"))
-    name = f"blocks_{uuid.uuid4().hex}"
-    # Bucketed by block, so that joins move the small answers and not the blocks.
-    source.mapInArrow(_cut, _BLOCK_SQL).write.bucketBy(n, "block").option("path", fresh_path(spark, "blocks")).option("compression", "zstd").saveAsTable(name)
+    # Bucketed by block, so that joins move the small answers and not the blocks. Their blobs are compressed already.
+    blocks = _bucketed(source.mapInArrow(_cut, _BLOCK_SQL), "blocks", n)
     small_batches(spark, 4)
-    blocks = spark.table(name)
-    slim = blocks.select("block", "words", "counts", "pair_u", "pair_w")
     buckets = 1 << max(5, math.ceil(math.log2(max(1, blocks.count() * BLOCK_TOKENS / BUCKET_TOKENS))))
 
     def ask_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
                 b = _Block.read(r)
-                yield _asked(r["block"], b.pair_keys(), [b.pair_n], buckets)
+                keys = b.pair_keys()
+                yield _asked(r["block"], keys, [b.pair_n], buckets, np.argsort(keys))
 
-    asks = blocks.select("block", "words", "pair_u", "pair_w", "pair_n").mapInArrow(ask_pairs, _ASK_SQL)
-    pairs, (once, twice, *_) = _exchange(asks, _pairs_reply, "pairs")
-    pairs = written(pairs, "pairs")
+    def settle_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                b = _Block.read(r)
+                (told,) = _told(r["pairs"], 1)
+                pair = np.empty(len(told), "<u4")
+                pair[np.argsort(b.pair_keys())] = told
+                yield pa.RecordBatch.from_arrays([pa.array([r["block"]], pa.int64()), pa.array([_packed(pair)], pa.binary())], names=["block", "pair"])
+
+    pairs = blocks.select("block", "words", "pair_u", "pair_w", "pair_n")
+    told, (once, twice, *_) = _exchange(pairs.mapInArrow(ask_pairs, _ASK_SQL), _pairs_reply, "pairs")
+    # The answers in the blocks' own order; from here on keys of pairs need no more sorting.
+    counted = _bucketed(pairs.drop("pair_n").join(told.hint("shuffle_hash"), "block").mapInArrow(settle_pairs, "block long, pair binary"), "counted", n)
+    slim = blocks.select("block", "words", "counts", "pair_u", "pair_w").join(counted.hint("shuffle_hash"), "block")
     discount = _discount(once, twice)
 
     def ask_words(model: _Model | None, sweep: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for r in batch.to_pylist():
-                    b = _Block.read(r)
-                    (pair,) = _told(r["pairs"], b.pair_keys(), 1)
-                    seated = np.minimum(pair >> 1, 1) if model is None else _seated(b, pair, _told(r["words0"], b.words, 4), model, sweep)
+                    b, pair = _Block.read(r), _unpacked(r["pair"], "<u4").astype(np.int64)
+                    seated = np.minimum(pair >> 1, 1) if model is None else _seated(b, pair, _told(r["words0"], 4), model, sweep)
                     yield _asked(r["block"], b.words, _sent(b, pair, seated), buckets)
 
         return run
 
     # The first seating has one table for each dish; each sweep draws anew, given the one before.
-    asks = slim.join(pairs.hint("shuffle_hash"), "block").mapInArrow(ask_words(None, 0), _ASK_SQL)
-    words, stats = _exchange(asks, _words_reply(None, 0), "words0")
-    words = written(words, "words")
+    words, stats = _exchange(slim.mapInArrow(ask_words(None, 0), _ASK_SQL), _words_reply(None, 0), "words0")
     root_discount = _discount(stats[4], stats[5])
     model = _Model(discount, root_discount, stats)
     kept: list[tuple[DataFrame, _Model]] = [(words, model)]
     for sweep in range(1, burn_in + samples + 1):
-        joined = slim.join(pairs.hint("shuffle_hash"), "block").join(words.hint("shuffle_hash"), "block")
+        joined = slim.join(words.hint("shuffle_hash"), "block")
         words, stats = _exchange(joined.mapInArrow(ask_words(model, sweep), _ASK_SQL), _words_reply(model, sweep), "words0")
-        words = written(words, "words")
         model = _Model(discount, root_discount, stats)
         kept.append((words, model))
 
@@ -412,7 +421,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
             for r in batch.to_pylist():
                 yield _scored(r, models, chosen)
 
-    joined = blocks.join(pairs.hint("shuffle_hash"), "block")
+    joined = blocks.drop("pair_n", "counts").join(counted.hint("shuffle_hash"), "block")
     for k in range(burn_in, burn_in + samples + 1):
         joined = joined.join(kept[k][0].withColumnRenamed("words0", f"words{k}").hint("shuffle_hash"), "block")
     out = joined.mapInArrow(final, "id long, row long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
@@ -421,10 +430,10 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
 
 def _scored(r: dict, models: list[_Model], chosen: list[int]) -> pa.RecordBatch:
     b = _Block.read(r)
-    (pair,) = _told(r["pairs"], b.pair_keys(), 1)
-    c, p, told = pair >> 1, np.zeros(len(pair)), _told(r[f"words{chosen[0] - 1}"], b.words, 4)
+    pair = _unpacked(r["pair"], "<u4").astype(np.int64)
+    c, p, told = pair >> 1, np.zeros(len(pair)), _told(r[f"words{chosen[0] - 1}"], 4)
     for k in chosen:
-        m, before, told = models[k], told, _told(r[f"words{k}"], b.words, 4)
+        m, before, told = models[k], told, _told(r[f"words{k}"], 4)
         seated = _seated(b, pair, before, models[k - 1], k)
         count, _, _, own = told
         root = m.root(*told[:3])
