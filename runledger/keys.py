@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runledger.checks import require_columns, require_unique
@@ -103,7 +103,8 @@ class Merge:
 def merge_by_key(source: DataFrame, destination: DataFrame, axes: Sequence[str], extra: Mapping[str, object] | None = None, order: str | None = None) -> Merge:
     """Match runs of two sessions on all axes, by value.
 
-    Source axes must be a subset; `extra` completes them. Several source rows for one destination: the last by `order` wins.
+    Source axes must be a subset; `extra` completes them. Several source rows for one destination: the last by `order` wins,
+    of equal ones the largest id.
     """
     extra = dict(extra or {})
     have = [c for c in source.columns if c in axes]
@@ -117,9 +118,9 @@ def merge_by_key(source: DataFrame, destination: DataFrame, axes: Sequence[str],
     require_unique(destination, list(axes))
     full = source.withColumns({k: F.lit(v) for k, v in extra.items()})
     last = F.col(order) if order else F.col("dataset_id")
-    latest = Window.partitionBy(*axes).orderBy(last.desc())
-    chosen = full.withColumn("_turn", F.row_number().over(latest)).where("_turn = 1").drop("_turn")
-    matched = chosen.withColumnRenamed("dataset_id", "source_id").join(destination.select(*axes, F.col("dataset_id").alias("destination_id")), list(axes))
+    # A maximum is kept up in each task, so no task sees all runs of one combination; nulls are the least.
+    chosen = full.groupBy(*axes).agg(F.max(F.struct(last.alias("last"), F.col("dataset_id").alias("source_id"))).alias("_run")).select(*axes, "_run.source_id")
+    matched = chosen.join(destination.select(*axes, F.col("dataset_id").alias("destination_id")), list(axes))
     duplicates = full.groupBy(*axes).agg(F.count("*").alias("runs")).where("runs > 1")
     missing = full.select(*axes).distinct().join(destination.select(*axes), list(axes), "left_anti")
     return Merge(matched.select("source_id", "destination_id", *axes), duplicates, missing)

@@ -22,12 +22,23 @@ _SESSIONS = """dst AS (SELECT o_orderstatus, o_orderpriority, n_name AS nation,
     src AS (SELECT o_orderstatus, o_orderpriority, o_orderkey AS ord, 's' || o_orderkey AS dataset_id FROM orders WHERE o_orderkey % 7 = 0)"""
 
 
+_SESSIONS_ALL = """dst AS (SELECT o_orderstatus, o_orderpriority, n_name AS nation, 'd' || o_orderstatus || o_orderpriority || n_name AS dataset_id FROM (SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders) CROSS JOIN nation),
+    src AS (SELECT o_orderstatus, o_orderpriority, o_orderkey AS ord, 's' || o_orderkey AS dataset_id FROM orders)"""
+
+
 def _sessions(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders")
-    nations = table(spark, sf_dir, "nation").where("n_nationkey < 5").select(F.col("n_name").alias("nation"))
-    axes = orders.select("o_orderstatus", "o_orderpriority").distinct().join(nations)
+    """The runs and nations that _SESSIONS names; those of _SESSIONS_ALL are all of them."""
+    return _sessions_of(table(spark, sf_dir, "orders"), table(spark, sf_dir, "nation").where("n_nationkey < 5"), "o_orderkey % 7 = 0")
+
+
+def _sessions_all(spark, sf_dir):
+    return _sessions_of(table(spark, sf_dir, "orders"), table(spark, sf_dir, "nation"))
+
+
+def _sessions_of(orders, nations, runs="true"):
+    axes = orders.select("o_orderstatus", "o_orderpriority").distinct().join(nations.select(F.col("n_name").alias("nation")))
     destination = axes.withColumn("dataset_id", F.concat(F.lit("d"), "o_orderstatus", "o_orderpriority", "nation"))
-    source = orders.where("o_orderkey % 7 = 0").select("o_orderstatus", "o_orderpriority", F.col("o_orderkey").alias("ord"), F.concat(F.lit("s"), F.col("o_orderkey").cast("string")).alias("dataset_id"))
+    source = orders.where(runs).select("o_orderstatus", "o_orderpriority", F.col("o_orderkey").alias("ord"), F.concat(F.lit("s"), F.col("o_orderkey").cast("string")).alias("dataset_id"))
     return source, destination
 
 
@@ -50,6 +61,22 @@ def session_merge_duplicates(spark, sf_dir):
     return keys.merge_by_key(source, destination, _AXES, {"nation": "NATION_1"}, "ord").duplicates
 
 
+@query(
+    "session_merge_all",
+    f"WITH {_SESSIONS_ALL}, last AS (SELECT o_orderstatus, o_orderpriority, max_by(dataset_id, ord) AS source_id FROM src GROUP BY ALL) SELECT source_id, dst.dataset_id AS destination_id, o_orderstatus, o_orderpriority, nation FROM last JOIN dst USING (o_orderstatus, o_orderpriority) WHERE nation = 'NATION_3'",
+)
+def session_merge_all(spark, sf_dir):
+    """session_merge with the runs of all orders and with all nations."""
+    source, destination = _sessions_all(spark, sf_dir)
+    return keys.merge_by_key(source, destination, _AXES, {"nation": "NATION_3"}, "ord").matched
+
+
+@query("session_merge_duplicates_all", f"WITH {_SESSIONS_ALL} SELECT o_orderstatus, o_orderpriority, 'NATION_1' AS nation, count(*) AS runs FROM src GROUP BY ALL HAVING count(*) > 1")
+def session_merge_duplicates_all(spark, sf_dir):
+    source, destination = _sessions_all(spark, sf_dir)
+    return keys.merge_by_key(source, destination, _AXES, {"nation": "NATION_1"}, "ord").duplicates
+
+
 @query(
     "keyed_runs",
     "SELECT o_orderkey AS dataset_id, o_orderstatus, o_orderpriority, l_linenumber AS iteration, sum(l_quantity)::BIGINT AS quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber >= 2 GROUP BY ALL",
