@@ -15,9 +15,11 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,8 @@ _STRIP = ".,;:!?\"'()[]{}*#$%&|<>/\\-_=+~`^"
 _SHOUT = re.compile(r"!{2,}")
 PATTERNS = 8
 EXTRA = 5
+#: Characters that capitals are counted in at a time.
+PIECE = 1 << 20
 #: Log-odds that count as weak, clear and strong evidence.
 EVIDENCE = (3.0, 5.0, 9.0)
 
@@ -56,6 +60,17 @@ def words_of(text: str) -> list[str]:
     return [w for w in (x.strip(_STRIP) for x in text.lower().split()) if w]
 
 
+@cache
+def _upper() -> np.ndarray:
+    return np.fromiter((chr(k).isupper() for k in range(sys.maxunicode + 1)), bool)
+
+
+def capitals(text: str) -> int:
+    """Upper-case characters of the whole text, piece by piece."""
+    pieces = (text[k : k + PIECE].encode("utf-32-le", "surrogatepass") for k in range(0, len(text), PIECE))
+    return sum(int(_upper()[np.frombuffer(p, "<u4")].sum()) for p in pieces)
+
+
 def _mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents of each class that have a term, and how many documents."""
     found: tuple[Counter, Counter] = (Counter(), Counter())
@@ -157,7 +172,7 @@ def _votes(voters: Voters):
                 total = sum(odds.values()) - len(words) / 300
                 share = hits / max(1, len(words))
                 shouts = len(_SHOUT.findall(text))
-                caps = sum(map(str.isupper, text[:: max(1, len(text) // 2000)])) / max(1, min(len(text), 2000))
+                caps = capitals(text) / max(1, len(text))
                 # Patterns: strength of the best word and of all words, density, none at all, shouting.
                 votes[r, m:] = [
                     1 if top > EVIDENCE[1] else -1 if top < EVIDENCE[0] else 0,

@@ -1,12 +1,13 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from runledger.llm import newton
 from runledger.llm.common import fold
 from runledger.llm.quality import DIMENSIONS, fit_pu, quality, statistics
-from runledger.llm.toxicity import toxicity
+from runledger.llm.toxicity import EXTRA, PATTERNS, Voters, _votes, capitals, toxicity
 
 SF = "/root/testdata/sf0.1"
 
@@ -57,6 +58,21 @@ def test_odd_rows(spark):
     assert min(toxic[10 + k] for k in range(1, 200, 2)) > max(toxic[10 + k] for k in range(0, 200, 2))
 
 
+def test_capitals_are_counted_over_whole_texts():
+    # Every 64th character of the last text is small, the others are capitals.
+    texts = [("aB" * 50_000)[:n] for n in (1_000, 1_999, 2_000, 2_001, 3_000, 3_999, 4_000, 4_001, 100_000)]
+    texts += ["IDIOT " * 167, "IDIOT " * 500, "IDIOT " * 700, ("a" + "B" * 63) * 2_000, "ÄÖß€𝐀" * 900]
+    shares = [sum(map(str.isupper, t)) / len(t) for t in texts]
+    assert [capitals(t) for t in texts] == [sum(map(str.isupper, t)) for t in texts]
+    voters = Voters(["=idiot"], [5.0], 0.1)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts), pa.array(range(len(texts)))], names=["id", "text", "row"])
+    (out,) = _votes(voters)(iter([batch]))
+    got = newton.matrix(out.column("x"), voters.d)
+    assert np.allclose(got[:, -1], shares, atol=1e-6)
+    # The vote for shouting of one toxic text in capitals is the same at each length.
+    assert len(set(got[9:12, -EXTRA - 1])) == 1 and PATTERNS == 8
+
+
 def test_newton_sums_match_a_plain_fit(spark):
     rng = np.random.default_rng(0)
     x = np.concatenate([np.ones((400, 1)), rng.normal(size=(400, 3))], axis=1)
