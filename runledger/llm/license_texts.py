@@ -1,4 +1,12 @@
-"""Known licence texts and notices, by SPDX identifier (public texts)."""
+"""Known licence texts and notices, by SPDX identifier (public texts).
+
+NOTICES are also in the SQL of the scan; texts() adds complete texts (license_files), headers and headings.
+"""
+
+from __future__ import annotations
+
+import re
+from pathlib import Path
 
 NOTICES: tuple[tuple[str, str], ...] = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -50,3 +58,69 @@ Permission is granted to anyone to use this software for any purpose, including
 THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
     ),
 )
+
+_FOLDER = Path(__file__).with_name("license_files")
+#: Where the terms of a complete text end and instructions for its use begin; both forms are in use.
+_END = "END OF TERMS AND CONDITIONS"
+
+#: Headings that files put above a text.
+TITLES: dict[str, tuple[str, ...]] = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"),
+    "Zlib": ("zlib License", "The zlib License", "zlib/libpng License", "The zlib/libpng License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", 'BSD 2-Clause "Simplified" License', "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License", "Modified BSD License", "Revised BSD License"),
+    "Unlicense": ("The Unlicense", "Unlicense", "The Unlicense (Unlicense)"),
+}
+_NO_WARRANTY = "but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
+_ADDRESS = "51 Franklin Street, Fifth Floor, Boston, MA 02110-1301"
+
+
+def _gnu(work: str, name: str, version: str, mark: str, last: str) -> str:
+    """The header of the GNU licences, as they tell how to apply them."""
+    return f"""{work} is free software{mark} you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation{"," if mark == ":" else ";"} either version {version} of the License, or (at your option) any later version.
+
+{work} is distributed in the hope that it will be useful, {_NO_WARRANTY} See the GNU {name} for more details.
+
+You should have received a copy of the GNU {name} along with {work.lower()}{last}"""
+
+
+def _complete() -> list[tuple[str, str]]:
+    texts = [(f.name.removesuffix(".txt"), f.read_text("utf-8")) for f in sorted(_FOLDER.glob("*.txt"))]
+    return texts + [(i, t[: t.index(_END) + len(_END)]) for i, t in texts if _END in t]
+
+
+def _headers() -> list[tuple[str, str]]:
+    general, lesser = "General Public License", "Lesser General Public License"
+    out = []
+    for spdx, work, name, version in (
+        ("GPL-2.0-or-later", "This program", general, "2"),
+        ("GPL-3.0-or-later", "This program", general, "3"),
+        ("AGPL-3.0-or-later", "This program", f"Affero {general}", "3"),
+        ("LGPL-2.1-or-later", "This library", lesser, "2.1"),
+        ("LGPL-3.0-or-later", "This program", lesser, "3"),
+        ("LGPL-3.0-or-later", "This library", lesser, "3"),
+    ):
+        site = "https://www.gnu.org/licenses/"
+        lasts = [f". If not, see <{site}>.", f". If not, see {site}"]
+        lasts += [f"; if not, write to the Free Software Foundation, Inc., {_ADDRESS}{land}" for land in (" USA.", ", USA.", " USA")]
+        out += [(spdx, _gnu(work, name, version, mark, last)) for mark in (":", ";") for last in lasts]
+    apache = next(t for i, t in NOTICES if i == "Apache-2.0" and "obtain" in t)
+    return [*out, ("Apache-2.0", apache.replace(" at http", " at\nhttp"))]
+
+
+def texts() -> list[tuple[str, str, bool]]:
+    """(SPDX identifier, text, whether a heading was put above it): NOTICES, complete texts, headers, texts with headings."""
+    bsd = next(t for i, t in NOTICES if i == "BSD-2-Clause").split("\n")
+    third = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    short = [(i, t) for i, t in NOTICES if i in TITLES and "\n" in t]
+    short.append(("BSD-3-Clause", "\n".join([*bsd[:3], third, bsd[3]])))
+    # Lists with marks in place of numbers.
+    short += [(i, re.sub(r"(?m)^[0-9]\. ", "* ", t)) for i, t in short if i.startswith("BSD")]
+    complete = _complete()
+    short += [(i, t) for i, t in complete if i in TITLES]
+    reserved = "All rights reserved.\n"
+    headings = [(i, f"{title}{rest}{t}") for i, t in short for title in ("", *[f"{x}\n" for x in TITLES[i]]) for rest in ("", reserved) if title or rest]
+    boost = next(t for i, t in complete if i == "BSL-1.0").split("\n\n", 1)[1]
+    plain = [*NOTICES, *complete, *_headers(), *short, ("BSL-1.0", boost)]
+    return [(*x, False) for x in plain] + [(*x, True) for x in headings]

@@ -3,19 +3,22 @@
 A text is brought to a canonical form: A-Z lower-cased, equivalent spellings united, copyright lines and
 punctuation dropped, white space reduced. The digests of whole canonical texts are hash-joined to the
 digests of known licences and notices. A document is looked up as a whole, by its blank-line
-paragraphs and by its lines, each as an entire text of its own.
+paragraphs, by its lines and by runs of consecutive paragraphs, each as an entire text of its own.
 
 Null text counts as empty and matches nothing. Rows with equal ids are scanned one by one. An empty table gives no rows.
-The known texts are a fixed list of some KB, so their digests are broadcast.
+The known texts are a fixed list of some 300 KB, so their digests are broadcast.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runledger.llm.common import written
-from runledger.llm.license_texts import NOTICES
+from runledger.llm.license_texts import NOTICES, texts
 
 #: Spellings that licence matching treats as one (after lower-casing).
 SPELLINGS: tuple[tuple[str, str], ...] = (
@@ -54,11 +57,53 @@ def whole(lines: Column) -> Column:
     return F.trim(F.regexp_replace(lines, r"\n+", " "))
 
 
-def known(spark: SparkSession) -> DataFrame:
-    """(license, digest, size) of the known texts, one row per digest."""
-    texts = spark.createDataFrame(list(NOTICES), "license string, text string")
-    forms = texts.select("license", whole(canonical(F.col("text"))).alias("form"))
-    return forms.groupBy(F.md5("form").alias("digest"), F.length("form").alias("size")).agg(F.min("license").alias("license"))
+#: Up to so many paragraphs, a known text is looked for with any of its paragraph breaks left out.
+FREE_BREAKS = 10
+
+
+def known(spark: SparkSession) -> tuple[DataFrame, list[tuple[int, int, int]]]:
+    """(license, digest, size) of the known texts, one row per digest; the shapes of those of several paragraphs.
+
+    A shape is (length of the first paragraph, of the last, number of paragraphs). Lines of a short text may be
+    paragraphs or not; the paragraphs of a long one are those that it has.
+    """
+    given = spark.createDataFrame(texts(), "license string, text string, headed boolean").select("license", "headed", canonical(F.col("text")).alias("lines"))
+    rows, shapes = {}, set()
+    for name, headed, lines in given.collect():
+        parts = [p for p in lines.split("\n") if p]
+        # A run of paragraphs below a heading is that of the text without one.
+        if len(parts) > FREE_BREAKS:
+            blocks = [" ".join(p.split("\n")) for p in re.split(r"\n\n+", lines.strip("\n"))]
+            shapes |= set() if headed else {(len(blocks[0]), len(blocks[-1]), len(blocks))}
+        elif not headed:
+            heads, tails = ([len(" ".join(parts[:k])) for k in range(1, len(parts) + 1)], [len(" ".join(parts[k:])) for k in range(len(parts))])
+            shapes |= {(heads[i], tails[j], n) for i in range(len(parts)) for j in range(i + 1, len(parts)) for n in range(2, j - i + 2)}
+        form = " ".join(parts)
+        key = (hashlib.md5(form.encode()).hexdigest(), len(form))
+        rows[key] = min(name, rows.get(key, name))
+    table = spark.createDataFrame([(name, *key) for key, name in rows.items()], "license string, digest string, size int")
+    return table, sorted(x for x in shapes if x[2] > 1)
+
+
+def _runs(paragraphs: Column, shapes: list[tuple[int, int, int]]) -> Column:
+    """Runs of consecutive paragraphs that have the shape of a known text; few places have its first length."""
+    firsts: dict[int, list[tuple[int, int]]] = {}
+    for first, last, n in shapes:
+        firsts.setdefault(first, []).append((last, n))
+    lengths = F.array(*[F.lit(k) for k in firsts])
+    listed = F.map_from_arrays(lengths, F.array(*[F.array(*[F.struct(F.lit(last).alias("last"), F.lit(n).alias("n")) for last, n in found]) for found in firsts.values()]))
+
+    def of(p: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(p), F.lit(1))), lambda i: F.array_contains(lengths, F.length(F.get(p, i - 1))))
+
+        def at(i: Column) -> Column:
+            fitting = F.filter(listed[F.length(F.get(p, i - 1))], lambda f: F.length(F.get(p, i + f["n"] - 2)) == f["last"])
+            return F.transform(fitting, lambda f: F.array_join(F.slice(p, i, f["n"]), " "))
+
+        return F.flatten(F.transform(starts, at))
+
+    # In a list of one, so that the paragraphs are made once for each text.
+    return F.flatten(F.transform(F.array(F.filter(paragraphs, lambda x: x != "")), of))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
@@ -66,12 +111,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_co
 
     notices: the licences of all matching units, in order, comma-separated; empty where there is none.
     """
-    table = written(known(docs.sparkSession), "licenses")
+    table, shapes = known(docs.sparkSession)
+    table = written(table, "licenses")
     # A unit can match only if its length is that of a known text; the list is as long as the known texts are many.
     sizes = F.array(*[F.lit(r["size"]) for r in table.select("size").distinct().collect()])
     row = F.monotonically_increasing_id() if row_col is None else F.col(row_col).cast("long")
     source = docs.select(F.col(id_col).alias("id"), row.alias("row"), canonical(F.col(text_col)).alias("lines"))
-    units = F.concat(F.array("whole"), F.transform(F.split("lines", r"\n\n+"), whole), F.split("lines", "\n"))
+    paragraphs = F.transform(F.split("lines", r"\n\n+"), whole)
+    units = F.concat(F.array("whole"), paragraphs, F.split("lines", "\n"), _runs(paragraphs, shapes))
     candidates = F.transform(F.array_distinct(F.filter(units, lambda u: F.array_contains(sizes, F.length(u)))), F.md5)
     forms = source.withColumn("whole", whole(F.col("lines"))).select("id", "row", F.md5("whole").alias("text_digest"), candidates.alias("units"))
     forms = written(forms, "forms")
@@ -94,7 +141,7 @@ def _quoted(text: str) -> str:
 
 
 def oracle() -> str:
-    """The same scan of documents in DuckDB SQL."""
+    """The scan of documents for NOTICES in DuckDB SQL, without runs of paragraphs."""
 
     def form(text: str) -> str:
         x = f"translate(coalesce({text}, ''), '{_UPPER}', '{_LOWER}')"

@@ -1,5 +1,8 @@
+import pathlib
+
 from pyspark.sql import functions as F
 
+from runledger.llm import license_texts
 from runledger.llm.license_texts import NOTICES
 from runledger.llm.licenses import scan
 
@@ -30,3 +33,22 @@ def test_repeated_rows_null_ids_and_no_rows(spark):
     frame = spark.createDataFrame([(None, "All rights reserved."), (3, "a"), (3, "a")], "doc_id long, text string")
     assert len(scan(frame).collect()) == 3
     assert scan(frame.where(F.lit(False))).collect() == []
+
+
+def test_standard_files(spark):
+    here = pathlib.Path(license_texts.__file__).with_name("license_files")
+    files = {f.name.removesuffix(".txt"): f.read_text("utf-8") for f in sorted(here.glob("*.txt"))}
+    paragraphs = MIT.replace("\n", "\n\n")
+    mit = f"MIT License\n\nCopyright (c) 2024 Some One\n\n{paragraphs}\n"
+    bsd = next(t for i, t in NOTICES if i == "BSD-2-Clause").split("\n")
+    two = "BSD 2-Clause License\n\nCopyright (c) 2024, Some One\nAll rights reserved.\n\n" + "\n\n".join(bsd) + "\n"
+    three = "BSD 3-Clause License\n\nCopyright (c) 2024, Some One\n\n" + "\n\n".join([*bsd[:3], "3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.", bsd[3]])
+    gpl = files["GPL-3.0-only"]
+    header = gpl[gpl.index("    This program is free software: you") : gpl.index("Also add information")]
+    source = "import x\n\n# prog\n# Copyright (C) 2020  A\n#\n" + "".join(f"# {x.strip()}\n" for x in header.strip().split("\n")) + "\n\nrest\n"
+    given = [*files.values(), mit, two, three, source, f"Words.\n\n{paragraphs}\n\nmore", "a\n\n" + gpl + "\n\nb", mit.replace("merge", "fuse")]
+    got = scanned(spark, given)
+    n = len(files)
+    assert [got[k][0] for k in range(n)] == list(files)
+    assert [got[n + k][0] for k in range(7)] == ["MIT", "BSD-2-Clause", "BSD-3-Clause", None, None, None, None]
+    assert [got[n + k][1] for k in range(7)] == ["MIT", "BSD-2-Clause,LicenseRef-all-rights-reserved", "BSD-3-Clause", "GPL-3.0-or-later", "MIT", got[list(files).index("GPL-3.0-only")][1], ""]
