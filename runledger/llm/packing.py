@@ -6,8 +6,9 @@ free spaces are the bits of one integer, gives the tightest open bin that fits b
 count of trailing zeros; when all are open, the fullest closes. What a task leaves open is packed
 once more, in fewer tasks, with whole bins as the pieces; at the end the open bins close.
 
-Null text counts as empty: such a document is the single id 0. Rows with equal ids are packed one by
-one. An empty table gives no rows.
+Null text counts as empty: such a document is the single id 0. Very long texts are cut into pieces, and rows with equal
+ids are packed one by one. Of bins with equal room the last one opened or filled is taken; equal pieces go in the order of
+their rows. Other columns of the table, whatever their names, play no part. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -45,15 +46,16 @@ def _byte_of_char() -> dict[str, int]:
 
 @lru_cache(maxsize=1)
 def _encoding(path: str):
-    """The tokenizer of a byte-level BPE file whose ids are its merge ranks, in tiktoken's encoder."""
+    """The tokenizer of a byte-level BPE file whose ids are its merge ranks, in tiktoken's encoder; its added tokens by text."""
     import public_tokenizers
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
-        vocabulary = json.load(f)["model"]["vocab"]
+        file = json.load(f)
     chars = _byte_of_char()
-    ranks = {bytes(chars[c] for c in token): k for token, k in vocabulary.items() if all(c in chars for c in token) and not re.fullmatch(r"<\|.*\|>", token)}
-    return tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    added = {t["content"]: t["id"] for t in file["added_tokens"]}
+    ranks = {bytes(chars[c] for c in token): k for token, k in file["model"]["vocab"].items() if token not in added}
+    return tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), added
 
 
 class _Words(dict):
@@ -72,16 +74,27 @@ class _Words(dict):
 
 
 class Tokenizer:
-    """Token ids as little-endian unsigned 32-bit bytes. Words between single spaces are kept by text."""
+    """Token ids as little-endian unsigned 32-bit bytes, as the file's own library gives them.
+
+    Added tokens are cut out of a text first, each is one id. Words between single spaces are kept by text.
+    """
 
     #: Two white characters in a row: a token may cross such a place.
     _RUN = re.compile(r"\s\s")
 
     def __init__(self, path: str, words: int = 400_000) -> None:
-        self.encode = _encoding(path).encode_ordinary
+        encoding, added = _encoding(path)
+        self.encode = encoding.encode_ordinary
         self.words = _Words(self.encode, words)
+        self.added = {t: array("I", [k]).tobytes() for t, k in added.items()}
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")").split if added else None
 
     def __call__(self, text: str) -> bytes:
+        if any(t in text for t in self.added):
+            return b"".join(self.added[x] if x in self.added else self._plain(x) for x in self.split(text) if x)
+        return self._plain(text)
+
+    def _plain(self, text: str) -> bytes:
         if self._RUN.search(text):
             return array("I", self.encode(text)).tobytes()
         first, *rest = text.split(" ")

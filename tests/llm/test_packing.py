@@ -13,7 +13,6 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 def reference():
     t = Reference.from_file(PATH)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
@@ -56,6 +55,9 @@ def test_tokenizer_gives_the_same_ids():
     for _ in range(500):
         text = "".join(rng.choice(parts) for _ in range(rng.randrange(12)))
         assert np.frombuffer(own(text), "<u4").tolist() == encode(text), text
+    # An added token is one id, and what stands beside it is split apart from it.
+    assert np.frombuffer(own("a <|endoftext|> b"), "<u4").tolist() == [64, 220, 50256, 275]
+    assert np.frombuffer(own("<|endoftext|><|endoftext|"), "<u4")[0] == 50256
 
 
 def test_best_fit_takes_the_tightest_and_closes_the_fullest():
