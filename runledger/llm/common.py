@@ -25,10 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where it is unset."""
+    """The folder that all executors share: spark.checkpoint.dir, or in local mode a local one where it is unset."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         sc.setCheckpointDir(found)
         found = sc.getCheckpointDir()
@@ -66,15 +68,24 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+#: Rows of a file that a row number has room for, as bits.
+INDEX_BITS = 38
+
+
 def with_row(df: DataFrame, name: str = "_row") -> DataFrame:
-    """df with a number for each row that stays the same however the table is split into tasks.
+    """df with a number for each row that no two rows share and that stays the same however the table is split into tasks.
 
-    Rows of files are numbered by a 64-bit hash of the file and their place in it, so a plan that is made again
-    after executors have come or gone finds the same numbers. Other rows are numbered and written to the shared folder.
+    Rows of files are numbered by the file, in the order of the paths, and their place in it, so a plan that is made
+    again after executors have come or gone finds the same numbers. There is one path per file, as the driver has
+    to plan a scan. Other rows are numbered and written to the shared folder.
     """
-    if name in df.columns:
-        raise ValueError(f"column {name} is reserved")
+    file, index = f"{name}_file", f"{name}_index"
+    if {name, file, index} & set(df.columns):
+        raise ValueError(f"columns {name}, {file} and {index} are reserved")
     try:
-        return df.select("*", F.xxhash64("_metadata.file_path", "_metadata.row_index").alias(name))
+        placed = df.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(index))
     except AnalysisException:
         return written(df.withColumn(name, F.monotonically_increasing_id()), "rows")
+    paths = sorted(r[0] for r in placed.select(file).distinct().collect())
+    numbers = df.sparkSession.createDataFrame([(path, k << INDEX_BITS) for k, path in enumerate(paths)], f"{file} string, {name} long")
+    return placed.join(numbers, file).select(*df.columns, (F.col(name) + F.col(index)).alias(name))

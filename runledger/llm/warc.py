@@ -232,7 +232,7 @@ class _Files:
 
     def directory(self, shard: str) -> tuple[list[str], list[tuple[int, int]]]:
         with self.store.open_input_stream(f"{self.base}/{shard}.dir") as f:
-            rows = [x.split("\t") for x in f.read().decode().splitlines()]
+            rows = [x.split("\t") for x in f.read().decode().split("\n")[:-1]]
         return [r[0] for r in rows], [(int(r[1]), int(r[2])) for r in rows]
 
 

@@ -4,6 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from runledger.llm.common import with_row
 from runledger.llm.warc import digest, filesystem, lookup, parse, record, surt, write_archive
 
 ROWS = [
@@ -82,6 +83,23 @@ def test_one_hot_key_over_many_blocks(spark):
     assert sorted(r["page_id"] for r in only) == list(range(0, 300, 3))
 
 
+def test_urls_with_line_separators(spark):
+    # Characters that Unicode counts as line ends, but an index line does not.
+    rows = [(k, f"http://a.example/{k}{c}y", "x") for k, c in enumerate("\u0085\u2028\u2029\x0b\x1c\n")]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert sorted(r["page_id"] for r in lookup(write_archive(frame, block_lines=1), frame).collect()) == list(range(6))
+
+
+def test_row_numbers_are_unique_and_stable(spark, tmp_path):
+    spark.range(1000).repartition(7).write.parquet(str(tmp_path / "t"))
+    for size in ("1k", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        rows = with_row(spark.read.parquet(str(tmp_path / "t"))).collect()
+        assert len({r["_row"] for r in rows}) == 1000
+        first = {r["id"]: r["_row"] for r in rows} if size == "1k" else first
+        assert first == {r["id"]: r["_row"] for r in rows}
+
+
 def test_empty_table(spark, archive):
     frame, _ = archive
     none = frame.where(F.lit(False))
