@@ -40,6 +40,8 @@ BURN_IN, SAMPLES = 1, 2
 STRENGTH, ROOT_STRENGTH, UNKNOWN = 1.0, 1.0, 0.9
 #: Customers of a dish up to which its tables are drawn from the exact law.
 EXACT = 64
+#: Weights up to which products of EXACT ratios stay inside doubles.
+LARGE_WEIGHT = 1e4
 NO_ID = -(1 << 63)
 #: Keys of a text's end, and of its start as a context.
 END, START = np.uint64(0xE5D0000000000001), np.uint64(0x57A0000000000002)
@@ -148,13 +150,18 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # -- exchange of counts by key -------------------------------------------------------------------
 
 
-def _asked(block: int, keys: np.ndarray, values: list[np.ndarray], buckets: int, order: np.ndarray | None = None) -> pa.RecordBatch:
-    """A block's keys with their values, as a row for each bucket; order sorts the keys, which else are sorted."""
+def _asked(block: int, keys: np.ndarray, values: list[np.ndarray], buckets: int, order: np.ndarray | None = None, own: np.ndarray | None = None) -> pa.RecordBatch:
+    """A block's keys with their values, as a row for each bucket; order sorts the keys, which else are sorted.
+
+    own comes back to the block as it is, with the answers: it goes by a bucket of the block's, below zero.
+    """
     if order is not None:
         keys, values = keys[order], [v[order] for v in values]
     shift = np.uint64(64 - buckets.bit_length() + 1)
     cuts = np.searchsorted(keys, np.arange(1, buckets, dtype=np.uint64) << shift)
     rows = [(b, block, _packed(np.diff(k, prepend=np.uint64(0))), [_packed(v.astype("<u4")) for v in vs]) for b, (k, *vs) in enumerate(zip(*(np.split(x, cuts) for x in (keys, *values)), strict=True)) if len(k)]
+    if own is not None:
+        rows.append((-1 - block % buckets, block, b"", [_packed(own)]))
     columns = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
     return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.list_(pa.binary()))], names=["bucket", "block", "keys", "vals"])
 
@@ -183,6 +190,10 @@ def _answered(reply: Callable):
         at, rows = None, []
         for batch in batches:
             for bucket, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket < 0:
+                    # What a block keeps for itself.
+                    yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), pa.array([bucket], pa.int32()), pa.array([row[2]], pa.list_(pa.binary())), pa.nulls(1, pa.list_(pa.float64()))], names=["block", "bucket", "vals", "stats"])
+                    continue
                 if bucket != at and rows:
                     yield from settle(at, rows)
                     rows = []
@@ -210,52 +221,81 @@ def _exchange(asks: DataFrame, reply: Callable, tag: str) -> tuple[DataFrame, np
 
 def _told(parts: list[dict], n: int) -> list[np.ndarray]:
     """The n answers to a block, in the order of its sorted keys."""
-    return [np.concatenate([_unpacked(p["vals"][k], "<u4") for p in parts]).astype(np.int64) for k in range(n)]
+    return [np.concatenate([_unpacked(p["vals"][k], "<u4") for p in parts if p["bucket"] >= 0]).astype(np.int64) for k in range(n)]
+
+
+def _kept(parts: list[dict]) -> np.ndarray:
+    """What a block has kept for itself: the tables of its pairs of several customers."""
+    return _unpacked(next(p["vals"][0] for p in parts if p["bucket"] < 0), "<u4").astype(np.int64)
 
 
 # -- seating -------------------------------------------------------------------------------------
 
 
 @lru_cache(maxsize=4)
-def _log_stirling(discount: float) -> np.ndarray:
-    """Logs of generalized Stirling numbers S(c, t), up to EXACT customers."""
-    out = np.full((EXACT + 1, EXACT + 1), -np.inf)
-    out[0, 0] = 0
+def _steps(discount: float) -> np.ndarray:
+    """S(c, t + 1) / S(c, t) of generalized Stirling numbers at [c, t - 1], up to EXACT customers."""
+    logs = np.full((EXACT + 1, EXACT + 1), -np.inf)
+    logs[0, 0] = 0
     for n in range(EXACT):
         t = np.arange(1, n + 2)
         with np.errstate(divide="ignore", invalid="ignore"):
-            stay = out[n, t] + np.log(np.maximum(n - t * discount, 0))
-        out[n + 1, t] = np.logaddexp(out[n, t - 1], np.where(np.isnan(stay), -np.inf, stay))
-    return out
+            stay = logs[n, t] + np.log(np.maximum(n - t * discount, 0))
+        logs[n + 1, t] = np.logaddexp(logs[n, t - 1], np.where(np.isnan(stay), -np.inf, stay))
+    with np.errstate(invalid="ignore"):
+        return np.nan_to_num(np.exp(logs[:, 2:] - logs[:, 1:-1]))
 
 
 def tables(customers: np.ndarray, weight: np.ndarray, discount: float, keys: np.ndarray, salt: int) -> np.ndarray:
     """A draw of the number of tables of each dish; weight: of a new table, against customers less discounts."""
     out = np.minimum(customers, 1).astype(np.int64)
-    law = _log_stirling(discount)
-    for c in np.unique(customers[(customers > 1) & (customers <= EXACT)]).tolist():
-        at = np.flatnonzero(customers == c)
-        for k in range(0, len(at), 100_000):
-            part = at[k : k + 100_000]
-            t = np.arange(1, c + 1)
-            logs = law[c, t] + t * np.log(np.maximum(weight[part], 1e-300))[:, None]
-            p = np.exp(logs - logs.max(axis=1, keepdims=True)).cumsum(axis=1)
-            out[part] = 1 + (p < p[:, -1:] * _uniform(keys[part], salt)[:, None]).sum(axis=1)
+    steps = _steps(discount)
+    some = np.flatnonzero((customers > 1) & (customers <= EXACT))
+    some = some[np.argsort(customers[some].astype(np.uint8), kind="stable")]
+    a, u = np.maximum(weight[some], 1e-300), _uniform(keys[some], salt)
+    ends = np.cumsum(np.bincount(customers[some], minlength=EXACT + 1))
+    for c in range(2, EXACT + 1):
+        for k in range(int(ends[c - 1]), int(ends[c]), 8192):
+            part = slice(k, min(k + 8192, int(ends[c])))
+            # Probabilities against that of one table, by the ratios of neighbours.
+            p = np.empty((c, part.stop - k))
+            p[0] = 1
+            np.multiply(steps[c, : c - 1, None], a[part], out=p[1:])
+            if a[part].max() > LARGE_WEIGHT:
+                p[1:] = np.log(p[1:])
+                p[0] = 0
+                np.cumsum(p, axis=0, out=p)
+                p = np.exp(p - p.max(axis=0))
+            else:
+                np.cumprod(p, axis=0, out=p)
+            np.cumsum(p, axis=0, out=p)
+            out[some[part]] = 1 + (p < p[-1] * u[part]).sum(axis=0)
     at = np.flatnonzero(customers > EXACT)
     if len(at):
         # S(c, t) a^t is the law of a Poisson number of tables, tilted so that their sizes add up to c:
         # a x (1 - x)^(d - 1) = c gives the tilt, a / d (1 - (1 - x)^d) the mean.
         c, a = customers[at].astype(np.float64), np.maximum(weight[at], 1e-12)
-        low, high = np.full(len(at), -80.0), np.zeros(len(at))
-        for _ in range(60):
-            middle = (low + high) / 2  # log of 1 - x
-            more = np.log(a) + np.log(-np.expm1(middle)) + (discount - 1) * middle > np.log(c)
-            low, high = np.where(more, middle, low), np.where(more, high, middle)
-        mean = a / discount * -np.expm1(discount * (low + high) / 2)
+        mean = a / discount * -np.expm1(discount * _tilt(np.log(c) - np.log(a), discount))
         out[at] = 1 + np.minimum(c - 1, _poisson(mean, _uniform(keys[at], salt))).astype(np.int64)
     return out
 
 
+@lru_cache(maxsize=4)
+def _tilts(discount: float) -> tuple[np.ndarray, np.ndarray]:
+    y = -np.geomspace(1e-12, 80, 4096)
+    return np.log(-np.expm1(y)) + (discount - 1) * y, y
+
+
+def _tilt(target: np.ndarray, discount: float) -> np.ndarray:
+    """y with log(1 - e^y) + (d - 1) y = target, in -80..0: from a grid, with two Newton steps."""
+    at, grid = _tilts(discount)
+    y = np.interp(target, at, grid)
+    for _ in range(2):
+        gone = -np.expm1(y)
+        y = np.clip(y - (np.log(gone) + (discount - 1) * y - target) / (discount - 1 - np.exp(y) / gone), -80, -1e-12)
+    return y
+
+
 def _poisson(mean: np.ndarray, u: np.ndarray) -> np.ndarray:
     """Quantiles of Poisson laws; from a mean of 50 on, of normal ones."""
     normal = np.rint(mean + np.sqrt(2 * mean) * _erfinv(2 * np.clip(u, 1e-9, 1 - 1e-9) - 1))
@@ -398,7 +438,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
                 for r in batch.to_pylist():
                     b, pair = _Block.read(r), _unpacked(r["pair"], "<u4").astype(np.int64)
                     seated = np.minimum(pair >> 1, 1) if model is None else _seated(b, pair, _told(r["words0"], 4), model, sweep)
-                    yield _asked(r["block"], b.words, _sent(b, pair, seated), buckets)
+                    yield _asked(r["block"], b.words, _sent(b, pair, seated), buckets, own=seated[pair > 3].astype("<u4") if sweep > burn_in else None)
 
         return run
 
@@ -422,7 +462,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
                 yield _scored(r, models, chosen)
 
     joined = blocks.drop("pair_n", "counts").join(counted.hint("shuffle_hash"), "block")
-    for k in range(burn_in, burn_in + samples + 1):
+    for k in chosen:
         joined = joined.join(kept[k][0].withColumnRenamed("words0", f"words{k}").hint("shuffle_hash"), "block")
     out = joined.mapInArrow(final, "id long, row long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.select(F.when(F.col("id") != NO_ID, F.col("id")).alias(id_col), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", *([] if row_col is None else [F.col("row").alias(row_col)]))
@@ -431,10 +471,11 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
 def _scored(r: dict, models: list[_Model], chosen: list[int]) -> pa.RecordBatch:
     b = _Block.read(r)
     pair = _unpacked(r["pair"], "<u4").astype(np.int64)
-    c, p, told = pair >> 1, np.zeros(len(pair)), _told(r[f"words{chosen[0] - 1}"], 4)
+    c, p = pair >> 1, np.zeros(len(pair))
     for k in chosen:
-        m, before, told = models[k], told, _told(r[f"words{k}"], 4)
-        seated = _seated(b, pair, before, models[k - 1], k)
+        m, told = models[k], _told(r[f"words{k}"], 4)
+        seated = np.minimum(c, 1)
+        seated[c > 1] = _kept(r[f"words{k}"])
         count, _, _, own = told
         root = m.root(*told[:3])
         # A context without a count leaves all to the root.
