@@ -2,13 +2,15 @@
 
 Voters are lexicon terms (whole words, prefixes and suffixes, mined from a bounded sample of labelled
 rows, with a fixed seed list) and patterns. A generative label model learns, by EM over the vote patterns
-of all documents, how often each voter votes for each class; the correlations of voters within a
-class then turn the votes into posterior labels through the pooled covariance, so that terms which
-fire together do not count twice. A linear classifier of votes and densities is trained on those
-posteriors over all documents and gives the scores.
-
-Null text counts as empty. An empty text has no votes for toxic. Without any labels the seed list
-and the patterns vote alone. An empty table gives no rows.
+of all documents, how often each voter votes for each class. From the expected counts of pairs of votes it
+then takes which voters depend on each other within a class, the forest of most mutual information, and learns
+by EM again how often each voter votes for each class beside each vote of its parent, so terms which fire
+together do not count twice. A linear classifier of votes and densities is trained on the posteriors
+over all documents and gives the scores.
+
+Null text counts as empty. An empty text has no votes for toxic; very long texts are read whole, and equal rows
+are scored alike. Without any labels the seed list and the patterns vote alone. Other columns of the table, whatever
+their names, play no part. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,8 +33,7 @@ from runledger.llm.newton import blobs, fit_soft, matrix, sigmoid, summed
 
 #: Labelled rows that the lexicon is mined from, at most.
 LABELLED_ROWS = 30_000
-#: Lexicon terms, at most; the strongest are voters of their own, the others vote in groups.
-TERMS = 2000
+#: Of the lexicon terms the strongest are voters of their own, the others vote in groups.
 VOTING_TERMS = 64
 GROUPS = 12
 #: Fixed seed words, which vote even without labels.
@@ -119,7 +120,8 @@ def mine_voters(docs: DataFrame, labels: DataFrame, text_col: str, id_col: str,
     # Smoothed, since among many terms a few rare ones fall on toxic texts alone by chance.
     odds = F.log((F.col("pos") + 0.5) / (pos + 1)) - F.log((F.col("neg") + 2) / (neg + 4))
     best = counts.where((F.col("term") != "") & (odds > 2) & (F.col("pos") > 20 * F.col("neg")) & (F.col("pos") >= max(4, pos // 250)))
-    best = best.withColumn("odds", odds).orderBy((F.col("odds") * F.sqrt("pos")).desc(), "term").limit(TERMS).collect()
+    # Terms that several of the sampled toxic texts share: no more than the sample has words.
+    best = best.select("term", odds.alias("odds")).collect()
     found = {r["term"]: float(r["odds"]) for r in best}
     found |= {"=" + s: max(found.get("=" + s, 0.0), EVIDENCE[1]) for s in SEEDS}
     ranked = sorted(found, key=lambda t: (-found[t], t))
@@ -193,63 +195,139 @@ def _votes(voters: Voters):
 
 @dataclass
 class LabelModel:
-    """Log-odds of toxic: bias + votes (one column for each voter and vote value) @ weights."""
+    """A latent class and, within each class, a forest of voters: a vote depends on the class and on its parent's vote.
 
-    bias: float
-    weights: np.ndarray
+    parent: of each voter, -1 for a root. tables: for each voter the log-odds of toxic that its vote adds, by
+    3 * (parent's vote + 1) + (vote + 1); a root counts as if its parent had cast none.
+    """
 
-    def posterior(self, votes: np.ndarray) -> np.ndarray:
-        return sigmoid(self.bias + _cells(votes) @ self.weights)
+    bias: float
+    parent: np.ndarray
+    tables: np.ndarray
 
+    def codes(self, votes: np.ndarray) -> np.ndarray:
+        """Places in the tables, (rows, voters)."""
+        above = np.where(self.parent >= 0, votes[:, self.parent], 0)
+        return 3 * (above.astype(np.int64) + 1) + votes + 1
 
-def _cells(votes: np.ndarray) -> np.ndarray:
-    return np.concatenate([votes > 0, votes < 0], axis=1).astype(np.float64)
+    def posterior(self, votes: np.ndarray) -> np.ndarray:
+        m = votes.shape[1]
+        return sigmoid(self.bias + self.tables.ravel()[self.codes(votes) + 9 * np.arange(m)].sum(axis=1))
 
 
 def _ballots(batch: pa.RecordBatch, m: int) -> np.ndarray:
     return np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int8).reshape(-1, m)
 
 
-def fit_label_model(patterns: DataFrame, m: int, prior: float, rounds: int = 6) -> LabelModel:
-    """patterns: (votes blob, count). EM for the voters' accuracies, then their correlations."""
+def _maximised(counts: np.ndarray, parent: np.ndarray) -> LabelModel:
+    """The model of expected counts (class, voter, place), toxic first; tables lean to the voter's own shares."""
+    toxic, every = counts[0, 0].sum(), counts[:, 0].sum()
+    share = min(0.5, max(0.002, toxic / max(1.0, every)))
+    logs = []
+    for n, faint in zip(counts, (1.0, 1e-2), strict=True):
+        n = n.reshape(-1, 3, 3)
+        own = n.sum(axis=1) + faint * np.array([0.5, 1.0, 0.5])
+        own = np.clip(own / own.sum(axis=1, keepdims=True), 1e-6, 1)
+        logs.append(np.log((n + own[:, None, :]) / (n.sum(axis=2, keepdims=True) + 1)))
+    odds = np.clip(logs[0] - logs[1], -6, 6)
+    # A vote that isn't cast says nothing by itself, only beside one that its parent has cast.
+    odds[:, 1, 1] = 0
+    return LabelModel(math.log(share / (1 - share)), parent, odds.reshape(-1, 9))
+
+
+#: Votes depend on each other if within the classes they share so much of the information that the lesser of them has,
+#: and by more than chance.
+LEAST_SHARED, LEAST_EVIDENCE = 0.05, 30.0
+
+
+def _pair_tables(pairs: np.ndarray, m: int) -> np.ndarray:
+    """(voter, voter, vote, vote) shares from expected counts of pairs of cells; the last cell is on in every row."""
+    n = pairs[-1, -1]
+    cells = [slice(m, 2 * m), None, slice(0, m)]
+    out = np.zeros((m, m, 3, 3))
+    for a, i in ((0, cells[0]), (2, cells[2])):
+        for b, j in ((0, cells[0]), (2, cells[2])):
+            out[:, :, a, b] = pairs[i, j]
+        out[:, :, a, 1] = pairs[i, -1][:, None] - out[:, :, a, 0] - out[:, :, a, 2]
+        out[:, :, 1, a] = pairs[-1, i][None, :] - pairs[cells[0], i] - pairs[cells[2], i]
+    out[:, :, 1, 1] = n - out.sum(axis=(2, 3))
+    return np.maximum(out, 0) / max(n, 1e-9)
+
+
+def _information(shares: np.ndarray) -> np.ndarray:
+    """Mutual information of each pair of voters."""
+    apart = shares.sum(axis=3, keepdims=True) * shares.sum(axis=2, keepdims=True)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        terms = np.where(shares > 0, shares * np.log(shares / apart), 0)
+    return np.nan_to_num(terms).sum(axis=(2, 3))
+
+
+def dependencies(pairs: np.ndarray, m: int) -> np.ndarray:
+    """parent of each voter: the forest of most information between votes within the classes.
+
+    pairs: for each class the expected counts of pairs of cells (toxic votes, clean votes, one that is always on).
+    """
+    n = pairs[:, -1, -1]
+    information = sum(k * _information(_pair_tables(p, m)) for k, p in zip(n, pairs, strict=True)) / max(n.sum(), 1e-9)
+    own = np.diag(information)
+    strong = (information > LEAST_SHARED * np.minimum(own[:, None], own)) & (2 * n.sum() * information > LEAST_EVIDENCE)
+    parent, group = np.full(m, -1), np.arange(m)
+    edges: list[list[int]] = [[] for _ in range(m)]
+    for i, j in sorted(np.argwhere(np.triu(strong, 1)).tolist(), key=lambda e: (-information[e[0], e[1]], e)):
+        if group[i] != group[j]:
+            group[group == group[j]] = group[i]
+            edges[i].append(j)
+            edges[j].append(i)
+    for root in range(m):
+        if parent[root] < 0 and group[root] >= 0:
+            queue, seen = [root], {root}
+            while queue:
+                i = queue.pop()
+                for j in edges[i]:
+                    if j not in seen:
+                        seen.add(j)
+                        parent[j] = i
+                        queue.append(j)
+            group[list(seen)] = -1
+    return parent
+
+
+def fit_label_model(patterns: DataFrame, m: int, prior: float, rounds: int = 6, most: int = 30) -> LabelModel:
+    """patterns: (votes blob, count). EM with independent voters, then their dependencies, then EM with these until
+    the log-odds settle, in at most so many rounds."""
+    alone = np.full(m, -1)
     # Start: toxic where more vote so than not.
-    start = np.concatenate([np.full(m, 1.5), np.full(m, -1.5)])
-    model = LabelModel(math.log(prior / (1 - prior)), start)
-    c = 2 * m
-    for _ in range(rounds):
+    start = np.zeros((m, 3, 3))
+    start[:, :, 0], start[:, :, 2] = -1.5, 1.5
+    model = LabelModel(math.log(prior / (1 - prior)), alone, start.reshape(m, 9))
+
+    def expected(parent: np.ndarray) -> np.ndarray:
+        """Expected counts (class, voter, place) of the model now, by the forest `parent`."""
 
         def part(batch: pa.RecordBatch, model=model) -> np.ndarray:
-            votes = _ballots(batch, m)
-            n = batch.column(1).to_numpy().astype(np.float64)
+            votes, n = _ballots(batch, m), batch.column(1).to_numpy().astype(np.float64)
             q = model.posterior(votes)
-            cells = _cells(votes)
-            return np.concatenate([[(n * q).sum(), n.sum()], cells.T @ (n * q), cells.T @ n])
-
-        total = summed(patterns, part, 2 + 2 * c)
-        toxic, rest = total[0], total[1] - total[0]
-        one = (total[2 : 2 + c] + 0.5) / (toxic + 1)
-        zero = (total[2 + c :] - total[2 : 2 + c] + 0.5 * 1e-2) / (rest + 1)
-        zero = np.clip(zero, 1e-6, 1)
-        odds = np.clip(np.log(one / zero), -6, 6)
-        share = min(0.5, max(0.002, toxic / max(1.0, total[1])))
-        model = LabelModel(math.log(share / (1 - share)) - 0.0, odds)
-
-    def second(batch: pa.RecordBatch) -> np.ndarray:
-        votes = _ballots(batch, m)
-        n = batch.column(1).to_numpy().astype(np.float64)
-        q, cells = model.posterior(votes), _cells(votes)
-        return np.concatenate([[(n * q).sum(), n.sum()], cells.T @ (n * q), cells.T @ (n * (1 - q)), (cells.T @ (cells * (n * q)[:, None])).ravel(), (cells.T @ (cells * (n * (1 - q))[:, None])).ravel()])
-
-    total = summed(patterns, second, 2 + 2 * c + 2 * c * c)
-    toxic, rest = max(total[0], 1e-9), max(total[1] - total[0], 1e-9)
-    one, zero = total[2 : 2 + c] / toxic, total[2 + c : 2 + 2 * c] / rest
-    cov = [s.reshape(c, c) / k - np.outer(u, u) for s, k, u in ((total[2 + 2 * c : 2 + 2 * c + c * c], toxic, one), (total[2 + 2 * c + c * c :], rest, zero))]
-    pooled = (cov[0] + cov[1]) / 2
-    # How far the voters that fire together within a class overlap: each is discounted by its correlations.
-    scale = np.sqrt(np.maximum(np.diag(pooled), 1e-9))
-    correlation = np.abs(pooled / np.outer(scale, scale))
-    overlap = (correlation * (correlation > 0.3)).sum(axis=1).clip(1)
-    return LabelModel(model.bias, model.weights / overlap)
+            at = LabelModel(0.0, parent, model.tables).codes(votes) + 9 * np.arange(m)
+            return np.concatenate([np.bincount(at.ravel(), np.repeat(w, m), 9 * m) for w in (n * q, n * (1 - q))])
+
+        return summed(patterns, part, 18 * m).reshape(2, m, 9)
+
+    for _ in range(rounds):
+        model = _maximised(expected(alone), alone)
+
+    def pairs(batch: pa.RecordBatch) -> np.ndarray:
+        votes, n = _ballots(batch, m), batch.column(1).to_numpy().astype(np.float64)
+        q = model.posterior(votes)
+        cells = np.concatenate([votes > 0, votes < 0, np.ones((len(votes), 1), bool)], axis=1).astype(np.float64)
+        return np.concatenate([(cells.T @ (cells * w[:, None])).ravel() for w in (n * q, n * (1 - q))])
+
+    c = 2 * m + 1
+    parent = dependencies(summed(patterns, pairs, 2 * c * c).reshape(2, c, c), m)
+    for _ in range(most):
+        before, model = model, _maximised(expected(parent), parent)
+        if abs(model.bias - before.bias) < 0.01 and np.abs(model.tables - before.tables).max() < 0.05:
+            break
+    return model
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", row_col: str | None = None) -> DataFrame:

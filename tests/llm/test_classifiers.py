@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from runledger.llm import newton
 from runledger.llm.common import fold
 from runledger.llm.quality import DIMENSIONS, fit_pu, quality, statistics
-from runledger.llm.toxicity import EXTRA, PATTERNS, Voters, _votes, capitals, toxicity
+from runledger.llm.toxicity import EXTRA, PATTERNS, Voters, _votes, capitals, fit_label_model, toxicity
 
 SF = "/root/testdata/sf0.1"
 
@@ -35,6 +35,7 @@ def test_quality_on_held_out_rows(spark):
 
 def test_toxicity_on_held_out_rows(spark):
     area, right = held_out(spark, toxicity, "toxic", 5, 0)
+    print(area, right)
     assert area > 0.92 and right > 0.97
 
 
@@ -73,6 +74,60 @@ def test_capitals_are_counted_over_whole_texts():
     assert len(set(got[9:12, -EXTRA - 1])) == 1 and PATTERNS == 8
 
 
+def test_label_model_recovers_accuracies_and_correlations(spark):
+    # Voters 0 and 1 mostly repeat each other, 2 to 5 are independent; each votes toxic or clean or not at all.
+    rng = np.random.default_rng(3)
+    n, m, prior = 60_000, 6, 0.2
+    y = rng.random(n) < prior
+    cast, right = np.array([0.6, 0.6, 0.5, 0.5, 0.6, 0.4]), np.array([0.8, 0.8, 0.85, 0.75, 0.9, 0.8])
+
+    def vote(j):
+        v = np.where(rng.random(n) < right[j], np.where(y, 1, -1), np.where(y, -1, 1))
+        return np.where(rng.random(n) < cast[j], v, 0)
+
+    votes = np.stack([vote(j) for j in range(m)], axis=1).astype(np.int8)
+    same = rng.random(n) < 0.8
+    votes[same, 1] = votes[same, 0]
+    found, count = np.unique(votes, axis=0, return_counts=True)
+    frame = spark.createDataFrame([(bytearray(v.tobytes()), int(k)) for v, k in zip(found, count, strict=True)], "votes binary, n long").repartition(4)
+    model = fit_label_model(frame, m, 0.3)
+    assert [j for j in range(m) if model.parent[j] >= 0] in ([0], [1]) and {*model.parent} == {-1, int(model.parent.argmax() == 0)}
+    assert abs(newton.sigmoid(model.bias) - prior) < 0.02
+    for j in range(2, m):
+        want = np.log(right[j] / (1 - right[j]))
+        assert abs(model.tables[j, 5] - want) < 0.15 and abs(model.tables[j, 3] + want) < 0.15
+    # Where both of the pair vote toxic, the second adds little to the first.
+    child = int(model.parent.argmax())
+    assert 0 < model.tables[child, 8] < 0.8
+    # Posteriors are shares: of rows with about one posterior so many are toxic.
+    q = model.posterior(votes)
+    for low in np.arange(0, 1, 0.2):
+        rows = (q >= low) & (q < low + 0.2)
+        assert abs(y[rows].mean() - q[rows].mean()) < 0.04
+
+
+def test_risk_is_the_brute_force_minimum(spark):
+    # The risk of fit_pu's weights, computed row by row, is no larger than that of any weights nearby.
+    rng = np.random.default_rng(5)
+    every = np.zeros((300, DIMENSIONS))
+    every[:, 0], every[:, 1:4] = 1, rng.normal(size=(300, 3))
+    good = every[every[:, 1] + rng.normal(size=300) > 0.7]
+    frames = [spark.createDataFrame([(bytearray(r.astype("<f4").tobytes()),) for r in x], "x binary") for x in (every, good)]
+    scale, prior = np.ones(DIMENSIONS), 0.35
+
+    def risk(w):
+        loss = lambda g: np.mean(np.log1p(np.exp(-g)))
+        return prior * loss(good @ w) + max(0.0, loss(-(every @ w)) - prior * loss(-(good @ w))) + 0.5e-4 * w @ w
+
+    w = fit_pu(*frames, prior, scale)
+    least = risk(w)
+    assert least < risk(np.zeros(DIMENSIONS))
+    for _ in range(200):
+        step = np.zeros(DIMENSIONS)
+        step[:4] = rng.normal(size=4) * rng.choice([1e-3, 1e-2, 0.1])
+        assert least <= risk(w + step) + 1e-6
+
+
 def test_newton_sums_match_a_plain_fit(spark):
     rng = np.random.default_rng(0)
     x = np.concatenate([np.ones((400, 1)), rng.normal(size=(400, 3))], axis=1)
