@@ -1,15 +1,20 @@
 """Mixing sources to target weights, in DataFrame functions only.
 
 Sources, in code point order with null last, weigh 1, 2, 3 and so on in turn, and share the words of all;
-no target goes over `most` times its source, and what that leaves is shared again by weight. A source
-is dealt into random blocks of documents. Passes over the whole source and a part of one more make its
-block quota, in words exactly its target. A splitting tree halves the output shards again and again
-and draws from the multivariate hypergeometric law how many of each source's blocks go to each side, so
-every shard gets its exact share at random. Blocks of a source, permuted, fill its quotas in turn;
+no target goes over `most` times its source, and what that leaves is shared again by weight. The documents
+of a source, in the order of a hash of their content, are dealt into blocks of so many. Passes over the whole
+source and a part of one more make its block quota, in words exactly its target. A splitting tree halves the
+output shards again and again and draws from the multivariate hypergeometric law how many of each source's blocks
+go to each side, so every shard gets its exact share at random. Blocks of a source, permuted, fill its quotas in turn;
 they are disjoint within a pass. Within a shard documents are shuffled by hash.
 
-Null text has 0 words; a null source is a source. Documents without words are taken 0 words. Rows with
-equal ids are drawn one by one. The same table and seed give the same mix. An empty table gives no rows.
+Ranks and running sums over a source are those of range partitions, each begun at the sums of the ones before, so a
+source, or one row repeated, that holds much of the table is spread over tasks. No list holds more than FANOUT sources.
+
+Null text has 0 words; a very long text is a document like any other. A null source is a source. Documents without
+words are taken 0 words. Rows with equal ids are drawn one by one; rows that are equal throughout can stand for each
+other, so the same rows and seed give the same mix, whatever files and tasks they lie in. Other columns of the table,
+whatever their names, play no part. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,12 +22,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runledger.llm.common import WORD, written
+from runledger.llm.common import WORD, tasks, written
 
 #: Documents of a block, about, and words of an output shard, about.
 BLOCK_DOCS = 512
 SHARD_WORDS = 4_000_000
 MOST_REPEATS = 3.0
+#: Sources, or groups of sources, that share a draw at once.
+FANOUT = 64
 
 
 def _uniform(seed: int, *keys: Column | str) -> Column:
@@ -30,26 +37,42 @@ def _uniform(seed: int, *keys: Column | str) -> Column:
     return (F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 52)) + 0.5) / float(1 << 52)
 
 
+def running(df: DataFrame, keys: list[str], order: list[Column | str], sums: dict[str, Column | str]) -> DataFrame:
+    """Adds, under each name, the sum of an expression over the rows before in the order of the row's keys.
+
+    Rows are sorted into range partitions, so one key may fill many of them; a partition's sums begin where those of
+    the partitions before it end. Only one row per partition and key is added up over partitions.
+    """
+    named = {f"_order_{k}": c if isinstance(c, Column) else F.col(c) for k, c in enumerate(order)}
+    ranged = df.withColumns(named | {f"_sum_{n}": F.expr(c) if isinstance(c, str) else c for n, c in sums.items()})
+    ranged = ranged.repartitionByRange(tasks(df.sparkSession), *keys, *named).withColumn("_range", F.spark_partition_id())
+    ranged = written(ranged, "ranges")
+    before = Window.partitionBy("_range", *keys).orderBy(*named).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("_range", *keys).agg(*[F.sum(f"_sum_{n}").alias(n) for n in sums])
+    starts = totals.select("_range", *keys, *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_start_{n}") for n in sums])
+    inside = ranged.withColumns({n: F.coalesce(F.sum(f"_sum_{n}").over(before), F.lit(0)) for n in sums})
+    return inside.join(starts, ["_range", *keys]).select(*df.columns, *[(F.col(n) + F.col(f"_start_{n}")).alias(n) for n in sums])
+
+
 def targets(sources: DataFrame, most: float = MOST_REPEATS) -> DataFrame:
-    """sources (source, source_size): adds weight and target.
+    """sources (source, source_size): adds number (from 0, in order), weight and target.
 
     Water filling in closed form: sources reach their cap in the order of size per weight, so the cap
     holds for a prefix of that order and the others share what is left by weight.
     """
-    # One row per source; the order of code points is that of UTF-8 bytes.
-    ranked = sources.withColumn("weight", (F.row_number().over(Window.orderBy(F.col("source").isNull(), F.encode("source", "UTF-8"))) - 1) % 3 + 1)
-    order = Window.orderBy(F.col("source_size") / F.col("weight"), F.col("source").isNull(), F.encode("source", "UTF-8"))
-    every = Window.partitionBy()
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    total = F.sum("source_size").over(every)
-    # What is left for this source and those after it, if all before it are at their caps.
-    left = total - most * F.coalesce(F.sum("source_size").over(before), F.lit(0))
-    weights = F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0))
-    shares = ranked.withColumns({"level": left / weights, "cap": most * F.col("source_size")})
-    shares = shares.withColumn("free", F.col("level") * F.col("weight") <= F.col("cap"))
+    # The order of code points is that of UTF-8 bytes.
+    ranked = running(sources.withColumn("_all", F.lit(0)), ["_all"], [F.col("source").isNull(), F.encode("source", "UTF-8")], {"number": "1L"})
+    ranked = ranked.withColumn("weight", F.col("number") % 3 + 1)
+    filled = running(ranked, ["_all"], [F.col("source_size") / F.col("weight"), "number"], {"full": "source_size", "heavy": "weight"})
+    total = filled.agg(F.sum("source_size"), F.sum("weight")).first()
+    # What is left for a source and those after it, if all before it are at their caps.
+    level = F.try_divide(F.lit(total[0] or 0) - most * F.col("full"), F.lit(total[1] or 0) - F.col("heavy"))
+    shares = filled.withColumns({"level": level, "cap": most * F.col("source_size")})
     # The first source that stays below its cap sets the level for the rest.
-    level = F.first(F.when(F.col("free"), F.col("level")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return shares.withColumn("target", F.least("cap", F.coalesce(level * F.col("weight"), F.col("cap")))).select("source", "source_size", "weight", "target")
+    first = shares.where(F.col("level") * F.col("weight") <= F.col("cap")).agg(F.min_by("level", F.struct(F.col("source_size") / F.col("weight"), "number"))).first()[0]
+    target = F.col("cap") if first is None else F.least("cap", F.lit(first) * F.col("weight"))
+    return shares.select("source", "source_size", "number", "weight", target.cast("double").alias("target"))
 
 
 def _hypergeometric(u: Column, population: Column, marked: Column, drawn: Column) -> Column:
@@ -84,85 +107,93 @@ def _hypergeometric(u: Column, population: Column, marked: Column, drawn: Column
     return F.when((population <= 0) | (drawn <= 0) | (marked <= 0), F.lit(0).cast("long")).otherwise(F.least(last, first + found))
 
 
+def _drawn(parents: DataFrame, children: DataFrame, seed: int, level: int) -> DataFrame:
+    """children (low, high, group, slots) with left: of a parent's drawn slots (low, high, above, left) those that fall on
+    each, child after child; a group's parent is group // FANOUT."""
+    listed = children.withColumn("above", F.floor(F.col("group") / FANOUT)).groupBy("low", "high", "above").agg(F.sort_array(F.collect_list(F.struct("group", "slots"))).alias("each"), F.sum("slots").alias("all"))
+    start = F.struct(F.col("all").alias("population"), F.col("left").alias("drawn"), F.array().cast("array<struct<group:bigint,slots:bigint,left:bigint>>").alias("out"))
+
+    def draw(s: Column, x: Column) -> Column:
+        u = _uniform(seed, F.lit("split"), F.col("low"), F.col("high"), F.lit(level), x["group"])
+        k = _hypergeometric(u, s["population"], x["slots"], s["drawn"])
+        return F.struct((s["population"] - x["slots"]).alias("population"), (s["drawn"] - k).alias("drawn"), F.array_append(s["out"], F.struct(x["group"].alias("group"), x["slots"].alias("slots"), k.alias("left"))).alias("out"))
+
+    drawn = listed.join(parents, ["low", "high", "above"]).select("low", "high", F.explode(F.aggregate("each", start, draw)["out"]).alias("d"))
+    return drawn.select("low", "high", "d.group", "d.slots", "d.left")
+
+
 def split(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
-    """quotas (source, slots): the slots of each source that each shard gets, (source, shard, slots).
+    """quotas (number, slots), numbers from 0: the slots of each source that each shard gets, (number, shard, slots).
 
     Shards differ by at most one slot in all. A node's slots go to its halves by conditional
-    hypergeometric draws, source after source.
+    hypergeometric draws: first over groups of FANOUT groups, at last over sources.
     """
-    now = quotas.select("source", F.col("slots").cast("long"), F.lit(0).alias("low"), F.lit(shards).alias("high"))
+    now = quotas.select(F.col("number").cast("long").alias("group"), F.col("slots").cast("long"), F.lit(0).alias("low"), F.lit(shards).alias("high"))
+    most, levels = quotas.agg(F.max("number")).first()[0] or 0, 1
+    while most >= FANOUT**levels:
+        levels += 1
     while shards > 1:
-        grouped = now.groupBy("low", "high").agg(F.sort_array(F.collect_list(F.struct(F.col("source").isNull().alias("null"), "source", "slots"))).alias("each"), F.sum("slots").alias("all"))
         middle = F.floor((F.col("low") + F.col("high")) / 2).cast("int")
         # As many slots to the left as its share of the shards; the odd one by a draw.
-        exact = F.col("all") * (F.col("mid") - F.col("low")) / (F.col("high") - F.col("low"))
+        exact = F.col("all") * (middle - F.col("low")) / (F.col("high") - F.col("low"))
         left = F.floor(exact + _uniform(seed, F.lit("odd"), "low", "high")).cast("long")
-        start = F.struct(F.col("all").alias("population"), F.col("left").alias("drawn"), F.array().cast("array<struct<source:string,slots:long,left:long>>").alias("out"))
-
-        def draw(s: Column, x: Column) -> Column:
-            u = _uniform(seed, F.lit("split"), F.col("low"), F.col("high"), x["source"])
-            k = _hypergeometric(u, s["population"], x["slots"], s["drawn"])
-            return F.struct((s["population"] - x["slots"]).alias("population"), (s["drawn"] - k).alias("drawn"), F.array_append(s["out"], F.struct(x["source"].alias("source"), x["slots"].alias("slots"), k.alias("left"))).alias("out"))
-
-        drawn = grouped.withColumn("mid", middle).withColumn("left", F.least("all", left)).select("low", "high", "mid", F.explode(F.aggregate("each", start, draw)["out"]).alias("d"))
+        drawn = now.groupBy("low", "high").agg(F.sum("slots").alias("all")).select("low", "high", F.lit(0).cast("long").alias("above"), F.least("all", left).alias("left"))
+        for level in reversed(range(levels)):
+            groups = now.groupBy("low", "high", F.floor(F.col("group") / FANOUT**level).alias("group")).agg(F.sum("slots").alias("slots"))
+            found = _drawn(drawn, groups, seed, level)
+            drawn = found.select("low", "high", F.col("group").alias("above"), "left")
         halves = F.array(
-            F.struct(F.col("low").alias("low"), F.col("mid").alias("high"), F.col("d.left").alias("slots")),
-            F.struct(F.col("mid").alias("low"), F.col("high").alias("high"), (F.col("d.slots") - F.col("d.left")).alias("slots")),
+            F.struct(F.col("low").alias("low"), middle.alias("high"), F.col("left").alias("slots")),
+            F.struct(middle.alias("low"), F.col("high").alias("high"), (F.col("slots") - F.col("left")).alias("slots")),
         )
-        now = drawn.select(F.col("d.source").alias("source"), F.explode(halves).alias("h")).select("source", "h.slots", "h.low", "h.high").where("high > low")
+        now = found.select("group", F.explode(halves).alias("h")).select("group", "h.slots", "h.low", "h.high").where("high > low")
         now = written(now, "tree")
         shards = (shards + 1) // 2
-    return now.select("source", F.col("low").alias("shard"), "slots")
+    return now.select(F.col("group").alias("number"), F.col("low").alias("shard"), "slots")
 
 
 def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, row_col: str | None) -> DataFrame:
-    """(id, row, source, size) of every row, in the shared folder: later steps don't read the texts again."""
+    """(id, row, source, size, content) of every row, in the shared folder: later steps don't read the texts again."""
     row = F.monotonically_increasing_id() if row_col is None else F.col(row_col).cast("long")
-    size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    return written(docs.select(F.col(id_col).alias("id"), row.alias("row"), F.col(source_col).cast("string").alias("source"), size.alias("size")), "sizes")
+    id_, text, source = F.col(id_col), F.col(text_col).cast("string"), F.col(source_col).cast("string")
+    size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    return written(docs.select(id_.alias("id"), row.alias("row"), source.alias("source"), size.alias("size"), F.xxhash64(id_, source, text).alias("content")), "sizes")
 
 
 def draw(sizes: DataFrame, seed: int = 7, most: float = MOST_REPEATS, whole: bool = False) -> tuple[DataFrame, DataFrame]:
     """(copies, plan): copies has a row (row, pass, words, shard, place) for each time a document is taken, place
-    orders it in its shard; plan has source, source_size, weight, target, blocks, passes and rest of each source.
+    orders it in its shard; plan has source, source_size, number, weight, target, passes and rest of each source.
 
     The last document of a source's part is cut to its first words, unless `whole`: then it's taken or left,
     whichever is nearer to the target.
     """
-    counted = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("docs") / BLOCK_DOCS)).cast("long")
-    plan = targets(counted.select("source", "source_size"), most).withColumnRenamed("source", "s").join(counted.select("source", blocks.alias("blocks")), F.col("s").eqNullSafe(F.col("source"))).drop("s")
+    plan = targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), most)
     passes = F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)).cast("int")
     plan = plan.withColumn("passes", passes).withColumn("rest", F.round(F.col("target") - F.col("passes") * F.col("source_size")).cast("long"))
     plan = written(plan, "plan")
 
-    named = plan.select(F.col("source").alias("s"), "blocks", "passes", "rest")
-    block = F.pmod(F.xxhash64(F.lit(seed), F.lit("block"), "row"), F.col("blocks"))
-    dealt = sizes.join(named, sizes["source"].eqNullSafe(named["s"])).withColumn("block", block).drop("s")
-    in_block = Window.partitionBy("source", "block").orderBy(F.xxhash64(F.lit(seed), F.lit("row"), "row"), "row").rowsBetween(Window.unboundedPreceding, -1)
-    dealt = dealt.withColumn("before", F.coalesce(F.sum("size").over(in_block), F.lit(0)))
-
-    # One row per block from here on: its words, its place in the source's permutation.
-    sums = sizes.join(named, sizes["source"].eqNullSafe(named["s"])).withColumn("block", block).groupBy("source", "block", "blocks", "passes", "rest").agg(F.sum("size").alias("words"))
-    permuted = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed), F.lit("order"), "source", "block"), "block")
-    placed = sums.withColumns({"above": F.coalesce(F.sum("words").over(permuted.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "last": F.when(F.col("rest") > 0, F.col("passes")).otherwise(F.col("passes") - 1)})
-    slots = placed.where("last >= 0").select("source", "block", "above", "passes", "rest", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("pass"))
-    slots = slots.where("pass < passes or above < rest")
-    turn = Window.partitionBy("source").orderBy("pass", F.xxhash64(F.lit(seed), F.lit("turn"), "source", "pass", "block"), "block")
-    slots = written(slots.select("source", "block", "above", "pass", (F.row_number().over(turn) - 1).cast("long").alias("slot")), "slots")
+    numbered = sizes.join(plan.select(F.col("source").alias("s"), "number"), F.col("source").eqNullSafe(F.col("s"))).select("number", "row", "size", "content")
+    ordered = running(numbered, ["number"], [F.xxhash64(F.lit(seed), F.lit("row"), "content"), "content", "row"], {"position": "1L", "begin": "size"})
+    dealt = written(ordered.withColumn("block", F.floor(F.col("position") / BLOCK_DOCS)), "dealt")
+
+    # One row per block from here on: the words before it, the passes that take it.
+    blocks = dealt.groupBy("number", "block").agg(F.min("begin").alias("above")).join(plan.select("number", "passes", "rest"), "number")
+    last = F.when(F.col("rest") > 0, F.col("passes")).otherwise(F.col("passes") - 1)
+    slots = blocks.where(last >= 0).select("number", "block", "above", "passes", "rest", F.explode(F.sequence(F.lit(0), last)).alias("pass"))
+    slots = slots.where("pass < passes or above < rest").select("number", "block", "pass")
+    slots = running(slots, ["number"], ["pass", F.xxhash64(F.lit(seed), F.lit("turn"), "number", "pass", "block"), "block"], {"slot": "1L"})
+    slots = written(slots, "slots")
 
     total = plan.agg(F.sum("target")).first()[0] or 0
-    quotas = split(slots.groupBy("source").agg(F.count("*").alias("slots")), max(1, -int(-total // SHARD_WORDS)), seed)
-    filled = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = quotas.where("slots > 0").withColumn("from", F.coalesce(F.sum("slots").over(filled), F.lit(0)))
-    seats = ranges.select(F.col("source").alias("s"), "shard", F.explode(F.sequence("from", F.col("from") + F.col("slots") - 1)).alias("seat"))
-    seated = slots.join(seats, slots["source"].eqNullSafe(seats["s"]) & (slots["slot"] == seats["seat"])).select(F.col("source").alias("s"), F.col("block").alias("b"), "above", "pass", "shard")
-
-    taken = dealt.join(seated, dealt["source"].eqNullSafe(seated["s"]) & (dealt["block"] == seated["b"]))
-    begin = F.col("above") + F.col("before")
-    part = F.when(begin + F.col("size") / 2 <= F.col("rest"), F.col("size")).otherwise(0) if whole else F.greatest(F.lit(0), F.least("size", F.col("rest") - begin))
+    quotas = split(slots.groupBy("number").agg(F.count("*").alias("slots")), max(1, -int(-total // SHARD_WORDS)), seed)
+    ranges = running(quotas.where("slots > 0"), ["number"], ["shard"], {"from": "slots"})
+    seats = ranges.select("number", "shard", F.explode(F.sequence("from", F.col("from") + F.col("slots") - 1)).alias("slot"))
+    seated = slots.join(seats, ["number", "slot"]).select("number", "block", "pass", "shard")
+
+    taken = dealt.join(seated, ["number", "block"]).join(plan.select("number", "passes", "rest"), "number")
+    part = F.when(F.col("begin") + F.col("size") / 2 <= F.col("rest"), F.col("size")).otherwise(0) if whole else F.greatest(F.lit(0), F.least("size", F.col("rest") - F.col("begin")))
     words = F.when(F.col("pass") < F.col("passes"), F.col("size")).otherwise(part).cast("long")
-    copies = taken.select("row", "pass", words.alias("words"), "shard", F.xxhash64(F.lit(seed), F.lit("place"), "row", "pass").alias("place"))
+    copies = taken.select("row", "pass", words.alias("words"), "shard", F.xxhash64(F.lit(seed), F.lit("place"), "content", "pass").alias("place"))
     return copies.where("words > 0"), plan
 
 
