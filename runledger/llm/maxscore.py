@@ -10,11 +10,14 @@ then probed in the remaining lists, strongest bounds first, and leave as soon as
 what is left can't compete. Components of the opposite sign only lower a score; they are probed last.
 Every shard gives each query's k best, and the shards' answers are merged.
 
-Queries are all rows that the caller names, in blocks; every block meets every shard. Vectors that are
-null or hold null or non-finite components take no part; neither do rows without an id. Rows with
-equal ids are ranked one by one; as queries they are one, by the largest vector, and none of them is
-its own candidate. Vectors of different lengths are compared over the shorter one. An empty table
-gives no rows.
+Queries are all rows that the caller names, in blocks. Each first meets one shard, dealt by its id; the k-th best score
+there is a threshold that the query carries to every other shard, which then gives only what reaches it.
+
+Vectors that are null or hold null or non-finite components take no part; neither do rows without an id. Rows with
+equal ids are ranked one by one, however many they are; as queries they are one, by the largest vector, and none of
+them is its own candidate. Vectors of different lengths are compared over the shorter one. Ties go to the smaller id.
+Components are at most 2**62 in size after scaling, and scores are kept within 64 bits: what exceeds them is given as the
+nearest such number. Other columns of the table, whatever their names, play no part. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,39 +26,48 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runledger.llm.common import small_batches, tasks, written
 
-SHARD_ROWS = 4096
-QUERY_ROWS = 256
+SHARD_ROWS = 8192
+QUERY_ROWS = 128
 SCALE = 1024
+#: Bounds of a component and of a score.
+LARGEST, MOST = 1 << 62, (1 << 63) - 1
 #: Lists that candidates are probed in before those that can't compete leave.
 STRIDE = 4
 
 
-def _blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partitions sorted by group: (group, ids blob, matrix blob, rows, width) of each group's vectors."""
-    group, ids, rows = None, [], []
+def _blobs(most: int):
+    """Partitions sorted by group: (group, part, ids, matrix, thresholds blobs, rows, width) of at most `most` vectors each."""
 
-    def block() -> pa.RecordBatch:
-        width = max(1, *map(len, rows)) if len(rows) > 1 else max(1, len(rows[0]))
-        m = np.zeros((len(rows), width), "<i8")
-        for k, r in enumerate(rows):
-            m[k, : len(r)] = np.floor(SCALE * np.array(r, np.float64))
-        return pa.RecordBatch.from_arrays([pa.array([group], pa.int64()), pa.array([np.array(ids, "<i8").tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary()), pa.array([len(rows)], pa.int32()), pa.array([width], pa.int32())], names=["group", "ids", "m", "n", "width"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, part, ids, rows, least = None, 0, [], [], []
+
+        def block() -> pa.RecordBatch:
+            width = max(1, *map(len, rows), 1)
+            m = np.zeros((len(rows), width), "<i8")
+            for k, r in enumerate(rows):
+                m[k, : len(r)] = np.clip(np.floor(SCALE * np.array(r, np.float64)), -LARGEST, LARGEST)
+            blobs = [np.array(ids, "<i8"), m, np.array(least, "<i8")]
+            return pa.RecordBatch.from_arrays([pa.array([group], pa.int64()), pa.array([part], pa.int32()), *[pa.array([b.tobytes()], pa.binary()) for b in blobs], pa.array([len(rows)], pa.int32()), pa.array([width], pa.int32())], names=["group", "part", "ids", "m", "least", "n", "width"])
 
-    for batch in batches:
-        for g, i, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if g != group and rows:
-                yield block()
-                ids, rows = [], []
-            group = g
-            ids.append(i)
-            rows.append(x)
-    if rows:
-        yield block()
+        for batch in batches:
+            for g, i, x, low in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if rows and (g != group or len(rows) == most):
+                    yield block()
+                    part = part + 1 if g == group else 0
+                    ids, rows, least = [], [], []
+                group = g
+                ids.append(i)
+                rows.append(x)
+                least.append(low)
+        if rows:
+            yield block()
+
+    return run
 
 
 class Shard:
@@ -64,6 +76,7 @@ class Shard:
     def __init__(self, ids: np.ndarray, m: np.ndarray) -> None:
         order = np.argsort(ids, kind="stable")
         self.ids, self.m = ids[order], np.ascontiguousarray(m[order].T)
+        self.largest = int(np.abs(self.m).max(initial=0))
         self.lists: dict[tuple[int, int], np.ndarray] = {}
         self.most: dict[tuple[int, int], int] = {}
         for d, column in enumerate(self.m):
@@ -73,9 +86,12 @@ class Shard:
                     self.lists[d, sign] = rows[np.argsort(-sign * column[rows], kind="stable")]
                     self.most[d, sign] = int(sign * column[self.lists[d, sign][0]])
 
-    def top(self, q: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
-        """The k best (score, id), without the rows of id `own`; ties to smaller ids."""
+    def top(self, q: np.ndarray, own: int, k: int, least: int = 0) -> list[tuple[int, int]]:
+        """The k best (score, id), without the rows of id `own`; ties to smaller ids. Scores below `least`, if it is above 0,
+        may be left out."""
         width = min(len(q), len(self.m))
+        if width * self.largest * int(np.abs(q).max(initial=0)) > MOST:
+            return self._top_in_long_numbers(q[:width], own, k)
         n = len(self.ids)
         signed = [(d, 1 if q[d] > 0 else -1) for d in np.flatnonzero(q[:width]).tolist()]
         terms = [(abs(int(q[d])) * self.most[d, s], d, s) for d, s in signed if (d, s) in self.lists]
@@ -84,7 +100,7 @@ class Shard:
         # What the terms from the i-th on can add at most.
         left = np.append(bounds[::-1].cumsum()[::-1], 0)
         others = self.ids != own
-        threshold = self._first_threshold(q, terms, others, k, width)
+        threshold = max(least, self._first_threshold(q, terms, others, k, width))
         essential = int(np.searchsorted(-left, -threshold, side="right")) if threshold > 0 else len(terms) + 1
         score = np.zeros(n, np.int64)
         if essential > len(terms):
@@ -110,6 +126,13 @@ class Shard:
         best = alive[np.lexsort((self.ids[alive], -score[alive]))[:k]]
         return list(zip(score[best].tolist(), self.ids[best].tolist(), strict=True))
 
+    def _top_in_long_numbers(self, q: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
+        """The k best where products may pass 64 bits, in Python's numbers, each row in full."""
+        rows = np.flatnonzero(self.ids != own)
+        scores = q.astype(object) @ self.m[: len(q), rows].astype(object) if len(q) else np.zeros(len(rows), object)
+        bounded = [(max(-MOST - 1, min(MOST, int(s))), i) for s, i in zip(scores, self.ids[rows].tolist(), strict=True)]
+        return sorted(bounded, key=lambda x: (-x[0], x[1]))[:k]
+
     def _first_threshold(self, q: np.ndarray, terms: list, others: np.ndarray, k: int, width: int) -> int:
         """A k-th score that some k rows reach: whole scores of the heads of the strongest lists."""
         heads = [self.lists[d, s][: 4 * k] for _, d, s in terms[:8]]
@@ -122,39 +145,66 @@ class Shard:
 
 
 def _search(k: int):
+    """Rows (shard blob, query blob), those of one shard after each other."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, shard = None, None
         for batch in batches:
-            for number, ids, m, n, width, qids, qm, qn, qwidth in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if number != at:
-                    at, shard = number, Shard(np.frombuffer(ids, "<i8"), np.frombuffer(m, "<i8").reshape(n, width))
-                queries = np.frombuffer(qm, "<i8").reshape(qn, qwidth)
-                out = [(i, v, s) for i, q in zip(np.frombuffer(qids, "<i8").tolist(), queries, strict=True) for s, v in shard.top(q, i, k)]
+            for group, part, ids, m, n, width, qids, qm, qleast, qn, qwidth in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (group, part) != at:
+                    at, shard = (group, part), Shard(np.frombuffer(ids, "<i8"), np.frombuffer(m, "<i8").reshape(n, width))
+                queries = zip(np.frombuffer(qids, "<i8").tolist(), np.frombuffer(qm, "<i8").reshape(qn, qwidth), np.frombuffer(qleast, "<i8").tolist(), strict=True)
+                out = [(i, v, s) for i, q, least in queries for s, v in shard.top(q, i, k, least)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 3, names=["query_id", "vec_id", "score"])
 
     return run
 
 
-def _blocks(rows: DataFrame, most: int) -> tuple[DataFrame, int]:
-    """(group, ids, m, n, width) of the rows (id, x), dealt into groups of about `most` by id; their number."""
-    groups = max(1, -(-rows.count() // most))
-    group = F.pmod(F.xxhash64("id"), F.lit(groups)).cast("long")
-    dealt = rows.select(group.alias("group"), "id", "x").repartition(max(groups, tasks(rows.sparkSession)), "group").sortWithinPartitions("group", "id")
-    return written(dealt.mapInArrow(_blobs, "group long, ids binary, m binary, n int, width int"), "vectors"), groups
+def _blocks(rows: DataFrame, group: Column, groups: int, most: int, least: Column | None = None) -> DataFrame:
+    """Blobs of the rows (id, x), at most `most` in each, dealt by group."""
+    dealt = rows.select(group.cast("long").alias("group"), "id", "x", (F.lit(0) if least is None else least).cast("long").alias("least"))
+    dealt = dealt.repartition(max(groups, tasks(rows.sparkSession)), "group").sortWithinPartitions("group", "id")
+    return written(dealt.mapInArrow(_blobs(most), "group long, part int, ids binary, m binary, least binary, n int, width int"), "vectors")
+
+
+def _met(shards: DataFrame, blocks: DataFrame, k: int, n: int) -> DataFrame:
+    """(query_id, vec_id, score): the k best of every query block in the shards of its group; both have (group, slice)."""
+    asked = blocks.select("group", "slice", *[F.col(c).alias(f"q{c}") for c in ("ids", "m", "least", "n", "width")])
+    # By number, so that small shards are not put together in few tasks.
+    left, right = (df.repartition(n, "group", "slice") for df in (shards, asked))
+    met = left.hint("merge").join(right, ["group", "slice"])
+    columns = ["group", "part", "ids", "m", "n", "width", "qids", "qm", "qleast", "qn", "qwidth"]
+    return met.select(*columns).mapInArrow(_search(k), "query_id long, vec_id long, score long")
 
 
 def top_k(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """For each row that is_query (a Column) holds for: query_id, rank, vec_id, score of its k best rows."""
+    spark = vectors.sparkSession
     # A row of blobs holds some MB.
-    small_batches(vectors.sparkSession, 32)
+    small_batches(spark, 32)
     x = F.col(vector_col).cast("array<double>")
     valid = F.col(id_col).isNotNull() & x.isNotNull() & ~F.coalesce(F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))), F.lit(False))
     rows = vectors.where(valid)
     queries = rows.where(is_query).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(x).alias("x"))
-    shards, n = _blocks(rows.select(F.col(id_col).cast("long").alias("id"), x.alias("x")), SHARD_ROWS)
-    blocks, _ = _blocks(queries, QUERY_ROWS)
-    every = blocks.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("to"), *[F.col(c).alias(f"q{c}") for c in ("ids", "m", "n", "width")])
-    met = shards.hint("merge").join(every, shards["group"] == every["to"])
-    found = met.select("group", "ids", "m", "n", "width", "qids", "qm", "qn", "qwidth").mapInArrow(_search(k), "query_id long, vec_id long, score long")
+    n = tasks(spark)
+    # Groups are a little smaller than a shard, so few of them need a second one.
+    groups = max(1, -(-rows.count() * 8 // (SHARD_ROWS * 7)))
+    numbered = rows.select(F.col(id_col).cast("long").alias("id"), x.alias("x"), F.monotonically_increasing_id().alias("row"))
+    shards = _blocks(numbered, F.pmod(F.xxhash64("id", "row"), F.lit(groups)), groups, SHARD_ROWS)
+
+    # Each query in one shard: what is the k-th best there is a bound for all.
+    first = _blocks(queries, F.pmod(F.xxhash64("id"), F.lit(groups)), groups, QUERY_ROWS).withColumn("slice", F.lit(0))
+    found = _met(shards.where("part = 0").withColumn("slice", F.lit(0)), first, k, max(n, groups)).groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("found"))
+    bounds = found.select("query_id", F.when(F.col("found") >= k, F.col("least")).otherwise(0).alias("bound"))
+    bounded = queries.join(bounds, queries["id"] == bounds["query_id"], "left")
+    pieces = max(1, -(-queries.count() // QUERY_ROWS))
+    blocks = _blocks(bounded, F.pmod(F.xxhash64("id"), F.lit(pieces)), pieces, QUERY_ROWS, F.greatest(F.coalesce("bound", F.lit(0)), F.lit(0)))
+
+    # Few shards are met by slices of the query blocks, so that there are as many tasks as the session wants.
+    slices = max(1, -(-n // groups))
+    every = blocks.select("*", F.pmod(F.xxhash64("group", "part"), F.lit(slices)).cast("int").alias("slice")).drop("group")
+    every = every.withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+    sliced = shards.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = _met(sliced, every, k, max(n, groups)).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", "score")

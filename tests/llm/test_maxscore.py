@@ -46,3 +46,28 @@ def test_odd_rows(spark, monkeypatch):
     assert top_k(frame.where(F.lit(False)), F.col("vec_id") % 100 == 0).collect() == []
     few = frame.where("vec_id in (7, 100)")
     assert [r["vec_id"] for r in top_k(few, F.col("vec_id") == 7).collect()] == [100, 100, 100]
+
+
+def test_a_given_bound_leaves_what_reaches_it():
+    rng = np.random.default_rng(9)
+    m, ids = rng.integers(-50, 50, (400, 12)), np.arange(400)
+    shard = Shard(ids, m)
+    for r in range(20):
+        every = shard.top(m[r], r, 10)
+        bound = every[4][0]
+        got = shard.top(m[r], r, 10, bound)
+        assert [x for x in got if x[0] >= bound] == [x for x in every if x[0] >= bound]
+
+
+def test_numbers_beyond_64_bits(spark):
+    rows = [(0, [1e300, 1.0]), (1, [1e300, 0.0]), (2, [-1e300, 0.0]), (3, [1.0, 1.0]), (4, [0.0, 0.0])]
+    got = top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(1, 2**63 - 1), (3, 2**63 - 1), (4, 0), (2, -(2**63))]
+
+
+def test_one_id_of_a_third_of_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(maxscore, "SHARD_ROWS", 32)
+    rng = random.Random(8)
+    rows = [(300 if k % 3 == 0 else k, [float(rng.randrange(-3, 4)) for _ in range(4)]) for k in range(600)]
+    got = top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4), F.col("vec_id") % 100 == 0).collect()
+    assert sorted(tuple(r) for r in got) == plain(rows)
