@@ -12,7 +12,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Join the neighbours of each node (larger ones, or smaller ones and itself) to the least of all."""
     both = edges.union(edges.select("v", "u")) if large else edges
     # u is the centre; in a small star v is its smaller neighbour.
-    least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+    # Apart from the rows that they are joined to, so that adaptive execution can split a centre of very many edges.
+    least = written(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "least")
     joined = both.join(least, "u")
     if large:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -11,8 +11,10 @@ bring every linked pair together; the whole fingerprints are compared then. Equa
 reduced to one first. A key's group gives its components as edges to their least member, not all
 pairs. Groups over BLOCK rows are dealt to tasks as pairs of blocks, so no group meets in one task.
 
-Null text counts as empty; texts without a word have fingerprint zero and are linked like any other.
-Null ids are kept as rows and never become a component's id unless the component has no other.
+Null text counts as empty; texts without a word have fingerprint zero and are linked like any other. Very long texts are
+read whole; equal rows have one fingerprint and one class, whose id is the least of their ids. Null ids are kept as rows and
+never become a component's id unless the component has no other. Other columns of the table, whatever their names, play
+no part. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -281,7 +283,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = prints.groupBy("fp").agg(first.alias("first"))
     roots = components(links(nodes))
     named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    classes = named.groupBy("root").agg(F.min("first").alias("best"))
+    # Apart from the rows that they are joined to, so that adaptive execution can split a class of very many members.
+    classes = written(named.groupBy("root").agg(F.min("first").alias("best")), "classes")
     told = named.select("fp", "root").join(classes, "root").select("fp", "best")
     extra = [] if row_col is None else [F.col("row").alias(row_col), (F.col("row") == F.col("best.row")).alias("kept")]
     return prints.join(told, "fp").select(
