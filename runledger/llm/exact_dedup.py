@@ -6,8 +6,9 @@ texts are dealt out by hash; each bucket is read into an open-addressing table t
 complete contents. A bucket that outgrows its table is partitioned again into spill files by further
 bits of the hash, recursively. Only ids travel afterwards: members meet their local leader's verdict.
 
-Null text counts as empty, empty texts are equal to each other; of rows with the same text the
-largest id stays (null ids are smallest, among equal ids the first row). An empty table gives no rows.
+Null text counts as empty, empty texts are equal to each other; very long texts are compared whole. Of rows with the same
+text the largest id stays (null ids are smallest, among equal ids the first row). Other columns of the table, whatever
+their names, play no part. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -120,6 +121,12 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _HEAD = struct.Struct("<qqqqqI")
 
 
+def _scratch() -> str | None:
+    """The executor's own folder for spills, which Spark clears when the executor ends; one of them, by turns."""
+    given = [d for d in os.environ.get("SPARK_LOCAL_DIRS", "").split(",") if os.path.isdir(d)]
+    return given[os.getpid() % len(given)] if given else None
+
+
 class _Bucket:
     """The distinct texts of one bucket; partitions itself again when its table is full."""
 
@@ -142,6 +149,7 @@ class _Bucket:
         if (doc, -row) > (b[1], -b[2]):
             b[1:] = [doc, row]
         self.leaders[e].append(leader)
+        self.table.bytes += 40
         if self.table.bytes > self.limit and len(self.best) > 1 and self.depth < 12:
             self._partition()
 
@@ -150,7 +158,7 @@ class _Bucket:
         f.write(_HEAD.pack(h, leader, n, doc, row, len(text)) + text)
 
     def _partition(self) -> None:
-        self.spill = tempfile.TemporaryDirectory(prefix="grace-")
+        self.spill = tempfile.TemporaryDirectory(prefix="grace-", dir=_scratch())
         self.files = [open(os.path.join(self.spill.name, str(k)), "w+b") for k in range(FANOUT)]  # noqa: SIM115
         for h, text, best, leaders in zip(self.table.hashes, self.table.texts, self.best, self.leaders, strict=True):
             # The first leader carries the count of all; the others are told the verdict.

@@ -5,7 +5,9 @@ punctuation dropped, white space reduced. The digests of whole canonical texts a
 digests of known licences and notices. A document is looked up as a whole, by its blank-line
 paragraphs, by its lines and by runs of consecutive paragraphs, each as an entire text of its own.
 
-Null text counts as empty and matches nothing. Rows with equal ids are scanned one by one. An empty table gives no rows.
+Null text counts as empty and matches nothing; very long texts are scanned whole. Rows with equal ids are scanned one by
+one. A digest of two known texts has the first name of them. Other columns of the table, whatever their names, play
+no part. An empty table gives no rows.
 The known texts are a fixed list of some 300 KB, so their digests are broadcast.
 """
 

@@ -7,7 +7,9 @@ with the logistic loss, for which the risk is convex: Newton steps whose sums ru
 The prior is estimated first: a model of positives against unlabelled rows ranks the texts, and the least
 ratio of the unlabelled to the positive share above a threshold bounds the prior from above.
 
-Null text counts as empty. Without positives every score is the prior of one half. An empty table gives no rows.
+Null text counts as empty; very long texts are read whole, and equal rows are scored alike, so there are no ties to break.
+Without positives every score is the prior of one half. Other columns of the table, whatever their names, play no
+part. An empty table gives no rows.
 """
 
 from __future__ import annotations

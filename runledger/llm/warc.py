@@ -11,8 +11,9 @@ the shard's directory, reads these blocks alone, and then reads records by byte
 
 Task attempts write files of their own name; only files that a successful attempt has reported are in the index, so
 lost executors leave at most files that nothing refers to. Null html is an empty payload. A null url has the key "-". Null
-page ids come last among equal payloads; of rows with equal ids one is the response. An empty
-table gives an empty archive, and every lookup in it no rows.
+page ids come last among equal payloads; of rows with equal ids one is the response. Very long payloads are one record like any
+other. Other columns of the table, whatever their names but one, _warc_row, play no part. An empty table gives an
+empty archive, and every lookup in it no rows.
 """
 
 from __future__ import annotations
