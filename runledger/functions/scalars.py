@@ -98,6 +98,22 @@ def has_bit(n: Column, bit: int) -> Column:
     return n.bitwiseAND(F.lit(1 << bit)) != 0
 
 
+def required_precision(base: Column, top: Column) -> Column:
+    """Bits of a mantissa that represents the range [base, top) exactly; a fraction of top counts as a whole."""
+    low, high = base.cast("bigint"), F.ceil(top).cast("bigint")
+    least = lambda n: F.when(n == 0, 0).otherwise(F.round(F.log2(lowest_bit(n).cast("double"))))
+    most = F.when(high == low, 0).otherwise(F.floor(F.log2((high - low).cast("double"))))
+    exponent = F.when(high == 0, 0).when(low == 0, least(high)).otherwise(F.least(least(low), least(high)))
+    return (most - exponent + 1).cast("int")
+
+
+def platform_precision(base: Column, top: Column, mantissa: int, exponent: int = 3) -> Column:
+    """Bits of precision that a capability format of so many mantissa bits has for the range [base, top)."""
+    span = F.ceil(top).cast("bigint") - base.cast("bigint")
+    most = F.when(span == 0, 0).otherwise(F.floor(F.log2(span.cast("double"))))
+    return F.when(most + 1 <= mantissa - 2, mantissa - 2).otherwise(mantissa - 1 - exponent)
+
+
 def mapped(x: Column, values: Mapping[str, str]) -> Column:
     """Values replaced where the map has them, else kept."""
     if not values:

@@ -43,6 +43,30 @@ def selected(selector: Mapping[str, object]) -> Column:
     return all_of([F.col(k).eqNullSafe(F.lit(v)) for k, v in selector.items()])
 
 
+def baseline_selector(baseline: str | Mapping[str, object], runs: DataFrame | None = None, name: str = "instance_name") -> dict[str, object]:
+    """The selector of a baseline: text is a dataset id; an instance's name becomes its dataset_gid, found in the run table."""
+    if isinstance(baseline, str):
+        return {"dataset_id": baseline}
+    selector = dict(baseline)
+    if "instance" in selector:
+        wanted = selector.pop("instance")
+        found = runs.where(F.col(name) == wanted).agg(F.min("dataset_gid")).first()[0] if runs is not None else None
+        if found is None:
+            raise ValueError(f"no instance {wanted}")
+        selector["dataset_gid"] = found
+    return selector
+
+
+def baseline_slice(df: DataFrame, baseline: str | Mapping[str, object], runs: DataFrame | None = None) -> DataFrame:
+    """The rows of a baseline, by the axes that df has; they must be of exactly one dataset_gid."""
+    selector = {k: v for k, v in baseline_selector(baseline, runs).items() if k in df.columns}
+    chosen = df.where(selected(selector))
+    ids = chosen.agg(F.min("dataset_gid").alias("a"), F.max("dataset_gid").alias("z")).first()
+    if ids["a"] is None or ids["a"] != ids["z"]:
+        raise ValueError(f"{baseline} is not one group of runs")
+    return chosen
+
+
 def keep_drop(df: DataFrame, keep: Sequence[Mapping[str, object]] = (), drop: Sequence[Mapping[str, object]] = ()) -> DataFrame:
     """Keep what any rule of `keep` selects (all, if there is none), then drop what any of `drop` does."""
     if keep:

@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from runledger.keys import selected
+from runledger.operators.ordered import filled
+
+#: Distinct names that every key may be completed with.
+MOST_NAMES = 10_000
 
 
 def before_after(before: DataFrame, after: DataFrame, keys: Sequence[str], values: Sequence[str], keep: Sequence[str] = (), how: str = "inner") -> DataFrame:
@@ -22,11 +26,13 @@ def before_after(before: DataFrame, after: DataFrame, keys: Sequence[str], value
 def completed(df: DataFrame, keys: Sequence[str], names: Sequence[str], values: Sequence[str], fill: float | None = None) -> DataFrame:
     """Every key with every combination of names that occurs; new rows have nulls or the fill value.
 
-    The names are distinct labels of the data, not rows: their number does not follow the number of runs.
+    The names are distinct labels of the data, not rows; more than MOST_NAMES of them are an error.
     """
     left = df.select(*keys).distinct()
     right = df.select(*names).distinct()
-    every = left.crossJoin(right)
+    if right.limit(MOST_NAMES + 1).count() > MOST_NAMES:
+        raise ValueError(f"more than {MOST_NAMES} combinations of {list(names)}")
+    every = left.crossJoin(F.broadcast(right))
     data = df.select(*[F.col(c).alias(f"_d_{c}") for c in [*keys, *names]], *values)
     on = [F.col(c).eqNullSafe(F.col(f"_d_{c}")) for c in [*keys, *names]]
     filled = [F.col(v) if fill is None else F.coalesce(F.col(v), F.lit(fill)) for v in values]
@@ -38,6 +44,11 @@ def with_slice_value(df: DataFrame, keys: Sequence[str], selector: Mapping[str,
     return df.withColumn(name, F.max(F.when(selected(selector), F.col(value))).over(Window.partitionBy(*keys)))
 
 
+def forward_filled(df: DataFrame, keys: Sequence[str], order: Sequence[str], column: str) -> DataFrame:
+    """Nulls take the last value before them in the order; those before the first value stay null."""
+    return filled(df, keys, order, column)
+
+
 def cross_section(df: DataFrame, selector: Mapping[str, object], complement: bool = False) -> DataFrame:
     chosen = selected(selector)
     return df.where(~chosen) if complement else df.where(chosen)

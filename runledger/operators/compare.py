@@ -42,11 +42,14 @@ def align_baseline(df: DataFrame, metric: str, baseline: Mapping[str, object], k
         return marked.crossJoin(F.broadcast(right.limit(1)))
     on = [F.col(c).eqNullSafe(F.col(f"_b_{c}")) for c in dof]
     if on_missing != "check_off":
-        if own.groupBy(*dof).count().where("count > 1").take(1):
-            raise ValueError(f"several baseline rows for {dof}")
-        lost = marked.join(right, on, "left_anti").select(*dof).take(3)
-        if lost and on_missing == "raise":
-            raise ValueError(f"no baseline for {[r.asDict() for r in lost]}")
+        # Both rules in one aggregate over the distinct keys.
+        counts = right.groupBy(*[f"_b_{c}" for c in dof]).agg(F.count("*").alias("_n"))
+        key = F.to_json(F.struct(*dof))
+        found = marked.select(*dof).distinct().join(counts, on, "left").agg(F.max("_n"), F.max(F.when(F.col("_n") > 1, key)), F.max(F.when(F.col("_n").isNull(), key))).first()
+        if found[0] and found[0] > 1:
+            raise ValueError(f"several baseline rows for {found[1]}")
+        if found[2] and on_missing == "raise":
+            raise ValueError(f"no baseline for {found[2]}")
     return marked.join(right, on, "left" if on_missing == "null" else "inner").drop(*[f"_b_{c}" for c in dof])
 
 

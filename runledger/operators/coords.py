@@ -9,13 +9,12 @@ from pyspark.sql import functions as F
 
 from runledger.checks import require_equal_groups
 from runledger.functions.scalars import significant
+from runledger.operators.ordered import ranked
 
 
 def first_appearance(df: DataFrame, column: str, order: str, name: str) -> DataFrame:
     """Number, from 0, of each value in the order in which values first appear. Distinct values alone are ranked."""
-    firsts = df.groupBy(column).agg(F.min(order).alias("_first"))
-    numbered = firsts.select(F.col(column).alias("_v"), (F.row_number().over(Window.orderBy("_first")) - 1).alias(name))
-    return df.join(numbered, df[column].eqNullSafe(numbered["_v"])).drop("_v")
+    return ranked(df, column, order, name)
 
 
 def layout_bars(df: DataFrame, x: str, order: str, shift_by: str | None = None, stack_by: str | None = None, value: str | None = None, group_width: float = 0.8, pad: float = 0.9, align: str = "center") -> DataFrame:
@@ -50,9 +49,7 @@ def point_positions(df: DataFrame, x: str, hue: str, order: str, spread: float =
 
 def sorted_coordinate(df: DataFrame, column: str, name: str) -> DataFrame:
     """Rank of a value among all distinct values, shared by all groups."""
-    values = df.select(F.col(column).alias("_v")).distinct()
-    ranked = values.withColumn(name, F.dense_rank().over(Window.orderBy("_v")) - 1)
-    return df.join(ranked, df[column].eqNullSafe(ranked["_v"])).drop("_v")
+    return ranked(df, column, column, name)
 
 
 def stripes(df: DataFrame, column: str, name: str = "stripe") -> DataFrame:

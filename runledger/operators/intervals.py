@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from runledger.operators.ordered import filled
+
 #: Rows up to which a side of a range join is broadcast.
 BROADCAST_ROWS = 10_000
 #: Ranges wider than so many buckets are kept in a list that is matched without buckets.
@@ -20,11 +22,10 @@ def range_join(points: DataFrame, ranges: DataFrame, at: str, low: str, high: st
     units (the mean width, if not given): a range is in each bucket that it touches, so the join is an equi-join.
     Ranges over WIDE buckets are dealt at a coarser level of their own, level after level, so none becomes many rows.
     """
-    p = points.withColumn("_p", F.monotonically_increasing_id()) if how == "left" else points
-    condition = [p[k].eqNullSafe(ranges[f"{k}"]) for k in keys]
-    if bucket is None and len(ranges.limit(BROADCAST_ROWS + 1).take(BROADCAST_ROWS + 1)) <= BROADCAST_ROWS:
-        joined = p.join(F.broadcast(ranges), [*condition, (F.col(at) >= F.col(low)) & (F.col(at) < F.col(high))], how)
-        return _without(joined, ranges, keys).drop("_p")
+    condition = [points[k].eqNullSafe(ranges[k]) for k in keys]
+    if bucket is None and ranges.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        joined = points.join(F.broadcast(ranges), [*condition, (F.col(at) >= F.col(low)) & (F.col(at) < F.col(high))], how)
+        return _without(joined, ranges, keys)
     if bucket is None:
         bucket = max(1, int(ranges.agg(F.avg(F.col(high) - F.col(low))).first()[0] or 1))
     span = (F.col(high) - F.col(low)).cast("double") / bucket
@@ -34,15 +35,18 @@ def range_join(points: DataFrame, ranges: DataFrame, at: str, low: str, high: st
     widest = levelled.agg(F.max("_level")).first()[0] or 0
     width = F.lit(float(bucket)) * F.pow(F.lit(float(WIDE)), F.col("_level"))
     last = F.floor(F.col(high) / width) - F.when(F.col(high) % width == 0, 1).otherwise(0)
-    dealt = levelled.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(low) / width).cast("long"), last.cast("long"))))
-    asked = p.withColumn("_level", F.explode(F.array(*[F.lit(k) for k in range(widest + 1)]))).withColumn("_bucket", F.floor(F.col(at) / width).cast("long"))
+    dealt = levelled.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(low) / width).cast("long"), last.cast("long")))).withColumn("_hit", F.lit(True))
+    numbered = points.withColumn("_p", F.monotonically_increasing_id())
+    asked = numbered.withColumn("_level", F.explode(F.array(*[F.lit(k) for k in range(widest + 1)]))).withColumn("_bucket", F.floor(F.col(at) / width).cast("long"))
     on = [asked[k].eqNullSafe(dealt[k]) for k in keys] + [asked["_level"] == dealt["_level"], asked["_bucket"] == dealt["_bucket"], (asked[at] >= dealt[low]) & (asked[at] < dealt[high])]
-    found = asked.join(dealt, on).drop("_level", "_bucket")
-    found = _without(found, dealt, keys)
-    if how == "inner":
-        return found
-    right = [c for c in ranges.columns if c not in keys]
-    return p.join(found.select("_p", *right), "_p", "left").drop("_p")
+    found = _without(asked.join(dealt, on, how), dealt, keys).drop(dealt["_level"]).drop(dealt["_bucket"])
+    if how == "left":
+        # A point is asked once at each level. Of one that no range holds the row of the first level stays, of others
+        # those with a range; the number follows the rows of one branch, which is not joined to another.
+        hit = F.coalesce("_hit", F.lit(False))
+        none = ~F.max(hit).over(Window.partitionBy("_p"))
+        found = found.withColumn("_none", none if widest else ~hit).where(hit | (F.col("_none") & (F.col("_level") == 0))).drop("_none")
+    return found.drop("_p", "_level", "_bucket", "_hit")
 
 
 def _without(joined: DataFrame, ranges: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -54,8 +58,9 @@ def _without(joined: DataFrame, ranges: DataFrame, keys: Sequence[str]) -> DataF
 def nearest_lower(points: DataFrame, table: DataFrame, at: str, start: str, columns: Sequence[str], keys: Sequence[str] = (), exact: bool = False) -> DataFrame:
     """Each point with the columns of the table row of the largest start at or below it, null below the first.
 
-    One sort of both sides together by key and position; no pairs are formed. exact: an equi-join. Several table
-    rows with one start: the largest columns count.
+    Both sides are sorted together by key and position into range partitions, which carry the last start of one into the
+    next; no pairs are formed, and a key may fill many tasks. exact: an equi-join. Several table rows with one start: the
+    largest columns count.
     """
     names = [f"_t_{c}" for c in columns]
     best = table.groupBy(*keys, start).agg(F.max(F.struct(*[F.col(c).alias(n) for c, n in zip(columns, names, strict=True)])).alias("_t"))
@@ -65,16 +70,15 @@ def nearest_lower(points: DataFrame, table: DataFrame, at: str, start: str, colu
         return joined.select(*points.columns, *[F.col(f"_t.{n}").alias(c) for n, c in zip(names, columns, strict=True)])
     probes = points.select(*[F.col(k) for k in keys], F.col(at).alias("_at"), F.lit(1).alias("_kind"), F.struct(*points.columns).alias("_row"), F.lit(None).cast(best.schema["_t"].dataType).alias("_t"))
     starts = best.select(*keys, F.col(start).alias("_at"), F.lit(0).alias("_kind"), F.lit(None).cast(probes.schema["_row"].dataType).alias("_row"), "_t")
-    order = Window.partitionBy(*keys).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    filled = starts.unionByName(probes).withColumn("_t", F.last("_t", ignorenulls=True).over(order))
-    return filled.where("_kind = 1").select("_row.*", *[F.col(f"_t.{n}").alias(c) for n, c in zip(names, columns, strict=True)])
+    both = filled(starts.unionByName(probes), keys, ["_at", "_kind"], "_t")
+    return both.where("_kind = 1").select("_row.*", *[F.col(f"_t.{n}").alias(c) for n, c in zip(names, columns, strict=True)])
 
 
 def resolve_symbols(points: DataFrame, symbols: DataFrame, at: str, space: str, start: str, name: str, shared: str = "shared") -> DataFrame:
     """Nearest symbol in the point's own space, then in the shared one, else unknown: adds <name> and valid."""
     own = nearest_lower(points, symbols.select(space, start, F.col(name).alias("_own")), at, start, ["_own"], [space])
-    common = symbols.where(F.col(space) == shared).select(F.lit(0).alias("_all"), start, F.col(name).alias("_common"))
-    both = nearest_lower(own.withColumn("_all", F.lit(0)), common, at, start, ["_common"], ["_all"]).drop("_all")
+    common = symbols.where(F.col(space) == shared).select(start, F.col(name).alias("_common"))
+    both = nearest_lower(own, common, at, start, ["_common"])
     found = F.coalesce("_own", "_common")
     return both.withColumn(name, F.coalesce(found, F.lit("unknown"))).withColumn("valid", found.isNotNull()).drop("_own", "_common")
 
@@ -106,6 +110,17 @@ def iteration_windows(markers: DataFrame, runs: DataFrame, run: Sequence[str], t
     return cut.unionByName(none.select(*run, F.lit(0).alias("iteration"), F.lit(None).cast(kind).alias("start"), F.lit(None).cast(kind).alias("end")))
 
 
+def with_iteration(df: DataFrame, windows: DataFrame, run: Sequence[str], ts: str) -> DataFrame:
+    """Rows inside the windows that iteration_windows cuts, with their iteration: that of the last start at or before them.
+
+    Runs without a marker are one iteration, 0; rows before a run's first marker are in none and are left out.
+    """
+    marked = nearest_lower(df, windows.where(F.col("start").isNotNull()), ts, "start", ["iteration"], run)
+    whole = windows.where(F.col("start").isNull()).select(*[F.col(c).alias(f"_w_{c}") for c in run], F.col("iteration").alias("_whole"))
+    both = marked.join(whole, [F.col(c).eqNullSafe(F.col(f"_w_{c}")) for c in run], "left")
+    return both.withColumn("iteration", F.coalesce("iteration", "_whole")).where("iteration is not null").select(*df.columns, "iteration")
+
+
 def within(ts: Column, start: Column, end: Column) -> Column:
     """Half-open time range; a null bound is no bound."""
     return (start.isNull() | (ts >= start)) & (end.isNull() | (ts < end))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runledger.session import checkpointed
+from runledger.session import stored
 
 SEPARATOR = "::"
 CACHE_LINE = 64
@@ -73,7 +73,7 @@ def rollup_nested(nodes: DataFrame, edges: DataFrame, values: Sequence[str], dep
 
     nodes: (id, values); edges: (parent, child, items), a child counting `items` times. Multipliers walk up from every
     node to its ancestors, level by level; equal (ancestor, node) ways are added up in each. A cycle, which would never
-    end, raises after `depth` levels. Levels are checkpointed, so plans stay short.
+    end, raises after `depth` levels. Levels are stored, so plans stay short.
     """
     # Distinct ways of one length are sums already, so levels don't grow with the number of paths.
     front = nodes.select(F.col("id").alias("node"), F.col("id").alias("top"), F.lit(1).cast("long").alias("times"))
@@ -81,7 +81,7 @@ def rollup_nested(nodes: DataFrame, edges: DataFrame, values: Sequence[str], dep
     up = edges.groupBy("parent", "child").agg(F.sum("items").alias("items"))
     for level in range(depth + 1):
         front = front.join(up, front["top"] == up["child"]).groupBy("node", F.col("parent").alias("top")).agg(F.sum(F.col("times") * F.col("items")).alias("times"))
-        front = checkpointed(front)
+        front = stored(front, "levels")
         if front.isEmpty():
             break
         if level == depth:

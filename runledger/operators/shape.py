@@ -26,23 +26,27 @@ def _ratio(a: str, b: str):
     return lambda c: F.try_divide(c[a], c[b])
 
 
-def _rest(a: str, b: str):
-    return lambda c: 1 - F.try_divide(c[a], c[b])
+def _kept(all_: str, lost: str):
+    return lambda c: F.try_divide(c[all_] - c[lost], c[all_])
 
 
 #: Ratios of hardware counters and the counters they need.
 COUNTER_METRICS = (
     Derived("cycles_per_insn", ("cpu_cycles", "inst_retired"), _ratio("cpu_cycles", "inst_retired")),
     Derived("ipc", ("cpu_cycles", "inst_retired"), _ratio("inst_retired", "cpu_cycles")),
-    Derived("branch_miss_rate", ("br_mis_pred_retired", "br_retired"), _ratio("br_mis_pred_retired", "br_retired")),
-    Derived("speculation_rate", ("inst_spec", "inst_retired"), _ratio("inst_spec", "inst_retired")),
-    Derived("l1i_hit_rate", ("l1i_cache_refill", "l1i_cache"), _rest("l1i_cache_refill", "l1i_cache")),
-    Derived("l1d_hit_rate", ("l1d_cache_refill", "l1d_cache"), _rest("l1d_cache_refill", "l1d_cache")),
+    Derived("br_pred_miss_rate", ("br_mis_pred", "br_pred"), _ratio("br_mis_pred", "br_pred")),
+    Derived("insn_spec_rate", ("inst_retired", "inst_spec"), _ratio("inst_retired", "inst_spec")),
+    Derived("eff_backend_ipc", ("inst_retired", "cpu_cycles", "stall_backend"), lambda c: F.try_divide(c["inst_retired"], c["cpu_cycles"] - c["stall_backend"])),
+    Derived("l1i_hit_rate", ("l1i_cache", "l1i_cache_refill"), _kept("l1i_cache", "l1i_cache_refill")),
+    Derived("l1d_hit_rate", ("l1d_cache", "l1d_cache_refill"), _kept("l1d_cache", "l1d_cache_refill")),
 )
 
 
 def with_derived_metrics(df: DataFrame, keys: Sequence[str], name: str, value: str, metrics: Sequence[Derived] = COUNTER_METRICS) -> DataFrame:
-    """Long-form metrics with derived ones appended, each where its group has all inputs."""
+    """Long-form metrics with derived ones appended, each where its group has all inputs.
+
+    keys must tell executions apart: counters that were taken in different ones (counter groups) make no ratio.
+    """
     inputs = list(dict.fromkeys(i for m in metrics for i in m.inputs))
     wide = df.where(F.col(name).isin(inputs)).groupBy(*keys).agg(*[F.first(F.when(F.col(name) == i, F.col(value)), ignorenulls=True).alias(f"_i{k}") for k, i in enumerate(inputs)])
     columns = {i: F.col(f"_i{k}") for k, i in enumerate(inputs)}

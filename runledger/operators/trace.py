@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from runledger.functions.scalars import stem
+
 #: Fixed value: addresses above this are the kernel's.
 KERNEL_BASE = 0x0001000000000000
 
@@ -52,14 +54,18 @@ def nesting(df: DataFrame, thread: Sequence[str], order: Sequence[str], enter: C
     return deep.withColumn("previous", F.lag("seq").over(level)).drop("_step")
 
 
+#: Fixed value: operands that begin with a capability register.
+CAPABILITY_OPERAND = "^c[zr0-9]+,"
+
+
 def instruction_class(mnemonic: Column, operands: Column) -> Column:
-    """Class of an instruction: load or store, of pairs, of capabilities or integers; capability arithmetic; other."""
-    m, first = F.lower(mnemonic), F.trim(F.split(F.coalesce(operands, F.lit("")), ",")[0])
-    move = F.when(m.rlike(r"^(ld|ldr|ldp|ldur|ldtr|ldx|lda)"), "ld").when(m.rlike(r"^(st|str|stp|stur|sttr|stx|stl)"), "st")
-    pair = F.when(m.rlike(r"^(ldp|stp|ldnp|stnp|ldxp|stxp)"), "_pair").otherwise("")
-    what = F.when(first.rlike(r"^\{?c(sp|[0-9])"), "_cap").otherwise("_int")
-    cap = m.rlike(r"^(sc|gc|seal|unseal|build|clr|chk|cpy|cvt|bcc|cfhi|cthi|orrflgs|bicflgs|eorflgs|adrp?c)")
-    return F.when(move.isNotNull(), F.concat(move, pair, what)).when(cap, "capability").otherwise("other")
+    """ld or st, _pair for ldp and stp, then _cap or _int by the first operand; cheri for bounds settings; else other."""
+    load = mnemonic.startswith("ldr") | (mnemonic == "ldp")
+    store = mnemonic.startswith("str") | (mnemonic == "stp")
+    move = F.when(load, "ld").when(store, "st")
+    pair = F.when(mnemonic.isin("ldp", "stp"), "_pair").otherwise("")
+    what = F.when(F.coalesce(operands, F.lit("")).rlike(CAPABILITY_OPERAND), "_cap").otherwise("_int")
+    return F.when(move.isNotNull(), F.concat(move, pair, what)).when(mnemonic.startswith("scbnds"), "cheri").otherwise("other")
 
 
 def is_kernel(pc: Column) -> Column:
@@ -111,6 +117,38 @@ def rebased(df: DataFrame, group: Sequence[str], ts: str, value: str, tie: Seque
     return joined.withColumns({value: F.col(value) - F.col("_v") + 1, f"rel_{ts}": F.col(ts) - F.col("_t")}).drop("_v", "_t")
 
 
+def per_call(instructions: DataFrame, calls: DataFrame, key: Sequence[str], run: Sequence[str], baseline: str, n: str = "n", count: str = "calls", name: str = "insn_per_call") -> DataFrame:
+    """Instructions of a call of each function and run, and their difference from the baseline run's.
+
+    Functions that only one side has are left out, as are rows of the baseline; run is one column.
+    """
+    joined = instructions.select(*key, *run, n).join(calls.select(*key, *run, count), [*key, *run])
+    each = joined.withColumn(name, F.try_divide(F.col(n).cast("double"), F.col(count)))
+    own = each.where(F.col(run[0]) == baseline).select(*key, F.col(name).alias("_b"))
+    return each.where(F.col(run[0]) != baseline).join(own, list(key)).withColumn(f"delta_{name}", F.col(name) - F.col("_b")).drop("_b")
+
+
+def counter_name(name: Column, slot: Column, labels: Mapping[int, str], per_cpu: Mapping[int, int] | None = None) -> Column:
+    """Display name of a counter: its name and the label of its slot.
+
+    per_cpu: first slot -> one past the last, of slots that stand for processors; {cpu} in their label is the number.
+    """
+    label = F.lit(None).cast("string")
+    for first, end in (per_cpu or {}).items():
+        inside = (slot >= first) & (slot < end)
+        label = F.when(inside, F.replace(F.lit(labels[first]), F.lit("{cpu}"), (slot - first).cast("string"))).otherwise(label)
+    single = F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])[slot.cast("int")]
+    return F.concat_ws(" ", name, F.coalesce(label, single))
+
+
+def frame_name(name: Column, file: Column, address: Column) -> Column:
+    """Name of a symbol in folded stacks: where it comes from, then the symbol; empty without a symbol at address -1."""
+    place = stem(file)
+    place = F.when(place.startswith("kernel"), "kernel").otherwise(place)
+    unknown = file.isNull()
+    return F.when(unknown & (address == -1), "").when(unknown, F.concat(F.lit("??`"), name)).otherwise(F.concat(place, F.lit("`"), name))
+
+
 def relevance(df: DataFrame, delta: str, name: str = "relevance") -> DataFrame:
     """Share of the total absolute delta; one scalar aggregate."""
     total = df.groupBy().agg(F.sum(F.abs(F.col(delta))).alias("_total"))

@@ -1,3 +1,3 @@
 """Registered queries, by subject; importing the package registers them."""
 
-from runledger.plans import comparisons, distributions, layouts, matrices, ranges, reports, traces  # noqa: F401
+from runledger.plans import comparisons, distributions, files, layouts, matrices, ranges, reports, stores, traces  # noqa: F401

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from runledger.operators import compare, shape
 from runledger.plans.registry import query
-from runledger.plans.views import COUNTERS_SQL, RUNS_SQL, counters, flag_runs, table
+from runledger.plans.views import COUNTER_NAMES, COUNTERS_SQL, RUNS_SQL, counters, flag_runs, table
+from runledger.session import stored
 
 BASE = {"l_returnflag": "N", "l_linestatus": "F"}
 FLAGS = ["l_returnflag", "l_linestatus"]
@@ -51,7 +52,7 @@ def overhead_relative_only(spark, sf_dir):
 def overhead_by_year(spark, sf_dir):
     """An extra group column; rows of years without a baseline are left out."""
     lines = table(spark, sf_dir, "lineitem").withColumn("year", F.year("l_shipdate"))
-    runs = lines.groupBy(*FLAGS, F.col("l_linenumber").alias("iteration"), "year").agg(F.median("l_extendedprice").alias("value"))
+    runs = stored(lines.groupBy(*FLAGS, F.col("l_linenumber").alias("iteration"), "year").agg(F.median("l_extendedprice").alias("value")), "runs")
     return _rounded(compare.median_overhead(runs, "value", {"l_returnflag": "R", "l_linestatus": "F"}, FLAGS, extra_groupby=["year"], on_missing="check_off"), ["value"])
 
 
@@ -92,13 +93,23 @@ def quartile_deltas_by_status(spark, sf_dir):
     return out.select("o_orderpriority", "o_orderstatus", *[F.round(c, 4).alias(c) for c in ("mean", "std", "q25", "q75", "median_delta")], *[F.round(c, 6).alias(c) for c in ("mean_norm", "q75_norm")])
 
 
+_RATIOS = {
+    "cycles_per_insn": "cpu_cycles / inst_retired",
+    "ipc": "inst_retired / cpu_cycles",
+    "br_pred_miss_rate": "br_mis_pred / br_pred",
+    "insn_spec_rate": "inst_retired / inst_spec",
+    "eff_backend_ipc": "inst_retired / (cpu_cycles - stall_backend)",
+    "l1i_hit_rate": "(l1i_cache - l1i_cache_refill) / l1i_cache",
+    "l1d_hit_rate": "(l1d_cache - l1d_cache_refill) / l1d_cache",
+}
+
+
 @query(
     "derived_counter_metrics",
     f"""
-    WITH {COUNTERS_SQL}, w AS (PIVOT counters ON name IN ('cpu_cycles', 'inst_retired', 'br_mis_pred_retired', 'br_retired') USING first(value) GROUP BY l_returnflag, iteration),
-    d AS (SELECT l_returnflag, iteration, unnest(['cycles_per_insn', 'ipc', 'branch_miss_rate']) AS name,
-        unnest([cpu_cycles / inst_retired, inst_retired / cpu_cycles, br_mis_pred_retired / nullif(br_retired, 0)]) AS value FROM w)
-    SELECT l_returnflag, iteration, name, round(value, 5) AS value FROM counters UNION ALL SELECT l_returnflag, iteration, name, round(value, 5) FROM d WHERE value IS NOT NULL
+    WITH {COUNTERS_SQL}, w AS (SELECT l_returnflag, iteration, {", ".join(f"max(value) FILTER (name = '{n}') AS {n}" for n in COUNTER_NAMES)} FROM counters GROUP BY ALL),
+    d AS (SELECT l_returnflag, iteration, unnest([{", ".join(f"'{n}'" for n in _RATIOS)}]) AS name, unnest([{", ".join(_RATIOS.values())}]) AS value FROM w)
+    SELECT l_returnflag, iteration, name, round(value, 5) AS value FROM counters UNION ALL SELECT l_returnflag, iteration, name, round(value, 5) FROM d
     """,
 )
 def derived_counter_metrics(spark, sf_dir):
@@ -111,13 +122,13 @@ def derived_counter_metrics(spark, sf_dir):
     f"""
     WITH {COUNTERS_SQL}, m AS (SELECT r.l_returnflag, r.name, median(r.value) AS m, median(b.value) AS b FROM counters r JOIN counters b ON b.l_returnflag = 'N' AND b.iteration = r.iteration AND b.name = r.name GROUP BY ALL)
     SELECT l_returnflag, round(max(CASE name WHEN 'cpu_cycles' THEN m - b END), 4) AS cpu_cycles, round(max(CASE name WHEN 'inst_retired' THEN m - b END), 4) AS inst_retired,
-        round(max(CASE name WHEN 'br_retired' THEN m - b END), 4) AS br_retired FROM m GROUP BY l_returnflag
+        round(max(CASE name WHEN 'br_pred' THEN m - b END), 4) AS br_pred FROM m GROUP BY l_returnflag
     """,
 )
 def counter_summary_pivot(spark, sf_dir):
     """Counter deltas from the baseline's medians as a table, one column for each counter."""
     rows = compare.median_overhead(counters(spark, sf_dir), "value", {"l_returnflag": "N"}, ["l_returnflag"], extra_groupby=["name"])
-    wanted = ["cpu_cycles", "inst_retired", "br_retired"]
+    wanted = ["cpu_cycles", "inst_retired", "br_pred"]
     return _rounded(shape.pivoted(rows.where("_metric_type = 'delta'"), ["l_returnflag"], "name", wanted, "value"), wanted, 4)
 
 

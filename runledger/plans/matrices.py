@@ -18,27 +18,16 @@ def keep_drop_rules(spark, sf_dir):
     return keys.keep_drop(table(spark, sf_dir, "orders"), rules, [{"o_orderpriority": "5-LOW"}]).select("o_orderkey", "o_orderstatus", "o_orderpriority")
 
 
-_SESSIONS = """dst AS (SELECT o_orderstatus, o_orderpriority, n_name AS nation, 'd' || o_orderstatus || o_orderpriority || n_name AS dataset_id FROM (SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders) CROSS JOIN nation WHERE n_nationkey < 5),
-    src AS (SELECT o_orderstatus, o_orderpriority, o_orderkey AS ord, 's' || o_orderkey AS dataset_id FROM orders WHERE o_orderkey % 7 = 0)"""
-
-
-_SESSIONS_ALL = """dst AS (SELECT o_orderstatus, o_orderpriority, n_name AS nation, 'd' || o_orderstatus || o_orderpriority || n_name AS dataset_id FROM (SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders) CROSS JOIN nation),
+_SESSIONS = """dst AS (SELECT o_orderstatus, o_orderpriority, n_name AS nation, 'd' || o_orderstatus || o_orderpriority || n_name AS dataset_id FROM (SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders) CROSS JOIN nation),
     src AS (SELECT o_orderstatus, o_orderpriority, o_orderkey AS ord, 's' || o_orderkey AS dataset_id FROM orders)"""
 
 
 def _sessions(spark, sf_dir):
-    """The runs and nations that _SESSIONS names; those of _SESSIONS_ALL are all of them."""
-    return _sessions_of(table(spark, sf_dir, "orders"), table(spark, sf_dir, "nation").where("n_nationkey < 5"), "o_orderkey % 7 = 0")
-
-
-def _sessions_all(spark, sf_dir):
-    return _sessions_of(table(spark, sf_dir, "orders"), table(spark, sf_dir, "nation"))
-
-
-def _sessions_of(orders, nations, runs="true"):
+    orders = table(spark, sf_dir, "orders")
+    nations = table(spark, sf_dir, "nation")
     axes = orders.select("o_orderstatus", "o_orderpriority").distinct().join(nations.select(F.col("n_name").alias("nation")))
     destination = axes.withColumn("dataset_id", F.concat(F.lit("d"), "o_orderstatus", "o_orderpriority", "nation"))
-    source = orders.where(runs).select("o_orderstatus", "o_orderpriority", F.col("o_orderkey").alias("ord"), F.concat(F.lit("s"), F.col("o_orderkey").cast("string")).alias("dataset_id"))
+    source = orders.select("o_orderstatus", "o_orderpriority", F.col("o_orderkey").alias("ord"), F.concat(F.lit("s"), F.col("o_orderkey").cast("string")).alias("dataset_id"))
     return source, destination
 
 
@@ -47,7 +36,7 @@ _AXES = ["o_orderstatus", "o_orderpriority", "nation"]
 
 @query(
     "session_merge",
-    f"WITH {_SESSIONS}, last AS (SELECT * FROM src QUALIFY row_number() OVER (PARTITION BY o_orderstatus, o_orderpriority ORDER BY ord DESC) = 1) SELECT last.dataset_id AS source_id, dst.dataset_id AS destination_id, o_orderstatus, o_orderpriority, nation FROM last JOIN dst USING (o_orderstatus, o_orderpriority) WHERE nation = 'NATION_3'",
+    f"WITH {_SESSIONS}, last AS (SELECT o_orderstatus, o_orderpriority, max_by(dataset_id, ord) AS source_id FROM src GROUP BY ALL) SELECT source_id, dst.dataset_id AS destination_id, o_orderstatus, o_orderpriority, nation FROM last JOIN dst USING (o_orderstatus, o_orderpriority) WHERE nation = 'NATION_3'",
 )
 def session_merge(spark, sf_dir):
     """Runs matched on all axes; of several source runs the last one counts."""
@@ -62,19 +51,15 @@ def session_merge_duplicates(spark, sf_dir):
 
 
 @query(
-    "session_merge_all",
-    f"WITH {_SESSIONS_ALL}, last AS (SELECT o_orderstatus, o_orderpriority, max_by(dataset_id, ord) AS source_id FROM src GROUP BY ALL) SELECT source_id, dst.dataset_id AS destination_id, o_orderstatus, o_orderpriority, nation FROM last JOIN dst USING (o_orderstatus, o_orderpriority) WHERE nation = 'NATION_3'",
+    "moved_runs",
+    f"WITH {_SESSIONS}, last AS (SELECT o_orderstatus, o_orderpriority, max(ord) AS ord FROM src GROUP BY ALL) SELECT 'd' || o_orderstatus || o_orderpriority || 'NATION_2' AS dataset_id, l_linenumber AS iteration, sum(l_quantity)::BIGINT AS quantity FROM last JOIN lineitem ON l_orderkey = ord GROUP BY ALL",
 )
-def session_merge_all(spark, sf_dir):
-    """session_merge with the runs of all orders and with all nations."""
-    source, destination = _sessions_all(spark, sf_dir)
-    return keys.merge_by_key(source, destination, _AXES, {"nation": "NATION_3"}, "ord").matched
-
-
-@query("session_merge_duplicates_all", f"WITH {_SESSIONS_ALL} SELECT o_orderstatus, o_orderpriority, 'NATION_1' AS nation, count(*) AS runs FROM src GROUP BY ALL HAVING count(*) > 1")
-def session_merge_duplicates_all(spark, sf_dir):
-    source, destination = _sessions_all(spark, sf_dir)
-    return keys.merge_by_key(source, destination, _AXES, {"nation": "NATION_1"}, "ord").duplicates
+def moved_runs(spark, sf_dir):
+    """The data of each combination's last run, under the id of its destination."""
+    source, destination = _sessions(spark, sf_dir)
+    merge = keys.merge_by_key(source, destination, _AXES, {"nation": "NATION_2"}, "ord")
+    data = table(spark, sf_dir, "lineitem").groupBy(F.concat(F.lit("s"), F.col("l_orderkey").cast("string")).alias("dataset_id"), F.col("l_linenumber").alias("iteration")).agg(F.sum("l_quantity").cast("long").alias("quantity"))
+    return keys.move_runs(data, merge)
 
 
 @query(

@@ -10,16 +10,18 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runledger.functions.scalars import basename, decimal_to_hex
 from runledger.keys import keep_drop
 from runledger.operators import align, compare, coords, histogram, intervals, layouts, shape, trace
 from runledger.sources import readers
 
-ITERATION = r"/iteration[-_]?([0-9]+)"
-DATASET = r"/([0-9a-f]{8}-[0-9a-f-]{27})/"
+#: Folders of an iteration and of a run, as sessions or partitioned writers name them.
+ITERATION = r"/iteration[-_=]?([0-9]+)"
+DATASET = r"/(?:dataset=)?([0-9a-f]{8}-[0-9a-f-]{27})/"
 
 
 def with_runs(data: DataFrame, runs: DataFrame, iteration: str = ITERATION, dataset: str = DATASET) -> DataFrame:
-    """Axes and iteration of each row, from the path of its file."""
+    """Axes and iteration of each row, from the path of its file; rows of unknown runs are left out."""
     found = F.regexp_extract("file", iteration, 1)
     keyed = data.withColumns({"dataset_id": F.regexp_extract("file", dataset, 1), "iteration": F.when(found == "", -1).otherwise(found.try_cast("int"))})
     return keyed.join(runs, "dataset_id").drop("file")
@@ -56,14 +58,17 @@ def store_summary(spark: SparkSession, path: str, runs: DataFrame, baseline: Map
     return compare.relative_only(compare.overhead(data, "requests_per_second", baseline, params, **options))
 
 
-def counter_summary(spark: SparkSession, path: str, runs: DataFrame, baseline: Mapping, params: Sequence[str], kind: str = "absolute", names: Sequence[str] = (), cpus: Sequence[int] = (), **options) -> DataFrame:
-    """Counters of chosen CPUs added up, ratios derived, compared; kind is a metric type."""
+def counter_summary(spark: SparkSession, path: str, runs: DataFrame, baseline: Mapping, params: Sequence[str], kind: str = "absolute", names: Sequence[str] = (), cpus: Sequence[int] = (), group: str | None = None, **options) -> DataFrame:
+    """Counters of chosen CPUs added up, ratios derived, compared; kind is a metric type.
+
+    group: the axis of counter groups, which are taken in executions of their own, so no ratio mixes them.
+    """
     data = with_runs(readers.read_counters(spark, path), runs)
     if names:
         data = data.where(F.col("name").isin(list(names)))
     if cpus:
         data = data.where(F.col("cpu").isNull() | F.col("cpu").isin(list(cpus)))
-    keys = ["dataset_id", *params, "iteration"]
+    keys = ["dataset_id", *dict.fromkeys([*params, *([group] if group else [])]), "iteration"]
     long = shape.with_derived_metrics(shape.sum_over_cpus(data, keys, "name", "value"), keys, "name", "value")
     return compare.overhead(long, "value", baseline, params, extra_groupby=["name"], **options).where(F.col("_metric_type") == kind)
 
@@ -90,6 +95,12 @@ def transition_frequency(spark: SparkSession, path: str, runs: DataFrame, params
     return counts, trace.self_transitions(counts, run)
 
 
+def transition_overhead(rates: DataFrame, baseline: Mapping, params: Sequence[str], **options) -> DataFrame:
+    """All, self and cross transitions of each run against the baseline's, overheads in percent."""
+    long = shape.unpivoted(rates, [*params, "iteration"], ["total", "self", "cross"], "transition_type", "transition_count")
+    return compare.overhead(long, "transition_count", baseline, params, extra_groupby=["transition_type"], scale=100, **options)
+
+
 def code_churn(lines: DataFrame, components: Sequence[shape.Component], baseline: Mapping, run: Sequence[str], known: DataFrame | None = None, accept: Sequence[str] = (), reject: Sequence[str] = ()) -> tuple[DataFrame, DataFrame | None]:
     """(changed lines by component in percent of the baseline's, files of the build that were not counted)."""
     kept = shape.accept_reject(lines, "name", accept, reject)
@@ -108,8 +119,16 @@ def imprecise_report(members: DataFrame, key: Sequence[str], category: str) -> t
     return annotated, layouts.layout_summary(flagged.where("is_imprecise"), category, key[0], "array_items", "is_pointer")
 
 
-def vla_report(layout: DataFrame, groups: Sequence[str]) -> DataFrame:
-    return layout.where("has_vla").groupBy(*groups).agg(F.count("*").alias("layouts"))
+VLA_FIELDS = ("member_name", "file", "line", "byte_offset", "max_vla_size")
+
+
+def vla_report(layout: DataFrame, groups: Sequence[str], ignore: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(arrays of variable length with the largest size that can be represented, how many by group).
+
+    layout: members of structures, their arrays with max_vla_size. Files that match a pattern to ignore are left out.
+    """
+    kept = shape.drop_matching(layout.where("has_vla and max_vla_size is not null"), "file", ignore)
+    return kept.select(*groups, *VLA_FIELDS), kept.groupBy(*groups).agg(F.count("member_name").alias("member_name"))
 
 
 def size_distribution(df: DataFrame, groups: Sequence[str], column: str) -> DataFrame:
@@ -168,6 +187,55 @@ def instruction_histogram(spark: SparkSession, path: str, symbols: DataFrame, ke
     return per, trace.call_sites(counts.groupBy("pc").agg(F.sum("n").alias("n")), symbols)
 
 
+def instructions_per_call(icounts: DataFrame, calls: DataFrame, baseline: str, run: str = "dataset_gid") -> DataFrame:
+    """Median instructions and calls of each function over a run's iterations, their ratio, and its change from the baseline run's."""
+    n = icounts.groupBy("symbol", run).agg(F.median("instr_count").alias("n"))
+    c = calls.groupBy("symbol", run).agg(F.median("call_count").alias("calls"))
+    return trace.per_call(n, c, ["symbol"], [run], baseline)
+
+
+def counter_tracks(values: DataFrame, zones: DataFrame, labels: Mapping[int, str], monotonic: Sequence[int] = (), run: Sequence[str] = ("iteration",), per_cpu: Mapping[int, int] | None = None) -> DataFrame:
+    """Counters of known zones by their display name; those that only rise begin at 1 in each iteration."""
+    kept = align.members_of(values, "name", zones, "name")
+    group = [*run, "name", "slot"]
+    rises = F.col("slot").isin(list(monotonic)) if monotonic else F.lit(False)
+    first = trace.rebased(kept.where(rises), group, "ts", "value").drop("rel_ts")
+    both = first.unionByName(kept.where(~F.coalesce(rises, F.lit(False))))
+    return both.withColumn("counter_name", trace.counter_name(F.col("name"), F.col("slot"), labels, per_cpu))
+
+
+def struct_report(members: DataFrame, key: Sequence[str], target: str, baseline: str, **columns: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(distribution of padding by target, statistics of sizes against the baseline's, structures that take more cache lines)."""
+    totals = layouts.struct_totals(members, [*key, target], **columns)
+    padded = totals.where("padding > 0")
+    spread = histogram.histogram(padded, [target], "padding", histogram.power_of_two_edges(*histogram.data_range(padded, "padding")))
+    sizes = compare.quartile_deltas(totals.withColumn("_all", F.lit(0)), "size", {target: baseline}, ["_all"], [target]).drop("_all")
+    return spread, sizes, layouts.cache_line_growth(totals, key, target, baseline)
+
+
+def advisory_history(advisories: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(advisories of each year, those of memory safety and of spatial memory safety; the running share of those mitigated by
+    pointer bounds alone, sub-object bounds and nothing)."""
+    kinds = {"memory_safety": F.col("kind_memory_safety"), "spatial_safety": F.col("kind_memory_safety") & ~F.col("kind_uaf") & ~F.col("kind_race")}
+    bounds = F.col("mitigation_ptr_bounds") & ~F.col("mitigation_subobject")
+    how = F.when(F.col("mitigation_subobject"), "subobject").when(bounds, "ptr_bounds").when(F.col("mitigation_unmitigated"), "unmitigated").otherwise("other")
+    by = advisories.where("kind_memory_safety").select(how.alias("mitigation"), F.lit(1).alias("n"))
+    return histogram.conditional_shares(advisories, ["year"], kinds), histogram.cumulative_share(by, "mitigation", ["ptr_bounds", "subobject", "other", "unmitigated"], "n")
+
+
+def annotated_trace(records: DataFrame, thread: Sequence[str], order: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(readable lines, indented by depth; the graph of transitions).
+
+    records: op (enter or leave), address, compartment, symbol, caller; compartments go by their file's name.
+    """
+    deep = trace.nesting(records, thread, order, F.col("op") == "enter")
+    place = basename(F.col("compartment"))
+    text = F.concat_ws(" ", F.trim(F.concat_ws(" ", F.coalesce(decimal_to_hex(F.col("address")), F.lit("")), F.upper("op"))), F.concat_ws(":", place, "symbol"))
+    lines = deep.select(*thread, "seq", "depth", F.concat(F.repeat(F.lit("  "), F.greatest("depth", F.lit(0)).cast("int")), text).alias("value"))
+    calls = records.where("op = 'enter'").groupBy(basename(F.col("caller")).alias("caller"), place.alias("callee")).agg(F.count("*").alias("n"))
+    return lines, trace.call_graph(calls)
+
+
 def instruction_difference(tables: Mapping[str, DataFrame], baseline: str) -> DataFrame:
     """Instructions and calls by symbol and target, each against the baseline."""
     every = None
@@ -199,17 +267,22 @@ def annotation_tags(notes: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def counters_per_request(counters: DataFrame, rates: DataFrame, keys: Sequence[str] = ("dataset_id", "iteration")) -> DataFrame:
-    """Counters per message, on the runs and iterations that both have."""
-    joined = counters.join(rates.select(*keys, "message_count"), list(keys))
-    return joined.withColumn("per_message", F.try_divide("value", "message_count"))
+    """Counters per message and per byte, on the runs and iterations that both have."""
+    # Bytes are those of a message's request and response, where their sizes are known.
+    sizes = [c for c in ("req_size", "resp_size") if c in rates.columns]
+    joined = counters.join(rates.select(*keys, "message_count", *sizes), list(keys))
+    out = joined.withColumn("per_message", F.try_divide("value", "message_count"))
+    if sizes:
+        out = out.withColumn("per_byte", F.try_divide("value", F.col("message_count") * sum((F.col(c) for c in sizes), F.lit(0))))
+    return out.drop(*sizes)
 
 
 def touched_files(spark: SparkSession, paths: Sequence[str], root: str) -> DataFrame:
     return readers.read_strace_files(spark, list(paths), root).distinct()
 
 
-def cache_miss_table(spark: SparkSession, path: str, section: str) -> DataFrame:
-    return readers.read_cache_reports(spark, path, section).select("size", "size_text", "miss_rate").orderBy("size")
+def cache_miss_table(spark: SparkSession, path: str, section: str, **name: str) -> DataFrame:
+    return readers.read_cache_reports(spark, path, section, **name).select("size", "size_text", "miss_rate").orderBy("size")
 
 
 def packet_statistics(before: DataFrame, after: DataFrame, baseline: Mapping, run: Sequence[str]) -> DataFrame:
@@ -220,8 +293,7 @@ def packet_statistics(before: DataFrame, after: DataFrame, baseline: Mapping, ru
 
 def function_trace(calls: DataFrame, markers: DataFrame, symbols: DataFrame, run: Sequence[str]) -> DataFrame:
     """Statistics per function over the iterations that markers cut: calls (run, ts, pc, space, n)."""
-    wins = intervals.iteration_windows(markers, calls, run, "ts").select(*[F.col(c).alias(f"_{c}") for c in run], "iteration", "start", "end")
-    inside = calls.join(wins, [*[F.col(c) == F.col(f"_{c}") for c in run], intervals.within(F.col("ts"), F.col("start"), F.col("end"))])
+    inside = intervals.with_iteration(calls, intervals.iteration_windows(markers, calls, run, "ts"), run, "ts")
     sums = inside.groupBy(*run, "iteration", "space", "pc").agg(F.sum("n").alias("n"))
     named = intervals.resolve_symbols(sums, symbols, "pc", "space", "addr", "name")
     return trace.function_statistics(named, [*run, "iteration"], ["name"], "n")

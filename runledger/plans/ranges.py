@@ -13,31 +13,15 @@ _BANDS = "bands AS (SELECT p_partkey, floor(p_retailprice * 100)::BIGINT AS low,
 
 @query(
     "range_join_bands",
-    f"WITH {_BANDS}, p AS (SELECT l_partkey, floor(l_extendedprice / l_quantity * 100)::BIGINT AS pos, count(*) AS n FROM lineitem WHERE l_suppkey % 10 = l_partkey % 10 GROUP BY ALL) SELECT p.l_partkey, count(*) AS bands, sum(n)::BIGINT AS n FROM p JOIN bands ON pos >= low AND pos < high GROUP BY 1",
+    f"WITH {_BANDS}, p AS (SELECT l_partkey, floor(l_extendedprice / l_quantity * 100)::BIGINT AS pos, count(*) AS n FROM lineitem GROUP BY ALL) SELECT p.l_partkey, count(*) AS bands, sum(n)::BIGINT AS n FROM p JOIN bands ON pos >= low AND pos < high GROUP BY 1",
 )
 def range_join_bands(spark, sf_dir):
-    """Unit prices in the price bands of parts; counts by price come before the join.
-
-    The tenth of lineitem that its SQL names; range_join_bands_all takes all of it.
-    """
-    return _banded(spark, sf_dir, table(spark, sf_dir, "lineitem").where("l_suppkey % 10 = l_partkey % 10"))
-
-
-def _banded(spark, sf_dir, lines):
+    """Unit prices in the price bands of parts; counts by price come before the join."""
     bands = table(spark, sf_dir, "part").select("p_partkey", F.floor(F.col("p_retailprice") * 100).cast("long").alias("low"), (F.floor(F.col("p_retailprice") * 100) + 40 * F.col("p_size")).cast("long").alias("high"))
-    points = lines.groupBy("l_partkey", F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 100).cast("long").alias("at")).agg(F.count("*").alias("n"))
+    points = table(spark, sf_dir, "lineitem").groupBy("l_partkey", F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 100).cast("long").alias("at")).agg(F.count("*").alias("n"))
     return iv.range_join(points, bands, "at", "low", "high").groupBy("l_partkey").agg(F.count("*").alias("bands"), F.sum("n").alias("n"))
 
 
-@query(
-    "range_join_bands_all",
-    f"WITH {_BANDS}, p AS (SELECT l_partkey, floor(l_extendedprice / l_quantity * 100)::BIGINT AS pos, count(*) AS n FROM lineitem GROUP BY ALL) SELECT p.l_partkey, count(*) AS bands, sum(n)::BIGINT AS n FROM p JOIN bands ON pos >= low AND pos < high GROUP BY 1",
-)
-def range_join_bands_all(spark, sf_dir):
-    """The same for every row of lineitem."""
-    return _banded(spark, sf_dir, table(spark, sf_dir, "lineitem"))
-
-
 @query(
     "range_join_dealt",
     f"WITH {INTERVALS_SQL}, h AS (SELECT user_id, hour(ts)::INT AS pos, count(*) AS n FROM events GROUP BY ALL) SELECT h.user_id, pos, h.n, count(w) AS covers, sum(w)::BIGINT AS weight FROM h LEFT JOIN intervals i ON i.user_id = h.user_id AND pos >= low AND pos < high GROUP BY ALL",
@@ -106,9 +90,9 @@ def iteration_windows(spark, sf_dir):
     """Events between the markers of a user."""
     events = table(spark, sf_dir, "events")
     markers = events.where("event_type = 'login'").select("user_id", "ts").distinct()
-    wins = iv.iteration_windows(markers, events, ["user_id"], "ts").withColumnRenamed("user_id", "u")
-    joined = wins.join(events, (F.col("u") == F.col("user_id")) & iv.within(F.col("ts"), F.col("start"), F.col("end")), "left")
-    return joined.groupBy(F.col("u").alias("user_id"), "iteration").agg(F.count("event_id").alias("n"), F.round(F.sum("value"), 4).alias("value"))
+    wins = iv.iteration_windows(markers, events, ["user_id"], "ts")
+    sums = iv.with_iteration(events, wins, ["user_id"], "ts").groupBy("user_id", "iteration").agg(F.count("event_id").alias("n"), F.round(F.sum("value"), 4).alias("value"))
+    return wins.select("user_id", "iteration").join(sums, ["user_id", "iteration"], "left").select("user_id", "iteration", F.coalesce("n", F.lit(0)).alias("n"), "value")
 
 
 @query(

@@ -15,9 +15,7 @@ def _steps(spark, sf_dir):
 
 @query("transition_counts", f"WITH {STEPS_SQL} SELECT caller, callee, count(*) AS n, sum(count(*)) OVER ()::BIGINT AS total FROM steps GROUP BY 1, 2")
 def transition_counts(spark, sf_dir):
-    counts = trace.transition_counts(_steps(spark, sf_dir), ["user_id"])
-    pairs = counts.groupBy("caller", "callee").agg(F.sum("n").alias("n"))
-    return trace.transition_counts(_steps(spark, sf_dir), []).join(pairs, ["caller", "callee", "n"])
+    return trace.transition_counts(_steps(spark, sf_dir), []).select("caller", "callee", "n", "total")
 
 
 @query("self_transitions", f"WITH {STEPS_SQL} SELECT user_id, count(*) AS total, sum((caller = callee)::INT)::BIGINT AS self, sum((caller <> callee)::INT)::BIGINT AS cross, round(sum((caller = callee)::INT) / count(*), 6) AS rate FROM steps GROUP BY 1")
@@ -107,31 +105,15 @@ def function_differences(spark, sf_dir):
 @query(
     "thread_names",
     """
-    WITH p AS (SELECT c_custkey AS pid, max(c_name) AS process FROM customer WHERE c_custkey % 3 = 0 GROUP BY 1), t AS (SELECT o_custkey AS pid, o_orderkey AS tid, max(o_orderpriority) AS thread FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1, 2)
-    SELECT o_custkey AS pid, o_orderkey AS tid, coalesce(process, 'undetected:' || o_custkey) AS process, coalesce(thread, 'unknown:' || o_orderkey) AS thread FROM orders LEFT JOIN p ON p.pid = o_custkey LEFT JOIN t ON t.pid = o_custkey AND t.tid = o_orderkey
-    """,
-)
-def thread_names(spark, sf_dir):
-    """With the names that its SQL leaves; thread_names_all has all of them."""
-    return _named_threads(spark, sf_dir, "pid % 3 = 0", "tid % 2 = 0")
-
-
-@query(
-    "thread_names_all",
-    """
     WITH p AS (SELECT c_custkey AS pid, max(c_name) AS process FROM customer GROUP BY 1), t AS (SELECT o_custkey AS pid, o_orderkey AS tid, max(o_orderpriority) AS thread FROM orders GROUP BY 1, 2)
     SELECT o_custkey AS pid, o_orderkey AS tid, coalesce(process, 'undetected:' || o_custkey) AS process, coalesce(thread, 'unknown:' || o_orderkey) AS thread FROM orders LEFT JOIN p ON p.pid = o_custkey LEFT JOIN t ON t.pid = o_custkey AND t.tid = o_orderkey
     """,
 )
-def thread_names_all(spark, sf_dir):
-    """thread_names with the names of all customers and orders."""
-    return _named_threads(spark, sf_dir)
-
-
-def _named_threads(spark, sf_dir, processes="true", threads="true"):
+def thread_names(spark, sf_dir):
+    """Every order with the names of its customer and of itself."""
     orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("pid"), F.col("o_orderkey").alias("tid"), F.col("o_orderpriority").alias("name"))
     customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("pid"), F.col("c_name").alias("name"))
-    return trace.thread_names(customers.where(processes), orders.where(threads), orders.drop("name"))
+    return trace.thread_names(customers, orders, orders.drop("name"))
 
 
 @query(

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runledger.session import stored
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -15,24 +17,37 @@ RUNS_SQL = "runs AS (SELECT l_returnflag, l_linestatus, l_linenumber AS iteratio
 
 
 def flag_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored, since a comparison looks at its runs several times: a few rows each, from all line items."""
     lines = table(spark, sf_dir, "lineitem")
-    return lines.groupBy("l_returnflag", "l_linestatus", F.col("l_linenumber").alias("iteration")).agg(F.median("l_extendedprice").alias("value"))
-
-
-#: Counters in long form: four columns of the line items by flag and line number.
-COUNTERS_SQL = """counters AS (
+    return stored(lines.groupBy("l_returnflag", "l_linestatus", F.col("l_linenumber").alias("iteration")).agg(F.median("l_extendedprice").alias("value")), "runs")
+
+
+#: Counters in long form: sums over the line items by flag and line number, under the names that counters have.
+_COUNTERS = {
+    "cpu_cycles": "l_extendedprice",
+    "inst_retired": "l_quantity * 100",
+    "inst_spec": "l_quantity * 120",
+    "br_mis_pred": "l_discount",
+    "br_pred": "l_tax + 1",
+    "stall_backend": "l_quantity",
+    "l1i_cache": "l_quantity * 40",
+    "l1i_cache_refill": "l_linenumber",
+    "l1d_cache": "l_quantity * 30",
+    "l1d_cache_refill": "l_discount * 10",
+}
+COUNTER_NAMES = tuple(_COUNTERS)
+COUNTERS_SQL = f"""counters AS (
     SELECT l_returnflag, iteration, name, value FROM (
-        SELECT l_returnflag, l_linenumber AS iteration, sum(l_quantity) AS cpu_cycles, sum(l_extendedprice) AS inst_retired, sum(l_discount) AS br_mis_pred_retired, sum(l_tax) AS br_retired
+        SELECT l_returnflag, l_linenumber AS iteration, {", ".join(f"sum({x})::DOUBLE AS {n}" for n, x in _COUNTERS.items())}
         FROM lineitem GROUP BY ALL
-    ) UNPIVOT (value FOR name IN (cpu_cycles, inst_retired, br_mis_pred_retired, br_retired)))"""
+    ) UNPIVOT (value FOR name IN ({", ".join(_COUNTERS)})))"""
 
 
 def counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from runledger.operators.shape import unpivoted
 
-    named = {"cpu_cycles": "l_quantity", "inst_retired": "l_extendedprice", "br_mis_pred_retired": "l_discount", "br_retired": "l_tax"}
-    wide = table(spark, sf_dir, "lineitem").groupBy("l_returnflag", F.col("l_linenumber").alias("iteration")).agg(*[F.sum(c).alias(n) for n, c in named.items()])
-    return unpivoted(wide, ["l_returnflag", "iteration"], list(named))
+    wide = table(spark, sf_dir, "lineitem").groupBy("l_returnflag", F.col("l_linenumber").alias("iteration")).agg(*[F.sum(F.expr(x)).alias(n) for n, x in _COUNTERS.items()])
+    return stored(unpivoted(wide, ["l_returnflag", "iteration"], list(_COUNTERS)), "counters")
 
 
 #: Intervals of hours by user, with a whole weight.
@@ -49,7 +64,7 @@ MEMBERS_SQL = """members AS (
     SELECT l_orderkey AS owner, l_orderkey::VARCHAR || '::m' || l_linenumber AS name, l_linenumber AS number, l_quantity::BIGINT AS byte_size,
         coalesce(sum(l_quantity::BIGINT) OVER w, 0)::BIGINT AS byte_offset, l_discount > 0.08 AS is_imprecise, l_returnflag = 'R' AS is_pointer,
         CASE WHEN l_tax > 0.06 THEN l_linenumber END AS array_items, l_shipdate, l_linestatus
-    FROM (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey) = 1)
+    FROM (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_extendedprice, l_shipdate) = 1)
     WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
 
 
@@ -57,7 +72,7 @@ def members(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     lines = table(spark, sf_dir, "lineitem")
-    one = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey")
+    one = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
     lines = lines.withColumn("_n", F.row_number().over(one)).where("_n = 1")
     before = Window.partitionBy("l_orderkey").orderBy("l_linenumber").rowsBetween(Window.unboundedPreceding, -1)
     return lines.select(

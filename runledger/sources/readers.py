@@ -5,13 +5,13 @@ Paths may be globs. Readers give a row per file (or line, or entry) with the fil
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from runledger.functions.scalars import basename, hex_to_decimal, normal_path, snake_case, text_to_bytes
+from runledger.functions.scalars import hex_to_decimal, normal_path, snake_case, text_to_bytes
 from runledger.operators.align import before_after
 
 def _file() -> Column:
@@ -39,9 +39,16 @@ def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_runs(spark: SparkSession, path: str, schema: str, runs: DataFrame, iteration: str = r"/iteration[-_]?([0-9]+)", dataset: str = r"/([0-9a-f-]{36})/") -> DataFrame:
     """Files of many runs and iterations, which are read from their paths; -1 where a path has no iteration."""
-    data = read_table(spark, path, schema)
+    return keyed_by_path(read_table(spark, path, schema), runs, iteration, dataset)
+
+
+def keyed_by_path(data: DataFrame, runs: DataFrame, iteration: str, dataset: str) -> DataFrame:
+    """Rows with the axes of their run, whose id is in the path, and its iteration; an unknown run raises."""
     found = F.regexp_extract("file", iteration, 1)
     keyed = data.withColumns({"dataset_id": F.regexp_extract("file", dataset, 1), "iteration": F.when(found == "", -1).otherwise(found.try_cast("int"))})
+    lost = keyed.select("dataset_id").distinct().join(runs, "dataset_id", "left_anti").take(3)
+    if lost:
+        raise ValueError(f"files of unknown runs: {[r[0] for r in lost]}")
     return keyed.join(runs, "dataset_id")
 
 
@@ -111,19 +118,21 @@ def read_redis(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_wrk(spark: SparkSession, path: str) -> DataFrame:
-    """One row per report; the request size comes from a scenario name that ends in _<n>b."""
-    latency = ("min", "max", "mean", "std", "percentile50", "percentile75", "percentile90", "percentile99")
-    schema = f"scenario string, summary struct<duration:double,requests:bigint,bytes:bigint>, errors map<string,bigint>, latency struct<{','.join(f'{x}:double' for x in latency)}>"
-    size = F.regexp_extract(F.coalesce("scenario", F.regexp_replace("file", r"\.json$", "")), r"_(\d+)b$", 1)
+    """One row per report; errors are failed responses. The request size comes from a scenario name that ends in _<n>b; another raises."""
+    latency = ("min", "max", "mean", "std", "percentile50", "percentile90", "percentile95", "percentile99", "percentile999")
+    schema = f"scenario string, summary struct<duration:double,requests:bigint,bytes:bigint>, errors struct<status:bigint>, latency struct<{','.join(f'{x}:double' for x in latency)}>"
+    named = F.coalesce("scenario", F.regexp_replace("file", r"\.json$", ""))
+    size = F.regexp_extract(named, r"_(\d+)b$", 1)
+    known = F.when(size == "", F.raise_error(F.concat(F.lit("no request size in "), named)).cast("bigint")).otherwise(size.try_cast("bigint"))
     return read_json(spark, path, schema).select(
-        "file", "scenario", "summary.*", F.aggregate(F.coalesce(F.map_values("errors"), F.array().cast("array<bigint>")), F.lit(0).cast("long"), lambda a, x: a + x).alias("errors"),
-        *[F.col(f"latency.{x}").alias(f"latency_{x}") for x in latency], (F.col("summary.requests") * 1e6 / F.col("summary.duration")).alias("requests_per_second"), size.try_cast("bigint").alias("request_size"),
+        "file", "scenario", "summary.*", F.col("errors.status").alias("errors"),
+        *[F.col(f"latency.{x}").alias(f"latency_{x}") for x in latency], (F.col("summary.requests") * 1e6 / F.col("summary.duration")).alias("requests_per_second"), known.alias("request_size"),
     )
 
 
 def read_netperf(spark: SparkSession, path: str, fields: Sequence[str]) -> DataFrame:
     """CSV below one banner row; columns are chosen by name, in lower case, as doubles where they are numbers."""
-    files = _whole(spark, path).select("file", F.split(F.col("lines")[1], ",").alias("names"), F.explode(F.slice("lines", 3, 1 << 20)).alias("line")).where("line <> ''")
+    files = _whole(spark, path).select("file", F.split(F.col("lines")[1], ",").alias("names"), F.explode(F.slice("lines", F.lit(3), F.greatest(F.size("lines") - 2, F.lit(0)))).alias("line")).where("line <> ''")
     cells = F.map_from_arrays("names", F.slice(F.split("line", ","), F.lit(1), F.size("names")))
     rows = files.select("file", cells.alias("m"))
     return rows.select("file", *[F.trim(F.try_element_at("m", F.lit(f))).try_cast("double").alias(f.lower()) for f in fields])
@@ -153,9 +162,9 @@ _STACK = "file string, counter string, total bigint, stack string, samples bigin
 
 
 def read_callgraph(spark: SparkSession, path: str) -> DataFrame:
-    """Folded stacks of call-graph reports: a depth-first walk by indentation, one stack for each leaf.
+    """Folded stacks of call-graph reports: a depth-first walk by indentation, one stack for each leaf, the leaf first.
 
-    A report is read by one task each; equal stacks of a file are added up.
+    A report is read by one task each; equal stacks of a file are added up. A line of another form raises.
     """
     head, entry = r"^@\s+(\S+)\s+\[(\d+) samples\]", r"^(\s*)(\d+(?:\.\d+)?)%\s+\[(\d+)\]\s+(\S+)"
 
@@ -167,18 +176,22 @@ def read_callgraph(spark: SparkSession, path: str) -> DataFrame:
             for file, lines in zip(pdf["file"], pdf["lines"]):
                 counter, total, chain, last = None, None, [], None
                 for line in lines:
-                    if m := re.match(head, line):
+                    if counter is None:
+                        if not (m := re.match(head, line)):
+                            raise ValueError(f"{file}: not a call graph: {line!r}")
                         counter, total = m[1], int(m[2])
-                    elif m := re.match(entry, line):
+                    elif line.strip():
+                        if not (m := re.match(entry, line)):
+                            raise ValueError(f"{file}: not an entry: {line!r}")
                         depth = len(m[1])
                         if last is not None and depth <= last[0]:
-                            rows.append((file, counter, total, ";".join(n for _, n in chain), last[1]))
+                            rows.append((file, counter, total, ";".join(n for _, n in reversed(chain)), last[1]))
                         while chain and chain[-1][0] >= depth:
                             chain.pop()
                         chain.append((depth, m[4]))
                         last = (depth, int(m[3]))
                 if last is not None:
-                    rows.append((file, counter, total, ";".join(n for _, n in chain), last[1]))
+                    rows.append((file, counter, total, ";".join(n for _, n in reversed(chain)), last[1]))
             yield pd.DataFrame(rows, columns=["file", "counter", "total", "stack", "samples"])
 
     stacks = _whole(spark, path).mapInPandas(walk, _STACK)
@@ -202,16 +215,21 @@ def read_transitions(spark: SparkSession, path: str) -> DataFrame:
     return parse_transitions(_lines(spark, path))
 
 
-def parse_instructions(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Executed instructions of trace lines: cpu, pc, opcode, mnemonic, operands; lines of other forms are left out."""
+def parse_instructions(lines: DataFrame, column: str = "value", rejects: Observation | None = None) -> DataFrame:
+    """Executed instructions of trace lines: cpu, pc, opcode, mnemonic, operands; lines of other forms are left out.
+
+    rejects observes how many of these begin like an instruction, as `rejected`.
+    """
     form = r"^\[(\d+):(\d+)\]\s+(?:0x)?([0-9a-fA-F]+):\s+(?:0x)?([0-9a-fA-F]+)\s+(\S+)\s*(.*)$"
     take = lambda k: F.regexp_extract(column, form, k)
     rest = [c for c in lines.columns if c != column]
+    if rejects is not None:
+        lines = lines.observe(rejects, F.count_if(F.col(column).rlike(r"^\[\d+:\d+\]") & ~F.col(column).rlike(form)).alias("rejected"))
     return lines.where(F.col(column).rlike(form)).select(*rest, take(1).cast("int").alias("cpu"), take(2).cast("bigint").alias("line"), hex_to_decimal(take(3)).alias("pc"), take(4).alias("opcode"), take(5).alias("mnemonic"), F.trim(take(6)).alias("operands"))
 
 
-def read_instructions(spark: SparkSession, path: str) -> DataFrame:
-    return parse_instructions(_lines(spark, path))
+def read_instructions(spark: SparkSession, path: str, rejects: Observation | None = None) -> DataFrame:
+    return parse_instructions(_lines(spark, path), rejects=rejects)
 
 
 def read_symbols(spark: SparkSession, path: str, base: int = 0, sized: bool = True) -> DataFrame:
@@ -303,15 +321,24 @@ def read_bounds(spark: SparkSession, path: str) -> DataFrame:
     return data.select(F.col("alignment_bits").try_cast("bigint").alias("alignment_bits"), F.col("size").try_cast("bigint").alias("size"), "kind", clean("source_loc").alias("source_loc"), "compiler_pass", clean("details").alias("details"), F.regexp_extract("file", r"([^/]+)/[^/]+$", 1).alias("src_module"))
 
 
-def read_advisories(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return read_json(spark, path, schema)
+#: What an advisory is about, and what mitigates it.
+ADVISORY_KINDS = ("memory_safety", "uaf", "race")
+ADVISORY_MITIGATIONS = ("ptr_bounds", "subobject", "unmitigated")
 
 
-def read_cache_reports(spark: SparkSession, path: str, section: str) -> DataFrame:
-    """The first miss rate below a section heading, and the cache size in the file's name (K, M, G)."""
+def read_advisories(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Advisories with their year; a flag that is not given is false."""
+    flags = [*[f"kind_{k}" for k in ADVISORY_KINDS], *[f"mitigation_{m}" for m in ADVISORY_MITIGATIONS]]
+    data = read_json(spark, path, "name string, date string, " + ", ".join(f"{f} boolean" for f in flags), lines)
+    date = F.to_timestamp("date", "yyyy-MM-dd HH:mm:ss")
+    return data.select("file", "name", date.alias("date"), F.year(date).alias("year"), *[F.coalesce(f, F.lit(False)).alias(f) for f in flags])
+
+
+def read_cache_reports(spark: SparkSession, path: str, section: str, name: str = r"([0-9]+[KMG])[^/]*$") -> DataFrame:
+    """The first miss rate below a section heading, and the cache size in the file's path (K, M, G), in its name if not said else."""
     text = spark.read.text(path, wholetext=True).select("value", _file())
     rate = F.regexp_extract("value", rf"(?s){section}.*?miss rate:\s*([0-9.]+)%", 1)
-    size = F.regexp_extract(basename(F.col("file")), r"([0-9]+[KMG])", 1)
+    size = F.regexp_extract("file", name, 1)
     return text.select("file", size.alias("size_text"), text_to_bytes(F.when(size != "", size)).alias("size"), rate.try_cast("double").alias("miss_rate")).orderBy("size")
 
 
@@ -368,7 +395,11 @@ def netisr_delta(before: DataFrame, after: DataFrame) -> DataFrame:
 def read_pid_map(spark: SparkSession, path: str) -> DataFrame:
     """pid, tid and names of created processes and threads."""
     schema = "create array<struct<pid:bigint,name:string>>, `thr-create` array<struct<pid:bigint,tid:bigint,name:string>>"
-    data = read_json(spark, path, schema)
+    return pid_names(read_json(spark, path, schema))
+
+
+def pid_names(data: DataFrame) -> DataFrame:
+    """Reports of created processes and threads, joined on the process."""
     process = data.select("file", F.explode("create").alias("p")).select("file", "p.pid", F.col("p.name").alias("process"))
     thread = data.select("file", F.explode("thr-create").alias("t")).select("file", "t.pid", "t.tid", F.col("t.name").alias("thread"))
     return process.join(thread, ["file", "pid"])
@@ -377,24 +408,61 @@ def read_pid_map(spark: SparkSession, path: str) -> DataFrame:
 # -- stores --------------------------------------------------------------------------------------
 
 
-def read_layouts(spark: SparkSession, folder: str) -> DataFrame:
-    """Members with their structure and binary, from the three tables of a layout store as Parquet."""
+def read_layouts(spark: SparkSession, folder: str, columns: Sequence[str] = (), types: Mapping[str, str] | None = None, where: Column | None = None) -> DataFrame:
+    """Members with their structure and binary, from the three tables of a layout store as Parquet.
+
+    columns: those wanted, in order; types: casts of some of them; where: rows wanted, by any column of the store.
+    """
     binary, layout, member = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("binary", "type_layout", "layout_member"))
     b = binary.select(F.col("id").alias("binary_id"), F.col("file").alias("binary"))
-    s = layout.select(F.col("id").alias("owner"), F.col("file").alias("src_file"), "line", F.col("name").alias("struct"), F.col("size").alias("struct_size"), "binary_id")
-    return member.join(s, "owner").join(b, "binary_id")
+    flags = [c for c in ("is_union", "has_vla") if c in layout.columns]
+    s = layout.select(F.col("id").alias("owner"), F.col("file").alias("src_file"), "line", F.col("name").alias("struct"), F.col("size").alias("struct_size"), "binary_id", *flags)
+    joined = member.join(s, "owner").join(b, "binary_id")
+    joined = joined if where is None else joined.where(where)
+    joined = joined.withColumns({c: F.col(c).cast(t) for c, t in (types or {}).items()})
+    return joined.select(*columns) if columns else joined
 
 
-def read_track(spark: SparkSession, folder: str, track: str, since: int | None = None, until: int | None = None) -> DataFrame:
-    """Slices of a track with their arguments, or counter values, inside [since, until)."""
+def _during(since: int | None, until: int | None) -> Column:
+    """ts in [since, until); None is no bound."""
     span: Column = F.lit(True)
     if since is not None:
         span = span & (F.col("ts") >= since)
-    if until is not None:
-        span = span & (F.col("ts") < until)
+    return span if until is None else span & (F.col("ts") < until)
+
+
+def read_track(spark: SparkSession, folder: str, track: str, since: int | None = None, until: int | None = None) -> DataFrame:
+    """Slices of a track with their arguments, or counter values, inside [since, until)."""
+    span = _during(since, until)
     if track == "slice":
         slices = spark.read.parquet(f"{folder}/slice.parquet").where(span)
         args = spark.read.parquet(f"{folder}/args.parquet").groupBy("arg_set_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", "value")))).alias("args"))
         return slices.join(args, "arg_set_id", "left")
     counters = spark.read.parquet(f"{folder}/counter.parquet").where(span)
     return counters.join(spark.read.parquet(f"{folder}/counter_track.parquet").where(F.col("name") == track), "track_id")
+
+
+def read_counter_slots(spark: SparkSession, folder: str, since: int | None = None, until: int | None = None) -> DataFrame:
+    """Counter values of all tracks: name and slot from a track's name, name:slot, and ts since the beginning of the range."""
+    values = spark.read.parquet(f"{folder}/counter.parquet").where(_during(since, until))
+    tracks = spark.read.parquet(f"{folder}/counter_track.parquet").select("track_id", F.split("name", ":").alias("_n"))
+    return values.join(tracks, "track_id").select((F.col("ts") - F.lit(since or 0)).alias("ts"), F.col("_n")[0].alias("name"), F.get("_n", F.lit(1)).try_cast("int").alias("slot"), "value")
+
+
+def read_contexts(spark: SparkSession, folder: str, since: int | None = None, until: int | None = None) -> DataFrame:
+    """Intervals of context tracks with their process, thread and compartment: pid, tid, cid, el, ts, start, end, value."""
+    part = lambda t, *columns: spark.read.parquet(f"{folder}/{t}.parquet").select(*columns)
+    tracks = part("context_track", "track_id", "upid", "utid", "ucid").join(part("process", "upid", "pid"), "upid").join(part("thread", "utid", "tid"), "utid").join(part("compartment", "ucid", "cid", "el"), "ucid")
+    return spark.read.parquet(f"{folder}/interval.parquet").where(_during(since, until)).join(tracks, "track_id").select("pid", "tid", "cid", "el", "ts", "start", "end", "value")
+
+
+#: Fixed value: the statistic that counts lost packets of a trace.
+PACKET_LOSS = "traced_buf_trace_writer_packet_loss"
+
+
+def lost_packets(spark: SparkSession, folder: str) -> int:
+    """Packets that a trace has lost; a trace that doesn't say it once raises."""
+    rows = spark.read.parquet(f"{folder}/stats.parquet").where(F.col("name") == PACKET_LOSS).select("value").take(2)
+    if len(rows) != 1:
+        raise ValueError(f"{len(rows)} statistics {PACKET_LOSS}")
+    return int(rows[0][0])

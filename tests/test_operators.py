@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from runledger import checks, keys
 from runledger.functions import scalars
-from runledger.operators import coords, histogram, intervals, layouts, shape, trace
+from runledger.operators import coords, histogram, intervals, layouts, ordered, shape, trace
 
 
 def one(spark, column):
@@ -174,12 +174,68 @@ def test_conformance(spark):
 
 
 def test_instruction_classes(spark):
-    cases = [("ldr", "x0, [x1]", "ld_int"), ("LDP", "c0, c1, [csp]", "ld_pair_cap"), ("stp", "x0, x1, [x2]", "st_pair_int"), ("str", "c3, [x0]", "st_cap"), ("scbnds", "c0, c0, x1", "capability"), ("add", "x0, x1, x2", "other")]
+    cases = [("ldr", "x0, [x1]", "ld_int"), ("ldrb", "w0, [x1]", "ld_int"), ("ldp", "c0, c1, [csp]", "ld_pair_cap"), ("ldr", "czr, [x0]", "ld_cap"), ("stp", "x0, x1, [x2]", "st_pair_int"), ("str", "c3, [x0]", "st_cap")]
+    # Only these forms: atomics and unscaled ones are other, as are conversions and other capability instructions.
+    cases += [("scbnds", "c0, c0, x1", "cheri"), ("scbndse", "c0, c0, x1", "cheri"), ("scvtf", "d0, x1", "other"), ("ldadd", "x0, x1, [x2]", "other"), ("ldur", "x0, [x1]", "other"), ("seal", "c0, c0, c1", "other"), ("ret", None, "other"), ("add", "x0, x1, x2", "other")]
     frame = spark.createDataFrame(cases, "m string, o string, want string")
     assert all(r["got"] == r["want"] for r in frame.withColumn("got", trace.instruction_class(F.col("m"), F.col("o"))).collect())
     assert one(spark, trace.is_kernel(F.lit("18446462598732840960").cast("decimal(20,0)")))
 
 
+def test_left_range_join_after_a_shuffle(spark):
+    # The same rows, whatever order and partitions the points come in.
+    points = [(k % 40, k % 7) for k in range(400)]
+    ranges = spark.createDataFrame([(5, 9, 0), (7, 700, 1), (30, 31, 2)], "low int, high int, rid int")
+    want = None
+    for parts in (1, 3, 17):
+        p = spark.createDataFrame(points, "pos int, v int").repartition(parts, "v")
+        got = sorted(map(str, intervals.range_join(p, ranges, "pos", "low", "high", how="left", bucket=2).collect()))
+        want = want or got
+        assert got == want and len(got) == 400 - 0 + sum(5 <= x < 9 and 7 <= x for x, _ in points) + sum(x == 30 for x, _ in points)
+
+
+def test_orders_over_range_partitions(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice("ab"), k, rng.choice([None, None, k])) for k in range(300)]
+    frame = spark.createDataFrame(rows, "k string, at int, v int").repartition(5)
+    last: dict = {}
+    want = {}
+    for k, at, v in rows:
+        last[k] = v if v is not None else last.get(k)
+        want[at] = last[k]
+    assert {r["at"]: r["v"] for r in ordered.filled(frame, ["k"], ["at"], "v").collect()} == want
+    total: dict = {}
+    sums = {}
+    for k, at, _ in rows:
+        sums[at] = total.get(k, 0)
+        total[k] = sums[at] + at
+    assert {r["at"]: r["s"] for r in ordered.running(frame, ["k"], ["at"], {"s": "at"}).collect()} == sums
+    assert {r["at"]: r["n"] for r in ordered.ranked(frame, "at", "at", "n").collect()} == {k: k for k in range(300)}
+
+
+def test_no_window_takes_a_whole_table(spark):
+    from runledger.plans import registry
+
+    for name in ("nearest_part_price", "resolved_symbols", "bar_layout", "striped_names", "iteration_windows", "filled_values"):
+        plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        # A window without keys runs over one row for each partition, never over rows of a table.
+        assert all("_range" in line or "[user_id" in line for line in plan.splitlines() if "Window [" in line), plan
+
+
+def test_instructions_of_a_call(spark):
+    n = spark.createDataFrame([("f", "a", 10.0), ("f", "b", 30.0), ("g", "b", 5.0)], "symbol string, run string, n double")
+    calls = spark.createDataFrame([("f", "a", 2), ("f", "b", 3), ("g", "b", 0)], "symbol string, run string, calls int")
+    got = trace.per_call(n, calls, ["symbol"], ["run"], "a").collect()
+    assert [(r["symbol"], r["insn_per_call"], r["delta_insn_per_call"]) for r in got] == [("f", 10.0, 5.0)]
+
+
+def test_counter_ratios(spark):
+    counts = {"cpu_cycles": 100, "inst_retired": 50, "stall_backend": 20, "inst_spec": 80, "br_mis_pred": 1, "br_pred": 4, "l1i_cache": 10, "l1i_cache_refill": 1, "l1d_cache": 8, "l1d_cache_refill": 2}
+    frame = spark.createDataFrame([("g1", k, float(v)) for k, v in counts.items()] + [("g2", "cpu_cycles", 7.0)], "g string, name string, value double")
+    got = {(r["g"], r["name"]): r["value"] for r in shape.with_derived_metrics(frame, ["g"], "name", "value").collect() if r["name"] not in counts}
+    assert got == {("g1", k): v for k, v in {"cycles_per_insn": 2.0, "ipc": 0.5, "br_pred_miss_rate": 0.25, "insn_spec_rate": 0.625, "eff_backend_ipc": 0.625, "l1i_hit_rate": 0.9, "l1d_hit_rate": 0.75}.items()}
+
+
 def test_trigger_window_without_hits(spark):
     frame = spark.range(10).select(F.col("id").alias("line"), (F.col("id") % 4).alias("pc"))
     assert [r["line"] for r in trace.trigger_window(frame, "line", "pc", start=2, stop=1, hits=3).orderBy("line").collect()] == [2, 3, 4, 5, 6, 7, 8]

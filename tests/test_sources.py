@@ -52,10 +52,15 @@ def test_network(spark, tmp_path):
     assert rows(readers.read_qps(spark, qps), "qps", "message_count", "latency90", "req_size", "resp_size") == [(5.0, 9.0, 1.5, 4, 0)]
     redis = put(tmp_path, "r.csv", "requests_per_second,latency_ms,errors,connections\n10,1,0,5\n20,2,3,5\n")
     assert rows(readers.read_redis(spark, redis), "requests_per_second", "has_errors") == [(10.0, True), (20.0, True)]
-    wrk = put(tmp_path, "w.json", {"scenario": "s_128b", "summary": {"duration": 2_000_000, "requests": 10, "bytes": 5}, "errors": {"read": 1, "write": 2}, "latency": {"min": 1, "percentile50": 2.5}})
-    assert rows(readers.read_wrk(spark, wrk), "request_size", "errors", "requests_per_second", "latency_percentile50") == [(128, 3, 5.0, 2.5)]
+    wrk = put(tmp_path, "w.json", {"scenario": "s_128b", "summary": {"duration": 2_000_000, "requests": 10, "bytes": 5}, "errors": {"read": 1, "status": 2}, "latency": {"min": 1, "percentile50": 2.5, "percentile95": 3, "percentile999": 4}})
+    assert rows(readers.read_wrk(spark, wrk), "request_size", "errors", "requests_per_second", "latency_percentile50", "latency_percentile95", "latency_percentile999") == [(128, 2, 5.0, 2.5, 3.0, 4.0)]
+    with pytest.raises(Exception, match="no request size"):
+        readers.read_wrk(spark, put(tmp_path, "bad.json", {"scenario": "plain", "summary": {"duration": 1}})).collect()
     perf = put(tmp_path, "n.csv", "MIGRATED TCP\nThroughput,Elapsed Time,Units\n12.5,10,Mb\n")
     assert rows(readers.read_netperf(spark, perf, ["Throughput", "Elapsed Time", "Missing"]), "throughput", "elapsed time", "missing") == [(12.5, 10.0, None)]
+    # No line of a long file is left out.
+    long = put(tmp_path, "long.csv", "MIGRATED TCP\nThroughput\n" + "1\n" * ((1 << 20) + 5))
+    assert readers.read_netperf(spark, long, ["Throughput"]).count() == (1 << 20) + 5
 
 
 def test_counters_and_stacks(spark, tmp_path):
@@ -65,9 +70,12 @@ def test_counters_and_stacks(spark, tmp_path):
     assert rows(readers.read_counters(spark, system), "cpu", "name", "value") == [(0, "cpu_cycles", 4.0), (1, "cpu_cycles", 6.0)]
     graph = put(tmp_path, "g.txt", "@ CPU_CYCLES [100 samples]\n\n60.0% [60] main @ /bin/a\n  50.0% [30] f @ /bin/a\n    50.0% [15] h @ /bin/a\n  25.0% [15] g @ /bin/a\n40.0% [40] idle @ kernel\n")
     stacks = readers.read_callgraph(spark, graph)
-    assert rows(stacks, "stack", "samples", "total") == [("idle", 40, 100), ("main;f;h", 15, 100), ("main;g", 15, 100)]
+    assert rows(stacks, "stack", "samples", "total") == [("g;main", 15, 100), ("h;f;main", 15, 100), ("idle", 40, 100)]
+    for bad in ("no header\n", "@ CPU [1 samples]\n50% main\n"):
+        with pytest.raises(Exception, match="not a"):
+            readers.read_callgraph(spark, put(tmp_path, "bad.txt", bad)).collect()
     sinks.write_folded(stacks, str(tmp_path / "folded"))
-    assert sorted(r[0] for r in spark.read.text(str(tmp_path / "folded")).collect()) == ["idle 40", "main;f;h 15", "main;g 15"]
+    assert sorted(r[0] for r in spark.read.text(str(tmp_path / "folded")).collect()) == ["g;main 15", "h;f;main 15", "idle 40"]
 
 
 def test_lines(spark, tmp_path):
