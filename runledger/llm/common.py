@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runledger.session import fresh_path as fresh_path
+from runledger.session import stored as written
+
 #: Fixed value of the contract: a word is a run of other characters than space and \t..\r.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Fixed value of the contract: bytes A-Z to a-z, others as they are.
@@ -24,30 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or in local mode a local one where it is unset."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not found:
-        if not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        sc.setCheckpointDir(found)
-        found = sc.getCheckpointDir()
-    return found.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it again: cuts lineage, survives lost executors."""
-    path = fresh_path(df.sparkSession, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Arrow batches of few rows, since one text can be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
@@ -68,8 +44,18 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores as it needs to be none of the columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 #: Rows of a file that a row number has room for, as bits.
 INDEX_BITS = 38
+#: Bytes of a table's paths up to which they are broadcast.
+PATH_BYTES = 32 << 20
 
 
 def with_row(df: DataFrame, name: str = "_row") -> DataFrame:
@@ -79,13 +65,16 @@ def with_row(df: DataFrame, name: str = "_row") -> DataFrame:
     again after executors have come or gone finds the same numbers. There is one path per file, as the driver has
     to plan a scan. Other rows are numbered and written to the shared folder.
     """
-    file, index = f"{name}_file", f"{name}_index"
-    if {name, file, index} & set(df.columns):
-        raise ValueError(f"columns {name}, {file} and {index} are reserved")
+    if free_name(df, name) != name:
+        raise ValueError(f"there is a column {name}")
+    file, index = free_name(df, f"{name}_file"), free_name(df, f"{name}_index")
     try:
         placed = df.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(index))
     except AnalysisException:
         return written(df.withColumn(name, F.monotonically_increasing_id()), "rows")
     paths = sorted(r[0] for r in placed.select(file).distinct().collect())
     numbers = df.sparkSession.createDataFrame([(path, k << INDEX_BITS) for k, path in enumerate(paths)], f"{file} string, {name} long")
+    # Without a broadcast the rows would be shuffled by their file.
+    if sum(map(len, paths)) < PATH_BYTES:
+        numbers = F.broadcast(numbers)
     return placed.join(numbers, file).select(*df.columns, (F.col(name) + F.col(index)).alias(name))

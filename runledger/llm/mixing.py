@@ -22,7 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runledger.llm.common import WORD, tasks, written
+from runledger.llm.common import WORD, written
+from runledger.operators.ordered import running
 
 #: Documents of a block, about, and words of an output shard, about.
 BLOCK_DOCS = 512
@@ -37,24 +38,6 @@ def _uniform(seed: int, *keys: Column | str) -> Column:
     return (F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 52)) + 0.5) / float(1 << 52)
 
 
-def running(df: DataFrame, keys: list[str], order: list[Column | str], sums: dict[str, Column | str]) -> DataFrame:
-    """Adds, under each name, the sum of an expression over the rows before in the order of the row's keys.
-
-    Rows are sorted into range partitions, so one key may fill many of them; a partition's sums begin where those of
-    the partitions before it end. Only one row per partition and key is added up over partitions.
-    """
-    named = {f"_order_{k}": c if isinstance(c, Column) else F.col(c) for k, c in enumerate(order)}
-    ranged = df.withColumns(named | {f"_sum_{n}": F.expr(c) if isinstance(c, str) else c for n, c in sums.items()})
-    ranged = ranged.repartitionByRange(tasks(df.sparkSession), *keys, *named).withColumn("_range", F.spark_partition_id())
-    ranged = written(ranged, "ranges")
-    before = Window.partitionBy("_range", *keys).orderBy(*named).rowsBetween(Window.unboundedPreceding, -1)
-    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    totals = ranged.groupBy("_range", *keys).agg(*[F.sum(f"_sum_{n}").alias(n) for n in sums])
-    starts = totals.select("_range", *keys, *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_start_{n}") for n in sums])
-    inside = ranged.withColumns({n: F.coalesce(F.sum(f"_sum_{n}").over(before), F.lit(0)) for n in sums})
-    return inside.join(starts, ["_range", *keys]).select(*df.columns, *[(F.col(n) + F.col(f"_start_{n}")).alias(n) for n in sums])
-
-
 def targets(sources: DataFrame, most: float = MOST_REPEATS) -> DataFrame:
     """sources (source, source_size): adds number (from 0, in order), weight and target.
 

@@ -12,8 +12,8 @@ the shard's directory, reads these blocks alone, and then reads records by byte
 Task attempts write files of their own name; only files that a successful attempt has reported are in the index, so
 lost executors leave at most files that nothing refers to. Null html is an empty payload. A null url has the key "-". Null
 page ids come last among equal payloads; of rows with equal ids one is the response. Very long payloads are one record like any
-other. Other columns of the table, whatever their names but one, _warc_row, play no part. An empty table gives an
-empty archive, and every lookup in it no rows.
+other. Other columns of the table, whatever their names, play no part. An empty table gives an empty archive, and every
+lookup in it no rows.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runledger.llm.common import fresh_path, small_batches, tasks, with_row, written
+from runledger.llm.common import free_name, fresh_path, small_batches, tasks, with_row, written
 
 BLOCK_LINES = 3000
 FILE_BYTES = 1 << 30
@@ -199,7 +199,8 @@ def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     folder, n = fresh_path(spark, "warc"), tasks(spark)
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     # The table is read twice, so its rows need numbers that both plans agree on.
-    source = with_row(pages, "_warc_row").select(F.col(id_col).cast("long").alias("page"), F.col(url_col).cast("string").alias("url"), html.alias("html"), F.col("_warc_row").alias("row"))
+    row = free_name(pages, "row")
+    source = with_row(pages, row).select(F.col(id_col).cast("long").alias("page"), F.col(url_col).cast("string").alias("url"), html.alias("html"), F.col(row).alias("row"))
     # Which records are revisits is decided on digests; texts move once, by their row number.
     seen = source.where(F.octet_length("html") >= least_bytes).select("page", "row", F.sha1(F.col("html").cast("binary")).alias("sha"))
     seen = written(seen, "digests")

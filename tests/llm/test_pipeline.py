@@ -35,6 +35,10 @@ def key(r):
 def test_toxic_documents_go(spark, docs):
     got = stage("toxicity")(spark, docs, SF)
     assert got.columns == docs.columns
+    # Documents with many words that toxic ones share go, however few the labels are.
+    bad = spark.createDataFrame([(10_000 + k, "You are a stupid idiot, a pathetic moron and worthless trash. " * (k + 1)) for k in range(8)], "doc_id long, text string")
+    both = docs.unionByName(bad, allowMissingColumns=True)
+    assert stage("toxicity")(spark, both, SF).where("doc_id >= 10000").count() == 0
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     kept = {r["doc_id"] for r in got.collect()}
     clean = [d for d, t in labels.items() if t == 0]
@@ -78,6 +82,11 @@ def test_mix_repeats_documents(spark, docs, odd):
         assert all(each[k] <= 3 * had[k] for k in each)
 
 
+def test_two_runs_agree(spark):
+    runs = [sorted((r["doc_id"], r["piece"], r["ids_crc32"]) for r in corpus_pipeline.run(spark, SF).collect()) for _ in range(2)]
+    assert runs[0] == runs[1]
+
+
 def test_run_packs_what_the_stages_keep(spark):
     got = corpus_pipeline.run(spark, SF).collect()
     used = Counter()
@@ -88,7 +97,8 @@ def test_run_packs_what_the_stages_keep(spark):
 
 
 def test_stages_take_odd_and_empty_tables(spark, odd):
-    clash = odd.selectExpr("*", "1 as shard", "2 as place", "3 as row", "4 as kept", "5 as predicted", "6 as size", "7 as fp")
+    names = ("shard", "place", "row", "kept", "predicted", "size", "fp", "_row", "_row_file", "_row_index", "_shard", "_place", "number", "block")
+    clash = odd.selectExpr("*", *[f"{k} as {n}" for k, n in enumerate(names)])
     for name, f in corpus_pipeline.STAGES:
         got = f(spark, clash, SF)
         if name != "packing":
