@@ -8,12 +8,13 @@ counts of the sweep before; for dishes with very many customers by the Poisson l
 burn-in, predictive probabilities are averaged over sweeps.
 
 Texts are cut into blocks of bounded size. Distinct word pairs and words of a block travel as sorted key
-blobs to buckets by key, which add up counts and tell every block the totals; blocks stay where they are, in
-a table bucketed by block. Of the blocks that share a pair one owns it, so its tables count once; every block draws the same
+blobs to buckets by key, which add up counts and tell every block the totals, by way of merged groups of blocks where
+there are many buckets; blocks stay where they are, in a table bucketed by block. Of the blocks that share a pair one owns it, so its tables count once; every block draws the same
 numbers, since they follow from the key and the sweep. Words are told apart by their XXH64.
 
-Null text counts as empty: such a text is its end alone. Without training rows every token is of the unknown
-class. Rows with equal ids are scored one by one. An empty table gives no rows.
+Null text counts as empty: such a text is its end alone. A very long text is one block. Without training rows every
+token is of the unknown class. Rows with equal ids are scored one by one. Other columns of the table, whatever their names,
+play no part. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ from runledger.llm.xxh import xxh64_ranges
 
 BLOCK_TOKENS = 1_000_000
 BUCKET_TOKENS = 2_000_000
+#: Buckets that a block addresses, at most; a power of two.
+FAN = 256
 BURN_IN, SAMPLES = 1, 2
 #: Strength of the context restaurants and of the root; share of the unknown class in the base.
 STRENGTH, ROOT_STRENGTH, UNKNOWN = 1.0, 1.0, 0.9
@@ -130,93 +133,154 @@ class _Block:
         return _mixed(self.words[self.pair_u[some]] ^ _mixed(self.words[self.pair_w[some]], 1), 2)
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks from rows (id, text, row, held)."""
-    block = TaskContext.get().partitionId() << 32
-    held: list[tuple] = []
-    size = 0
-    for batch in batches:
-        for i, t, row, out in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            words = t.translate(LOWER_SPACE).split()
-            held.append((NO_ID if i is None else i, row, out, words))
-            size += len(words) + 1
-            if size >= BLOCK_TOKENS:
-                yield _Block.of(*map(list, zip(*held, strict=True))).row(block)
-                held, size, block = [], 0, block + 1
-    if held:
-        yield _Block.of(*map(list, zip(*held, strict=True))).row(block)
+def _cut(most: int):
+    """Blocks of about `most` tokens from rows (id, text, row, held)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
+        held: list[tuple] = []
+        size = 0
+        for batch in batches:
+            for i, t, row, out in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                words = t.translate(LOWER_SPACE).split()
+                held.append((NO_ID if i is None else i, row, out, words))
+                size += len(words) + 1
+                if size >= most:
+                    yield _Block.of(*map(list, zip(*held, strict=True))).row(block)
+                    held, size, block = [], 0, block + 1
+        if held:
+            yield _Block.of(*map(list, zip(*held, strict=True))).row(block)
+
+    return run
 
 
 # -- exchange of counts by key -------------------------------------------------------------------
 
 
-def _asked(block: int, keys: np.ndarray, values: list[np.ndarray], buckets: int, order: np.ndarray | None = None, own: np.ndarray | None = None) -> pa.RecordBatch:
-    """A block's keys with their values, as a row for each bucket; order sorts the keys, which else are sorted.
+def _asked(block: int, keys: np.ndarray, values: list[np.ndarray], fan: int, order: np.ndarray | None = None, own: np.ndarray | None = None, prefix: int = 0, bits: int = 0) -> pa.RecordBatch:
+    """A block's keys with their values, as a row for each of `fan` buckets; order sorts the keys, which else are sorted.
 
-    own comes back to the block as it is, with the answers: it goes by a bucket of the block's, below zero.
+    All keys begin with `prefix`, of so many bits. own comes back to the block as it is, with the answers: it goes by a
+    bucket of the block's, below zero.
     """
     if order is not None:
         keys, values = keys[order], [v[order] for v in values]
-    shift = np.uint64(64 - buckets.bit_length() + 1)
-    cuts = np.searchsorted(keys, np.arange(1, buckets, dtype=np.uint64) << shift)
-    rows = [(b, block, _packed(np.diff(k, prepend=np.uint64(0))), [_packed(v.astype("<u4")) for v in vs]) for b, (k, *vs) in enumerate(zip(*(np.split(x, cuts) for x in (keys, *values)), strict=True)) if len(k)]
+    free = 64 - bits - (fan.bit_length() - 1)
+    cuts = np.searchsorted(keys, np.array([(prefix * fan + k) << free for k in range(1, fan)], np.uint64))
+    rows = [(prefix * fan + b, block, _packed(np.diff(k, prepend=np.uint64(0))), [_packed(v.astype("<u4")) for v in vs]) for b, (k, *vs) in enumerate(zip(*(np.split(x, cuts) for x in (keys, *values)), strict=True)) if len(k)]
     if own is not None:
-        rows.append((-1 - block % buckets, block, b"", [_packed(own)]))
+        rows.append((-1 - block % fan, block, b"", [_packed(own)]))
     columns = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
-    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.list_(pa.binary()))], names=["bucket", "block", "keys", "vals"])
+    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.list_(pa.binary()))], names=["bucket", "block", "keys", "vals"])
+
+
+_ASK_SQL = "bucket long, block long, keys binary, vals array<binary>"
+_ANSWER_SQL = "block long, bucket long, vals array<binary>, stats array<double>"
 
 
-_ASK_SQL = "bucket int, block long, keys binary, vals array<binary>"
-_ANSWER_SQL = "block long, bucket int, vals array<binary>, stats array<double>"
+def _answer(block: int | None, bucket: int, vals: list[bytes] | None, stats: list[float] | None = None) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([bucket], pa.int64()), pa.array([vals], pa.list_(pa.binary())), pa.array([stats], pa.list_(pa.float64()))], names=["block", "bucket", "vals", "stats"])
+
+
+def _gathered(rows: list) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+    """Of rows (block, keys, values): the distinct keys, the distinct key of each entry, the values, where rows end."""
+    keys = [np.cumsum(_unpacked(r[1], "<u8"), dtype=np.uint64) for r in rows]
+    values = [np.concatenate([_unpacked(r[2][k], "<u4") for r in rows]).astype(np.int64) for k in range(len(rows[0][2]))]
+    key, number = np.unique(np.concatenate(keys), return_inverse=True)
+    return key, number, values, np.cumsum([len(k) for k in keys])[:-1]
+
+
+def _each(batches: Iterator[pa.RecordBatch], settle: Callable) -> Iterator[pa.RecordBatch]:
+    """settle(first column, rows of the others) for each run of rows whose first column is equal."""
+    at, rows = None, []
+    for batch in batches:
+        for now, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if now != at and rows:
+                yield from settle(at, rows)
+                rows = []
+            at = now
+            rows.append(row)
+    if rows:
+        yield from settle(at, rows)
 
 
 def _answered(reply: Callable):
-    """Partitions sorted by bucket. reply(key, first, number, values) -> (answers by key, stats), where first
-    is the place of each distinct key's first row and number the distinct key of each row."""
+    """Partitions sorted by bucket. reply(key, number, values) -> (answers by entry, stats), where number is the distinct
+    key of each entry."""
 
     def settle(bucket: int, rows: list) -> Iterator[pa.RecordBatch]:
-        keys = [np.cumsum(_unpacked(r[1], "<u8"), dtype=np.uint64) for r in rows]
-        values = [np.concatenate([_unpacked(r[2][k], "<u4") for r in rows]).astype(np.int64) for k in range(len(rows[0][2]))]
-        size = np.array([len(k) for k in keys])
-        key, number = np.unique(np.concatenate(keys), return_inverse=True)
+        if bucket < 0:
+            # What blocks keep for themselves.
+            yield from (_answer(block, bucket, vals) for block, _, vals in rows)
+            return
+        key, number, values, cuts = _gathered(rows)
         answers, stats = reply(key, number, values)
-        cuts = np.cumsum(size)[:-1]
-        split = [np.split(a, cuts) for a in answers]
-        for k, r in enumerate(rows):
-            yield pa.RecordBatch.from_arrays([pa.array([r[0]], pa.int64()), pa.array([bucket], pa.int32()), pa.array([[_packed(a[k].astype("<u4")) for a in split]], pa.list_(pa.binary())), pa.nulls(1, pa.list_(pa.float64()))], names=["block", "bucket", "vals", "stats"])
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([bucket], pa.int32()), pa.nulls(1, pa.list_(pa.binary())), pa.array([list(map(float, stats))], pa.list_(pa.float64()))], names=["block", "bucket", "vals", "stats"])
+        for row, *parts in zip(rows, *(np.split(x, cuts) for x in answers), strict=True):
+            yield _answer(row[0], bucket, [_packed(x.astype("<u4")) for x in parts])
+        yield _answer(None, bucket, None, [float(x) for x in stats])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, rows = None, []
-        for batch in batches:
-            for bucket, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if bucket < 0:
-                    # What a block keeps for itself.
-                    yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), pa.array([bucket], pa.int32()), pa.array([row[2]], pa.list_(pa.binary())), pa.nulls(1, pa.list_(pa.float64()))], names=["block", "bucket", "vals", "stats"])
-                    continue
-                if bucket != at and rows:
-                    yield from settle(at, rows)
-                    rows = []
-                at = bucket
-                rows.append(row)
-        if rows:
-            yield from settle(at, rows)
+    return lambda batches: _each(batches, settle)
 
-    return run
 
+def _merged(groups: int, fan: int, bits: int):
+    """Partitions sorted by unit, a unit being a bucket's rows of one group of blocks: each asks as one block would."""
+
+    def settle(unit: int, rows: list) -> Iterator[pa.RecordBatch]:
+        key, number, values, _ = _gathered(rows)
+        yield _asked(unit, key, [np.bincount(number, v, len(key)).astype(np.int64) for v in values], fan, prefix=unit // groups, bits=bits)
+
+    return lambda batches: _each(batches, settle)
+
+
+def _spread(groups: int, owned: bool):
+    """Partitions sorted by unit, the unit's answers before its rows: the answers to every block of it.
+
+    owned: the lowest bit of an answer is for one block of the unit alone, the first with a count.
+    """
+
+    def settle(unit: int, rows: list) -> Iterator[pa.RecordBatch]:
+        parts = [r[3] for r in rows if r[3] is not None][0]
+        asked = [r[:3] for r in rows if r[3] is None]
+        _, number, values, cuts = _gathered(asked)
+        answers = [x[number] for x in _told(parts, len(parts[0]["vals"]))]
+        if owned:
+            seen = np.flatnonzero(values[0])
+            first = np.zeros(len(number), np.int64)
+            first[seen[np.unique(number[seen], return_index=True)[1]]] = 1
+            answers = [x - (x & 1) * (1 - first) for x in answers]
+        for row, *split in zip(asked, *(np.split(x, cuts) for x in answers), strict=True):
+            yield _answer(row[0], unit // groups, [_packed(x.astype("<u4")) for x in split])
 
-def _exchange(asks: DataFrame, reply: Callable, tag: str) -> tuple[DataFrame, np.ndarray]:
-    """(block, parts) with the answers of all buckets to each block, and the sum of the buckets' stats."""
+    return lambda batches: _each(batches, settle)
+
+
+def _exchange(asks: DataFrame, reply: Callable, tag: str, blocks: int, buckets: int, owned: bool = False, bits: int = 0) -> tuple[DataFrame, np.ndarray]:
+    """(block, parts) with the answers of all buckets to each block, and the sum of the buckets' stats.
+
+    A block addresses at most FAN buckets. Where there are more, groups of FAN blocks are merged in each of them and ask
+    the finer buckets in it as one block would, so rows grow with the blocks and not with their square.
+    """
     n = tasks(asks.sparkSession)
-    told = written(asks.repartition(n, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(_answered(reply), _ANSWER_SQL), tag)
-    # A few sums, whatever the number of buckets.
-    sums = told.where("stats is not null").select(F.posexplode("stats")).groupBy("pos").agg(F.sum("col")).collect()
-    stats = np.zeros(8)
-    for pos, x in sums:
-        stats[pos] = x
-    # A block's answers are as many as there are buckets, and as long as the block has keys.
-    parts = told.where("block is not null").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "vals"))).alias(tag))
-    return parts, stats
+    if buckets <= FAN:
+        told = written(asks.repartition(n, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(_answered(reply), _ANSWER_SQL), tag)
+        answers = told.where("block is not null")
+        # A few sums, whatever the number of buckets.
+        stats = np.zeros(8)
+        for pos, x in told.where("stats is not null").select(F.posexplode("stats")).groupBy("pos").agg(F.sum("col")).collect():
+            stats[pos] = x
+    else:
+        groups = -(-blocks // FAN)
+        bits += FAN.bit_length() - 1
+        kept = written(asks, f"{tag}-asks")
+        units = kept.where("bucket >= 0").select((F.col("bucket") * groups + F.pmod(F.xxhash64("block"), F.lit(groups))).alias("unit"), "block", "keys", "vals")
+        merged = units.repartition(n, "unit").sortWithinPartitions("unit", "block").mapInArrow(_merged(groups, min(FAN, buckets // FAN), bits), _ASK_SQL)
+        parts, stats = _exchange(merged, reply, tag, FAN * groups, buckets // FAN, owned, bits)
+        sides = units.withColumn("parts", F.lit(None).cast(parts.schema[tag].dataType)).unionByName(parts.select(F.col("block").alias("unit"), F.col(tag).alias("parts")), allowMissingColumns=True)
+        spread = sides.repartition(n, "unit").sortWithinPartitions("unit", F.col("parts").isNull(), "block").mapInArrow(_spread(groups, owned), _ANSWER_SQL)
+        own = kept.where("bucket < 0").select("block", "bucket", "vals", F.lit(None).cast("array<double>").alias("stats"))
+        answers = written(spread.unionByName(own), tag)
+    # A block's answers are as many as the buckets that it addresses, and as long as the block has keys.
+    return answers.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "vals"))).alias(tag)), stats
 
 
 def _told(parts: list[dict], n: int) -> list[np.ndarray]:
@@ -375,6 +439,13 @@ def _seated(block: _Block, pair: np.ndarray, word: list[np.ndarray], model: _Mod
     return out
 
 
+def predictive(block: _Block, pair: np.ndarray, seated: np.ndarray, word: list[np.ndarray], model: _Model) -> np.ndarray:
+    """Probability of the second word of every pair after the first; a context without a count leaves all to the root."""
+    count, sent, root, own = word
+    customers, t = count[block.pair_u], own[block.pair_u]
+    return (np.maximum((pair >> 1) - model.d * seated, 0) + (STRENGTH + model.d * t) * model.root(count, sent, root)[block.pair_w]) / (STRENGTH + customers)
+
+
 def _sent(block: _Block, pair: np.ndarray, seated: np.ndarray) -> list[np.ndarray]:
     """Per word of a block: its training count here, tables of it as a dish and in its restaurant, of pairs owned here."""
     mine = np.where(pair & 1, seated, 0)
@@ -383,10 +454,12 @@ def _sent(block: _Block, pair: np.ndarray, seated: np.ndarray) -> list[np.ndarra
 
 
 def _bucketed(df: DataFrame, tag: str, n: int) -> DataFrame:
-    """df as a table in the shared folder, bucketed by block."""
+    """df as a table in the shared folder, bucketed by block; its name in the catalogue is taken back at once."""
     spark, name = df.sparkSession, f"{tag}_{uuid.uuid4().hex}"
     df.write.bucketBy(n, "block").option("path", fresh_path(spark, tag)).option("compression", "none").saveAsTable(name)
-    return spark.table(name)
+    found = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return found
 
 
 def _discount(once: float, twice: float) -> float:
@@ -405,16 +478,18 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     row = F.monotonically_increasing_id() if row_col is None else F.col(row_col).cast("long")
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), row.alias("row"), held_out.cast("boolean").alias("held"))
     # Bucketed by block, so that joins move the small answers and not the blocks. Their blobs are compressed already.
-    blocks = _bucketed(source.mapInArrow(_cut, _BLOCK_SQL), "blocks", n)
+    blocks = _bucketed(source.mapInArrow(_cut(BLOCK_TOKENS), _BLOCK_SQL), "blocks", n)
     small_batches(spark, 4)
-    buckets = 1 << max(5, math.ceil(math.log2(max(1, blocks.count() * BLOCK_TOKENS / BUCKET_TOKENS))))
+    count = blocks.count()
+    buckets = 1 << max(5, math.ceil(math.log2(max(1, count * BLOCK_TOKENS / BUCKET_TOKENS))))
+    fan = min(FAN, buckets)
 
     def ask_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
                 b = _Block.read(r)
                 keys = b.pair_keys()
-                yield _asked(r["block"], keys, [b.pair_n], buckets, np.argsort(keys))
+                yield _asked(r["block"], keys, [b.pair_n], fan, np.argsort(keys))
 
     def settle_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -426,7 +501,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
                 yield pa.RecordBatch.from_arrays([pa.array([r["block"]], pa.int64()), pa.array([_packed(pair)], pa.binary())], names=["block", "pair"])
 
     pairs = blocks.select("block", "words", "pair_u", "pair_w", "pair_n")
-    told, (once, twice, *_) = _exchange(pairs.mapInArrow(ask_pairs, _ASK_SQL), _pairs_reply, "pairs")
+    told, (once, twice, *_) = _exchange(pairs.mapInArrow(ask_pairs, _ASK_SQL), _pairs_reply, "pairs", count, buckets, owned=True)
     # The answers in the blocks' own order; from here on keys of pairs need no more sorting.
     counted = _bucketed(pairs.drop("pair_n").join(told.hint("shuffle_hash"), "block").mapInArrow(settle_pairs, "block long, pair binary"), "counted", n)
     slim = blocks.select("block", "words", "counts", "pair_u", "pair_w").join(counted.hint("shuffle_hash"), "block")
@@ -438,18 +513,18 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
                 for r in batch.to_pylist():
                     b, pair = _Block.read(r), _unpacked(r["pair"], "<u4").astype(np.int64)
                     seated = np.minimum(pair >> 1, 1) if model is None else _seated(b, pair, _told(r["words0"], 4), model, sweep)
-                    yield _asked(r["block"], b.words, _sent(b, pair, seated), buckets, own=seated[pair > 3].astype("<u4") if sweep > burn_in else None)
+                    yield _asked(r["block"], b.words, _sent(b, pair, seated), fan, own=seated[pair > 3].astype("<u4") if sweep > burn_in else None)
 
         return run
 
     # The first seating has one table for each dish; each sweep draws anew, given the one before.
-    words, stats = _exchange(slim.mapInArrow(ask_words(None, 0), _ASK_SQL), _words_reply(None, 0), "words0")
+    words, stats = _exchange(slim.mapInArrow(ask_words(None, 0), _ASK_SQL), _words_reply(None, 0), "words0", count, buckets)
     root_discount = _discount(stats[4], stats[5])
     model = _Model(discount, root_discount, stats)
     kept: list[tuple[DataFrame, _Model]] = [(words, model)]
     for sweep in range(1, burn_in + samples + 1):
         joined = slim.join(words.hint("shuffle_hash"), "block")
-        words, stats = _exchange(joined.mapInArrow(ask_words(model, sweep), _ASK_SQL), _words_reply(model, sweep), "words0")
+        words, stats = _exchange(joined.mapInArrow(ask_words(model, sweep), _ASK_SQL), _words_reply(model, sweep), "words0", count, buckets)
         model = _Model(discount, root_discount, stats)
         kept.append((words, model))
 
@@ -471,16 +546,12 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
 def _scored(r: dict, models: list[_Model], chosen: list[int]) -> pa.RecordBatch:
     b = _Block.read(r)
     pair = _unpacked(r["pair"], "<u4").astype(np.int64)
-    c, p = pair >> 1, np.zeros(len(pair))
+    p = np.zeros(len(pair))
     for k in chosen:
-        m, told = models[k], _told(r[f"words{k}"], 4)
-        seated = np.minimum(c, 1)
-        seated[c > 1] = _kept(r[f"words{k}"])
-        count, _, _, own = told
-        root = m.root(*told[:3])
-        # A context without a count leaves all to the root.
-        customers, t = count[b.pair_u], own[b.pair_u]
-        p += (np.maximum(c - m.d * seated, 0) + (STRENGTH + m.d * t) * root[b.pair_w]) / (STRENGTH + customers)
+        told = _told(r[f"words{k}"], 4)
+        seated = np.minimum(pair >> 1, 1)
+        seated[pair > 3] = _kept(r[f"words{k}"])
+        p += predictive(b, pair, seated, told, models[k])
     logs = np.log10(p / len(chosen))
     n, v = models[0].n, models[0].v
     base = np.log10((told[0] + 0.5) / (n + 0.5 * (v + 1)))

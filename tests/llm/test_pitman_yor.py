@@ -1,9 +1,11 @@
 import math
+import random
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
+import xxhash
 from pyspark.sql import functions as F
 
 from runledger.llm import pitman_yor as py
@@ -55,20 +57,80 @@ def test_odd_rows(spark):
     assert {r["train_tokens"] for r in alone} == {0} and {r["n_known"] for r in alone} == {0}
 
 
-def test_probabilities_sum_to_one(spark):
-    # Every one-word continuation of a context, known and unknown, as texts of their own.
-    learn = [(1, "a b a c a b b a"), (2, "c c a b"), (3, "b a")]
-    words = ["a", "b", "c", "never"]
-    ask = [(100 + k, f"{u} {w}") for u in ("a", "b", "c", "other") for k, w in enumerate(words)] + [(500 + k, u) for k, u in enumerate(["a", "b", "c", "other"])]
-    frame = spark.createDataFrame([(d, t, False) for d, t in learn] + [(d, t, True) for d, t in ask], "doc_id long, text string, held boolean").repartition(2)
-    with_text = frame.withColumn("row", F.xxhash64("doc_id", "text"))
-    rows = {r["text"]: r["score"] for r in py.score(with_text, F.col("held"), row_col="row").join(with_text, "row").collect()}
-    # P(first word) sums to one over words and the end: log10 of the two-token texts gives P(u) P(end | u).
-    restaurant = {}
-    for u in ("a", "b", "c", "other"):
-        restaurant[u] = rows[u]
-    assert all(x < 0 for x in restaurant.values())
-    assert rows["a b"] > rows["a never"] and rows["c a"] > rows["c never"]
+def restaurants(rows, sweeps):
+    """The model of (text, held out) rows, word by word in dicts; only the draws of one dish are the operator's."""
+    mask = (1 << 64) - 1
+
+    def mixed(x, salt=0):
+        x = (x + salt * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & mask
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & mask
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & mask
+        return x ^ (x >> 31)
+
+    def key(w):
+        return int(py.END) if w is None else int(py.START) if w == "<s>" else xxhash.xxh64_intdigest(w.encode(), seed=42)
+
+    def draw(c, weight, d, k, salt):
+        return int(py.tables(np.array([c]), np.array([weight]), d, np.array([k], np.uint64), salt)[0])
+
+    pairs = Counter(p for x, held in rows if not held for p in zip(["<s>", *tokens(x)], tokens(x)))
+    count = Counter()
+    for (_, w), n in pairs.items():
+        count[w] += n
+    context = Counter()
+    for (u, _), n in pairs.items():
+        context[u] += n
+    discount = lambda values: py._discount(sum(v == 1 for v in values), sum(v == 2 for v in values))
+    d, seated = discount(pairs.values()), {p: 1 for p in pairs}
+    states = []
+    for sweep in range(sweeps + 1):
+        if sweep:
+            root, own, root_d, root_tables, customers = states[-1][1:]
+            p_root = lambda w: root_of(states[-1], count, w)  # noqa: B023, E731
+            seated = {(u, w): draw(n, (1 + d * own[u]) * p_root(w), d, mixed(key(u) ^ mixed(key(w), 1), 2), 100_000 * sweep) if n > 1 else 1 for (u, w), n in pairs.items()}
+        sent, own = Counter(), Counter()
+        for (u, w), t in seated.items():
+            sent[w] += t
+            own[u] += t
+        if sweep:
+            base = (1 - py.UNKNOWN) / len(count)
+            weight = (1 + root_d * sum(root_tables.values())) * base
+            tables = {w: draw(n, weight, root_d, key(w), sweep) for w, n in sent.items()}
+        else:
+            root_d, tables = discount(sent.values()), {w: 1 for w in sent}
+        states.append((seated, sent, own, root_d, tables, sum(sent.values())))
+    chosen = states[-py.SAMPLES :]
+
+    def p(u, w):
+        return np.mean([(max(pairs[u, w] - d * s[0].get((u, w), 0), 0) + (1 + d * s[2][u]) * root_of(s, count, w)) / (1 + context[u]) for s in chosen])
+
+    return p, count
+
+
+def root_of(state, count, w):
+    _, sent, _, root_d, tables, customers = state
+    fresh = (1 + root_d * sum(tables.values())) / (1 + customers)
+    return (sent[w] - root_d * tables[w]) / (1 + customers) + fresh * (1 - py.UNKNOWN) / len(count) if count[w] else fresh * py.UNKNOWN
+
+
+def test_scores_are_those_of_plain_restaurants(spark, monkeypatch):
+    rng = random.Random(5)
+    words = [f"w{int(rng.paretovariate(0.7))}" for _ in range(60)]
+    rows = [(" ".join(rng.choice(words) for _ in range(rng.randrange(0, 25))), k % 5 == 1) for k in range(120)]
+    p, count = restaurants(rows, py.BURN_IN + py.SAMPLES)
+    want = [sum(math.log10(p(u, w)) for u, w in zip(["<s>", *tokens(x)], tokens(x))) for x, _ in rows]
+    frame = spark.createDataFrame([(k, x, h) for k, (x, h) in enumerate(rows)], "doc_id long, text string, held boolean").repartition(5)
+    # In one block and in many; by buckets that blocks address at once, and by way of merged groups of blocks.
+    for block, bucket, fan in ((10**6, 10**6, 256), (100, 10**6, 256), (100, 10, 4)):
+        monkeypatch.setattr(py, "BLOCK_TOKENS", block)
+        monkeypatch.setattr(py, "BUCKET_TOKENS", bucket)
+        monkeypatch.setattr(py, "FAN", fan)
+        got = {r["doc_id"]: r["score"] for r in py.score(frame, F.col("held")).collect()}
+        assert all(abs(got[k] - s) < 1e-6 * (1 + abs(s)) for k, s in enumerate(want))
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith(("blocks_", "counted_"))]
+    # Over all known words, the end and the unknown class the probabilities after any context sum to one.
+    for u in ("<s>", *[w for w in count if w is not None], "never seen"):
+        assert abs(sum(p(u, w) for w in count) + p(u, "another") - 1) < 1e-9
 
 
 def test_stirling_law_of_tables():
