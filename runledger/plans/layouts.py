@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from runledger.operators import layouts
 from runledger.plans.registry import query
 from runledger.plans.views import MEMBERS_SQL, members, table
+from runledger.session import stored
 
 _ALIAS = """b AS (SELECT owner, name AS alias, byte_offset - 3 AS base, byte_offset + byte_size + 20 AS top FROM members WHERE is_imprecise),
     pairs AS (SELECT m.owner, m.name, m.byte_offset, b.alias FROM members m JOIN b ON b.owner = m.owner AND m.byte_offset < b.top AND m.byte_offset + m.byte_size > b.base AND m.name <> b.alias)"""
@@ -30,7 +31,8 @@ def alias_pairs(spark, sf_dir):
     """,
 )
 def annotated_members(spark, sf_dir):
-    out = layouts.annotated_members(_bounded(spark, sf_dir), ["owner"])
+    # Stored, since the members stand on all sides of the joins.
+    out = layouts.annotated_members(stored(_bounded(spark, sf_dir), "members"), ["owner"])
     return out.select("owner", "name", "byte_offset", F.col("_alias_color").alias("alias_color"), F.array_join(F.col("_aliased_by").cast("array<string>"), ",").alias("aliased_by"))
 
 
