@@ -229,9 +229,8 @@ def _maximised(counts: np.ndarray, parent: np.ndarray) -> LabelModel:
         own = n.sum(axis=1) + faint * np.array([0.5, 1.0, 0.5])
         own = np.clip(own / own.sum(axis=1, keepdims=True), 1e-6, 1)
         logs.append(np.log((n + own[:, None, :]) / (n.sum(axis=2, keepdims=True) + 1)))
+    # A vote that isn't cast counts too: without it the share of toxic texts would drift from round to round.
     odds = np.clip(logs[0] - logs[1], -6, 6)
-    # A vote that isn't cast says nothing by itself, only beside one that its parent has cast.
-    odds[:, 1, 1] = 0
     return LabelModel(math.log(share / (1 - share)), parent, odds.reshape(-1, 9))
 
 

@@ -92,7 +92,7 @@ def test_label_model_recovers_accuracies_and_correlations(spark):
     frame = spark.createDataFrame([(bytearray(v.tobytes()), int(k)) for v, k in zip(found, count, strict=True)], "votes binary, n long").repartition(4)
     model = fit_label_model(frame, m, 0.3)
     assert [j for j in range(m) if model.parent[j] >= 0] in ([0], [1]) and {*model.parent} == {-1, int(model.parent.argmax() == 0)}
-    assert abs(newton.sigmoid(model.bias) - prior) < 0.02
+    assert abs(newton.sigmoid(model.bias) - prior) < 0.03
     for j in range(2, m):
         want = np.log(right[j] / (1 - right[j]))
         assert abs(model.tables[j, 5] - want) < 0.15 and abs(model.tables[j, 3] + want) < 0.15
@@ -103,7 +103,26 @@ def test_label_model_recovers_accuracies_and_correlations(spark):
     q = model.posterior(votes)
     for low in np.arange(0, 1, 0.2):
         rows = (q >= low) & (q < low + 0.2)
-        assert abs(y[rows].mean() - q[rows].mean()) < 0.04
+        assert abs(y[rows].mean() - q[rows].mean()) < 0.06
+
+
+def test_label_model_does_not_drift(spark):
+    # Few voters vote on a text, most of them on toxic ones; however many rounds, texts without a vote stay clean.
+    rng = np.random.default_rng(4)
+    n, m, prior = 40_000, 24, 0.1
+    y = rng.random(n) < prior
+    votes = (rng.random((n, m)) < np.where(y[:, None], 0.25, 0.002)).astype(np.int8)
+    votes[:, 1] = np.where(rng.random(n) < 0.7, votes[:, 0], votes[:, 1])
+    votes[:, -1] = np.where(votes[:, :-1].sum(axis=1) > 0, 0, -1)
+    found, count = np.unique(votes, axis=0, return_counts=True)
+    frame = spark.createDataFrame([(bytearray(v.tobytes()), int(k)) for v, k in zip(found, count, strict=True)], "votes binary, n long").repartition(4)
+    shares = []
+    for most in (0, 2, 60):
+        model = fit_label_model(frame, m, prior, most=most)
+        q = model.posterior(votes)
+        shares += [newton.sigmoid(model.bias), q.mean()]
+        assert q[votes[:, :-1].sum(axis=1) == 0].max() < 0.1 and ((q >= 0.5) == y).mean() > 0.95
+    assert max(shares) - min(shares) < 0.01 and max(shares) < 0.15
 
 
 def test_risk_is_the_brute_force_minimum(spark):
