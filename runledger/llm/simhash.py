@@ -255,7 +255,8 @@ def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def links(prints: DataFrame, block: int = BLOCK) -> DataFrame:
     """Edges (u, v) that connect what pairs of at most 4 differing bits connect, of distinct longs in `fp`."""
     n = tasks(prints.sparkSession)
-    keyed = prints.select("fp").mapInArrow(_fuzzy_keys, "key long, fp long, store boolean")
+    # Some 110 keys come from each: by number, so that small fingerprints are not put together in few tasks first.
+    keyed = prints.select("fp").repartition(n, "fp").mapInArrow(_fuzzy_keys, "key long, fp long, store boolean")
     found = written(keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_match(block), _FOUND_SQL), "links")
     edges = found.where("v is not null").select("u", "v")
     large = found.where("v is null")
