@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runledger.llm import licenses, pitman_yor
+from runledger.llm import filter_audit, licenses, pitman_yor, sharding, vector_codes
 from runledger.llm.common import fold, table
 from runledger.llm.exact_dedup import exact_duplicates
 from runledger.llm.maxscore import top_k
@@ -120,3 +120,18 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op5_pitman_yor")
 def op5_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pitman_yor.score(table(spark, sf_dir, "documents"), fold("doc_id", 5) == 1)
+
+
+@_query("op11_filter_audit", filter_audit.oracle())
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_query("op12_virtual_slots")
+def op12_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+@_query("op13_vector_codes", vector_codes.oracle())
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
