@@ -2,57 +2,118 @@
 
 from __future__ import annotations
 
+import math
+import sys
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from runledger.operators.ordered import filled
+from runledger.session import stored
 
-#: Rows up to which a side of a range join is broadcast.
-BROADCAST_ROWS = 10_000
-#: Ranges wider than so many buckets are kept in a list that is matched without buckets.
-WIDE = 64
+#: Pieces of ranges up to which that side of a range join is broadcast.
+BROADCAST_ROWS = 40_000
+#: Buckets of a level are so many times as wide as those of the level below.
+FACTOR = 4
+#: Bits of a bucket's number in which a double tells all buckets apart.
+EXACT_BITS = 52
 
 
-def range_join(points: DataFrame, ranges: DataFrame, at: str, low: str, high: str, how: str = "inner", bucket: int | None = None, keys: Sequence[str] = ()) -> DataFrame:
+def _kind(*types: T.DataType) -> str:
+    """How bounds and positions of these types are cut into buckets."""
+    if all(isinstance(t, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)) for t in types):
+        return "whole"
+    return "double" if any(isinstance(t, (T.FloatType, T.DoubleType)) for t in types) else "decimal"
+
+
+def _cell(x: Column, level: int, kind: str) -> Column:
+    """The bucket of FACTOR^level units that x is in; never falls where x rises."""
+    if kind == "whole":
+        return F.shiftright(x.cast("long"), 2 * level)
+    if kind == "decimal":
+        return F.floor(F.try_divide(x, F.lit(Decimal(FACTOR) ** level))).cast("long")
+    largest = sys.float_info.max
+    return F.floor(F.greatest(F.lit(-largest), F.least(F.lit(largest), x.cast("double"))) / F.lit(float(FACTOR) ** level))
+
+
+def _levels(ranges: DataFrame, low: str, high: str, kind: str, bucket: float | None) -> tuple[Column, dict[int, int], int]:
+    """(the level of a range by its own width, the level that each of these is dealt at, pieces of all ranges at most).
+
+    A level is left out if its ranges, cut into buckets of a finer one, are few beside all ranges. One aggregate.
+    """
+    exact = {"whole": "decimal(20,0)", "double": "double"}.get(kind)
+    a, z = (F.col(c).cast(exact) if exact else F.col(c) for c in (low, high))
+    width = F.least(F.lit(sys.float_info.max), (z - a).cast("double"))
+    # A long has no more bits to shift, a double no larger power.
+    most = {"whole": 31, "decimal": 60, "double": 510}[kind]
+    own = F.least(F.lit(most), F.ceil(F.log(width) / F.log(F.lit(float(FACTOR)))))
+    least = 0 if bucket is None else math.ceil(math.log(bucket, FACTOR) - 1e-9)
+    # Buckets that a number can tell apart, also at the bound that is furthest from zero.
+    bits = {"whole": None, "decimal": 61, "double": EXACT_BITS}[kind]
+    furthest = F.max(F.greatest(*[F.when(F.abs(F.col(c).cast("double")) < float("inf"), F.abs(F.col(c).cast("double"))) for c in (low, high)]))
+    found = ranges.where(F.col(high) > F.col(low)).groupBy(own.cast("int").alias("k")).agg(F.count("*").alias("n"), furthest.alias("far")).collect()
+    if bits is not None:
+        far = max((r["far"] or 0 for r in found), default=0)
+        least = max(-510 if kind == "double" and bucket is None else least, math.ceil((math.log2(far) if far else -1020) / 2 - bits / 2))
+    counts: dict[int, int] = {}
+    for r in found:
+        k = max(least, r["k"])
+        counts[k] = counts.get(k, 0) + r["n"]
+    dealt, pieces, total, at = {}, 0, sum(counts.values()), least
+    for k in sorted(counts):
+        cut = counts[k] * (FACTOR ** (k - at) + 1) if dealt and k - at < 31 else None
+        if cut is None or pieces + cut > 4 * total + 1000:
+            at, cut = k, 2 * counts[k]
+        dealt[k] = at
+        pieces += cut
+    return F.greatest(F.lit(least), own).cast("int"), dealt, pieces
+
+
+def range_join(points: DataFrame, ranges: DataFrame, at: str, low: str, high: str, how: str = "inner", bucket: float | None = None, keys: Sequence[str] = ()) -> DataFrame:
     """Points with every range low <= at < high, within equal keys.
 
-    Few ranges are broadcast, after they have been counted. Otherwise both sides are dealt into buckets of `bucket`
-    units (the mean width, if not given): a range is in each bucket that it touches, so the join is an equi-join.
-    Ranges over WIDE buckets are dealt at a coarser level of their own, level after level, so none becomes many rows.
+    Each range is dealt at the level of its own width, into the two or so buckets of that width that it touches; a point is
+    asked once at each level that has ranges, so the join is an equi-join and one wide range changes nothing for narrow ones.
+    Few pieces of ranges are broadcast, by their number. Buckets are `bucket` units wide at least. Of a left join over
+    several levels, the points without a range are those that no level holds. Null positions and bounds hold nothing;
+    infinite bounds are bounds.
     """
-    condition = [points[k].eqNullSafe(ranges[k]) for k in keys]
-    if bucket is None and ranges.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        joined = points.join(F.broadcast(ranges), [*condition, (F.col(at) >= F.col(low)) & (F.col(at) < F.col(high))], how)
-        return _without(joined, ranges, keys)
-    if bucket is None:
-        bucket = max(1, int(ranges.agg(F.avg(F.col(high) - F.col(low))).first()[0] or 1))
-    span = (F.col(high) - F.col(low)).cast("double") / bucket
-    # Level k has buckets of bucket * WIDE^k units.
-    level = F.greatest(F.lit(0), F.ceil(F.log(F.greatest(span, F.lit(1.0))) / F.log(F.lit(float(WIDE)))) - 1).cast("int")
-    levelled = ranges.where(F.col(high) > F.col(low)).withColumn("_level", level)
-    widest = levelled.agg(F.max("_level")).first()[0] or 0
-    width = F.lit(float(bucket)) * F.pow(F.lit(float(WIDE)), F.col("_level"))
-    last = F.floor(F.col(high) / width) - F.when(F.col(high) % width == 0, 1).otherwise(0)
-    dealt = levelled.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(low) / width).cast("long"), last.cast("long")))).withColumn("_hit", F.lit(True))
-    numbered = points.withColumn("_p", F.monotonically_increasing_id())
-    asked = numbered.withColumn("_level", F.explode(F.array(*[F.lit(k) for k in range(widest + 1)]))).withColumn("_bucket", F.floor(F.col(at) / width).cast("long"))
-    on = [asked[k].eqNullSafe(dealt[k]) for k in keys] + [asked["_level"] == dealt["_level"], asked["_bucket"] == dealt["_bucket"], (asked[at] >= dealt[low]) & (asked[at] < dealt[high])]
-    found = _without(asked.join(dealt, on, how), dealt, keys).drop(dealt["_level"]).drop(dealt["_bucket"])
-    if how == "left":
-        # A point is asked once at each level. Of one that no range holds the row of the first level stays, of others
-        # those with a range; the number follows the rows of one branch, which is not joined to another.
-        hit = F.coalesce("_hit", F.lit(False))
-        none = ~F.max(hit).over(Window.partitionBy("_p"))
-        found = found.withColumn("_none", none if widest else ~hit).where(hit | (F.col("_none") & (F.col("_level") == 0))).drop("_none")
-    return found.drop("_p", "_level", "_bucket", "_hit")
-
-
-def _without(joined: DataFrame, ranges: DataFrame, keys: Sequence[str]) -> DataFrame:
-    for k in keys:
-        joined = joined.drop(ranges[k])
-    return joined
+    kind = _kind(points.schema[at].dataType, ranges.schema[low].dataType, ranges.schema[high].dataType)
+    level, dealt_at, pieces = _levels(ranges, low, high, kind, bucket)
+    levels = sorted(set(dealt_at.values())) or [0]
+    own = F.create_map(*[F.lit(x) for pair in dealt_at.items() for x in pair])[level] if dealt_at else F.lit(0)
+    first, last = F.lit(None).cast("long"), F.lit(None).cast("long")
+    upper = F.col(high) - 1 if kind == "whole" else F.col(high)
+    for k in levels:
+        first = F.when(F.col("_level") == k, _cell(F.col(low), k, kind)).otherwise(first)
+        last = F.when(F.col("_level") == k, _cell(upper, k, kind)).otherwise(last)
+    named = {k: f"_key_{i}" for i, k in enumerate(keys)}
+    dealt = ranges.withColumnsRenamed(named).where(F.col(high) > F.col(low)).withColumn("_level", own).withColumn("_bucket", F.explode(F.sequence(first, last)))
+    if pieces <= BROADCAST_ROWS:
+        dealt = F.broadcast(dealt)
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in named.items()]
+    inside = (F.col(at) >= F.col(low)) & (F.col(at) < F.col(high))
+    out = [*points.columns, *[c for c in ranges.columns if c not in named]]
+
+    def asked(df: DataFrame, at_levels: Sequence[int]) -> DataFrame:
+        cells = [F.struct(F.lit(k).alias("level"), _cell(F.col(at), k, kind).alias("bucket")) for k in at_levels]
+        # One level needs no copies.
+        cell = F.explode(F.array(*cells)) if len(cells) > 1 else cells[0]
+        return df.withColumn("_c", cell).select(*df.columns, F.col("_c.level").alias("_asked"), F.col("_c.bucket").alias("_in"))
+
+    on = [*same, F.col("_asked") == F.col("_level"), F.col("_in") == F.col("_bucket"), inside]
+    if how == "inner" or len(levels) == 1:
+        return asked(points, levels).join(dealt, on, how).select(*out)
+    if how != "left":
+        raise ValueError(f"a range join is inner or left, not {how}")
+    points = stored(points, "points")
+    rest = points
+    for k in levels:
+        rest = asked(rest, [k]).join(dealt.where(F.col("_level") == k), on, "left_anti").select(*points.columns)
+    return asked(points, levels).join(dealt, on).select(*out).unionByName(rest, allowMissingColumns=True)
 
 
 def nearest_lower(points: DataFrame, table: DataFrame, at: str, start: str, columns: Sequence[str], keys: Sequence[str] = (), exact: bool = False) -> DataFrame:

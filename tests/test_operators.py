@@ -1,4 +1,6 @@
 import random
+import time
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -47,6 +49,46 @@ def test_range_joins_agree(spark):
         assert len(left) == len(want) + len({i for i, *_ in points} - {i for i, _ in want})
 
 
+def test_range_join_of_any_numbers(spark):
+    rng = random.Random(12)
+    inf = float("inf")
+    cases = {
+        "double": ([rng.uniform(-3, 3) * 10 ** rng.randrange(-6, 9) for _ in range(200)] + [inf, -inf, float("nan"), None, 0.0], [-inf, -1e300, -5.0, -1e-7, 0.0, 1e-9, 0.5, 2e6, 1e300, inf, None]),
+        "decimal(20,0)": ([Decimal(2**64 - rng.randrange(1, 5000)) for _ in range(100)] + [Decimal(rng.randrange(10**6)) for _ in range(100)] + [None], [Decimal(x) for x in (0, 7, 900_000, 2**63, 2**64 - 4000, 2**64 - 3999, 2**64 - 1)]),
+        "long": ([rng.choice([-1, 1]) * 2 ** rng.randrange(62) + rng.randrange(3) for _ in range(200)] + [2**63 - 1, -(2**63), None], [-(2**63), -(2**40), -5, 0, 1, 2, 2**30, 2**62, 2**63 - 1, None]),
+    }
+    for kind, (points, bounds) in cases.items():
+        ranges = [(k, a, z) for k, (a, z) in enumerate((a, z) for a in bounds for z in bounds)]
+        p = spark.createDataFrame(list(enumerate(points)), f"id int, pos {kind}")
+        r = spark.createDataFrame(ranges, f"rid int, low {kind}, high {kind}")
+        want = sorted((i, j) for i, x in enumerate(points) for j, a, z in ranges if None not in (x, a, z) and a <= x < z)
+        assert sorted((g["id"], g["rid"]) for g in intervals.range_join(p, r, "pos", "low", "high").collect()) == want
+        left = intervals.range_join(p, r, "pos", "low", "high", how="left").collect()
+        assert sorted((g["id"], g["rid"]) for g in left if g["rid"] is not None) == want
+        assert sorted(g["id"] for g in left if g["rid"] is None) == sorted(set(range(len(points))) - {i for i, _ in want})
+        assert intervals.range_join(p, r.limit(0), "pos", "low", "high", how="left").count() == len(points)
+        assert intervals.range_join(p.limit(0), r, "pos", "low", "high").collect() == []
+
+
+def test_one_wide_range_leaves_narrow_ones_alone(spark):
+    points = spark.range(200_000).select(F.pmod(F.xxhash64("id"), F.lit(10**6)).alias("pos"))
+    narrow = spark.range(60_000).select(F.col("id").alias("rid"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(10**6)).alias("low")).withColumn("high", F.col("low") + 10)
+    wide = narrow.unionByName(spark.sql("select -1L as rid, -5L as low, 1000000000000L as high"))
+    level, dealt, pieces = intervals._levels(wide, "low", "high", "whole", None)
+    # A level for each width, and no range in more buckets than two.
+    assert sorted(set(dealt.values())) == [2, 20] and pieces == 2 * 60_001
+    took, rows = [], []
+    for ranges in (narrow, narrow, wide):
+        began = time.perf_counter()
+        rows.append(intervals.range_join(points, ranges, "pos", "low", "high").count())
+        took.append(time.perf_counter() - began)
+    assert rows[2] == rows[1] + 200_000
+    assert took[2] < 2 * took[1] + 1
+    # A few wider ones are cut into buckets of the level below instead.
+    mixed = narrow.unionByName(spark.range(10).select((-F.col("id")).alias("rid"), F.lit(0).cast("long").alias("low"), F.lit(600).cast("long").alias("high")))
+    assert set(intervals._levels(mixed, "low", "high", "whole", None)[1].values()) == {2}
+
+
 def test_nearest_lower(spark):
     p = spark.createDataFrame([(1, 5), (2, 10), (3, 99), (4, 1)], "id int, pos int")
     s = spark.createDataFrame([(5, "f"), (50, "g"), (50, "h")], "addr int, name string")
