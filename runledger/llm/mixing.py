@@ -58,36 +58,50 @@ def targets(sources: DataFrame, most: float = MOST_REPEATS) -> DataFrame:
     return shares.select("source", "source_size", "number", "weight", target.cast("double").alias("target"))
 
 
+def _once(value: Column, use) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _hypergeometric(u: Column, population: Column, marked: Column, drawn: Column) -> Column:
     """The marked ones among `drawn` of `population`, at quantile u.
 
     Weights relative to the mode come from the ratios of neighbouring probabilities, up and down over
-    12 standard deviations and 30 more to each side, which leaves out less than doubles can hold.
+    12 standard deviations and 30 more to each side, which leaves out less than doubles can hold. They are summed and
+    walked through one by one, so a draw takes time in proportion to the deviation, and no room.
     """
     p = F.try_divide(marked, population)
     sigma = F.sqrt(drawn * p * (1 - p) * (population - drawn) / F.greatest(population - 1, F.lit(1)))
-    mode = F.floor((drawn + 1) * (marked + 1) / (population + 2))
+    mode = F.floor((drawn + 1).cast("double") * (marked + 1) / (population + 2))
     reach = F.ceil(12 * sigma).cast("long") + 30
     low, high = F.greatest(F.lit(0), drawn + marked - population), F.least(drawn, marked)
-    mode = F.greatest(low, F.least(high, mode)).cast("long")
-    first, last = F.greatest(low, mode - reach).cast("long"), F.least(high, mode + reach).cast("long")
+    bounds = F.struct(low.cast("long").alias("low"), high.cast("long").alias("high"), F.greatest(low, F.least(high, mode)).cast("long").alias("mode"), reach.alias("reach"))
 
     def ratio(k: Column) -> Column:
         """P(k + 1) / P(k)."""
         return (marked - k).cast("double") * (drawn - k) / ((k + 1).cast("double") * (population - marked - drawn + k + 1))
 
-    nothing = F.array().cast("array<double>")
-    one = F.lit(1.0)
-    last_of = lambda a: F.coalesce(F.get(a, F.size(a) - 1), one)
-    up = F.when(last > mode, F.aggregate(F.sequence(mode, last - 1), nothing, lambda a, k: F.array_append(a, last_of(a) * ratio(k)))).otherwise(nothing)
-    down = F.when(first < mode, F.aggregate(F.sequence(mode - 1, first, F.lit(-1).cast("long")), nothing, lambda a, k: F.array_append(a, last_of(a) / ratio(k)))).otherwise(nothing)
-    weights = F.concat(F.reverse(down), F.array(one), up)
-    total = F.aggregate(weights, F.lit(0.0), lambda a, x: a + x)
-    # Counts the cells whose cumulated weight stays below the quantile.
-    state = F.struct(F.lit(0.0).alias("sum"), F.lit(0).cast("long").alias("k"))
-    step = lambda s, x: F.struct((s["sum"] + x).alias("sum"), (s["k"] + F.when(s["sum"] + x < u * total, 1).otherwise(0)).alias("k"))
-    found = F.aggregate(weights, state, step)["k"]
-    return F.when((population <= 0) | (drawn <= 0) | (marked <= 0), F.lit(0).cast("long")).otherwise(F.least(last, first + found))
+    start = F.struct(F.lit(1.0).alias("weight"), F.lit(0.0).alias("sum"))
+    add = lambda s, w: F.struct(w.alias("weight"), (s["sum"] + w).alias("sum"))
+
+    def drawn_from(b: Column) -> Column:
+        first, last, middle = F.greatest(b["low"], b["mode"] - b["reach"]), F.least(b["high"], b["mode"] + b["reach"]), b["mode"]
+        up = F.when(last > middle, F.aggregate(F.sequence(middle, last - 1), start, lambda s, k: add(s, s["weight"] * ratio(k)))).otherwise(start)
+        down = F.when(first < middle, F.aggregate(F.sequence(middle - 1, first, F.lit(-1).cast("long")), start, lambda s, k: add(s, s["weight"] / ratio(k)))).otherwise(start)
+
+        def walked(ends: Column) -> Column:
+            # Counts the cells whose cumulated weight stays below the quantile, from the lowest up.
+            state = F.struct(ends["down"]["weight"].alias("weight"), F.lit(0.0).alias("sum"), F.lit(0).cast("long").alias("k"), (u * (1.0 + ends["up"]["sum"] + ends["down"]["sum"])).alias("least"))
+
+            def step(s: Column, k: Column) -> Column:
+                total = s["sum"] + s["weight"]
+                return F.struct((s["weight"] * ratio(k)).alias("weight"), total.alias("sum"), (s["k"] + F.when(total < s["least"], 1).otherwise(0)).alias("k"), s["least"].alias("least"))
+
+            return F.least(last, first + F.aggregate(F.sequence(first, last), state, step)["k"])
+
+        return _once(F.struct(up.alias("up"), down.alias("down")), walked)
+
+    return F.when((population <= 0) | (drawn <= 0) | (marked <= 0), F.lit(0).cast("long")).otherwise(_once(bounds, drawn_from))
 
 
 def _drawn(parents: DataFrame, children: DataFrame, seed: int, level: int) -> DataFrame:
@@ -99,7 +113,7 @@ def _drawn(parents: DataFrame, children: DataFrame, seed: int, level: int) -> Da
     def draw(s: Column, x: Column) -> Column:
         u = _uniform(seed, F.lit("split"), F.col("low"), F.col("high"), F.lit(level), x["group"])
         k = _hypergeometric(u, s["population"], x["slots"], s["drawn"])
-        return F.struct((s["population"] - x["slots"]).alias("population"), (s["drawn"] - k).alias("drawn"), F.array_append(s["out"], F.struct(x["group"].alias("group"), x["slots"].alias("slots"), k.alias("left"))).alias("out"))
+        return _once(k, lambda k: F.struct((s["population"] - x["slots"]).alias("population"), (s["drawn"] - k).alias("drawn"), F.array_append(s["out"], F.struct(x["group"].alias("group"), x["slots"].alias("slots"), k.alias("left"))).alias("out")))
 
     drawn = listed.join(parents, ["low", "high", "above"]).select("low", "high", F.explode(F.aggregate("each", start, draw)["out"]).alias("d"))
     return drawn.select("low", "high", "d.group", "d.slots", "d.left")

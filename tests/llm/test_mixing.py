@@ -1,6 +1,8 @@
 import re
+import time
 from collections import Counter
-from math import comb
+from math import comb, lgamma, log, sqrt
+from statistics import NormalDist
 
 from pyspark.sql import functions as F
 
@@ -114,3 +116,29 @@ def test_hypergeometric_quantiles(spark):
     got = Counter(r[0] for r in frame.select(mixing._hypergeometric(F.col("u"), F.lit(n), F.lit(k), F.lit(m))).collect())
     for x in range(m + 1):
         assert abs(got[x] / 1000 - comb(k, x) * comb(n - k, m - x) / comb(n, m)) < 2e-3
+
+
+def test_wide_draws_take_time_in_proportion_to_their_deviation(spark):
+    quantiles = [0.001, 0.2, 0.5, 0.9]
+    law = lambda n: spark.createDataFrame([(u, n) for u in quantiles], "u double, n long").coalesce(1).select("u", mixing._hypergeometric(F.col("u"), F.col("n"), F.floor(F.col("n") / 3), F.floor(F.col("n") / 2)).alias("k"))
+    law(1000).collect()
+    for n in (10**6, 10**8):
+        began = time.perf_counter()
+        got = law(n).collect()
+        # Four draws; the law of wide ones is near the normal one.
+        assert time.perf_counter() - began < 4
+        sigma = sqrt(n / 2 * (1 / 3) * (2 / 3) / 2)
+        for u, k in got:
+            assert abs((k - n / 6) / sigma - NormalDist().inv_cdf(u)) < 0.02
+    # Exact quantiles of a law of some thousand cells.
+    n, marked, drawn = 40_000, 9_000, 15_000
+    lc = lambda a, b: lgamma(a + 1) - lgamma(b + 1) - lgamma(a - b + 1)
+    logs = [lc(marked, x) + lc(n - marked, drawn - x) - lc(n, drawn) for x in range(marked + 1)]
+    sums, want = 0.0, {}
+    for x, v in enumerate(logs):
+        sums += 2.718281828459045**v if v > log(1e-300) else 0.0
+        for u in quantiles:
+            if sums >= u:
+                want.setdefault(u, x)
+    frame = spark.createDataFrame([(u,) for u in quantiles], "u double").select("u", mixing._hypergeometric(F.col("u"), F.lit(n).cast("long"), F.lit(marked).cast("long"), F.lit(drawn).cast("long")).alias("k"))
+    assert {u: k for u, k in frame.collect()} == want
