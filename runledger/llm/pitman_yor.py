@@ -160,6 +160,8 @@ def _cut(most: int):
 def _asked(block: int, keys: np.ndarray, values: list[np.ndarray], fan: int, order: np.ndarray | None = None, own: np.ndarray | None = None, prefix: int = 0, bits: int = 0) -> pa.RecordBatch:
     """A block's keys with their values, as a row for each of `fan` buckets; order sorts the keys, which else are sorted.
 
+    Values travel as 64 bits, since groups of blocks send sums; of small ones the byte planes cost next to nothing.
+
     All keys begin with `prefix`, of so many bits. own comes back to the block as it is, with the answers: it goes by a
     bucket of the block's, below zero.
     """
@@ -167,7 +169,7 @@ def _asked(block: int, keys: np.ndarray, values: list[np.ndarray], fan: int, ord
         keys, values = keys[order], [v[order] for v in values]
     free = 64 - bits - (fan.bit_length() - 1)
     cuts = np.searchsorted(keys, np.array([(prefix * fan + k) << free for k in range(1, fan)], np.uint64))
-    rows = [(prefix * fan + b, block, _packed(np.diff(k, prepend=np.uint64(0))), [_packed(v.astype("<u4")) for v in vs]) for b, (k, *vs) in enumerate(zip(*(np.split(x, cuts) for x in (keys, *values)), strict=True)) if len(k)]
+    rows = [(prefix * fan + b, block, _packed(np.diff(k, prepend=np.uint64(0))), [_packed(v.astype("<i8")) for v in vs]) for b, (k, *vs) in enumerate(zip(*(np.split(x, cuts) for x in (keys, *values)), strict=True)) if len(k)]
     if own is not None:
         rows.append((-1 - block % fan, block, b"", [_packed(own)]))
     columns = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
@@ -185,7 +187,7 @@ def _answer(block: int | None, bucket: int, vals: list[bytes] | None, stats: lis
 def _gathered(rows: list) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
     """Of rows (block, keys, values): the distinct keys, the distinct key of each entry, the values, where rows end."""
     keys = [np.cumsum(_unpacked(r[1], "<u8"), dtype=np.uint64) for r in rows]
-    values = [np.concatenate([_unpacked(r[2][k], "<u4") for r in rows]).astype(np.int64) for k in range(len(rows[0][2]))]
+    values = [np.concatenate([_unpacked(r[2][k], "<i8") for r in rows]) for k in range(len(rows[0][2]))]
     key, number = np.unique(np.concatenate(keys), return_inverse=True)
     return key, number, values, np.cumsum([len(k) for k in keys])[:-1]
 
@@ -216,7 +218,7 @@ def _answered(reply: Callable):
         key, number, values, cuts = _gathered(rows)
         answers, stats = reply(key, number, values)
         for row, *parts in zip(rows, *(np.split(x, cuts) for x in answers), strict=True):
-            yield _answer(row[0], bucket, [_packed(x.astype("<u4")) for x in parts])
+            yield _answer(row[0], bucket, [_packed(x.astype("<i8")) for x in parts])
         yield _answer(None, bucket, None, [float(x) for x in stats])
 
     return lambda batches: _each(batches, settle)
@@ -249,7 +251,7 @@ def _spread(groups: int, owned: bool):
             first[seen[np.unique(number[seen], return_index=True)[1]]] = 1
             answers = [x - (x & 1) * (1 - first) for x in answers]
         for row, *split in zip(asked, *(np.split(x, cuts) for x in answers), strict=True):
-            yield _answer(row[0], unit // groups, [_packed(x.astype("<u4")) for x in split])
+            yield _answer(row[0], unit // groups, [_packed(x.astype("<i8")) for x in split])
 
     return lambda batches: _each(batches, settle)
 
@@ -285,12 +287,12 @@ def _exchange(asks: DataFrame, reply: Callable, tag: str, blocks: int, buckets:
 
 def _told(parts: list[dict], n: int) -> list[np.ndarray]:
     """The n answers to a block, in the order of its sorted keys."""
-    return [np.concatenate([_unpacked(p["vals"][k], "<u4") for p in parts if p["bucket"] >= 0]).astype(np.int64) for k in range(n)]
+    return [np.concatenate([_unpacked(p["vals"][k], "<i8") for p in parts if p["bucket"] >= 0]) for k in range(n)]
 
 
 def _kept(parts: list[dict]) -> np.ndarray:
     """What a block has kept for itself: the tables of its pairs of several customers."""
-    return _unpacked(next(p["vals"][0] for p in parts if p["bucket"] < 0), "<u4").astype(np.int64)
+    return _unpacked(next(p["vals"][0] for p in parts if p["bucket"] < 0), "<i8")
 
 
 # -- seating -------------------------------------------------------------------------------------
@@ -496,7 +498,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
             for r in batch.to_pylist():
                 b = _Block.read(r)
                 (told,) = _told(r["pairs"], 1)
-                pair = np.empty(len(told), "<u4")
+                pair = np.empty(len(told), "<i8")
                 pair[np.argsort(b.pair_keys())] = told
                 yield pa.RecordBatch.from_arrays([pa.array([r["block"]], pa.int64()), pa.array([_packed(pair)], pa.binary())], names=["block", "pair"])
 
@@ -511,9 +513,9 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for r in batch.to_pylist():
-                    b, pair = _Block.read(r), _unpacked(r["pair"], "<u4").astype(np.int64)
+                    b, pair = _Block.read(r), _unpacked(r["pair"], "<i8")
                     seated = np.minimum(pair >> 1, 1) if model is None else _seated(b, pair, _told(r["words0"], 4), model, sweep)
-                    yield _asked(r["block"], b.words, _sent(b, pair, seated), fan, own=seated[pair > 3].astype("<u4") if sweep > burn_in else None)
+                    yield _asked(r["block"], b.words, _sent(b, pair, seated), fan, own=seated[pair > 3].astype("<i8") if sweep > burn_in else None)
 
         return run
 
@@ -545,7 +547,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
 
 def _scored(r: dict, models: list[_Model], chosen: list[int]) -> pa.RecordBatch:
     b = _Block.read(r)
-    pair = _unpacked(r["pair"], "<u4").astype(np.int64)
+    pair = _unpacked(r["pair"], "<i8")
     p = np.zeros(len(pair))
     for k in chosen:
         told = _told(r[f"words{k}"], 4)

@@ -150,3 +150,31 @@ def test_blobs():
     x = np.array([0, 1, 2**40, 2**64 - 1], np.uint64)
     assert (py._unpacked(py._packed(x), "<u8") == x).all()
     assert len(py._unpacked(py._packed(x[:0]), "<u8")) == 0
+
+
+def test_totals_beyond_32_bits(spark, monkeypatch):
+    """Pairs and words counted billions of times, in buckets and in merged groups of blocks."""
+    keys = np.sort(py._mixed(np.arange(40, dtype=np.uint64)))
+    each = 1_500_000_000
+
+    def asked(fan, columns):
+        def run(batches):
+            for batch in batches:
+                for block in batch.column(0).to_pylist():
+                    yield py._asked(block, keys, [np.full(len(keys), each, np.int64)] * columns, fan)
+
+        return run
+
+    for most, fan, buckets in ((256, 32, 32), (4, 4, 16)):
+        monkeypatch.setattr(py, "FAN", most)
+        asks = lambda columns: spark.range(8).select("id").mapInArrow(asked(fan, columns), py._ASK_SQL)  # noqa: B023, E731
+        pairs, stats = py._exchange(asks(1), py._pairs_reply, "pairs", 8, buckets, owned=True)
+        told = [py._told(r["pairs"], 1)[0] for r in pairs.collect()]
+        assert len(told) == 8 and all((t >> 1 == 8 * each).all() for t in told)
+        # One block owns each pair.
+        assert (sum(t & 1 for t in told) == 1).all()
+        words, stats = py._exchange(asks(3), py._words_reply(None, 0), "words0", 8, buckets)
+        for r in words.collect():
+            count, sent, seated, own = py._told(r["words0"], 4)
+            assert (count == 8 * each).all() and (sent == 8 * each).all() and (own == 8 * each).all() and (seated == 1).all()
+        assert stats[0] == 8 * each * len(keys)
