@@ -25,22 +25,29 @@ from runledger.llm.license_texts import NOTICES, texts
 #: Spellings that licence matching treats as one (after lower-casing).
 SPELLINGS: tuple[tuple[str, str], ...] = (
     ("licence", "license"),
-    ("acknowledgement", "acknowledgment"),
     ("analogue", "analog"),
-    ("authorisation", "authorization"),
-    ("favour", "favor"),
     ("fulfilment", "fulfillment"),
-    ("organisation", "organization"),
     ("sub-license", "sublicense"),
     ("non-infringement", "noninfringement"),
     ("merchantibility", "merchantability"),
     ("copyright owner", "copyright holder"),
     ("https://", "http://"),
+    ("whilst", "while"),
+    ("per cent", "percent"),
+    ("non-commercial", "noncommercial"),
     ("&", " and "),
 )
+#: Endings that are one, as patterns and what stands for them.
+ENDINGS: tuple[tuple[str, str], ...] = (
+    (r"(author|organ|capital|categor|emphas|initial|maxim|optim|real|recogn|util)is(e|ing|ation)", r"\1iz\2"),
+    (r"(fav|lab)our", r"\1or"),
+    (r"(judg|acknowledg)ement", r"\1ment"),
+    (r"(cent|calib)re", r"\1er"),
+)
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The patterns mean the same to Java and RE2.
-_COPYRIGHT = r"(^|\n)[ \t]*(copyright[ \t]*(\(c\)|©|[0-9])|\(c\)|©)[^\n]*"
+#: Lines that state a copyright: by the word, or by the sign; (c) alone may be a clause's letter and needs a year.
+_COPYRIGHT = r"(^|\n)[ \t]*(copyright[ \t]*(\(c\)|©|[0-9])|\(c\)[ \t]*(copyright|[0-9][0-9][0-9][0-9])|©)[^\n]*"
 _PUNCTUATION = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F“”‘’–—]+"
 _EDGES = r" *\n *"
 
@@ -50,6 +57,8 @@ def canonical(text: Column) -> Column:
     x = F.translate(F.coalesce(text.cast("string"), F.lit("")), _UPPER, _LOWER)
     for a, b in SPELLINGS:
         x = F.replace(x, F.lit(a), F.lit(b))
+    for a, b in ENDINGS:
+        x = F.regexp_replace(x, a, b.replace("\\", "$"))
     x = F.regexp_replace(x, _COPYRIGHT, "$1")
     x = F.regexp_replace(x, _PUNCTUATION, " ")
     return F.regexp_replace(F.trim(F.regexp_replace(x, " +", " ")), _EDGES, "\n")
@@ -149,6 +158,8 @@ def oracle() -> str:
         x = f"translate(coalesce({text}, ''), '{_UPPER}', '{_LOWER}')"
         for a, b in SPELLINGS:
             x = f"replace({x}, {_quoted(a)}, {_quoted(b)})"
+        for a, b in ENDINGS:
+            x = f"regexp_replace({x}, {_quoted(a)}, {_quoted(b)}, 'g')"
         x = f"regexp_replace({x}, {_quoted(_COPYRIGHT)}, '\\1', 'g')"
         x = f"regexp_replace({x}, {_quoted(_PUNCTUATION)}, ' ', 'g')"
         return f"regexp_replace(trim(regexp_replace({x}, ' +', ' ', 'g'), ' '), {_quoted(_EDGES)}, chr(10), 'g')"

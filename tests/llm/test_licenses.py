@@ -52,3 +52,22 @@ def test_standard_files(spark):
     assert [got[k][0] for k in range(n)] == list(files)
     assert [got[n + k][0] for k in range(7)] == ["MIT", "BSD-2-Clause", "BSD-3-Clause", None, None, None, None]
     assert [got[n + k][1] for k in range(7)] == ["MIT", "BSD-2-Clause,LicenseRef-all-rights-reserved", "BSD-3-Clause", "GPL-3.0-or-later", "MIT", got[list(files).index("GPL-3.0-only")][1], ""]
+
+
+def test_clause_letters_are_no_copyright_lines(spark):
+    here = pathlib.Path(license_texts.__file__).with_name("license_files")
+    apache = (here / "Apache-2.0.txt").read_text("utf-8")
+    assert "(c) You must retain" in apache
+    altered = apache.replace("(c) You must retain", "(c) You may ignore")
+    # One line for each paragraph.
+    wrapped = "\n\n".join(" ".join(p.split()) for p in apache.split("\n\n"))
+    noticed = f"(c) 2021 Some One\n(c) Copyright Some One\n\n{MIT}"
+    got = scanned(spark, [apache, altered, wrapped, noticed, MIT.replace("permission", "authorisation")])
+    assert [got[k][0] for k in range(5)] == ["Apache-2.0", None, "Apache-2.0", "MIT", None]
+
+
+def test_equivalent_endings(spark):
+    from runledger.llm.licenses import canonical
+
+    row = spark.createDataFrame([("Authorised organisations may recognise favours, labour and judgements; a revised promise whilst the centres.",)], "t string").select(canonical(F.col("t"))).first()[0]
+    assert row == "authorized organizations may recognize favors labor and judgments a revised promise while the centers"
