@@ -204,7 +204,9 @@ def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     # Which records are revisits is decided on digests; texts move once, by their row number.
     seen = source.where(F.octet_length("html") >= least_bytes).select("page", "row", F.sha1(F.col("html").cast("binary")).alias("sha"))
     seen = written(seen, "digests")
-    first = seen.groupBy("sha").agg(F.min(F.struct(F.col("page").isNull().alias("none"), "page", "row")).alias("first"))
+    # Stored apart from the rows, so that adaptive execution can split a payload of very many pages.
+    first = seen.groupBy("sha").agg(F.min(F.struct(F.col("page").isNull().alias("none"), "page", "row")).alias("first"), F.count("*").alias("records"))
+    first = written(first.where("records > 1").drop("records"), "firsts")
     again = seen.join(first, "sha").where(F.col("row") != F.col("first.row")).select("row", F.lit(True).alias("revisit"), F.col("first.page").alias("refers"))
     ready = source.join(again, "row", "left").select("page", "url", "html", "row", F.coalesce("revisit", F.lit(False)).alias("revisit"), "refers")
     captures = written(ready.mapInArrow(_write(folder, file_bytes), "surt string, row long, file string, offset long, length long"), "captures")
