@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
-from statistics import NormalDist
 
-import numpy as np
-import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runledger.keys import selected
+from runledger.operators import bootstrap
 
 NAN = float("nan")
 TYPES = ("absolute", "delta", "overhead")
@@ -92,77 +88,10 @@ def mean_overhead(df: DataFrame, metric: str, baseline: Mapping[str, object], pa
     return _long(joined, groups, metric, {metric: [m, s], f"{metric}_delta": [none(delta), none(spread)], f"{metric}_overhead": [none(over), none(F.abs(over) * part)]}, [metric, f"{metric}_std"])
 
 
-# -- bootstrap -----------------------------------------------------------------------------------
-
-RESAMPLES = 9_999
-LEVEL = 0.95
-_NORMAL = NormalDist()
-
-
-def _statistic(kind: str, scale: float, x: np.ndarray, b: np.ndarray | None) -> np.ndarray:
-    m = np.median(x, axis=-1)
-    if kind == "absolute":
-        return m
-    base = np.median(b, axis=-1)
-    if kind == "delta":
-        return m - base
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return np.where(base != 0, (m / base - 1) * scale, np.nan)
-
-
-def bca_interval(kind: str, samples: Sequence[np.ndarray], seed: int, scale: float = 1.0, resamples: int = RESAMPLES, level: float = LEVEL) -> tuple[float, float]:
-    """Bias-corrected and accelerated interval of a median, or of a comparison of two medians.
-
-    NaN where there is nothing to resample: one value, constant samples, or a statistic that is NaN.
-    """
-    samples = [np.sort(np.asarray(s, float)) for s in samples]
-    x, b = samples[0], samples[1] if len(samples) > 1 else None
-    if any(len(s) < 2 or np.isnan(s).any() for s in samples) or all(s[0] == s[-1] for s in samples):
-        return NAN, NAN
-    point = float(_statistic(kind, scale, x, b))
-    if math.isnan(point):
-        return NAN, NAN
-    rng = np.random.default_rng(seed)
-    block = max(1, int(4e6 // max(map(len, samples))))
-    drawn = []
-    for k in range(0, resamples, block):
-        n = min(block, resamples - k)
-        drawn.append(_statistic(kind, scale, *[s[rng.integers(0, len(s), (n, len(s)))] for s in samples], *([None] if b is None else [])))
-    drawn = np.concatenate(drawn)
-    drawn = drawn[~np.isnan(drawn)]
-    if not len(drawn):
-        return NAN, NAN
-    below = ((drawn < point).mean() + (drawn <= point).mean()) / 2
-    if not 0 < below < 1:
-        return NAN, NAN
-    bias = _NORMAL.inv_cdf(below)
-    up = down = 0.0
-    for k, s in enumerate(samples):
-        # Without one value the median takes at most three values: by the part of the order that is left out.
-        half, n = len(s) // 2, len(s)
-        medians = np.empty(n)
-        for lo, hi in ((0, half - 1), (half - 1, half), (half, half + 1), (half + 1, n)):
-            lo, hi = max(lo, 0), min(hi, n)
-            if lo < hi:
-                left = np.delete(s, lo)
-                medians[lo:hi] = [np.median(np.delete(s, i)) for i in range(lo, hi)] if hi - lo == 1 else np.median(left)
-        others = [medians if j == k else np.full(n, np.median(t)) for j, t in enumerate(samples)]
-        values = _statistic(kind, scale, *[o[:, None] for o in others], *([None] if b is None else []))
-        u = (n - 1) * (np.nanmean(values) - values)
-        up += np.nansum(u**3) / n**3
-        down += np.nansum(u**2) / n**2
-    acceleration = up / (6 * down**1.5) if down > 0 else 0.0
-    out = []
-    for p in ((1 - level) / 2, (1 + level) / 2):
-        z = bias + _NORMAL.inv_cdf(p)
-        out.append(float(np.quantile(drawn, _NORMAL.cdf(bias + z / (1 - acceleration * z)))))
-    return out[0], out[1]
-
-
-def overhead(df: DataFrame, metric: str, baseline: Mapping[str, object], params: Sequence[str], iteration: str | None = "iteration", extra_groupby: Sequence[str] = (), scale: float = 1.0, inverted: bool = False, how: str = "median", resamples: int = RESAMPLES, on_missing: str = "raise") -> DataFrame:
+def overhead(df: DataFrame, metric: str, baseline: Mapping[str, object], params: Sequence[str], iteration: str | None = "iteration", extra_groupby: Sequence[str] = (), scale: float = 1.0, inverted: bool = False, how: str = "median", level: float = bootstrap.LEVEL, on_missing: str = "raise") -> DataFrame:
     """The comparison with intervals: <metric>, <metric>_low, <metric>_high per group and metric type.
 
-    how="mean" gives mean_overhead instead. A group's iterations meet in one task; groups are many, iterations few.
+    how="mean" gives mean_overhead instead. Intervals are those of an exact bootstrap of the medians.
     """
     if how == "mean":
         return mean_overhead(df, metric, baseline, params, scale, extra_groupby)
@@ -170,24 +99,9 @@ def overhead(df: DataFrame, metric: str, baseline: Mapping[str, object], params:
         raise ValueError(f"unknown statistic: {how}")
     keys = [*params, *([iteration] if iteration else []), *extra_groupby]
     groups = list(dict.fromkeys([*params, *extra_groupby]))
-    aligned = align_baseline(df, metric, baseline, keys, on_missing).withColumns({"_v": F.col(metric).cast("double"), "_w": F.col("_baseline").cast("double")})
-    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    schema = ", ".join([*[f"`{g}` {types[g]}" for g in groups], "_is_baseline boolean", f"`{metric}` double", f"`{metric}_low` double", f"`{metric}_high` double", "_metric_type string"])
-    sign = -scale if inverted else scale
-
-    def per_group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x, b = pdf["_v"].to_numpy(), pdf["_w"].to_numpy()
-        rows = []
-        for kind in TYPES:
-            samples = [x] if kind == "absolute" else [x, b]
-            seed = xxhash.xxh64_intdigest("\x1f".join(map(str, [*key, kind])))
-            low, high = bca_interval(kind, samples, seed, sign, resamples)
-            rows.append([*key, float(_statistic(kind, sign, x, b)), low, high, kind])
-        return pd.DataFrame(rows, columns=[*groups, "_is_baseline", metric, f"{metric}_low", f"{metric}_high", "_metric_type"])
-
-    out = aligned.groupBy(*groups, "_is_baseline").applyInPandas(per_group, schema)
-    # NaN comes back from pandas as null.
-    return out.withColumns({c: F.coalesce(c, F.lit(NAN)) for c in (metric, f"{metric}_low", f"{metric}_high")})
+    aligned = align_baseline(df, metric, baseline, keys, on_missing).select(*groups, "_is_baseline", F.col(metric).alias("_v"), F.col("_baseline").alias("_w"))
+    out = bootstrap.intervals(aligned, [*groups, "_is_baseline"], "_v", "_w", TYPES, -scale if inverted else scale, level)
+    return out.select(*groups, "_is_baseline", F.col("_stat").alias(metric), F.col("_low").alias(f"{metric}_low"), F.col("_high").alias(f"{metric}_high"), "_metric_type")
 
 
 # -- other statistics ----------------------------------------------------------------------------

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runledger.operators.ordered import filled
+from runledger.operators.ordered import filled, running
 from runledger.session import stored
 
 #: Pieces of ranges up to which that side of a range join is broadcast.
@@ -147,13 +147,14 @@ def resolve_symbols(points: DataFrame, symbols: DataFrame, at: str, space: str,
 def merge_intervals(df: DataFrame, keys: Sequence[str], start: str, end: str, value: str) -> DataFrame:
     """Elementary intervals between all boundaries of a key, with the sum of the intervals that cover each.
 
-    A sweep: +value at the start, -value at the end, one running sum. Intervals that nothing covers, and those of
-    zero length, are left out.
+    A sweep: +value at the start, -value at the end, one running sum. Boundaries are summed first, then sorted into range
+    partitions, each begun at the sums of the ones before and ended at the first boundary of the next, so one key
+    may fill many tasks. Intervals that nothing covers, and those of zero length, are left out.
     """
     ends = F.explode(F.array(F.struct(F.col(start).alias("at"), F.col(value).alias("v"), F.lit(1).alias("n")), F.struct(F.col(end).alias("at"), (-F.col(value)).alias("v"), F.lit(-1).alias("n"))))
-    points = df.where(F.col(end) > F.col(start)).select(*keys, ends.alias("e")).groupBy(*keys, F.col("e.at").alias("at")).agg(F.sum("e.v").alias("v"), F.sum("e.n").alias("n"))
-    order = Window.partitionBy(*keys).orderBy("at")
-    swept = points.select(*keys, F.col("at").alias("start"), F.lead("at").over(order).alias("end"), F.sum("v").over(order).alias("value"), F.sum("n").over(order).alias("covers"))
+    points = df.where(F.col(end) > F.col(start)).select(*keys, ends.alias("e")).groupBy(*keys, F.col("e.at").alias("start")).agg(F.sum("e.v").alias("v"), F.sum("e.n").alias("n"))
+    swept = running(points, keys, ["start"], {"value": "v", "covers": "n"}, following={"end": "start"})
+    swept = swept.select(*keys, "start", "end", (F.col("value") + F.col("v")).alias("value"), (F.col("covers") + F.col("n")).alias("covers"))
     return swept.where("covers > 0 and end is not null")
 
 
@@ -163,9 +164,12 @@ def sum_equal_intervals(df: DataFrame, keys: Sequence[str], start: str, end: str
 
 
 def iteration_windows(markers: DataFrame, runs: DataFrame, run: Sequence[str], ts: str) -> DataFrame:
-    """[start, end) of each iteration: from a marker to the next; the last, or all without markers, without end."""
-    order = Window.partitionBy(*run).orderBy(ts)
-    cut = markers.select(*run, (F.row_number().over(order) - 1).alias("iteration"), F.col(ts).alias("start"), F.lead(ts).over(order).alias("end"))
+    """[start, end) of each iteration: from a marker to the next; the last, or all without markers, without end.
+
+    Markers are numbered over range partitions, so a run may fill many tasks.
+    """
+    numbered = running(markers.select(*run, F.col(ts).alias("start")), run, ["start"], {"iteration": "1"}, following={"end": "start"})
+    cut = numbered.select(*run, F.col("iteration").cast("int").alias("iteration"), "start", "end")
     none = runs.select(*run).distinct().join(cut.select(*run).distinct(), list(run), "left_anti")
     kind = cut.schema["start"].dataType
     return cut.unionByName(none.select(*run, F.lit(0).alias("iteration"), F.lit(None).cast(kind).alias("start"), F.lit(None).cast(kind).alias("end")))

@@ -8,15 +8,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runledger.functions.scalars import stem
+from runledger.operators.ordered import running
 
 #: Fixed value: addresses above this are the kernel's.
 KERNEL_BASE = 0x0001000000000000
 
 
 def successive(df: DataFrame, run: Sequence[str], order: Sequence[str], state: str) -> DataFrame:
-    """(run, caller, callee) for each state and the next one."""
-    follows = Window.partitionBy(*run).orderBy(*order)
-    return df.select(*run, F.col(state).alias("caller"), F.lead(state).over(follows).alias("callee")).where("callee is not null")
+    """(run, caller, callee) for each state and the next one, over range partitions: a run may fill many tasks.
+
+    Records that are equal in the order follow each other in the order of a hash of their states.
+    """
+    states = df.select(*run, *[F.col(c).alias(f"_by_{c}") for c in order], F.col(state).alias("caller"))
+    follows = running(states, run, [f"_by_{c}" for c in order], {}, following={"callee": "caller"})
+    return follows.select(*run, "caller", "callee").where("callee is not null")
 
 
 def transition_counts(df: DataFrame, run: Sequence[str]) -> DataFrame:
@@ -42,16 +47,16 @@ def call_graph(counts: DataFrame) -> DataFrame:
 
 
 def nesting(df: DataFrame, thread: Sequence[str], order: Sequence[str], enter: Column) -> DataFrame:
-    """depth of every record, and parent: the order number of the latest record one level up.
+    """seq of every record in its thread, depth, and previous: the number of the latest record at the same depth.
 
-    +1 for entering and -1 for leaving, summed along the thread.
+    +1 for entering and -1 for leaving, summed along the thread; a leave has the depth of its enter, which is its previous record.
+    Numbers, sums and the latest record of each depth are carried from one range partition to the next: a thread, or one depth
+    of it, may fill many tasks.
     """
-    along = Window.partitionBy(*thread).orderBy(*order)
-    running = df.withColumn("_step", F.when(enter, 1).otherwise(-1)).withColumn("seq", F.row_number().over(along))
-    depth = F.sum("_step").over(along) - F.when(F.col("_step") > 0, 1).otherwise(0)
-    deep = running.withColumn("depth", depth)
-    level = Window.partitionBy(*thread, "depth").orderBy("seq")
-    return deep.withColumn("previous", F.lag("seq").over(level)).drop("_step")
+    steps = df.withColumn("_step", F.when(enter, 1).otherwise(-1))
+    numbered = running(steps, thread, order, {"_seq": "1L", "_net": "_step"})
+    deep = numbered.withColumns({"seq": F.col("_seq") + 1, "depth": F.col("_net") + F.when(F.col("_step") > 0, 0).otherwise(-1)})
+    return running(deep.drop("_seq", "_net", "_step"), [*thread, "depth"], ["seq"], {}, preceding={"previous": "seq"})
 
 
 #: Fixed value: operands that begin with a capability register.

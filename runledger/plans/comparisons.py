@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.sql import functions as F
 
+from runledger.functions.normal import normal_cdf, normal_quantile
 from runledger.operators import compare, shape
 from runledger.plans.registry import query
 from runledger.plans.views import COUNTER_NAMES, COUNTERS_SQL, RUNS_SQL, counters, flag_runs, table
@@ -73,10 +76,46 @@ def mean_overhead_by_flag(spark, sf_dir):
     return _rounded(compare.mean_overhead(flag_runs(spark, sf_dir), "value", BASE, FLAGS, scale=100), ["value", "value_std"])
 
 
-@query("bootstrap_overhead")
+def _bootstrap_sql() -> str:
+    """The intervals of BASE's comparison by plain sums over all middle values of resamples."""
+    keys = "l_returnflag, l_linestatus"
+    at_least = "CASE WHEN {x} = 0 THEN 0 WHEN {x} = n THEN 1 ELSE list_sum(list_transform(range((n + 1) // 2, n + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({x} / n) + (n - j) * ln(1 - {x} / n)))) END"
+    halves = lambda a, b: f"CASE WHEN {a} = 0 OR {b} = n THEN 0 ELSE exp(lgamma(n + 1) - 2 * lgamma(n // 2 + 1) + n // 2 * (ln({a} / n) + ln((n - {b}) / n))) END"
+    side = lambda c: f"coalesce(sum((n - 1) ** {c} * w * (mean - v) ** {c} / n ** {c}), 0)"
+    level = lambda p: normal_cdf(f"(bias + (bias + {p}) / (1 - a * (bias + {p})))")
+    low, high = (f"{NormalDist().inv_cdf(p):.17e}" for p in (0.025, 0.975))
+    stat = "CASE kind WHEN 'absolute' THEN {x} WHEN 'delta' THEN {x} - {b} ELSE CASE WHEN {b} <> 0 THEN {x} / {b} - 1 END END"
+    return f"""
+    WITH {RUNS_SQL}, j AS (SELECT r.l_returnflag, r.l_linestatus, r.value AS x, b.value AS b FROM runs r JOIN runs b ON b.l_returnflag = 'N' AND b.l_linestatus = 'F' AND b.iteration = r.iteration),
+    s AS (SELECT {keys}, 'x' AS side, x AS v FROM j UNION ALL SELECT {keys}, 'b', b FROM j),
+    c AS (SELECT {keys}, side, v, (sum(count(*)) OVER up - count(*))::DOUBLE AS lo, (sum(count(*)) OVER up)::DOUBLE AS hi, (sum(count(*)) OVER whole)::BIGINT AS n FROM s GROUP BY {keys}, side, v
+        WINDOW up AS (PARTITION BY {keys}, side ORDER BY v), whole AS (PARTITION BY {keys}, side)),
+    law AS (SELECT {keys}, side, m, sum(p) AS p FROM (
+        SELECT {keys}, side, v AS m, ({at_least.format(x='hi')}) - ({at_least.format(x='lo')}) - CASE WHEN n % 2 = 1 THEN 0 ELSE ({halves('hi', 'hi')}) - ({halves('lo', 'hi')}) END AS p FROM c
+        UNION ALL SELECT {keys}, side, (c.v + u.v) / 2, ({halves('c.hi', 'u.lo')}) - ({halves('c.lo', 'u.lo')}) - ({halves('c.hi', 'u.hi')}) + ({halves('c.lo', 'u.hi')}) FROM c JOIN (SELECT * RENAME (n AS un) FROM c) u USING ({keys}, side) WHERE n % 2 = 0 AND u.lo >= c.hi) GROUP BY ALL),
+    k AS (SELECT unnest(['absolute', 'delta', 'overhead']) AS kind),
+    laws AS (SELECT x.l_returnflag, x.l_linestatus, kind, {stat.format(x='x.m', b='b.m')} AS pos, sum(x.p * b.p) AS p FROM law x JOIN law b USING ({keys}) CROSS JOIN k WHERE x.side = 'x' AND b.side = 'b' GROUP BY ALL),
+    o AS (SELECT {keys}, side, n, max(v) FILTER (lo < n // 2 AND hi >= n // 2) AS h, max(v) FILTER (lo < n // 2 + 1 AND hi >= n // 2 + 1) AS i, max(v) FILTER (lo < n // 2 + 2 AND hi >= n // 2 + 2) AS k, count(*) = 1 AS flat FROM c GROUP BY ALL),
+    m AS (SELECT *, CASE WHEN n % 2 = 1 THEN i ELSE (h + i) / 2 END AS median FROM o),
+    z AS (SELECT {keys}, side, n, flat, median, unnest(CASE WHEN n % 2 = 1 THEN [{{'v': (i + k) / 2, 'w': n // 2}}, {{'v': (h + k) / 2, 'w': 1}}, {{'v': (h + i) / 2, 'w': n // 2}}] ELSE [{{'v': i, 'w': n // 2}}, {{'v': h, 'w': n // 2}}] END, recursive := true) FROM m),
+    ja AS (SELECT q.l_returnflag, q.l_linestatus, q.side, kind, q.n, q.w, CASE q.side WHEN 'x' THEN {stat.format(x='q.v', b='other.median')} ELSE {stat.format(x='other.median', b='q.v')} END AS v
+        FROM z q JOIN m other ON other.l_returnflag = q.l_returnflag AND other.l_linestatus = q.l_linestatus AND other.side <> q.side CROSS JOIN k WHERE q.side = 'x' OR kind <> 'absolute'),
+    jm AS (SELECT *, sum(w * v) OVER g / sum(w) OVER g AS mean FROM ja WHERE v IS NOT NULL WINDOW g AS (PARTITION BY {keys}, side, kind)),
+    acc AS (SELECT {keys}, kind, CASE WHEN {side(2)} > 0 THEN {side(3)} / (6 * {side(2)} ** 1.5) ELSE 0 END AS a FROM jm GROUP BY ALL),
+    st AS (SELECT x.l_returnflag, x.l_linestatus, kind, {stat.format(x='x.median', b='b.median')} AS stat, x.n > 1 AND NOT (x.flat AND (kind = 'absolute' OR b.flat)) AS has_interval FROM m x JOIN m b USING ({keys}) CROSS JOIN k WHERE x.side = 'x' AND b.side = 'b'),
+    bi AS (SELECT {keys}, kind, any_value(stat) AS stat, any_value(has_interval) AS has_interval, sum(CASE WHEN pos < stat THEN p WHEN pos = stat THEN p / 2 ELSE 0 END) / sum(p) AS below FROM laws JOIN st USING ({keys}, kind) WHERE pos IS NOT NULL GROUP BY ALL),
+    ba AS (SELECT *, {normal_quantile('below')} AS bias FROM bi JOIN acc USING ({keys}, kind)),
+    lv AS (SELECT *, {level(low)} AS low, {level(high)} AS high FROM ba),
+    cu AS (SELECT *, sum(p) OVER (PARTITION BY {keys}, kind ORDER BY pos) AS upto, sum(p) OVER (PARTITION BY {keys}, kind) AS mass FROM laws WHERE pos IS NOT NULL),
+    f AS (SELECT {keys}, kind, any_value(stat) AS stat, min(pos) FILTER (has_interval AND upto >= low * mass - 1e-12) AS low, min(pos) FILTER (has_interval AND upto >= high * mass - 1e-12) AS high FROM cu JOIN lv USING ({keys}, kind) GROUP BY ALL)
+    SELECT {keys}, l_returnflag = 'N' AND l_linestatus = 'F' AS _is_baseline, kind AS _metric_type, round(st.stat, 6) AS value, round(f.low, 6) AS value_low, round(f.high, 6) AS value_high FROM st LEFT JOIN f USING ({keys}, kind)
+    """
+
+
+@query("bootstrap_overhead", _bootstrap_sql())
 def bootstrap_overhead(spark, sf_dir):
-    """With BCa intervals; random by nature, so tests check it against properties."""
-    return compare.overhead(flag_runs(spark, sf_dir), "value", BASE, FLAGS)
+    """With bias-corrected and accelerated intervals of the exact law of resampled medians."""
+    return _rounded(compare.overhead(flag_runs(spark, sf_dir), "value", BASE, FLAGS), ["value", "value_low", "value_high"])
 
 
 @query(

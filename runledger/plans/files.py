@@ -71,7 +71,6 @@ def point(rows: DataFrame, metric: str, digits: int = 6) -> DataFrame:
     return rows.drop(f"{metric}_low", f"{metric}_high").withColumn(metric, F.round(F.nanvl(F.col(metric), F.lit(None).cast("double")), digits))
 
 
-QUICK = {"resamples": 200}
 
 
 # -- timings -------------------------------------------------------------------------------------
@@ -82,7 +81,7 @@ def timing_files(spark, sf_dir):
     """real, user and sys lines of every run and iteration, compared by their medians."""
     rows = sums(spark, sf_dir)
     path = files(rows, text_of("real %s\nuser %s\nsys %s", F.col("q") / 1000, F.col("price") / 1000, F.col("n") / 100), "time")
-    return point(pipelines.timing_comparison(spark, path, runs_of(rows, FLAGS), BASE, FLAGS, **QUICK), "times")
+    return point(pipelines.timing_comparison(spark, path, runs_of(rows, FLAGS), BASE, FLAGS), "times")
 
 
 @query("hyperfine_files", f"WITH {SUMS_SQL} SELECT l_returnflag, l_linestatus, iteration, q / 8.0 AS times, price / 4.0 AS \"user\", n / 2.0 AS sys FROM s")
@@ -119,7 +118,7 @@ def iperf_files(spark, sf_dir):
 def throughput_files(spark, sf_dir):
     """The receiver's throughput in megabits; overheads stay ratios."""
     rows, path = _iperf(spark, sf_dir)
-    return point(pipelines.throughput_summary(spark, path, runs_of(rows, FLAGS), BASE, FLAGS, **QUICK), "bits_per_second")
+    return point(pipelines.throughput_summary(spark, path, runs_of(rows, FLAGS), BASE, FLAGS), "bits_per_second")
 
 
 def _qps(spark, sf_dir):
@@ -148,14 +147,14 @@ def rpc_files(spark, sf_dir):
 def rpc_latency(spark, sf_dir):
     """Latencies in milliseconds, by the size of requests."""
     rows, path = _qps(spark, sf_dir)
-    return point(pipelines.rpc_summary(spark, path, runs_of(rows, FLAGS), BASE, FLAGS, "latency90", **QUICK), "latency90")
+    return point(pipelines.rpc_summary(spark, path, runs_of(rows, FLAGS), BASE, FLAGS, "latency90"), "latency90")
 
 
 @query("store_files", f"WITH {SUMS_SQL}, d AS (SELECT l_returnflag, l_linestatus, iteration, q / 2 AS value FROM s), long AS ({overhead_sql('d', FLAGS, BASE, metric='requests_per_second')}) SELECT * FROM long WHERE _metric_type = 'absolute' OR NOT _is_baseline")
 def store_files(spark, sf_dir):
     rows = sums(spark, sf_dir)
     path = files(rows, text_of("requests_per_second,latency_ms,errors,connections\n%s,%s,0,%s", F.col("q") / 2, F.col("price") / 64, F.col("n")), "redis")
-    return point(pipelines.store_summary(spark, path, runs_of(rows, FLAGS), BASE, FLAGS, **QUICK), "requests_per_second")
+    return point(pipelines.store_summary(spark, path, runs_of(rows, FLAGS), BASE, FLAGS), "requests_per_second")
 
 
 @query("store_errors", f"WITH {SUMS_SQL} SELECT l_returnflag, l_linestatus, iteration, q / 2 AS requests_per_second, (n % 2)::BIGINT AS errors, n % 2 <> 0 AS has_errors FROM s")
@@ -205,7 +204,7 @@ def network_metrics(spark, sf_dir):
     """Chosen fields of tables below a banner, under names in lower case."""
     rows = sums(spark, sf_dir)
     path = files(rows, text_of("MIGRATED STREAM TEST\nElapsed,THROUGHPUT,LOCAL_CPU_UTIL\n10,%s,%s\n", F.col("q") / 2, F.col("n") / 4), "netperf")
-    return point(pipelines.network_metrics(spark, path, runs_of(rows, FLAGS), ["THROUGHPUT", "LOCAL_CPU_UTIL"], BASE, FLAGS, **QUICK), "value")
+    return point(pipelines.network_metrics(spark, path, runs_of(rows, FLAGS), ["THROUGHPUT", "LOCAL_CPU_UTIL"], BASE, FLAGS), "value")
 
 
 # -- counters ------------------------------------------------------------------------------------
@@ -233,7 +232,7 @@ def counter_files(spark, sf_dir):
 def counter_file_summary(spark, sf_dir):
     """Counters of all processors added up, ratios derived, differences from the baseline."""
     rows, path = _counter_files(spark, sf_dir)
-    return point(pipelines.counter_summary(spark, path, runs_of(rows, FLAGS), BASE, FLAGS, "delta", ["cpu_cycles", "inst_retired"], [0, 1], **QUICK), "value")
+    return point(pipelines.counter_summary(spark, path, runs_of(rows, FLAGS), BASE, FLAGS, "delta", ["cpu_cycles", "inst_retired"], [0, 1]), "value")
 
 
 @query("numbered_counter_files", "SELECT l_linenumber - 1 AS iteration, 'cpu_cycles' AS name, sum(l_quantity) AS value FROM lineitem GROUP BY 1")
@@ -334,4 +333,4 @@ def transition_files(spark, sf_dir):
 def transition_overhead(spark, sf_dir):
     """All, self and cross transitions of each part of the day against the first."""
     _, rates = _transition_rates(spark, sf_dir)
-    return point(pipelines.transition_overhead(stored(rates, "rates"), {"part": 0}, ["part"], **QUICK), "transition_count")
+    return point(pipelines.transition_overhead(stored(rates, "rates"), {"part": 0}, ["part"]), "transition_count")

@@ -1,11 +1,15 @@
 import math
 import random
+from collections import Counter
+from itertools import product
+from statistics import NormalDist
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from runledger.operators import compare
+from runledger.functions.normal import normal_cdf, normal_quantile
+from runledger.operators import bootstrap, compare
 
 SEL = {"target": "default"}
 
@@ -20,7 +24,7 @@ def by(rows, kind):
 
 
 def test_shape_and_values(spark):
-    out = compare.overhead(runs(spark, [10, 20, 30], [20, 40, 60]), "value", SEL, ["target"], resamples=200)
+    out = compare.overhead(runs(spark, [10, 20, 30], [20, 40, 60]), "value", SEL, ["target"])
     assert set(out.columns) == {"target", "value", "value_low", "value_high", "_metric_type", "_is_baseline"}
     rows = out.collect()
     assert len(rows) == 6
@@ -32,7 +36,7 @@ def test_shape_and_values(spark):
 
 def test_scale_and_inversion(spark):
     frame = runs(spark, [10, 20, 30], [20, 40, 60])
-    assert by(compare.overhead(frame, "value", SEL, ["target"], scale=100, resamples=50).collect(), "overhead")["comparison"]["value"] == 100
+    assert by(compare.overhead(frame, "value", SEL, ["target"], scale=100).collect(), "overhead")["comparison"]["value"] == 100
     assert by(compare.median_overhead(frame, "value", SEL, ["target"], inverted=True).collect(), "overhead")["comparison"]["value"] == -1
 
 
@@ -45,8 +49,8 @@ def test_single_iteration_has_no_interval(spark):
 def test_interval_brackets_the_estimate_whatever_the_order(spark):
     rng = random.Random(7)
     frame = runs(spark, [rng.uniform(1, 2) for _ in range(10)], [rng.uniform(2, 3) for _ in range(10)])
-    a = compare.overhead(frame, "value", SEL, ["target"], resamples=999)
-    b = compare.overhead(frame.repartition(7).orderBy(F.rand(3)), "value", SEL, ["target"], resamples=999)
+    a = compare.overhead(frame, "value", SEL, ["target"])
+    b = compare.overhead(frame.repartition(7).orderBy(F.rand(3)), "value", SEL, ["target"])
     rows = a.collect()
     assert sorted(map(str, rows)) == sorted(map(str, b.collect()))
     for r in rows:
@@ -55,7 +59,7 @@ def test_interval_brackets_the_estimate_whatever_the_order(spark):
 
 
 def test_zero_baseline(spark):
-    rows = compare.overhead(runs(spark, [0, 0, 0], [1, 2, 3]), "value", SEL, ["target"], resamples=50).collect()
+    rows = compare.overhead(runs(spark, [0, 0, 0], [1, 2, 3]), "value", SEL, ["target"]).collect()
     assert math.isnan(by(rows, "overhead")["comparison"]["value"])
 
 
@@ -83,10 +87,77 @@ def test_mean_form(spark):
     assert by(rows, "value_delta")["comparison"]["value_std"] == pytest.approx(math.sqrt(100 + 400))
 
 
-def test_interval_covers_like_a_bootstrap():
-    x = np.arange(1.0, 41.0)
-    low, high = compare.bca_interval("absolute", [x], 1, resamples=4000)
-    assert 12 < low < 18 and 23 < high < 29
+def resampled(kind, x, b, scale, resamples, seed):
+    """Bias-corrected and accelerated bounds from resamples."""
+    normal = NormalDist()
+    stat = {"absolute": lambda m, c: m, "delta": lambda m, c: m - c, "overhead": lambda m, c: (m / c - 1) * scale}[kind]
+    rng = np.random.default_rng(seed)
+    draw = lambda s: np.median(s[rng.integers(0, len(s), (resamples, len(s)))], axis=1)
+    point, drawn = stat(np.median(x), np.median(b)), stat(draw(x), draw(b))
+    bias = normal.inv_cdf(((drawn < point).mean() + (drawn <= point).mean()) / 2)
+    up = down = 0.0
+    for k, s in enumerate((x,) if kind == "absolute" else (x, b)):
+        left = np.array([np.median(np.delete(s, i)) for i in range(len(s))])
+        v = stat(left, np.median(b)) if k == 0 else stat(np.median(x), left)
+        u = (len(s) - 1) * (v.mean() - v)
+        up, down = up + (u**3).sum() / len(s) ** 3, down + (u**2).sum() / len(s) ** 2
+    a = up / (6 * down**1.5) if down else 0.0
+    z = [bias + normal.inv_cdf(p) for p in (0.025, 0.975)]
+    return point, drawn, [normal.cdf(bias + q / (1 - a * q)) for q in z]
+
+
+def test_exact_bounds_agree_with_resamples(spark):
+    rng = random.Random(11)
+    cases = {"odd": ([rng.gauss(10, 2) for _ in range(21)], [rng.gauss(8, 1) for _ in range(21)]), "even": ([rng.gauss(10, 2) for _ in range(20)], [rng.gauss(8, 3) for _ in range(20)]), "ties": ([float(rng.randrange(4)) for _ in range(16)], [1.0 + rng.randrange(3) for _ in range(16)]), "two": ([1.0, 5.0], [2.0, 4.0]), "three": ([1.0, 5.0, 6.0], [2.0, 2.0, 4.0])}
+    rows = [(name, k, x, b) for name, (xs, bs) in cases.items() for k, (x, b) in enumerate(zip(xs, bs))]
+    got = bootstrap.intervals(spark.createDataFrame(rows, "name string, k int, x double, b double"), ["name"], "x", "b", compare.TYPES, 100.0)
+    found = {(r["name"], r["_metric_type"]): r for r in got.collect()}
+    assert len(found) == 15
+    for (name, kind), r in found.items():
+        x, b = (np.array(s) for s in cases[name])
+        point, drawn, levels = resampled(kind, x, b, 100.0, 40_000, 5)
+        assert r["_stat"] == pytest.approx(point)
+        # The share of resamples below and up to a bound encloses its level, but for what resampling scatters.
+        for bound, level in zip((r["_low"], r["_high"]), levels):
+            assert (drawn < bound - 1e-9).mean() - 0.012 <= level <= (drawn <= bound + 1e-9).mean() + 0.012, (name, kind, bound, level)
+
+
+def test_law_of_medians_is_that_of_all_resamples(spark):
+    for sample in ([1.0, 2.0, 4.0, 8.0, 9.0], [1.0, 2.0, 4.0, 8.0], [3.0, 3.0, 1.0, 7.0, 7.0, 7.0], [5.0], [2.0, 2.0]):
+        want = Counter(float(np.median(c)) for c in product(sample, repeat=len(sample)))
+        cells = bootstrap._cells(spark.createDataFrame([("g", v) for v in sample], "g string, v double"), ["g"], "v")
+        law = {r["_m"]: r["_p"] for r in bootstrap.median_law(cells, ["g"]).collect()}
+        assert law.keys() == want.keys()
+        assert all(law[m] == pytest.approx(n / len(sample) ** len(sample), abs=1e-11) for m, n in want.items())
+
+
+def test_law_of_a_large_sample(spark):
+    for n in (10_001, 10_000):
+        cells = bootstrap._cells(spark.range(n).select(F.lit("g").alias("g"), F.pmod(F.xxhash64("id"), F.lit(10**9)).cast("double").alias("v")), ["g"], "v")
+        law = bootstrap.median_law(cells, ["g"])
+        got = law.agg(F.sum("_p"), F.count("*"), F.sum(F.col("_p") * F.col("_m")), F.sum(F.col("_p") * F.col("_m") * F.col("_m"))).first()
+        assert got[0] == pytest.approx(1, abs=1e-9)
+        # Deviation of the median of n uniform values, and values in play by the root of n.
+        assert math.sqrt(got[3] - got[2] ** 2) == pytest.approx(10**9 / 2 / math.sqrt(n), rel=0.15)
+        assert got[1] < 100_000
+
+
+def test_intervals_need_no_python_workers(spark):
+    plan = compare.overhead(runs(spark, [1, 2, 3], [2, 3, 4]), "value", SEL, ["target"])._jdf.queryExecution().toString()
+    assert "Pandas" not in plan and "Python" not in plan
+
+
+def test_normal_law(spark):
+    normal = NormalDist()
+    xs = [-38.0, -9.0, -3.3, -0.4, 0.0, 0.1, 1.96, 6.0, 8.0]
+    ps = [1e-300, 1e-12, 0.01, 0.07, 0.3, 0.5, 0.925, 0.999, 0.0, 1.0]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select(F.expr(normal_cdf("x"))).collect()
+    assert all(r[0] == pytest.approx(normal.cdf(x), abs=1e-14) for r, x in zip(got, xs))
+    got = spark.createDataFrame([(p,) for p in ps], "p double").select(F.expr(normal_quantile("p"))).collect()
+    assert all(r[0] == pytest.approx(normal.inv_cdf(p), rel=1e-12, abs=1e-14) for r, p in zip(got[:-2], ps))
+    assert got[-1][0] is None and got[-2][0] is None
+    got = spark.range(0, 60).select(bootstrap._log_factorial(F.col("id"))).collect()
+    assert all(r[0] == pytest.approx(math.lgamma(k + 1), abs=1e-11) for k, r in enumerate(got))
 
 
 def test_units(spark):

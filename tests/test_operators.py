@@ -291,3 +291,72 @@ def test_plans_have_no_cartesian_products(spark):
     for name in ("range_join_dealt", "nearest_part_price", "merged_intervals", "alias_pairs", "price_histogram"):
         plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+
+
+def _all_windows(df):
+    """The keys of every window of a plan."""
+    import re
+
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return [tuple(sorted(re.sub(r"#\d+L?", "", k).strip() for k in m.split(","))) for m in re.findall(r"^[\s:+-]*Window \[.*?\], \[(.*?)\]", plan, re.M)]
+
+
+def test_neighbours_over_range_partitions(spark):
+    rng = random.Random(8)
+    # One key holds a third of the rows, some rows are equal in the order, some throughout.
+    rows = [(rng.choice(["hot", "a", None]), rng.randrange(60), rng.randrange(4)) for _ in range(900)]
+    frame = spark.createDataFrame(rows, "k string, at int, v int").repartition(7)
+    for parts in ("1", "8"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            got = ordered.running(frame, ["k"], ["at"], {"n": "1L"}, following={"after": "v", "after_at": "at"}, preceding={"ahead": "v"}).collect()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "8")
+        for k in ("hot", "a", None):
+            own = sorted((r for r in got if r["k"] == k), key=lambda r: r["n"])
+            assert [r["n"] for r in own] == list(range(len(own)))
+            assert [r["at"] for r in own] == sorted(x for q, x, _ in rows if q == k)
+            # Every row follows one row and is followed by one.
+            assert [r["after"] for r in own] == [r["v"] for r in own[1:]] + [None]
+            assert [r["after_at"] for r in own] == [r["at"] for r in own[1:]] + [None]
+            assert [r["ahead"] for r in own] == [None] + [r["v"] for r in own[:-1]]
+
+
+def test_no_window_holds_a_whole_key(spark):
+    events = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50).alias("user"), F.col("id").alias("ts"), (F.col("id") % 5).alias("state"))
+    spans = events.select("user", F.col("ts").alias("low"), (F.col("ts") + F.col("state")).alias("high"), F.lit(1).alias("w"))
+    frames = {
+        "successive": trace.successive(events, ["user"], ["ts"], "state"),
+        "nesting": trace.nesting(events, ["user"], ["ts"], F.col("state") < 3),
+        "windows": intervals.iteration_windows(events.where("state = 1"), events, ["user"], "ts"),
+        "merged": intervals.merge_intervals(spans, ["user"], "low", "high", "w"),
+    }
+    for name, df in frames.items():
+        windows = _all_windows(df)
+        assert windows, name
+        # What isn't inside a range partition has one row for each range and key.
+        assert all("_range" in keys for keys in windows if keys != ("user",) and keys != ("depth", "user")), (name, windows)
+    # A user of a third of the rows fills several ranges.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        spread = ordered._ranged(events, ["user"], ["ts"])[0].where("user = 0").select("_range").distinct().count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert spread > 1
+
+
+def test_one_thread_nests_over_many_tasks(spark):
+    rng = random.Random(3)
+    steps, depth = [], 0
+    for k in range(2000):
+        up = depth == 0 or rng.random() < 0.5
+        depth += 1 if up else -1
+        steps.append((1, k, up))
+    frame = spark.createDataFrame(steps, "thread int, at int, up boolean").repartition(9)
+    got = sorted(trace.nesting(frame, ["thread"], ["at"], F.col("up")).collect(), key=lambda r: r["seq"])
+    depth, latest = 0, {}
+    for r, (_, _, up) in zip(got, steps, strict=True):
+        depth -= 0 if up else 1
+        assert (r["depth"], r["previous"]) == (depth, latest.get(depth))
+        latest[depth] = r["seq"]
+        depth += 1 if up else 0

@@ -44,18 +44,17 @@ def values(df, metric, kind):
 
 
 def test_comparisons(spark, runs, folder):
-    few = {"resamples": 50}
-    times = pipelines.timing_comparison(spark, f"{folder}/time.txt", runs, BASE, ["target"], **few)
+    times = pipelines.timing_comparison(spark, f"{folder}/time.txt", runs, BASE, ["target"])
     assert values(times, "times", "absolute") == {"base": 11.0, "other": 22.0} and values(times, "times", "overhead") == {"other": 1.0}
-    rates = pipelines.throughput_summary(spark, f"{folder}/iperf.json", runs, BASE, ["target"], **few)
+    rates = pipelines.throughput_summary(spark, f"{folder}/iperf.json", runs, BASE, ["target"])
     assert values(rates, "bits_per_second", "delta") == {"other": 11.0}
-    rpc = pipelines.rpc_summary(spark, f"{folder}/qps.json", runs, BASE, ["target"], "latency90", **few)
+    rpc = pipelines.rpc_summary(spark, f"{folder}/qps.json", runs, BASE, ["target"], "latency90")
     assert values(rpc, "latency90", "absolute")["other"] == 22.0
-    store = pipelines.store_summary(spark, f"{folder}/redis.csv", runs, BASE, ["target"], inverted=True, **few)
+    store = pipelines.store_summary(spark, f"{folder}/redis.csv", runs, BASE, ["target"], inverted=True)
     assert values(store, "requests_per_second", "overhead") == {"other": -1.0}
-    net = pipelines.network_metrics(spark, f"{folder}/net.csv", runs, ["Throughput", "Latency"], BASE, ["target"], **few)
+    net = pipelines.network_metrics(spark, f"{folder}/net.csv", runs, ["Throughput", "Latency"], BASE, ["target"])
     assert {(r["target"], r["metric"], r["value"]) for r in net.collect() if r["_metric_type"] == "overhead"} >= {("other", "throughput", 1.0), ("other", "latency", 0.0)}
-    pmc = pipelines.counter_summary(spark, f"{folder}/pmc.txt", runs, BASE, ["target"], **few)
+    pmc = pipelines.counter_summary(spark, f"{folder}/pmc.txt", runs, BASE, ["target"])
     assert {(r["target"], r["name"], round(r["value"], 3)) for r in pmc.collect()} >= {("base", "cpu_cycles", 22.0), ("other", "cycles_per_insn", 11.0)}
     below, bands = pipelines.http_load(spark, f"{folder}/wrk.json", runs, BASE, ["target"])
     assert [(r["target"], r["overhead"]) for r in below.collect()] == [("other", -100.0)] and bands.count() == 2
