@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,20 +34,36 @@ def consistent(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count_distinct(column).alias("values")).where("values > 1")
 
 
-def conform(df: DataFrame, schema: T.StructType, allowed: dict[str, Sequence[str]] | None = None, strict: str = "filter") -> DataFrame:
+def _broken(df: DataFrame, schema: T.StructType, allowed: Mapping[str, Sequence[str]], cast: str) -> dict[str, Column]:
+    """Rule -> whether a row breaks it; columns named <cast><name> hold the values as the schema has them."""
+    rules = {}
+    for f in schema.fields:
+        given, value = F.col(f.name), F.col(f"{cast}{f.name}")
+        rules[f"{f.name}_type"] = given.isNotNull() & value.isNull()
+        if not f.nullable:
+            rules[f"{f.name}_null"] = value.isNull()
+        if f.name in allowed:
+            rules[f"{f.name}_value"] = value.isNotNull() & ~value.isin(list(allowed[f.name]))
+    return rules
+
+
+def conform(df: DataFrame, schema: T.StructType, allowed: Mapping[str, Sequence[str]] | None = None, strict: str = "filter", violations: Observation | None = None) -> DataFrame:
     """The columns of the schema, cast; strict 'filter' drops rows that break a rule, 'mark' adds valid, 'raise' fails.
 
-    A row breaks a rule with a null in a column that has none, or a value outside an allowed list.
+    A row breaks a rule with a null in a column that has none, or a value outside an allowed list. A value that has not the
+    column's type becomes null. violations observes the rows that break each rule, in the pass that reads or writes them:
+    <column>_null, <column>_value, and <column>_type for values that became null.
     """
     require_columns(df, schema.fieldNames())
-    cast = df.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields])
+    cast = df.select(*schema.fieldNames(), *[F.col(f.name).try_cast(f.dataType).alias(f"_as_{f.name}") for f in schema.fields])
+    rules = _broken(cast, schema, allowed or {}, "_as_")
+    if violations is not None:
+        cast = cast.observe(violations, F.count(F.lit(1)).alias("rows"), *[F.count_if(F.coalesce(x, F.lit(False))).alias(n) for n, x in rules.items()])
     valid = F.lit(True)
-    for f in schema.fields:
-        if not f.nullable:
-            valid = valid & F.col(f.name).isNotNull()
-    for name, values in (allowed or {}).items():
-        valid = valid & (F.col(name).isNull() | F.col(name).isin(list(values)))
-    marked = cast.withColumn("valid", valid)
+    for name, broken in rules.items():
+        if not name.endswith("_type"):
+            valid = valid & ~F.coalesce(broken, F.lit(False))
+    marked = cast.withColumn("valid", valid).select(*[F.col(f"_as_{n}").alias(n) for n in schema.fieldNames()], "valid")
     if strict == "mark":
         return marked
     if strict == "raise":

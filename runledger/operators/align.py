@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from runledger.keys import selected
 from runledger.operators.ordered import filled
+from runledger.operators.quantiles import quantiles
 
-#: Distinct names that every key may be completed with.
+#: Distinct names up to which they are broadcast, and of which a task completes a key at a time.
 MOST_NAMES = 10_000
 
 
@@ -26,13 +27,18 @@ def before_after(before: DataFrame, after: DataFrame, keys: Sequence[str], value
 def completed(df: DataFrame, keys: Sequence[str], names: Sequence[str], values: Sequence[str], fill: float | None = None) -> DataFrame:
     """Every key with every combination of names that occurs; new rows have nulls or the fill value.
 
-    The names are distinct labels of the data, not rows; more than MOST_NAMES of them are an error.
+    Up to MOST_NAMES names are broadcast, after they have been counted. More are dealt into parts of about so many; each
+    key asks every part, in tasks by part and key.
     """
-    left = df.select(*keys).distinct()
-    right = df.select(*names).distinct()
-    if right.limit(MOST_NAMES + 1).count() > MOST_NAMES:
-        raise ValueError(f"more than {MOST_NAMES} combinations of {list(names)}")
-    every = left.crossJoin(F.broadcast(right))
+    left, right = df.select(*keys).distinct(), df.select(*names).distinct()
+    n = right.count()
+    if n <= MOST_NAMES:
+        every = left.crossJoin(F.broadcast(right))
+    else:
+        parts, spread = -(-n // MOST_NAMES), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        asked = left.withColumn("_spread", F.pmod(F.xxhash64(*keys), F.lit(spread)).cast("int")).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        dealt = right.withColumn("_part", F.pmod(F.xxhash64(*names), F.lit(parts)).cast("int")).withColumn("_spread", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+        every = asked.join(dealt, ["_spread", "_part"]).drop("_spread", "_part")
     data = df.select(*[F.col(c).alias(f"_d_{c}") for c in [*keys, *names]], *values)
     on = [F.col(c).eqNullSafe(F.col(f"_d_{c}")) for c in [*keys, *names]]
     filled = [F.col(v) if fill is None else F.coalesce(F.col(v), F.lit(fill)) for v in values]
@@ -56,7 +62,7 @@ def cross_section(df: DataFrame, selector: Mapping[str, object], complement: boo
 
 def top_quantile(df: DataFrame, groups: Sequence[str], column: str, q: float, cap: int, tie: Sequence[str]) -> DataFrame:
     """Rows at or above a group's quantile, at most `cap` of them, largest first (a top-k report)."""
-    edge = df.groupBy(*groups).agg(F.percentile(column, F.lit(q)).alias("_edge")) if groups else df.agg(F.percentile(column, F.lit(q)).alias("_edge"))
+    edge = quantiles(df, groups, {"_edge": (column, q)})
     above = (df.join(edge, list(groups)) if groups else df.crossJoin(F.broadcast(edge))).where(F.col(column) >= F.col("_edge"))
     order = Window.partitionBy(*groups).orderBy(F.col(column).desc(), *tie)
     return above.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= cap).drop("_n", "_edge")

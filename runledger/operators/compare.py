@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from runledger.keys import selected
 from runledger.operators import bootstrap
+from runledger.operators.quantiles import quantiles
+from runledger.session import stored
 
 NAN = float("nan")
 TYPES = ("absolute", "delta", "overhead")
@@ -63,7 +65,7 @@ def median_overhead(df: DataFrame, metric: str, baseline: Mapping[str, object],
     keys = [*params, *([iteration] if iteration else []), *extra_groupby]
     groups = list(dict.fromkeys([*params, *extra_groupby]))
     aligned = align_baseline(df, metric, baseline, keys, on_missing)
-    wide = aligned.groupBy(*groups, "_is_baseline").agg(F.median(metric).alias("_m"), F.median("_baseline").alias("_b"))
+    wide = quantiles(aligned, [*groups, "_is_baseline"], {"_m": (metric, 0.5), "_b": ("_baseline", 0.5)})
     m, b, sign = F.col("_m"), F.col("_b"), -scale if inverted else scale
     over = F.when(b != 0, (F.try_divide(m, b) - 1) * sign).otherwise(F.lit(NAN))
     return _long(wide, groups, metric, {"absolute": [m], "delta": [m - b], "overhead": [over]}, [metric])
@@ -76,7 +78,9 @@ def mean_overhead(df: DataFrame, metric: str, baseline: Mapping[str, object], pa
     have NaN deltas and overheads.
     """
     groups = list(dict.fromkeys([*params, *extra_groupby]))
-    stats = df.groupBy(*groups).agg(F.avg(metric).alias("_m"), F.stddev_samp(metric).alias("_s")).withColumn("_is_baseline", selected(baseline))
+    stats = df.groupBy(*groups).agg(F.avg(metric).alias("_m"), F.stddev_samp(metric).alias("_s"))
+    # A row for each group, looked at twice: stored, so that the table is aggregated once.
+    stats = stored(stats, "means").withColumn("_is_baseline", selected(baseline))
     free = [c for c in groups if c not in baseline]
     own = stats.where("_is_baseline").select(*[F.col(c).alias(f"_b_{c}") for c in free], F.col("_m").alias("_bm"), F.col("_s").alias("_bs"))
     joined = stats.join(own, [F.col(c).eqNullSafe(F.col(f"_b_{c}")) for c in free]) if free else stats.crossJoin(F.broadcast(own))
@@ -109,9 +113,10 @@ def overhead(df: DataFrame, metric: str, baseline: Mapping[str, object], params:
 
 def quartile_deltas(df: DataFrame, metric: str, baseline: Mapping[str, object], keys: Sequence[str], run: Sequence[str]) -> DataFrame:
     """mean, median, std, q25, q75 per key and run, each with delta and delta over the baseline run's."""
-    quartiles = F.percentile(metric, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    stats = df.groupBy(*keys, *run).agg(F.avg(metric).alias("mean"), F.stddev_samp(metric).alias("std"), quartiles.alias("_q"))
-    stats = stats.select(*keys, *run, "mean", "std", F.col("_q")[0].alias("q25"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q75"))
+    quartiles = quantiles(df, [*keys, *run], {"q25": (metric, 0.25), "median": (metric, 0.5), "q75": (metric, 0.75)})
+    stats = df.groupBy(*keys, *run).agg(F.avg(metric).alias("mean"), F.stddev_samp(metric).alias("std"))
+    quartiles = quartiles.withColumnsRenamed({c: f"_q_{c}" for c in [*keys, *run]})
+    stats = stats.join(quartiles, [F.col(c).eqNullSafe(F.col(f"_q_{c}")) for c in [*keys, *run]]).drop(*[f"_q_{c}" for c in [*keys, *run]])
     names = ["mean", "median", "std", "q25", "q75"]
     own = stats.where(selected(baseline)).select(*[F.col(k).alias(f"_b_{k}") for k in keys], *[F.col(n).alias(f"_b_{n}") for n in names])
     joined = stats.join(own, [F.col(k).eqNullSafe(F.col(f"_b_{k}")) for k in keys], "left")

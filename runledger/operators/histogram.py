@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from runledger.operators.quantiles import quantiles
+
 
 def power_of_two_edges(low: float, high: float) -> list[int]:
     """0 where it is reached, then powers of two that span the range; below zero mirrored."""
@@ -81,9 +83,10 @@ def cumulative_share(df: DataFrame, category: str, order: Sequence[str], value:
 
 def bands(df: DataFrame, groups: Sequence[str], column: str, inner: float = 0.9) -> DataFrame:
     """Mean, one deviation to each side, and the central interval that holds a share of the values."""
-    edges = F.percentile(column, F.array(F.lit((1 - inner) / 2), F.lit((1 + inner) / 2)))
-    stats = df.groupBy(*groups).agg(F.avg(column).alias("mean"), F.stddev_samp(column).alias("sd"), edges.alias("_e"))
-    return stats.select(*groups, "mean", (F.col("mean") - F.col("sd")).alias("sd_low"), (F.col("mean") + F.col("sd")).alias("sd_high"), F.col("_e")[0].alias("inner_low"), F.col("_e")[1].alias("inner_high"))
+    edges = quantiles(df, groups, {"inner_low": (column, (1 - inner) / 2), "inner_high": (column, (1 + inner) / 2)}).withColumnsRenamed({g: f"_q_{g}" for g in groups})
+    stats = df.groupBy(*groups).agg(F.avg(column).alias("mean"), F.stddev_samp(column).alias("sd"))
+    joined = stats.join(edges, [F.col(g).eqNullSafe(F.col(f"_q_{g}")) for g in groups]) if groups else stats.crossJoin(F.broadcast(edges))
+    return joined.select(*groups, "mean", (F.col("mean") - F.col("sd")).alias("sd_low"), (F.col("mean") + F.col("sd")).alias("sd_high"), "inner_low", "inner_high")
 
 
 def conditional_shares(df: DataFrame, groups: Sequence[str], conditions: dict[str, Column]) -> DataFrame:

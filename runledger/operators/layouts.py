@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from runledger.operators.intervals import range_join
 from runledger.session import stored
 
 SEPARATOR = "::"
@@ -28,12 +29,15 @@ def alias_pairs(members: DataFrame, key: Sequence[str], member: str = "name", of
     """(key, member, alias): members whose [offset, offset + size) meets the bounds [base, top) of an imprecise member
     of the same structure, other than itself, its ancestors and its descendants.
 
-    An equi-join on the structure with the overlap as its condition; a structure's members are few.
+    Of two ranges that meet, the later start lies in the other one. So two range joins find them, of starts of members in
+    bounds and of starts of bounds inside members; pairs that don't meet are not formed, however many members a structure has.
     """
-    bounds = members.where(F.col(flag)).select(*[F.col(k).alias(f"_k_{k}") for k in key], F.col(member).alias("alias"), F.col(base).alias("_base"), F.col(top).alias("_top"))
-    same = [members[k] == bounds[f"_k_{k}"] for k in key]
-    meets = (F.col(offset) < F.col("_top")) & (F.col(offset) + F.col(size) > F.col("_base"))
-    return members.join(bounds, [*same, meets, ~related(F.col(member), F.col("alias"))]).select(*key, F.col(member), F.col(offset), "alias")
+    known = members.where(" AND ".join(f"`{k}` IS NOT NULL" for k in key)).select(*key, member, offset, size, (F.col(offset) + 1).alias("_after"), (F.col(offset) + F.col(size)).alias("_end"))
+    bounds = members.where(F.col(flag)).select(*key, F.col(member).alias("alias"), F.col(base).alias("_base"), F.col(top).alias("_top"))
+    later = range_join(known, bounds, offset, "_base", "_top", keys=key)
+    earlier = range_join(bounds, known, "_base", "_after", "_end", keys=key)
+    pairs = later.unionByName(earlier).where((F.col(offset) < F.col("_top")) & (F.col("_end") > F.col("_base")) & ~related(F.col(member), F.col("alias")))
+    return pairs.select(*key, F.col(member), F.col(offset), "alias")
 
 
 def annotated_members(members: DataFrame, key: Sequence[str], member: str = "name", offset: str = "byte_offset", flag: str = "is_imprecise", **names: str) -> DataFrame:
@@ -68,26 +72,31 @@ def struct_totals(members: DataFrame, key: Sequence[str], padding: str, padding_
     return counts.withColumn("pointer_density", F.col("pointers") / F.col("members"))
 
 
-def rollup_nested(nodes: DataFrame, edges: DataFrame, values: Sequence[str], depth: int = 64) -> DataFrame:
+def rollup_nested(nodes: DataFrame, edges: DataFrame, values: Sequence[str]) -> DataFrame:
     """Totals of structures with all that is nested in them.
 
-    nodes: (id, values); edges: (parent, child, items), a child counting `items` times. Multipliers walk up from every
-    node to its ancestors, level by level; equal (ancestor, node) ways are added up in each. A cycle, which would never
-    end, raises after `depth` levels. Levels are stored, so plans stay short.
+    nodes: (id, values); edges: (parent, child, items), a child counting `items` times. Ways from a structure to what it holds
+    are found by doubling: those of 1, 2, 4 and so on steps are joined with themselves, so rounds grow with the logarithm of the
+    depth. Equal (top, node) ways are added up in each, so they don't grow with the number of paths. A structure that
+    holds itself raises. Rounds are stored, so plans stay short.
     """
-    # Distinct ways of one length are sums already, so levels don't grow with the number of paths.
-    front = nodes.select(F.col("id").alias("node"), F.col("id").alias("top"), F.lit(1).cast("long").alias("times"))
-    ways = front
-    up = edges.groupBy("parent", "child").agg(F.sum("items").alias("items"))
-    for level in range(depth + 1):
-        front = front.join(up, front["top"] == up["child"]).groupBy("node", F.col("parent").alias("top")).agg(F.sum(F.col("times") * F.col("items")).alias("times"))
-        front = stored(front, "levels")
-        if front.isEmpty():
-            break
-        if level == depth:
+    exact = edges.groupBy(F.col("parent").alias("top"), F.col("child").alias("node")).agg(F.sum("items").cast("long").alias("times"))
+    exact = stored(exact, "ways")
+    # Ways of up to as many steps as `exact` has.
+    ways = exact
+
+    def then(first: DataFrame, second: DataFrame) -> DataFrame:
+        more = second.select(F.col("top").alias("_middle"), F.col("node").alias("_node"), F.col("times").alias("_times"))
+        return first.join(more, first["node"] == more["_middle"]).select("top", F.col("_node").alias("node"), (F.col("times") * F.col("_times")).alias("times"))
+
+    summed = lambda df: df.groupBy("top", "node").agg(F.sum("times").alias("times"))
+    while not exact.isEmpty():
+        if not ways.where("top = node").isEmpty():
             raise ValueError("structures that contain each other")
-        ways = ways.unionByName(front)
-    totals = ways.join(nodes, F.col("node") == F.col("id")).groupBy("top").agg(*[F.sum(F.col("times") * F.col(v)).alias(v) for v in values])
+        ways = stored(summed(ways.unionByName(then(exact, ways))), "ways")
+        exact = stored(summed(then(exact, exact)), "ways")
+    every = ways.unionByName(nodes.select(F.col("id").alias("top"), F.col("id").alias("node"), F.lit(1).cast("long").alias("times")))
+    totals = every.join(nodes, F.col("node") == F.col("id")).groupBy("top").agg(*[F.sum(F.col("times") * F.col(v)).alias(v) for v in values])
     return totals.withColumnRenamed("top", "id")
 
 

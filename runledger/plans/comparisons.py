@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from runledger.functions.normal import normal_cdf, normal_quantile
 from runledger.operators import compare, shape
+from runledger.operators.quantiles import quantiles
 from runledger.plans.registry import query
 from runledger.plans.views import COUNTER_NAMES, COUNTERS_SQL, RUNS_SQL, counters, flag_runs, table
 from runledger.session import stored
@@ -55,7 +56,7 @@ def overhead_relative_only(spark, sf_dir):
 def overhead_by_year(spark, sf_dir):
     """An extra group column; rows of years without a baseline are left out."""
     lines = table(spark, sf_dir, "lineitem").withColumn("year", F.year("l_shipdate"))
-    runs = stored(lines.groupBy(*FLAGS, F.col("l_linenumber").alias("iteration"), "year").agg(F.median("l_extendedprice").alias("value")), "runs")
+    runs = stored(quantiles(lines.withColumnRenamed("l_linenumber", "iteration"), [*FLAGS, "iteration", "year"], {"value": ("l_extendedprice", 0.5)}), "runs")
     return _rounded(compare.median_overhead(runs, "value", {"l_returnflag": "R", "l_linestatus": "F"}, FLAGS, extra_groupby=["year"], on_missing="check_off"), ["value"])
 
 

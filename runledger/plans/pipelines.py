@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from runledger.functions.scalars import basename, decimal_to_hex
 from runledger.keys import keep_drop
 from runledger.operators import align, compare, coords, histogram, intervals, layouts, shape, trace
+from runledger.operators.quantiles import quantiles
 from runledger.sources import readers
 
 #: Folders of an iteration and of a run, as sessions or partitioned writers name them.
@@ -189,8 +190,8 @@ def instruction_histogram(spark: SparkSession, path: str, symbols: DataFrame, ke
 
 def instructions_per_call(icounts: DataFrame, calls: DataFrame, baseline: str, run: str = "dataset_gid") -> DataFrame:
     """Median instructions and calls of each function over a run's iterations, their ratio, and its change from the baseline run's."""
-    n = icounts.groupBy("symbol", run).agg(F.median("instr_count").alias("n"))
-    c = calls.groupBy("symbol", run).agg(F.median("call_count").alias("calls"))
+    n = quantiles(icounts, ["symbol", run], {"n": ("instr_count", 0.5)})
+    c = quantiles(calls, ["symbol", run], {"calls": ("call_count", 0.5)})
     return trace.per_call(n, c, ["symbol"], [run], baseline)
 
 

@@ -653,11 +653,34 @@ def conforming_rows(spark, sf_dir):
     return conform(rows, schema, {"o_orderstatus": ["F", "O"]}).drop("o_orderstatus")
 
 
-@query("custom_order", "SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1 ORDER BY CASE o_orderpriority WHEN '5-LOW' THEN 0 WHEN '3-MEDIUM' THEN 1 WHEN '1-URGENT' THEN 2 WHEN '2-HIGH' THEN 3 ELSE 4 END LIMIT 3")
+@query(
+    "counted_violations",
+    """
+    WITH r AS (SELECT nullif(o_orderpriority, '4-NOT SPECIFIED') AS priority, CASE WHEN o_orderkey % 7 = 0 THEN 'x' ELSE '' END || o_orderkey % 5 AS level, o_orderstatus FROM orders)
+    SELECT unnest(['rows', 'level_type', 'priority_type', 'priority_null', 'o_orderstatus_type', 'o_orderstatus_value', 'written']) AS rule,
+        unnest([count(*), count_if(try_cast(level AS INT) IS NULL), 0, count_if(priority IS NULL), 0, count_if(o_orderstatus NOT IN ('F', 'O')), count_if(priority IS NOT NULL AND o_orderstatus IN ('F', 'O'))]) AS broken FROM r
+    """,
+)
+def counted_violations(spark, sf_dir):
+    """Rows that break each rule of a schema, counted while those that break none are written."""
+    from pyspark.sql import types as T
+
+    from runledger.session import fresh_path
+    from runledger.sources.sinks import write_conforming
+
+    schema = T.StructType([T.StructField("level", T.IntegerType()), T.StructField("priority", T.StringType(), False), T.StructField("o_orderstatus", T.StringType())])
+    level = F.concat(F.when(F.col("o_orderkey") % 7 == 0, "x").otherwise(""), (F.col("o_orderkey") % 5).cast("string"))
+    rows = table(spark, sf_dir, "orders").select(F.expr("nullif(o_orderpriority, '4-NOT SPECIFIED')").alias("priority"), level.alias("level"), "o_orderstatus")
+    counts = write_conforming(rows, schema, path := fresh_path(spark, "conforming"), {"o_orderstatus": ["F", "O"]})
+    told = spark.createDataFrame(sorted(counts.items()), "rule string, broken long")
+    return told.union(spark.read.parquet(path).select(F.lit("written").alias("rule"), F.lit(1).alias("one")).groupBy("rule").agg(F.count("*").alias("broken")))
+
+
+@query("custom_order", "SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1 ORDER BY CASE o_orderpriority WHEN '5-LOW' THEN 0 WHEN '3-MEDIUM' THEN 1 WHEN '1-URGENT' THEN 2 WHEN '2-HIGH' THEN 3 ELSE 4 END")
 def custom_order(spark, sf_dir):
-    """A report of the first three in the order of a list."""
+    """All groups in the order of a list."""
     counts = table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("n"))
-    return shape.custom_order(counts, {"o_orderpriority": ["5-LOW", "3-MEDIUM", "1-URGENT", "2-HIGH", "4-NOT SPECIFIED"]}).limit(3)
+    return shape.custom_order(counts, {"o_orderpriority": ["5-LOW", "3-MEDIUM", "1-URGENT", "2-HIGH", "4-NOT SPECIFIED"]})
 
 
 @query("filled_values", "SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS value FROM events")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runledger.operators.quantiles import quantiles
 from runledger.session import stored
 
 
@@ -19,7 +20,7 @@ RUNS_SQL = "runs AS (SELECT l_returnflag, l_linestatus, l_linenumber AS iteratio
 def flag_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored, since a comparison looks at its runs several times: a few rows each, from all line items."""
     lines = table(spark, sf_dir, "lineitem")
-    return stored(lines.groupBy("l_returnflag", "l_linestatus", F.col("l_linenumber").alias("iteration")).agg(F.median("l_extendedprice").alias("value")), "runs")
+    return stored(quantiles(lines.withColumnRenamed("l_linenumber", "iteration"), ["l_returnflag", "l_linestatus", "iteration"], {"value": ("l_extendedprice", 0.5)}), "runs")
 
 
 #: Counters in long form: sums over the line items by flag and line number, under the names that counters have.

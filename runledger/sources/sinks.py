@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from runledger.checks import conform
 
 
 def write_csv(df: DataFrame, path: str, by: Sequence[str] = (), mode: str = "error") -> None:
@@ -30,3 +33,11 @@ def write_text(lines: DataFrame, path: str, compress: bool = False, mode: str =
 def write_regions(traffic: DataFrame, path: str, mode: str = "error") -> None:
     """Region traffic in bytes, by name."""
     write_csv(traffic.select("name", *[c for c in traffic.columns if c.endswith(("_count", "_bytes"))]), path, mode=mode)
+
+
+def write_conforming(df: DataFrame, schema: StructType, path: str, allowed: Mapping[str, Sequence[str]] | None = None, mode: str = "error") -> dict[str, int]:
+    """The rows that keep the schema's rules as Parquet; returns how many rows there were and how many break each rule, counted
+    in the same pass."""
+    seen = Observation("violations")
+    conform(df, schema, allowed, violations=seen).write.mode(mode).parquet(path)
+    return dict(seen.get)

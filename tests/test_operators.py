@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from runledger import checks, keys
 from runledger.functions import scalars
-from runledger.operators import coords, histogram, intervals, layouts, ordered, shape, trace
+from runledger.operators import align, coords, histogram, intervals, layouts, ordered, quantiles, shape, trace
 
 
 def one(spark, column):
@@ -152,7 +152,7 @@ def test_nested_rollup_and_cycles(spark):
     edges = spark.createDataFrame([(1, 2, 2), (2, 3, 3), (1, 3, 1)], "parent long, child long, items long")
     assert {r["id"]: r["v"] for r in layouts.rollup_nested(nodes, edges, ["v"]).collect()} == {1: 1 + 20 + 700, 2: 310, 3: 100}
     with pytest.raises(ValueError):
-        layouts.rollup_nested(nodes, edges.union(spark.createDataFrame([(3, 1, 1)], edges.schema)), ["v"], depth=5)
+        layouts.rollup_nested(nodes, edges.union(spark.createDataFrame([(3, 1, 1)], edges.schema)), ["v"])
 
 
 def test_derived_columns(spark):
@@ -360,3 +360,66 @@ def test_one_thread_nests_over_many_tasks(spark):
         assert (r["depth"], r["previous"]) == (depth, latest.get(depth))
         latest[depth] = r["seq"]
         depth += 1 if up else 0
+
+
+def test_rollup_of_a_deep_chain_and_of_a_cycle(spark):
+    n = 1000
+    nodes = spark.range(n).select("id", F.lit(1).cast("long").alias("v"))
+    chain = spark.range(1, n).select((F.col("id") - 1).alias("parent"), F.col("id").alias("child"), F.lit(1).alias("items"))
+    got = {r["id"]: r["v"] for r in layouts.rollup_nested(nodes, chain, ["v"]).collect()}
+    assert got == {k: n - k for k in range(n)}
+    for back in (n - 1, 5):
+        cycle = chain.where(f"child <= {back}").union(spark.createDataFrame([(back, 3, 1)], chain.schema))
+        with pytest.raises(ValueError, match="contain each other"):
+            layouts.rollup_nested(nodes, cycle, ["v"])
+
+
+def test_completion_beyond_the_names_of_a_task(spark, monkeypatch):
+    rows = [(k, n, (k or 0) * n) for k in [*range(7), None] for n in range(50) if k is None or (k + n) % 3]
+    frame = spark.createDataFrame(rows, "k int, n int, v int")
+    few = sorted(map(str, align.completed(frame, ["k"], ["n"], ["v"], fill=0).collect()))
+    monkeypatch.setattr(align, "MOST_NAMES", 8)
+    many = align.completed(frame, ["k"], ["n"], ["v"], fill=0)
+    plan = many._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Cross" not in plan
+    got = many.collect()
+    assert sorted(map(str, got)) == few and len(got) == 8 * 50
+
+
+def test_quantiles_of_a_group_beyond_one_task(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [("hot", rng.choice([rng.randrange(50) / 4, None])) for _ in range(2000)] + [(None, float(k)) for k in range(31)] + [("nan", x) for x in (1.0, float("nan"), 2.0)] + [("none", None)]
+    frame = spark.createDataFrame(rows, "g string, v double").withColumn("w", -F.col("v"))
+    wanted = {"low": ("v", 0.05), "mid": ("v", 0.5), "high": ("w", 0.9)}
+    small = {r["g"]: str(r) for r in quantiles.quantiles(frame, ["g"], wanted).collect()}
+    whole = quantiles.quantiles(frame.where("g = 'hot'"), [], wanted).collect()
+    monkeypatch.setattr(quantiles, "TABLE_ROWS", 100)
+    assert {r["g"]: str(r) for r in quantiles.quantiles(frame, ["g"], wanted).collect()} == small
+    assert quantiles.quantiles(frame.where("g = 'hot'"), [], wanted).collect() == whole
+
+
+def test_overlaps_in_a_large_structure(spark):
+    n = 100_000
+    members = spark.range(n).select(F.lit("s").alias("owner"), F.concat(F.lit("s::m"), F.col("id").cast("string")).alias("name"), (8 * F.col("id")).alias("byte_offset"), F.lit(8).cast("long").alias("byte_size"), (8 * F.col("id") - 4).alias("base"), (8 * F.col("id") + 12).alias("top"), (F.col("id") % 2 == 0).alias("is_imprecise"))
+    began = time.perf_counter()
+    # Bounds reach into the member before and the one after.
+    assert layouts.alias_pairs(members, ["owner"]).count() == n - 1
+    assert time.perf_counter() - began < 60
+    rng = random.Random(4)
+    rows = [(rng.choice("ab"), f"x::{k}" if k % 3 else f"x::{k - 1}::{k}", (o := rng.randrange(60)), rng.choice([0, 1, 8]), (b := max(0, o - rng.randrange(9))), b + rng.randrange(12), rng.random() < 0.4) for k in range(150)]
+    frame = spark.createDataFrame(rows, "owner string, name string, byte_offset long, byte_size long, base long, top long, is_imprecise boolean")
+    related = lambda p, q: p == q or p.startswith(q + "::") or q.startswith(p + "::")
+    want = sorted((o, m, f, a) for o, m, f, s, *_ in rows for o2, a, _, _, b, t, i in rows if i and o == o2 and f < t and f + s > b and not related(m, a))
+    assert sorted(map(tuple, layouts.alias_pairs(frame, ["owner"]).collect())) == want
+
+
+def test_violations_are_counted_in_the_pass_that_writes(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    from runledger.sources.sinks import write_conforming
+
+    frame = spark.createDataFrame([("1", "a", 0), ("x", "a", 0), (None, "b", 0), ("4", None, 0), ("5", "c", 0)], "n string, k string, extra int")
+    schema = T.StructType([T.StructField("n", T.IntegerType(), False), T.StructField("k", T.StringType())])
+    counts = write_conforming(frame, schema, f"file://{tmp_path}/out", {"k": ["a", "b"]})
+    assert counts == {"rows": 5, "n_type": 1, "n_null": 2, "k_type": 0, "k_value": 1}
+    assert sorted(map(str, spark.read.parquet(f"file://{tmp_path}/out").collect())) == sorted(["Row(n=1, k='a')", "Row(n=4, k=None)"])
