@@ -600,6 +600,14 @@ def runs_of_paths(spark, sf_dir):
     return data.select(*FLAGS, "iteration", "value")
 
 
+@query("selected_runs", f"WITH {SUMS_SQL} SELECT l_returnflag, l_linestatus, iteration, q AS value FROM s WHERE l_linestatus = 'F'")
+def selected_runs(spark, sf_dir):
+    """Of a store of runs the folders of those that a rule selects."""
+    rows = sums(spark, sf_dir)
+    sinks.write_run_store(rows.select("dataset_id", "iteration", F.col("q").alias("value")), path := fresh_path(spark, "store"))
+    return readers.read_run_store(spark, path, "value bigint", runs_of(rows, FLAGS).where("l_linestatus = 'F'")).select(*FLAGS, "iteration", "value")
+
+
 @query(
     "sliced_overhead",
     f"WITH {SUMS_SQL}, d AS (SELECT l_returnflag, l_linestatus, iteration, q AS value FROM s WHERE l_returnflag <> 'R' AND NOT (l_returnflag = 'A' AND l_linestatus = 'O' AND iteration = 7)), long AS ({overhead_sql('d', ['l_returnflag'], {'l_returnflag': 'N'}, ['l_linestatus'])}) SELECT * FROM long",

@@ -7,18 +7,18 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from runledger.functions.scalars import hex_to_decimal, normal_path, snake_case, text_to_bytes
 from runledger.operators.align import before_after
+from runledger.sources import splits
+
 
 def _file() -> Column:
     return F.col("_metadata.file_path").alias("file")
 
 
-
 def read_csv(spark: SparkSession, path: str | Sequence[str], schema: str, **options: str) -> DataFrame:
     """CSV, also gzipped, with a header."""
     return spark.read.options(header=True, **options).schema(schema).csv(path).select("*", _file())
@@ -52,13 +52,25 @@ def keyed_by_path(data: DataFrame, runs: DataFrame, iteration: str, dataset: str
     return keyed.join(runs, "dataset_id")
 
 
-def _lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    return spark.read.text(path).select("value", _file())
+#: Runs up to which a selection is put into the scan as a list; a larger one prunes folders while the query runs.
+LISTED_RUNS = 10_000
+
+
+def read_run_store(spark: SparkSession, root: str, schema: str, runs: DataFrame) -> DataFrame:
+    """Rows of the given runs from folders dataset_id=<id>/iteration=<n> of Parquet files, with the axes of their run.
+
+    Folders of other runs are not read: the ids of up to LISTED_RUNS runs are a filter of the scan, those of more are
+    joined to the partition column.
+    """
+    data = spark.read.schema(f"{schema}, dataset_id string, iteration int").parquet(root)
+    ids = [r[0] for r in runs.select("dataset_id").distinct().limit(LISTED_RUNS + 1).collect()]
+    if len(ids) <= LISTED_RUNS:
+        data = data.where(F.col("dataset_id").isin(ids))
+    return data.join(runs, "dataset_id")
 
 
-def _whole(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """One row per file, with its lines in order; for small reports."""
-    return spark.read.text(path, wholetext=True).select(F.split(F.regexp_replace("value", r"\n$", ""), r"\r?\n").alias("lines"), _file())
+def _lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    return spark.read.text(path).select("value", _file())
 
 
 # -- timings -------------------------------------------------------------------------------------
@@ -132,9 +144,9 @@ def read_wrk(spark: SparkSession, path: str) -> DataFrame:
 
 def read_netperf(spark: SparkSession, path: str, fields: Sequence[str]) -> DataFrame:
     """CSV below one banner row; columns are chosen by name, in lower case, as doubles where they are numbers."""
-    files = _whole(spark, path).select("file", F.split(F.col("lines")[1], ",").alias("names"), F.explode(F.slice("lines", F.lit(3), F.greatest(F.size("lines") - 2, F.lit(0)))).alias("line")).where("line <> ''")
-    cells = F.map_from_arrays("names", F.slice(F.split("line", ","), F.lit(1), F.size("names")))
-    rows = files.select("file", cells.alias("m"))
+    names, cells = F.split("header", ","), F.split("value", ",")
+    told = F.map_from_arrays(names, F.slice(F.concat(cells, F.array_repeat(F.lit(None).cast("string"), F.size(names))), F.lit(1), F.size(names)))
+    rows = splits.below_header(spark, path).select("file", told.alias("m"))
     return rows.select("file", *[F.trim(F.try_element_at("m", F.lit(f))).try_cast("double").alias(f.lower()) for f in fields])
 
 
@@ -158,44 +170,12 @@ def read_counters_series(spark: SparkSession, path: str, pattern: str = r"([0-9]
     return read_counters(spark, path).withColumn("iteration", F.regexp_extract("file", pattern, 1).cast("int") - 1)
 
 
-_STACK = "file string, counter string, total bigint, stack string, samples bigint"
-
-
-def read_callgraph(spark: SparkSession, path: str) -> DataFrame:
-    """Folded stacks of call-graph reports: a depth-first walk by indentation, one stack for each leaf, the leaf first.
+def read_callgraph(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """Folded stacks of call-graph reports, one stack for each leaf, the leaf first; a large report is read by many tasks.
 
-    A report is read by one task each; equal stacks of a file are added up. A line of another form raises.
+    Equal stacks of a file are added up. A line of another form raises.
     """
-    head, entry = r"^@\s+(\S+)\s+\[(\d+) samples\]", r"^(\s*)(\d+(?:\.\d+)?)%\s+\[(\d+)\]\s+(\S+)"
-
-    def walk(batches):
-        import re
-
-        for pdf in batches:
-            rows = []
-            for file, lines in zip(pdf["file"], pdf["lines"]):
-                counter, total, chain, last = None, None, [], None
-                for line in lines:
-                    if counter is None:
-                        if not (m := re.match(head, line)):
-                            raise ValueError(f"{file}: not a call graph: {line!r}")
-                        counter, total = m[1], int(m[2])
-                    elif line.strip():
-                        if not (m := re.match(entry, line)):
-                            raise ValueError(f"{file}: not an entry: {line!r}")
-                        depth = len(m[1])
-                        if last is not None and depth <= last[0]:
-                            rows.append((file, counter, total, ";".join(n for _, n in reversed(chain)), last[1]))
-                        while chain and chain[-1][0] >= depth:
-                            chain.pop()
-                        chain.append((depth, m[4]))
-                        last = (depth, int(m[3]))
-                if last is not None:
-                    rows.append((file, counter, total, ";".join(n for _, n in reversed(chain)), last[1]))
-            yield pd.DataFrame(rows, columns=["file", "counter", "total", "stack", "samples"])
-
-    stacks = _whole(spark, path).mapInPandas(walk, _STACK)
-    return stacks.groupBy("file", "counter", "total", "stack").agg(F.sum("samples").alias("samples"))
+    return splits.call_graphs(spark, path)
 
 
 def read_sysctl(spark: SparkSession, path: str) -> DataFrame:
@@ -336,10 +316,9 @@ def read_advisories(spark: SparkSession, path: str, lines: bool = False) -> Data
 
 def read_cache_reports(spark: SparkSession, path: str, section: str, name: str = r"([0-9]+[KMG])[^/]*$") -> DataFrame:
     """The first miss rate below a section heading, and the cache size in the file's path (K, M, G), in its name if not said else."""
-    text = spark.read.text(path, wholetext=True).select("value", _file())
-    rate = F.regexp_extract("value", rf"(?s){section}.*?miss rate:\s*([0-9.]+)%", 1)
+    found = splits.first_below(spark, path, section, r"miss rate:\s*([0-9.]+)%")
     size = F.regexp_extract("file", name, 1)
-    return text.select("file", size.alias("size_text"), text_to_bytes(F.when(size != "", size)).alias("size"), rate.try_cast("double").alias("miss_rate")).orderBy("size")
+    return found.select("file", size.alias("size_text"), text_to_bytes(F.when(size != "", size)).alias("size"), F.col("found").try_cast("double").alias("miss_rate")).orderBy("size")
 
 
 # -- snapshots -----------------------------------------------------------------------------------

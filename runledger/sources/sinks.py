@@ -16,6 +16,11 @@ def write_csv(df: DataFrame, path: str, by: Sequence[str] = (), mode: str = "err
     df.write.mode(mode).partitionBy(*by).option("header", True).csv(path)
 
 
+def write_run_store(df: DataFrame, root: str, mode: str = "error") -> None:
+    """Parquet files in a folder for each run and iteration; rows of one folder are written by one task."""
+    df.repartition("dataset_id", "iteration").write.mode(mode).partitionBy("dataset_id", "iteration").parquet(root)
+
+
 def write_json(df: DataFrame, path: str, mode: str = "error") -> None:
     df.write.mode(mode).json(path)
 

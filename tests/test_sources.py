@@ -1,9 +1,10 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from runledger.sources import readers, sinks
+from runledger.sources import readers, sinks, splits
 from runledger.streaming import transitions
 
 
@@ -161,3 +162,80 @@ def test_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "json")).count() == 2
     sinks.write_text(frame.select(F.col("scenario").alias("value")), str(tmp_path / "txt"), compress=True)
     assert list((tmp_path / "txt").glob("*.gz"))
+
+
+def _graph(rng, lines):
+    """A call graph, and its stacks by a plain walk."""
+    text, open_, want, depth = ["@ CPU_CYCLES [900 samples]"], [], {}, 0
+    depths = [0]
+    for _ in range(lines - 1):
+        depths.append(rng.choice([d for d in (depths[-1] + 2, depths[-1], depths[-1] - 2, 0) if d >= 0]))
+    for k, depth in enumerate(depths):
+        name, samples = f"f{rng.randrange(6)}", rng.randrange(50)
+        open_ = [*open_[: depth // 2], name]
+        text.append(f"{' ' * depth}1.0% [{samples}] {name} @ /bin/a")
+        if k + 1 == len(depths) or depths[k + 1] <= depth:
+            stack = ";".join(reversed(open_))
+            want[stack] = want.get(stack, 0) + samples
+        if rng.random() < 0.05:
+            text.append("")
+    return "\n".join(text) + "\n", want
+
+
+def test_call_graphs_of_several_splits(spark, tmp_path):
+    rng = random.Random(5)
+    want = {}
+    for name, lines in (("large", 3000), ("small", 3), ("one", 1), ("other", 700)):
+        text, want[name] = _graph(rng, lines)
+        put(tmp_path, f"graphs/{name}.txt", text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    spark.conf.set("spark.sql.files.openCostInBytes", "512")
+    try:
+        # One file is read by many tasks.
+        assert splits.placed_lines(spark, str(tmp_path / "graphs/large.txt")).select("block").distinct().count() > 5
+        got = readers.read_callgraph(spark, str(tmp_path / "graphs/*.txt")).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    found = {}
+    for r in got:
+        assert (r["counter"], r["total"]) == ("CPU_CYCLES", 900)
+        found.setdefault(r["file"].split("/")[-1].removesuffix(".txt"), {})[r["stack"]] = r["samples"]
+    assert found == want
+
+
+def test_headers_of_several_splits(spark, tmp_path):
+    rows_ = [(k, k % 7) for k in range(2000)]
+    path = put(tmp_path, "n.csv", "BANNER\nElapsed,Throughput\n" + "".join(f"{a},{b}\n" for a, b in rows_) + "\nlast\n")
+    cache = put(tmp_path, "c-64K.txt", "miss rate: 9%\n" + "x\n" * 3000 + "L1D stats: miss rate: 3.5% miss rate: 7%\n" + "y\n" * 3000 + "miss rate: 8%\n")
+    plain = put(tmp_path, "c-1M.txt", "miss rate: 9%\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+    spark.conf.set("spark.sql.files.openCostInBytes", "512")
+    try:
+        got = rows(readers.read_netperf(spark, path, ["Throughput", "Elapsed"]), "elapsed", "throughput")
+        rates = readers.read_cache_reports(spark, [cache, plain], "L1D stats").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sorted(r for r in got if r[0] is not None) == sorted((float(a), float(b)) for a, b in rows_) and len(got) == 2001
+    assert [(r["size_text"], r["miss_rate"]) for r in rates] == [("64K", 3.5), ("1M", None)]
+
+
+def test_a_selection_of_runs_reads_only_its_folders(spark, tmp_path, monkeypatch):
+    root = f"file://{tmp_path}/store"
+    data = spark.range(60).select((F.col("id") % 6).cast("string").alias("dataset_id"), (F.col("id") % 2).cast("int").alias("iteration"), F.col("id").alias("v"))
+    sinks.write_run_store(data, root)
+    runs = spark.createDataFrame([(str(k), "a" if k < 2 else "b") for k in range(6)], "dataset_id string, axis string")
+    for listed in (10_000, 1):
+        monkeypatch.setattr(readers, "LISTED_RUNS", listed)
+        chosen = runs.where("axis = 'a'") if listed > 1 else spark.read.parquet(_written(runs, f"file://{tmp_path}/runs")).where("axis = 'a'")
+        got = readers.read_run_store(spark, root, "v bigint", chosen)
+        assert sorted(r["v"] for r in got.collect()) == [k for k in range(60) if k % 6 < 2]
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        filters = next(line for line in plan.splitlines() if "PartitionFilters" in line and "dataset_id" in line)
+        assert "dataset_id" in filters and (" IN (" in plan or "dynamicpruning" in plan)
+
+
+def _written(df, path):
+    df.write.parquet(path)
+    return path
