@@ -255,6 +255,25 @@ def counters_per_request(spark, sf_dir):
     return out.select(*FLAGS, "iteration", "name", *[F.round(c, 6).alias(c) for c in ("per_message", "per_byte")])
 
 
+@query(
+    "request_metrics",
+    f"""
+    WITH {SUMS_SQL}, c AS (SELECT *, (price + 2 * n)::DOUBLE AS cycles, (q + 2 * n + 1)::DOUBLE AS insns FROM s),
+    m AS (SELECT l_returnflag, l_linestatus, unnest(['cpu_cycles_per_message', 'inst_retired_per_message', 'cpu_cycles_per_byte', 'inst_retired_per_byte', 'cycles_per_insn', 'ipc']) AS metric,
+        unnest([cycles / n, insns / n, CASE l_returnflag WHEN 'A' THEN cycles / (n * 192) END, CASE l_returnflag WHEN 'A' THEN insns / (n * 192) END, cycles / insns, insns / cycles]) AS value FROM c)
+    SELECT l_returnflag, l_linestatus, metric, round(avg(value), 6) AS value FROM m WHERE value IS NOT NULL GROUP BY ALL
+    """,
+)
+def request_metrics(spark, sf_dir):
+    """Counter ratios, and counters by messages and bytes, of the runs that a load generator measured; means over iterations."""
+    rows, path = _counter_files(spark, sf_dir)
+    _, rates = _qps(spark, sf_dir)
+    runs = runs_of(rows, FLAGS)
+    counts = shape.sum_over_cpus(pipelines.with_runs(readers.read_counters(spark, path), runs), ["dataset_id", *FLAGS, "iteration"], "name", "value")
+    out = pipelines.request_metrics(stored(counts, "counters"), pipelines.with_runs(readers.read_qps(spark, rates), runs), FLAGS)
+    return out.withColumn("value", F.round("value", 6))
+
+
 # -- stacks, traces ------------------------------------------------------------------------------
 
 _REPORT = "WITH c AS (SELECT o_orderstatus, o_orderpriority[1:1] AS p, count(*) AS n FROM orders GROUP BY 1, 2)"

@@ -278,6 +278,27 @@ def counters_per_request(counters: DataFrame, rates: DataFrame, keys: Sequence[s
     return out.drop(*sizes)
 
 
+def request_metrics(counters: DataFrame, rates: DataFrame, groups: Sequence[str], only: Sequence[str] = (), keys: Sequence[str] = ("dataset_id", "iteration")) -> DataFrame:
+    """groups, metric, value: counter ratios and counters per message and per byte in long form, as means over iterations.
+
+    Every run and iteration must have both counters and rates. `only` keeps some metrics; one whose inputs are not there is left out.
+    """
+    both = counters.select(*keys).distinct().withColumn("_c", F.lit(1)).join(rates.select(*keys).distinct().withColumn("_r", F.lit(1)), list(keys), "full")
+    lost = both.where("_c is null or _r is null").take(3)
+    if lost:
+        raise ValueError(f"counters or rates are missing: {[tuple(r)[: len(keys)] for r in lost]}")
+    known = [*dict.fromkeys([*keys, *groups])]
+    each = counters_per_request(counters, rates, keys)
+    kinds = [c for c in ("per_message", "per_byte") if c in each.columns]
+    per = each.select(*known, F.explode(F.array(*[F.struct(F.concat_ws("_", "name", F.lit(c)).alias("metric"), F.col(c).alias("value")) for c in kinds])).alias("_m")).select(*known, "_m.metric", "_m.value")
+    names = [m.name for m in shape.COUNTER_METRICS]
+    ratios = shape.with_derived_metrics(counters, known, "name", "value").where(F.col("name").isin(names)).withColumnRenamed("name", "metric")
+    rows = per.where("value is not null").unionByName(ratios)
+    if only:
+        rows = rows.where(F.col("metric").isin(list(only)))
+    return rows.groupBy(*groups, "metric").agg(F.avg("value").alias("value"))
+
+
 def touched_files(spark: SparkSession, paths: Sequence[str], root: str) -> DataFrame:
     return readers.read_strace_files(spark, list(paths), root).distinct()
 
