@@ -68,17 +68,17 @@ def marked(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_
     part = F.coalesce(F.col(part_col).cast("string"), F.lit(""))
     source = docs.select(F.col(id_col).cast("long").alias("id"), part.alias("part"), F.col(text_col).cast("string").alias("text"))
     seen = written(source.mapInArrow(_marks, "id long, part string, mask int, sha binary"), "marks")
-    # What is joined is stored apart from the rows, so that a text or an id of many rows can be split.
+    # What is joined is stored apart from the rows, so that a text or an id of many rows can be split; neither is broadcast.
     firsts = written(seen.groupBy(F.col("sha").alias("text_sha")).agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("text_sha", "first"), "firsts")
     repeated = F.coalesce(F.col("id") > F.col("first"), F.lit(False))
-    rows = seen.join(firsts, F.col("sha") == F.col("text_sha"), "left").select("id", "part", F.col("mask").bitwiseOR(F.when(repeated, 16).otherwise(0)).alias("mask"))
+    rows = seen.join(firsts.hint("merge"), F.col("sha") == F.col("text_sha"), "left").select("id", "part", F.col("mask").bitwiseOR(F.when(repeated, 16).otherwise(0)).alias("mask"))
     if labels is None:
         return rows.select("part", "mask", F.lit(False).alias("good"), F.lit(False).alias("toxic"))
     says = lambda c: F.max(F.coalesce(F.col(c) == 1, F.lit(False)))
     told = labels.groupBy(F.col(id_col).cast("long").alias("label_id")).agg(says("quality").alias("good"), says("toxic").alias("toxic"))
     told = written(told.where("label_id IS NOT NULL AND (good OR toxic)"), "labels")
     no = F.lit(False)
-    return rows.join(told, F.col("id") == F.col("label_id"), "left").select("part", "mask", F.coalesce("good", no).alias("good"), F.coalesce("toxic", no).alias("toxic"))
+    return rows.join(told.hint("merge"), F.col("id") == F.col("label_id"), "left").select("part", "mask", F.coalesce("good", no).alias("good"), F.coalesce("toxic", no).alias("toxic"))
 
 
 class Counters:
