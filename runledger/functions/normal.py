@@ -1,4 +1,4 @@
-"""The normal law as SQL text, so that any engine evaluates the same formulas.
+"""The normal law and logarithms of factorials as SQL text, so that any engine evaluates the same formulas.
 
 Arguments are SQL expressions, evaluated several times: give columns.
 """
@@ -51,3 +51,10 @@ def normal_quantile(p: str) -> str:
     r = f"sqrt(-ln(CASE WHEN {p} < 5e-1 THEN {p} ELSE 1e0 - {p} END))"
     outer = f"CASE WHEN {r} <= 5e0 THEN {_ratio(f'({r} - 1.6e0)', _OUTER, _OUTER_BELOW)} ELSE {_ratio(f'({r} - 5e0)', _FAR, _FAR_BELOW)} END"
     return f"(CASE WHEN {p} <= 0e0 OR {p} >= 1e0 THEN NULL WHEN abs({q}) <= 4.25e-1 THEN {middle} WHEN {p} < 5e-1 THEN -({outer}) ELSE ({outer}) END)"
+
+
+def log_factorial(n: str) -> str:
+    """ln(n!) by Stirling's series from n + 8 on, divided down to n; good to 1e-12."""
+    m = f"({n} + 8e0)"
+    series = f"(({m} + 5e-1) * ln({m}) - {m} + 9.1893853320467274178e-1 + 1e0 / (12e0 * {m}) - 1e0 / (360e0 * power({m}, 3e0)) + 1e0 / (1260e0 * power({m}, 5e0)) - 1e0 / (1680e0 * power({m}, 7e0)) + 1e0 / (1188e0 * power({m}, 9e0)))"
+    return f"({series} - ln({' * '.join(f'({n} + {k}e0)' for k in range(1, 9))}))"

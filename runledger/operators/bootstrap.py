@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runledger.functions.normal import normal_cdf, normal_quantile
+from runledger.functions.normal import log_factorial, normal_cdf, normal_quantile
 from runledger.operators.ordered import running
 from runledger.session import stored
 
@@ -29,75 +29,57 @@ LEAST, APART = 1e-18, 50
 SALTS = 16
 
 
-def _at_least(n: Column, k: Column, below: Column) -> Column:
-    """P(at least k of n draws fall on `below` of n rows), summed from k away from the mean."""
-    p = below / n
-    mean_above = k > n * p
-    reach = F.ceil(12 * F.sqrt(n * p * (1 - p))).cast("long") + 30
-    log_choose = lambda j: _log_factorial(n) - _log_factorial(j) - _log_factorial(n - j)
-    chance = lambda j: F.exp(log_choose(j) + j * F.log(p) + (n - j) * F.log(1 - p))
-    odds = p / (1 - p)
-    one = lambda j: F.struct(chance(j).alias("term"), F.lit(0.0).alias("sum"), odds.alias("odds"), n.cast("double").alias("n"))
-    step = lambda s, ratio: F.struct((s["term"] * ratio).alias("term"), (s["sum"] + s["term"]).alias("sum"), s["odds"].alias("odds"), s["n"].alias("n"))
-    up = F.aggregate(F.sequence(k, F.least(n, k + reach)), one(k), lambda s, j: step(s, (s["n"] - j) / (j + 1) * s["odds"]))["sum"]
-    down = F.aggregate(F.sequence(k - 1, F.greatest(F.lit(0), k - 1 - reach), F.lit(-1).cast("long")), one(k - 1), lambda s, j: step(s, j / (s["n"] - j + 1) / s["odds"]))["sum"]
-    return F.when(below <= 0, 0.0).when(below >= n, 1.0).when(mean_above, up).otherwise(1 - down)
+def _at_least(below: str) -> str:
+    """P(at least _k of _n draws fall on `below` of _n rows), summed from _k away from the mean; _choose is the logarithm of _n over _k,
+    _choose_less of _n over _k - 1."""
+    p = f"({below} / _n)"
+    reach = f"(cast(ceil(12e0 * sqrt(_n * {p} * (1e0 - {p}))) as bigint) + 30)"
+    start = lambda j, choose: f"named_struct('term', exp({choose} + ({j}) * ln({p}) + (_n - ({j})) * ln(1e0 - {p})), 'sum', 0e0, 'odds', {p} / (1e0 - {p}))"
+    step = lambda ratio: f"(s, j) -> named_struct('term', s.term * ({ratio}), 'sum', s.sum + s.term, 'odds', s.odds)"
+    up = f"aggregate(sequence(_k, least(_n, _k + {reach})), {start('_k', '_choose')}, {step('(_n - j) / (j + 1e0) * s.odds')}).sum"
+    down = f"aggregate(sequence(_k - 1, greatest(0L, _k - 1 - {reach}), -1L), {start('_k - 1', '_choose_less')}, {step('j / (_n - j + 1e0) / s.odds')}).sum"
+    return f"CASE WHEN {below} <= 0 THEN 0e0 WHEN {below} >= _n THEN 1e0 WHEN _k > _n * {p} THEN {up} ELSE 1e0 - {down} END"
 
 
-def _log_factorial(x: Column) -> Column:
-    """ln(x!) by Stirling's series from x + 8 on, divided down to x."""
-    m = x + 8.0
-    series = (m + 0.5) * F.log(m) - m + 0.91893853320467274178 + 1 / (12 * m) - 1 / (360 * m * m * m) + 1 / (1260 * F.pow(m, F.lit(5.0))) - 1 / (1680 * F.pow(m, F.lit(7.0))) + 1 / (1188 * F.pow(m, F.lit(9.0)))
-    product = x + 1.0
-    for k in range(2, 9):
-        product = product * (x + float(k))
-    return series - F.log(product)
+def _halves(a: str, b: str) -> str:
+    """Chance that half of the draws fall on `a` rows and the others on those from `b` on."""
+    return f"coalesce(exp(_choose + floor(_n / 2) * (CASE WHEN {a} > 0 THEN ln({a} / _n) END + CASE WHEN {b} < _n THEN ln((_n - {b}) / _n) END)), 0e0)"
+
+
+def _log_choose(k: str) -> str:
+    return f"{log_factorial('_n')} - {log_factorial(k)} - {log_factorial(f'(_n - {k})')}"
 
 
 def _cells(samples: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """The distinct values of each sample with _lo and _hi, the rows below and up to each, and _n, the rows of the sample."""
-    counts = stored(samples.groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_c")), "counts")
-    ranked = running(counts, list(keys), ["_v"], {"_lo": "_c"})
-    sizes = counts.groupBy(*[F.col(k).alias(f"_of_{k}") for k in keys]).agg(F.sum("_c").alias("_n"))
-    joined = ranked.join(sizes, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
-    return stored(joined.select(*keys, "_v", "_lo", (F.col("_lo") + F.col("_c")).alias("_hi"), "_n"), "values")
+    counts = samples.groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    ranked = running(counts, list(keys), ["_v"], {"_lo": "_c"}, totals={"_n": "_lo"})
+    return stored(ranked.select(*keys, "_v", "_lo", F.expr("_lo + _c").alias("_hi"), "_n"), "values")
 
 
 def median_law(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
     """keys, _m, _p: the values that the median of a resample takes, with their chances; of the samples that _cells() ranks."""
-    n, lo, hi = F.col("_n"), F.col("_lo"), F.col("_hi")
-    half, middle = F.floor(n / 2), F.floor((n + 1) / 2)
     # Ranks in reach of a middle value.
-    near = (hi >= middle - 6 * F.sqrt(n) - 30) & (lo <= middle + 6 * F.sqrt(n) + 30)
-    at = cells.where(near).withColumn("_own", _at_least(n, middle, hi) - _at_least(n, middle, lo))
-    odd = at.where(n % 2 == 1).select(*keys, F.col("_v").alias("_m"), F.col("_own").alias("_p"))
-
-    # Of an even number: half of the draws up to a value and the other half from another on.
-    even = at.where(n % 2 == 0).withColumn("_choose", _log_factorial(n) - 2 * _log_factorial(half))
-    log = lambda x: F.when(x > 0, F.log(x / n))
-    chance = lambda a, b: F.coalesce(F.exp(F.col("_choose") + half * log(a) + half * log(n - b)), F.lit(0.0))
-    same = even.select(*keys, F.col("_v").alias("_m"), (F.col("_own") - chance(hi, hi) + chance(lo, hi)).alias("_p"))
+    near = cells.withColumn("_k", F.expr("floor((_n + 1) / 2)")).where("_hi >= _k - 6 * sqrt(_n) - 30 AND _lo <= _k + 6 * sqrt(_n) + 30")
+    chosen = near.selectExpr("*", f"{_log_choose('_k')} AS _choose", f"{_log_choose('(_k - 1)')} AS _choose_less")
+    at = chosen.selectExpr("*", f"({_at_least('_hi')}) - ({_at_least('_lo')}) AS _own")
+    # Of an even number half of the draws fall up to a value and the other half from another on, or both middle ones on one.
+    alone = at.selectExpr(*[f"`{k}`" for k in keys], "_v AS _m", f"CASE WHEN _n % 2 = 1 THEN _own ELSE _own - {_halves('_hi', '_hi')} + {_halves('_lo', '_hi')} END AS _p")
+    even = chosen.where("_n % 2 = 0")
     # The upper value is among the next rows: they share a bucket of ranks, or the next one.
-    upper = even.select(*[F.col(k).alias(f"_u_{k}") for k in keys], F.col("_v").alias("_uv"), F.col("_lo").alias("_ulo"), F.col("_hi").alias("_uhi"), F.floor(lo / APART).alias("_bucket"))
-    lower = even.withColumn("_bucket", F.explode(F.array(F.floor(hi / APART), F.floor(hi / APART) + 1)))
-    pairs = lower.join(upper, [F.col(k).eqNullSafe(F.col(f"_u_{k}")) for k in keys] + [lower["_bucket"] == upper["_bucket"], F.col("_ulo") >= hi])
-    apart = chance(hi, F.col("_ulo")) - chance(lo, F.col("_ulo")) - chance(hi, F.col("_uhi")) + chance(lo, F.col("_uhi"))
-    two = pairs.select(*keys, ((F.col("_v") + F.col("_uv")) / 2).alias("_m"), apart.alias("_p"))
-    return odd.unionByName(same).unionByName(two).groupBy(*keys, "_m").agg(F.sum("_p").alias("_p")).where(F.col("_p") > LEAST)
+    upper = even.selectExpr(*[f"`{k}` AS `_u_{k}`" for k in keys], "_v AS _uv", "_lo AS _ulo", "_hi AS _uhi", f"floor(_lo / {APART}) AS _at")
+    lower = even.selectExpr("*", f"explode(array(floor(_hi / {APART}), floor(_hi / {APART}) + 1)) AS _bucket")
+    pairs = lower.join(upper, F.expr(" AND ".join([*[f"`{k}` <=> `_u_{k}`" for k in keys], "_bucket = _at", "_ulo >= _hi"])))
+    two = pairs.selectExpr(*[f"`{k}`" for k in keys], "(_v + _uv) / 2 AS _m", f"{_halves('_hi', '_ulo')} - {_halves('_lo', '_ulo')} - {_halves('_hi', '_uhi')} + {_halves('_lo', '_uhi')} AS _p")
+    return alone.unionByName(two).groupBy(*keys, "_m").agg(F.sum("_p").alias("_p")).where(F.col("_p") > LEAST)
 
 
 def _middles(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
     """keys, _n, _median and the medians without one row: _jl (without one below), _jc (without the middle one), _jr."""
-    n = F.col("_n")
-    half = F.floor(n / 2)
-    ranked = lambda k: F.max(F.when((F.col("_lo") < k) & (F.col("_hi") >= k), F.col("_v")))
-    got = cells.groupBy(*keys).agg(F.first("_n").alias("_n"), ranked(half).alias("_a"), ranked(half + 1).alias("_b"), ranked(half + 2).alias("_c"), (F.max("_v") == F.min("_v")).alias("_flat"), F.bool_or(F.isnan("_v")).alias("_odd"))
-    a, b, c, odd = F.col("_a"), F.col("_b"), F.col("_c"), n % 2 == 1
-    return got.select(
-        *keys, "_n", "_flat", "_odd",
-        F.when(odd, b).otherwise((a + b) / 2).alias("_median"),
-        F.when(odd, (b + c) / 2).otherwise(b).alias("_jl"), F.when(odd, (a + c) / 2).alias("_jc"), F.when(odd, (a + b) / 2).otherwise(a).alias("_jr"),
-    )
+    ranked = lambda k: f"max(CASE WHEN _lo < floor(_n / 2) + {k} AND _hi >= floor(_n / 2) + {k} THEN _v END)"
+    got = cells.groupBy(*keys).agg(*[F.expr(e) for e in ("first(_n) AS _n", f"{ranked(0)} AS _a", f"{ranked(1)} AS _b", f"{ranked(2)} AS _c", "max(_v) = min(_v) AS _flat", "bool_or(isnan(_v)) AS _odd")])
+    odd = lambda x, y: f"CASE WHEN _n % 2 = 1 THEN {x} ELSE {y} END"
+    return got.selectExpr(*[f"`{k}`" for k in keys], "_n", "_flat", "_odd", f"{odd('_b', '(_a + _b) / 2')} AS _median", f"{odd('(_b + _c) / 2', '_b')} AS _jl", f"{odd('(_a + _c) / 2', 'NULL')} AS _jc", f"{odd('(_a + _b) / 2', '_a')} AS _jr")
 
 
 def _statistic(kind: str, x: Column, b: Column, scale: float) -> Column:

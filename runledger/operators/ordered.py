@@ -27,9 +27,10 @@ def _begun(inside: DataFrame, starts: DataFrame, keys: Sequence[str]) -> DataFra
     return inside.join(renamed, [F.col("_range") == F.col("_key__range"), *[F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]])
 
 
-def running(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], sums: Mapping[str, Column | str], following: Mapping[str, str] | None = None, preceding: Mapping[str, str] | None = None) -> DataFrame:
+def running(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], sums: Mapping[str, Column | str], following: Mapping[str, str] | None = None, preceding: Mapping[str, str] | None = None, totals: Mapping[str, str] | None = None) -> DataFrame:
     """Adds, under each name, the sum of an expression over the rows before in the order of the row's keys.
 
+    totals: name -> name of a sum, that sum over all rows of the keys.
     following and preceding: name -> column, the column's value in the next row and in the one before, null at the ends. A
     partition gets the first row of the next one that has its key, and the last row of the one before. Rows that are equal in the
     order are put in order by a hash of what is taken from them.
@@ -43,15 +44,17 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], s
     ranges = Window.partitionBy(*keys).orderBy("_range")
     before, earlier = (w.rowsBetween(Window.unboundedPreceding, -1) for w in (along, ranges))
     ends = {"_first": F.min_by(F.struct(*taken), F.struct(*by)), "_last": F.max_by(F.struct(*taken), F.struct(*by))} if taken else {}
-    totals = ranged.groupBy("_range", *keys).agg(F.lit(1).alias("_some"), *[F.sum(c).alias(c) for c in named], *[c.alias(n) for n, c in ends.items()])
+    ended = ranged.groupBy("_range", *keys).agg(F.lit(1).alias("_some"), *[F.sum(c).alias(c) for c in named], *[c.alias(n) for n, c in ends.items()])
     carried = [F.coalesce(F.sum(f"_sum_{n}").over(earlier), F.lit(0)).alias(f"_start_{n}") for n in sums]
     if taken:
         carried += [F.lead("_first").over(ranges).alias("_after"), F.lag("_last").over(ranges).alias("_ahead")]
-    starts = totals.select("_range", *keys, *carried)
+    carried += [F.sum(f"_sum_{of}").over(Window.partitionBy(*keys)).alias(f"_total_{n}") for n, of in (totals or {}).items()]
+    starts = ended.select("_range", *keys, *carried)
     inside = ranged.withColumns({n: F.coalesce(F.sum(f"_sum_{n}").over(before), F.lit(0)) for n in sums})
     if taken:
         inside = inside.withColumns({"_next": F.lead(F.struct(*taken)).over(along), "_previous": F.lag(F.struct(*taken)).over(along)})
     told = [(F.col(n) + F.col(f"_start_{n}")).alias(n) for n in sums]
+    told += [F.col(f"_total_{n}").alias(n) for n in totals or {}]
     told += [F.coalesce("_next", "_after")[c].alias(n) for n, c in following.items()] + [F.coalesce("_previous", "_ahead")[c].alias(n) for n, c in preceding.items()]
     return _begun(inside, starts, keys).select(*df.columns, *told)
 

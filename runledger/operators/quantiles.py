@@ -29,12 +29,10 @@ def quantiles(df: DataFrame, groups: Sequence[str], wanted: Mapping[str, tuple[s
     most = df.groupBy(*groups).count().agg(F.max("count")).first()[0] or 0
     if most <= TABLE_ROWS:
         return df.groupBy(*groups).agg(*[F.percentile(c, F.lit(float(q))).alias(n) for n, (c, q) in wanted.items()])
-    out = stored(df.groupBy(*groups).agg(*[F.count(c).alias(f"_n_{k}") for k, c in enumerate(columns)]), "sizes")
-    for k, c in enumerate(columns):
+    out = stored(df.select(*groups).distinct() if groups else df.groupBy().agg(F.lit(1).alias("_one")), "groups")
+    for c in columns:
         counts = df.where(F.col(c).isNotNull()).groupBy(*groups, F.col(c).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
-        ranked = running(counts, groups, ["_v"], {"_lo": "_c"}).withColumnsRenamed({g: f"_g_{g}" for g in groups})
-        same = [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in groups]
-        joined = ranked.join(out.select(*groups, F.col(f"_n_{k}").alias("_n")), same) if groups else ranked.crossJoin(F.broadcast(out.select(F.col(f"_n_{k}").alias("_n"))))
+        ranked = running(counts, groups, ["_v"], {"_lo": "_c"}, totals={"_n": "_lo"})
         picked = []
         for n, (of, q) in wanted.items():
             if of == c:
@@ -46,8 +44,8 @@ def quantiles(df: DataFrame, groups: Sequence[str], wanted: Mapping[str, tuple[s
                 between = (1 - share) * value(lower) + share * value(upper)
                 picked.append(F.when(value(lower).eqNullSafe(value(upper)), value(lower)).otherwise(between).alias(n))
         if groups:
-            found = joined.groupBy(*groups).agg(*picked).withColumnsRenamed({g: f"_f_{g}" for g in groups})
+            found = ranked.groupBy(*groups).agg(*picked).withColumnsRenamed({g: f"_f_{g}" for g in groups})
             out = out.join(found, [F.col(g).eqNullSafe(F.col(f"_f_{g}")) for g in groups], "left").drop(*[f"_f_{g}" for g in groups])
         else:
-            out = out.crossJoin(F.broadcast(joined.agg(*picked)))
+            out = out.crossJoin(F.broadcast(ranked.agg(*picked)))
     return out.select(*groups, *wanted)
