@@ -135,3 +135,44 @@ def op12_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op13_vector_codes", vector_codes.oracle())
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+_WORDS = r"regexp_extract_all({t}, '[^\x20\x09-\x0D]+')"
+#: CRC-32 of short texts in ASCII.
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({s}, ''), lambda c: ascii(c)::BIGINT)),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"""
+
+
+@_query(
+    "mixing_targets",
+    f"""
+    WITH d AS (SELECT doc_id, source, len({_WORDS.format(t="coalesce(text, '')")})::BIGINT AS size FROM documents),
+    s AS (SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 + 1 AS weight FROM d GROUP BY source),
+    o AS (SELECT *, coalesce(sum(source_size) OVER before, 0) AS full_, coalesce(sum(weight) OVER before, 0) AS heavy, sum(source_size) OVER () AS total, sum(weight) OVER () AS weights FROM s
+        WINDOW before AS (ORDER BY source_size / weight, source IS NULL, encode(source) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    l AS (SELECT *, (total - 3 * full_) / (weights - heavy) AS level FROM o),
+    f AS (SELECT min_by(level, heavy) AS level FROM l WHERE level * weight <= 3 * source_size),
+    t AS (SELECT source, source_size, least(3 * source_size, coalesce(f.level * weight, 3 * source_size)) AS target FROM l, f)
+    SELECT doc_id, size, source_size, round(target, 4) AS target FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+    """,
+)
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op10_mixing: sizes and targets."""
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"))
+
+
+@_query(
+    "token_base_scores",
+    f"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_CRC.format(s="coalesce(doc_id::VARCHAR, '')")} % 5 = 1 AS held_out,
+        list_append({_WORDS.format(t="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}, '') AS w FROM documents),
+    t AS (SELECT r, held_out, unnest(w) AS w FROM d),
+    c AS (SELECT w, count(*) AS c FROM t WHERE NOT held_out GROUP BY w),
+    n AS (SELECT coalesce(sum(c), 0)::BIGINT AS n, count(*) AS v FROM c),
+    b AS (SELECT r, sum((c.c IS NOT NULL)::INT)::BIGINT AS n_known, sum(log10((coalesce(c.c, 0) + 0.5) / (n + 0.5 * (v + 1)))) AS base_score FROM t LEFT JOIN c USING (w), n GROUP BY r)
+    SELECT doc_id, held_out, len(w)::BIGINT AS n_tokens, n_known, n AS train_tokens, round(base_score, 3) AS base_score FROM d JOIN b USING (r), n
+    """,
+)
+def token_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op5_pitman_yor: tokens and base scores."""
+    return op5_pitman_yor(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 3).alias("base_score"))

@@ -9,7 +9,7 @@ together do not count twice. A linear classifier of votes and densities is train
 over all documents and gives the scores.
 
 Null text counts as empty. An empty text has no votes for toxic; very long texts are read whole, and equal rows
-are scored alike. Without any labels the seed list and the patterns vote alone. Other columns of the table, whatever
+are scored alike. Terms that are equally strong are taken in the order of their spelling. Without any labels the seed list and the patterns vote alone. Other columns of the table, whatever
 their names, play no part. An empty table gives no rows.
 """
 

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 
 from runledger.llm import newton
 from runledger.llm.common import fold
-from runledger.llm.quality import DIMENSIONS, fit_pu, quality, statistics
+from runledger.llm.quality import DIMENSIONS, estimate_prior, fit_pu, quality, statistics
 from runledger.llm.toxicity import EXTRA, PATTERNS, Voters, _votes, capitals, fit_label_model, toxicity
 
 SF = "/root/testdata/sf0.1"
@@ -106,6 +107,77 @@ def test_label_model_recovers_accuracies_and_correlations(spark):
         assert abs(y[rows].mean() - q[rows].mean()) < 0.06
 
 
+def plain_model(rows, parent, odds, bias, known=None):
+    """One round of EM over rows, one by one: the log-odds (voter, parent's vote, vote) and the bias that follow; known: the
+    parents that the given log-odds are by."""
+    m = len(parent)
+    above = lambda v, j, parent=parent: v[parent[j]] if parent[j] >= 0 else 0
+    counts = [[{} for _ in range(m)] for _ in range(2)]
+    toxic = every = 0.0
+    for v in rows:
+        g = bias + sum(odds[j].get((above(v, j, known or parent), v[j]), 0.0) for j in range(m))
+        q = 1 / (1 + math.exp(-g))
+        toxic, every = toxic + q, every + 1
+        for c, w in enumerate((q, 1 - q)):
+            for j in range(m):
+                at = (above(v, j), v[j])
+                counts[c][j][at] = counts[c][j].get(at, 0.0) + w
+    share = min(0.5, max(0.002, toxic / every))
+    out = []
+    for j in range(m):
+        table = {}
+        for c, faint in enumerate((1.0, 1e-2)):
+            own = {b: sum(counts[c][j].get((a, b), 0.0) for a in (-1, 0, 1)) + faint * (1.0 if b == 0 else 0.5) for b in (-1, 0, 1)}
+            total = sum(own.values())
+            for a in (-1, 0, 1):
+                seen = sum(counts[c][j].get((a, b), 0.0) for b in (-1, 0, 1))
+                for b in (-1, 0, 1):
+                    p = (counts[c][j].get((a, b), 0.0) + max(1e-6, own[b] / total)) / (seen + 1)
+                    table[a, b] = table.get((a, b), 0.0) + (math.log(p) if c == 0 else -math.log(p))
+        out.append({k: min(6.0, max(-6.0, x)) for k, x in table.items()})
+    return out, math.log(share / (1 - share))
+
+
+def test_posteriors_are_those_of_plain_rounds_over_rows(spark):
+    rng = np.random.default_rng(12)
+    n, m = 1500, 5
+    y = rng.random(n) < 0.25
+    votes = np.where(rng.random((n, m)) < 0.7, np.where((rng.random((n, m)) < 0.85) == y[:, None], 1, -1), 0).astype(np.int8)
+    votes[:, 1] = np.where(rng.random(n) < 0.8, votes[:, 0], votes[:, 1])
+    found, count = np.unique(votes, axis=0, return_counts=True)
+    frame = spark.createDataFrame([(bytearray(v.tobytes()), int(k)) for v, k in zip(found, count, strict=True)], "votes binary, n long").repartition(3)
+    rows = votes.tolist()
+    for most in (0, 2):
+        model = fit_label_model(frame, m, 0.3, most=most)
+        odds, bias = [{(a, b): 1.5 * b for a in (-1, 0, 1) for b in (-1, 0, 1)} for _ in range(m)], math.log(0.3 / 0.7)
+        for _ in range(6):
+            odds, bias = plain_model(rows, [-1] * m, odds, bias)
+        for k in range(most):
+            odds, bias = plain_model(rows, model.parent.tolist(), odds, bias, None if k else [-1] * m)
+        above = lambda v, j: v[model.parent[j]] if model.parent[j] >= 0 else 0  # noqa: E731, B023
+        want = [1 / (1 + math.exp(-(bias + sum(odds[j][above(v, j), v[j]] for j in range(m))))) for v in rows]
+        assert (model.parent >= 0).any() or not most
+        assert np.allclose(model.posterior(votes), want, atol=1e-9)
+
+
+def test_prior_is_estimated_from_thresholds(spark):
+    # Good rows lie apart from most others; the estimate is near the share that was mixed in.
+    rng = np.random.default_rng(6)
+    scale = np.ones(DIMENSIONS)
+    frame = lambda x: spark.createDataFrame([(bytearray(r.astype("<f4").tobytes()),) for r in x], "x binary").repartition(4)
+    for share in (0.2, 0.5, 0.8):
+        n = 4000
+        x = np.zeros((n, DIMENSIONS))
+        x[:, 0], good = 1, rng.random(n) < share
+        x[:, 1], x[:, 2] = rng.normal(size=n) + np.where(good, 2.0, -2.0), rng.normal(size=n)
+        p = np.zeros((1500, DIMENSIONS))
+        p[:, 0], p[:, 1], p[:, 2] = 1, rng.normal(size=1500) + 2.0, rng.normal(size=1500)
+        unlabelled, positive = frame(x), frame(p)
+        got = estimate_prior(unlabelled, positive, fit_pu(unlabelled, positive, 0.5, scale), scale)
+        assert abs(got - share) < 0.1
+    assert estimate_prior(frame(x).where("false"), positive, np.zeros(DIMENSIONS), scale) == 0.5
+
+
 def test_label_model_does_not_drift(spark):
     # Few voters vote on a text, most of them on toxic ones; however many rounds, texts without a vote stay clean.
     rng = np.random.default_rng(4)
