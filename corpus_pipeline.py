@@ -33,7 +33,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below 0.5.
 
     Null and empty texts have no votes for toxic and stay; equal rows have one score, so all of them stay or go. Labels
-    of no document count for nothing. An empty table stays empty.
+    of no document count for nothing. Very long texts are read whole. An empty table stays empty.
     """
     docs, row = _numbered(docs)
     labels = common.table(spark, sf_dir, "labels").where(common.fold("doc_id", FOLDS) != HELD_OUT)
@@ -44,7 +44,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest id.
 
     Null texts count as empty ones, of which one stays. A null id is smaller than any other, and of rows with equal ids
-    the first stays. An empty table stays empty.
+    the first stays. Very long texts are compared whole. An empty table stays empty.
     """
     docs, row = _numbered(docs)
     return _joined(docs, exact_dedup.exact_duplicates(docs, row_col=row).where("kept"), row)
@@ -54,7 +54,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Of each class of near duplicates the document with the least id.
 
     Texts without a word, null ones too, are one class with any near fingerprint zero. A null id comes after any other,
-    and of rows with equal ids the first stays. An empty table stays empty.
+    and of rows with equal ids the first stays. Very long texts have one fingerprint, of all their words. An empty table stays empty.
     """
     docs, row = _numbered(docs)
     return _joined(docs, simhash.near_duplicates(docs, row_col=row).where("kept"), row)
@@ -64,7 +64,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whole documents as often as the mix takes them, dealt to its shards and shuffled there.
 
     A null source is a source. Documents without words, null texts too, are in no source's words and go. Equal rows are
-    taken each by itself; which of them makes no difference. An empty table stays empty.
+    taken each by itself; which of them makes no difference. A very long text is taken whole or not at all. An empty table
+    stays empty.
     """
     docs, row = _numbered(docs)
     copies, _ = mixing.draw(mixing.sized(docs, "doc_id", "text", "source", row), whole=True)
@@ -76,8 +77,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of 2048 tokens.
 
-    Null texts count as empty and are the end token alone; equal rows are packed each by itself. An empty table gives no
-    pieces.
+    Null texts count as empty and are the end token alone; equal rows are packed each by itself. Very long texts are cut into
+    pieces, none of which is lost. An empty table gives no pieces.
     """
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
