@@ -159,9 +159,9 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     row = F.monotonically_increasing_id() if row_col is None else F.col(row_col).cast("long")
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), row.alias("row"))
     rows = written(source.mapInArrow(_features, "id long, row long, x binary"), "features")
-    # Stored apart from the rows, so that adaptive execution can split an id of very many rows.
+    # Stored apart from the rows, so that adaptive execution can split an id of very many rows; never broadcast.
     trusted = written(labels.where(F.col(label_col) == 1).select(F.col(id_col).cast("long").alias("id")).distinct(), "trusted")
-    unlabelled, positive = rows.select("x"), written(rows.join(trusted, "id", "left_semi").select("x"), "positive")
+    unlabelled, positive = rows.select("x"), written(rows.join(trusted.hint("merge"), "id", "left_semi").select("x"), "positive")
     d = DIMENSIONS
     t = summed(unlabelled, lambda b: np.concatenate([[b.num_rows], (matrix(b.column(0), d) ** 2).sum(axis=0)]), 1 + d)
     scale = np.sqrt(np.maximum(t[1:] / max(t[0], 1), 1e-6))
