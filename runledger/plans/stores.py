@@ -117,11 +117,14 @@ def annotation_tags(spark, sf_dir):
 
 # -- snapshots -----------------------------------------------------------------------------------
 
-_ZONES_SQL = "z AS (SELECT o_orderstatus, o_orderpriority AS name, count(*) AS used, sum(o_custkey)::BIGINT AS free, max(o_orderkey) AS requests, min(o_custkey) AS fail FROM orders GROUP BY ALL)"
+#: Finished orders are the earlier snapshot, all others the later one.
+_MOMENT_SQL = "CASE o_orderstatus WHEN 'F' THEN 'F' ELSE 'O' END"
+_ZONES_SQL = f"z AS (SELECT {_MOMENT_SQL} AS moment, o_orderpriority AS name, count(*) AS used, sum(o_custkey)::BIGINT AS free, max(o_orderkey) AS requests, min(o_custkey) AS fail FROM orders GROUP BY ALL)"
 
 
-def _zones(spark, sf_dir):
-    zones = table(spark, sf_dir, "orders").groupBy("o_orderstatus", F.col("o_orderpriority").alias("name")).agg(F.count("*").alias("used"), F.sum("o_custkey").alias("free"), F.max("o_orderkey").alias("requests"), F.min("o_custkey").alias("fail"))
+def _zones(spark, sf_dir, moment=None):
+    moment = F.expr(_MOMENT_SQL) if moment is None else F.lit(moment)
+    zones = table(spark, sf_dir, "orders").groupBy(moment.alias("moment"), F.col("o_orderpriority").alias("name")).agg(F.count("*").alias("used"), F.sum("o_custkey").alias("free"), F.max("o_orderkey").alias("requests"), F.min("o_custkey").alias("fail"))
     return stored(zones, "zones")
 
 
@@ -129,12 +132,12 @@ def _zone_snapshot(spark, zones, status, size):
     """A report of one snapshot's zones; a zone's size follows from the name's length."""
     path = fresh_path(spark, "zones")
     one = F.struct("name", (F.length("name") * size).alias("size"), F.lit(0).alias("limit"), *readers.ZONE_FIELDS)
-    report = zones.where(F.col("o_orderstatus") == status).agg(F.to_json(F.struct(F.struct(F.collect_list(one).alias("zone")).alias("memory-zone-statistics"))).alias("value"))
+    report = zones.where(F.col("moment") == status).agg(F.to_json(F.struct(F.struct(F.collect_list(one).alias("zone")).alias("memory-zone-statistics"))).alias("value"))
     sinks.write_text(report, path)
     return readers.read_zones(spark, path)
 
 
-@query("zone_changes", f"WITH {_ZONES_SQL} SELECT name, a.used - b.used AS used, a.free - b.free AS free, a.requests - b.requests AS requests, a.fail - b.fail AS fail, length(name)::BIGINT AS size FROM z a JOIN z b USING (name) WHERE a.o_orderstatus = 'O' AND b.o_orderstatus = 'F'")
+@query("zone_changes", f"WITH {_ZONES_SQL} SELECT name, a.used - b.used AS used, a.free - b.free AS free, a.requests - b.requests AS requests, a.fail - b.fail AS fail, length(name)::BIGINT AS size FROM z a JOIN z b USING (name) WHERE a.moment = 'O' AND b.moment = 'F'")
 def zone_changes(spark, sf_dir):
     """Changes of zones between two snapshots, with the earlier one's item size."""
     zones = _zones(spark, sf_dir)
@@ -143,13 +146,13 @@ def zone_changes(spark, sf_dir):
 
 @query(
     "zone_information",
-    f"WITH {_ZONES_SQL}, i AS (SELECT p_brand, p_size, count(*) AS n FROM part GROUP BY ALL) SELECT name, used, free, CASE WHEN name[1:1] IN ('1', '2', '3') THEN used * 2 ELSE 0 END AS bucket_size, CASE WHEN name[1:1] IN ('1', '2', '3') THEN free ELSE 0 END AS ppera, 0::BIGINT AS ipers FROM z WHERE o_orderstatus = 'O'",
+    f"WITH z AS (SELECT o_orderpriority AS name, count(*) AS used, sum(o_custkey)::BIGINT AS free FROM orders GROUP BY ALL) SELECT name, used, free, CASE WHEN name[1:1] IN ('1', '2', '3') THEN used * 2 ELSE 0 END AS bucket_size, CASE WHEN name[1:1] IN ('1', '2', '3') THEN free ELSE 0 END AS ppera, 0::BIGINT AS ipers FROM z",
 )
 def zone_information(spark, sf_dir):
     """Zones with what node listings say of them, 0 where they say nothing."""
-    zones = _zones(spark, sf_dir)
+    zones = _zones(spark, sf_dir, "O")
     path, clean = fresh_path(spark, "nodes"), F.regexp_replace("name", "[^A-Za-z0-9]", "_")
-    open_ = zones.where("o_orderstatus = 'O' and substring(name, 1, 1) in ('1', '2', '3')")
+    open_ = zones.where("substring(name, 1, 1) in ('1', '2', '3')")
     node = lambda end, value: F.struct(F.concat(F.lit("vm.uma."), clean, F.lit(end)).alias("node"), value.cast("string").alias("value"))
     rows = open_.select(F.explode(F.array(node(".bucket_size", F.col("used") * 2), node(".keg.ppera", F.col("free")), node(".limit.items", F.col("fail")))).alias("n")).select("n.*")
     sinks.write_csv(rows, path)
@@ -159,16 +162,16 @@ def zone_information(spark, sf_dir):
 
 @query(
     "allocation_changes",
-    "WITH m AS (SELECT o_orderpriority AS type, o_orderstatus AS s, count(*) AS in_use, sum(o_custkey)::BIGINT AS memory_use, max(o_orderkey) AS requests FROM orders GROUP BY ALL) SELECT type, a.in_use - b.in_use AS in_use, a.memory_use - b.memory_use AS memory_use, a.requests - b.requests AS requests, '64' AS new_sizes FROM m a JOIN m b USING (type) WHERE a.s = 'O' AND b.s = 'F'",
+    f"WITH m AS (SELECT o_orderpriority AS type, {_MOMENT_SQL} AS s, count(*) AS in_use, sum(o_custkey)::BIGINT AS memory_use, max(o_orderkey) AS requests FROM orders GROUP BY ALL) SELECT type, a.in_use - b.in_use AS in_use, a.memory_use - b.memory_use AS memory_use, a.requests - b.requests AS requests, '64' AS new_sizes FROM m a JOIN m b USING (type) WHERE a.s = 'O' AND b.s = 'F'",
 )
 def allocation_changes(spark, sf_dir):
     """Changes of allocations by type, and the size classes that only the later snapshot has."""
-    sums_ = table(spark, sf_dir, "orders").groupBy("o_orderstatus", F.col("o_orderpriority").alias("type")).agg(F.count("*").alias("n"), F.sum("o_custkey").alias("m"), F.max("o_orderkey").alias("r"))
+    sums_ = table(spark, sf_dir, "orders").groupBy(F.expr(_MOMENT_SQL).alias("moment"), F.col("o_orderpriority").alias("type")).agg(F.count("*").alias("n"), F.sum("o_custkey").alias("m"), F.max("o_orderkey").alias("r"))
     sides = []
     for status, sizes in (("F", [16, 32]), ("O", [32, 64])):
         path = fresh_path(spark, "malloc")
         one = F.struct("type", F.col("n").alias("in-use"), F.col("m").alias("memory-use"), F.col("r").alias("requests"), F.array(*map(F.lit, sizes)).alias("size"))
-        sinks.write_text(sums_.where(F.col("o_orderstatus") == status).agg(F.to_json(F.struct(F.struct(F.collect_list(one).alias("memory")).alias("malloc-statistics"))).alias("value")), path)
+        sinks.write_text(sums_.where(F.col("moment") == status).agg(F.to_json(F.struct(F.struct(F.collect_list(one).alias("memory")).alias("malloc-statistics"))).alias("value")), path)
         sides.append(readers.read_malloc(spark, path))
     return readers.malloc_delta(*sides).withColumn("new_sizes", F.array_join(F.col("new_sizes").cast("array<string>"), ","))
 
@@ -735,3 +738,28 @@ def frame_names(spark, sf_dir):
     """Names of symbols in folded stacks."""
     file = F.when(F.col("p_size") % 4 == 0, None).when(F.col("p_size") % 4 == 1, "/boot/kernel.full").otherwise(F.concat(F.lit("/lib/"), F.lower("p_type"), F.lit(".so")))
     return table(spark, sf_dir, "part").select("p_partkey", trace.frame_name(F.col("p_name"), file, F.when(F.col("p_size") % 8 == 0, -1).otherwise(F.col("p_partkey"))).alias("frame"))
+
+
+@query("inconsistent_keys", "SELECT o_custkey, count(DISTINCT o_orderstatus) AS values FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderstatus) > 1")
+def inconsistent_keys(spark, sf_dir):
+    """Keys that should have one value and have several."""
+    from runledger.checks import consistent
+
+    return consistent(table(spark, sf_dir, "orders"), ["o_custkey"], "o_orderstatus")
+
+
+@query(
+    "parameter_matrix",
+    """
+    WITH m AS (SELECT r_name AS region, s AS status, i AS iteration FROM region, (SELECT DISTINCT o_orderstatus AS s FROM orders), (SELECT DISTINCT l_linenumber AS i FROM lineitem) WHERE NOT (r_name = 'ASIA' AND s = 'P') AND i <> 7)
+    SELECT region, status, line_number, CASE WHEN status = 'F' AND region = 'EUROPE' THEN 'old' WHEN status = 'F' THEN 'done' ELSE 'open' END AS host, sha256(region || chr(31) || status || chr(31) || line_number) AS dataset_id FROM (SELECT *, iteration AS line_number FROM m)
+    """,
+)
+def parameter_matrix(spark, sf_dir):
+    """All runs of the axes that tables span, without skipped ones, on hosts by the first rule that matches."""
+    from runledger.keys import parameter_matrix as matrix
+
+    values = lambda name, c: [r[0] for r in table(spark, sf_dir, name).select(c).distinct().orderBy(c).collect()]
+    axes = {"region": values("region", "r_name"), "status": values("orders", "o_orderstatus"), "line_number": values("lineitem", "l_linenumber")}
+    hosts = [({"status": "F", "region": "EUROPE"}, "old"), ({"status": "F"}, "done"), ({}, "open")]
+    return matrix(spark, axes, [{"region": "ASIA", "status": "P"}, {"line_number": 7}], {"host": hosts})
