@@ -81,11 +81,11 @@ def parameter_matrix(spark: SparkSession, axes: Mapping[str, Sequence], skip: Se
     """
     if bad := [a for a in axes if a in RESERVED]:
         raise ValueError(f"reserved names: {bad}")
-    out = None
+    out = spark.range(1).select()
     for name, values in axes.items():
-        # Axes are a few literals each; their product is the table of runs.
-        axis = spark.createDataFrame([(v,) for v in values], [name])
-        out = axis if out is None else out.crossJoin(axis)
+        # Axes are a few literals each; their product, the table of runs, needs no join.
+        whole = all(isinstance(v, int) and not isinstance(v, bool) for v in values)
+        out = out.withColumn(name, F.explode(F.array(*[F.lit(v).cast("bigint") if whole else F.lit(v) for v in values])))
     out = keep_drop(out, drop=skip)
     for name, rules in (derived or {}).items():
         value = F.raise_error(F.lit(f"no rule for {name}")).cast("string")
