@@ -35,8 +35,27 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Folders that this process has named since the last removal.
+_NAMED: list[str] = []
+
+
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    """A folder of its own in the shared one."""
+    _NAMED.append(f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}")
+    return _NAMED[-1]
+
+
+def remove_written(spark: SparkSession) -> int:
+    """Deletes what this process has written to folders of fresh_path(); returns how many there were.
+
+    For the end of a run: frames that read them, also results that are not written elsewhere, can't be computed any more.
+    """
+    removed = 0
+    for name in _NAMED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        removed += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _NAMED.clear()
+    return removed
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:

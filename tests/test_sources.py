@@ -1,4 +1,5 @@
 import json
+import pathlib
 import random
 
 import pytest
@@ -239,3 +240,17 @@ def test_a_selection_of_runs_reads_only_its_folders(spark, tmp_path, monkeypatch
 def _written(df, path):
     df.write.parquet(path)
     return path
+
+
+def test_written_folders_of_a_run_are_removed(spark, tmp_path):
+    from runledger import session
+
+    session.remove_written(spark)
+    kept = session.stored(spark.range(3), "own")
+    session.fresh_path(spark, "never-written")
+    kept.write.parquet(f"file://{tmp_path}/result")
+    files = kept.inputFiles()
+    assert files and pathlib.Path(files[0].removeprefix("file://")).exists()
+    assert session.remove_written(spark) == 1 and session.remove_written(spark) == 0
+    assert not pathlib.Path(files[0].removeprefix("file://")).exists()
+    assert spark.read.parquet(f"file://{tmp_path}/result").count() == 3
