@@ -27,6 +27,8 @@ LEVEL = 0.95
 LEAST, APART = 1e-18, 50
 #: Parts that the values of one median are dealt into when they meet those of another.
 SALTS = 16
+#: Rows of a sample up to which one task may rank its values and those of its comparisons: some 2,000 medians, and their pairs.
+SMALL_SAMPLE = 64
 
 
 def _at_least(below: str) -> str:
@@ -50,10 +52,19 @@ def _log_choose(k: str) -> str:
     return f"{log_factorial('_n')} - {log_factorial(k)} - {log_factorial(f'(_n - {k})')}"
 
 
-def _cells(samples: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+def _ranked(df: DataFrame, keys: Sequence[str], order: str, of: str, name: str, total: str, small: bool) -> DataFrame:
+    """Adds the sum of a column over the rows before and over all rows of the keys; over range partitions unless all groups are small."""
+    if not small:
+        return running(df, list(keys), [order], {name: of}, totals={total: name})
+    every = Window.partitionBy(*keys)
+    before = every.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return df.withColumns({name: F.coalesce(F.sum(of).over(before), F.lit(0)), total: F.sum(of).over(every)})
+
+
+def _cells(samples: DataFrame, keys: Sequence[str], value: str, small: bool = False) -> DataFrame:
     """The distinct values of each sample with _lo and _hi, the rows below and up to each, and _n, the rows of the sample."""
     counts = samples.groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-    ranked = running(counts, list(keys), ["_v"], {"_lo": "_c"}, totals={"_n": "_lo"})
+    ranked = _ranked(counts, keys, "_v", "_c", "_lo", "_n", small)
     return stored(ranked.select(*keys, "_v", "_lo", F.expr("_lo + _c").alias("_hi"), "_n"), "values")
 
 
@@ -124,7 +135,9 @@ def intervals(rows: DataFrame, keys: Sequence[str], value: str, base: str, kinds
     nan = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(NAN))
     sides = F.explode(F.array(F.struct(F.lit("x").alias("s"), nan(value).alias("v")), F.struct(F.lit("b").alias("s"), nan(base).alias("v"))))
     samples = rows.select(*keys, sides.alias("_e")).select(*keys, F.col("_e.s").alias("_side"), F.col("_e.v").alias("_sample"))
-    cells = _cells(samples, [*keys, "_side"], "_sample")
+    most = rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    small = most <= SMALL_SAMPLE
+    cells = _cells(samples, [*keys, "_side"], "_sample", small)
     middles = _middles(cells, [*keys, "_side"])
     by_side = {s: middles.where(F.col("_side") == s).select(*[F.col(k).alias(k if s == "x" else f"_b_{k}") for k in keys], *[F.col(c).alias(f"{s}{c}") for c in middles.columns if c not in keys and c != "_side"]) for s in "xb"}
     both = by_side["x"].join(by_side["b"], [F.col(k).eqNullSafe(F.col(f"_b_{k}")) for k in keys])
@@ -153,19 +166,19 @@ def intervals(rows: DataFrame, keys: Sequence[str], value: str, base: str, kinds
         compared = met.select(*keys, F.explode(each).alias("_t")).select(*keys, "_t.*").where(_known(F.col("at")) & (F.col("p") > LEAST))
         laws = compared if laws is None else laws.unionByName(compared)
     summed = laws.groupBy(*keys, "kind", "at").agg(F.sum("p").alias("p"))
-    ranked = running(summed, [*keys, "kind"], ["at"], {"before": "p"})
+    ranked = _ranked(summed, [*keys, "kind"], "at", "p", "before", "mass", small)
 
     same = lambda df, c: [F.col(k).eqNullSafe(F.col(f"{c}{k}")) for k in [*keys, "kind"]]
     named = lambda df, c: df.withColumnsRenamed({k: f"{c}{k}" for k in [*keys, "kind"]})
     joined = named(ranked, "_l_").join(stats, same(stats, "_l_"))
-    weigh = F.sum("p").alias("mass"), F.sum(F.when(F.col("at") < F.col("stat"), F.col("p")).when(F.col("at") == F.col("stat"), F.col("p") / 2).otherwise(0.0)).alias("below")
+    weigh = F.first("mass").alias("mass"), F.sum(F.when(F.col("at") < F.col("stat"), F.col("p")).when(F.col("at") == F.col("stat"), F.col("p") / 2).otherwise(0.0)).alias("below")
     levels = joined.groupBy(*keys, "kind").agg(*weigh).withColumn("below", F.col("below") / F.col("mass"))
     levels = levels.join(named(turned, "_a_"), same(levels, "_a_")).select(*keys, "kind", "mass", "below", "a")
     levels = levels.withColumn("bias", F.expr(normal_quantile("below")))
     for name, p in (("low", (1 - level) / 2), ("high", (1 + level) / 2)):
         z = F.col("bias") + F.expr(normal_quantile(f"{p:.17e}"))
         levels = levels.withColumn("_z", F.col("bias") + z / (1 - F.col("a") * z)).withColumn(f"{name}_level", F.expr(normal_cdf("_z")))
-    found = named(ranked, "_l_").join(levels.select(*keys, "kind", "mass", "low_level", "high_level"), same(levels, "_l_"))
+    found = named(ranked, "_l_").join(levels.select(*keys, "kind", "low_level", "high_level"), same(levels, "_l_"))
     # A level that a sum of chances meets but for rounding is met.
     reached = lambda c: F.min(F.when(F.col("before") + F.col("p") >= F.col(c) * F.col("mass") - 1e-12, F.col("at")))
     bounds = found.groupBy(*keys, "kind").agg(reached("low_level").alias("_low"), reached("high_level").alias("_high"))

@@ -106,13 +106,17 @@ def resampled(kind, x, b, scale, resamples, seed):
     return point, drawn, [normal.cdf(bias + q / (1 - a * q)) for q in z]
 
 
-def test_exact_bounds_agree_with_resamples(spark):
+def test_exact_bounds_agree_with_resamples(spark, monkeypatch):
     rng = random.Random(11)
     cases = {"odd": ([rng.gauss(10, 2) for _ in range(21)], [rng.gauss(8, 1) for _ in range(21)]), "even": ([rng.gauss(10, 2) for _ in range(20)], [rng.gauss(8, 3) for _ in range(20)]), "ties": ([float(rng.randrange(4)) for _ in range(16)], [1.0 + rng.randrange(3) for _ in range(16)]), "two": ([1.0, 5.0], [2.0, 4.0]), "three": ([1.0, 5.0, 6.0], [2.0, 2.0, 4.0])}
     rows = [(name, k, x, b) for name, (xs, bs) in cases.items() for k, (x, b) in enumerate(zip(xs, bs))]
     got = bootstrap.intervals(spark.createDataFrame(rows, "name string, k int, x double, b double"), ["name"], "x", "b", compare.TYPES, 100.0)
     found = {(r["name"], r["_metric_type"]): r for r in got.collect()}
     assert len(found) == 15
+    # The same over range partitions.
+    monkeypatch.setattr(bootstrap, "SMALL_SAMPLE", 0)
+    spread = bootstrap.intervals(spark.createDataFrame(rows, "name string, k int, x double, b double"), ["name"], "x", "b", compare.TYPES, 100.0)
+    assert sorted(map(str, spread.collect())) == sorted(map(str, found.values()))
     for (name, kind), r in found.items():
         x, b = (np.array(s) for s in cases[name])
         point, drawn, levels = resampled(kind, x, b, 100.0, 40_000, 5)
