@@ -71,3 +71,33 @@ def test_one_id_of_a_third_of_the_rows(spark, monkeypatch):
     rows = [(300 if k % 3 == 0 else k, [float(rng.randrange(-3, 4)) for _ in range(4)]) for k in range(600)]
     got = top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4), F.col("vec_id") % 100 == 0).collect()
     assert sorted(tuple(r) for r in got) == plain(rows)
+
+
+def test_tiles():
+    for groups, pieces, held, n in ((1, 1, 10, 8), (3, 2, 1, 8), (1000, 640, 512, 200), (100_000, 64_000, 512, 1000), (5, 40, 8, 2)):
+        across, down = maxscore._tiles(groups, pieces, held, n)
+        assert 1 <= across <= groups and 1 <= down <= pieces
+        assert -(-pieces // down) <= held and -(-groups // across) <= maxscore.RUN
+        assert across * down >= min(n, groups * pieces) // 2
+
+
+def test_a_task_goes_through_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(maxscore, "SHARD_ROWS", 16)
+    monkeypatch.setattr(maxscore, "QUERY_ROWS", 1)
+    monkeypatch.setattr(maxscore, "HELD_BYTES", 128)
+    rng = random.Random(11)
+    rows = [(k * 20, [rng.gauss(0, 1) if rng.random() < 0.5 else 0.0 for _ in range(8)]) for k in range(400)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4), F.col("vec_id") % 100 == 0).collect()
+    assert sorted(tuple(r) for r in got) == plain(rows)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_sparse_lists_are_exact():
+    rng = np.random.default_rng(12)
+    m = rng.integers(-30, 30, (600, 40)) * (rng.random((600, 40)) < 0.1)
+    ids = rng.permutation(600)
+    shard = Shard(ids, m)
+    for r in range(0, 600, 17):
+        want = sorted((-int(m[j] @ m[r]), int(ids[j])) for j in range(600) if j != r)[:10]
+        assert shard.top(m[r], int(ids[r]), 10) == [(-s, i) for s, i in want]
