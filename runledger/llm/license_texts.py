@@ -87,7 +87,18 @@ You should have received a copy of the GNU {name} along with {work.lower()}{last
 
 def _complete() -> list[tuple[str, str]]:
     texts = [(f.name.removesuffix(".txt"), f.read_text("utf-8")) for f in sorted(_FOLDER.glob("*.txt"))]
-    return texts + [(i, t[: t.index(_END) + len(_END)]) for i, t in texts if _END in t]
+    texts += [(i, t[: t.index(_END) + len(_END)]) for i, t in texts if _END in t] + [(i, _code(t)) for i, t in texts if i.startswith("CC-")]
+    return texts + [(i, _rewrapped(t)) for i, t in texts]
+
+
+def _rewrapped(text: str) -> str:
+    """One line for each paragraph: a copyright line then takes the rest of its paragraph with it."""
+    return "\n\n".join(" ".join(p.split()) for p in re.split(r"\n\s*\n", text))
+
+
+def _code(text: str) -> str:
+    """The legal code of a Creative Commons licence, without what is said before and after it between its rules."""
+    return max(re.split(r"\n=====+\n", text), key=len)
 
 
 def _headers() -> list[tuple[str, str]]:

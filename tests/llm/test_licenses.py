@@ -71,3 +71,15 @@ def test_equivalent_endings(spark):
 
     row = spark.createDataFrame([("Authorised organisations may recognise favours, labour and judgements; a revised promise whilst the centres.",)], "t string").select(canonical(F.col("t"))).first()[0]
     assert row == "authorized organizations may recognize favors labor and judgments a revised promise while the centers"
+
+
+def test_codes_without_what_stands_around_them(spark):
+    here = pathlib.Path(license_texts.__file__).with_name("license_files")
+    by, alike, affero, general = ((here / f"{x}.txt").read_text("utf-8") for x in ("CC-BY-4.0", "CC-BY-SA-4.0", "AGPL-3.0-only", "GPL-3.0-only"))
+    code = by[by.index("Creative Commons Attribution 4.0 International Public") : by.rindex("=====================================================")].rstrip("=\n")
+    one_line_each = "\n\n".join(" ".join(p.split()) for p in affero.split("\n\n"))
+    terms = affero[: affero.index("END OF TERMS AND CONDITIONS") + 27]
+    network = affero[affero.index("  13. Remote") : affero.index("  14. Revised")]
+    got = scanned(spark, [code, code.replace("NonCommercial", "x").replace("irrevocable", "revocable"), f"words\n\n{code}\n\nmore", alike.upper(), one_line_each, terms, general.replace(general[general.index("  13. Use") : general.index("  14. Revised")], network)])
+    assert [got[k][0] for k in range(7)] == ["CC-BY-4.0", None, None, "CC-BY-SA-4.0", "AGPL-3.0-only", "AGPL-3.0-only", None]
+    assert got[2][1] == "CC-BY-4.0"
