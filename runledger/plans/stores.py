@@ -513,7 +513,7 @@ def track_slices(spark, sf_dir):
 
 @query(
     "counter_tracks",
-    f"""WITH e AS (SELECT event_type AS name, CASE WHEN user_id % 2 = 0 THEN 0 ELSE 3 END AS slot, epoch_us(ts) AS us, value FROM events WHERE event_type <> 'error' AND epoch_us(ts) >= {_SINCE})
+    f"""WITH e AS (SELECT event_type AS name, CASE WHEN user_id % 2 = 0 THEN 0 ELSE 3 END AS slot, epoch_us(ts) AS us, value FROM events WHERE epoch_us(ts) >= {_SINCE})
     SELECT name || CASE slot WHEN 0 THEN ' items' ELSE ' cpu 2' END AS counter_name, us - {_SINCE} AS ts, round(CASE WHEN slot = 0 THEN value - first_value(value) OVER (PARTITION BY name, slot ORDER BY us) + 1 ELSE value END, 6) AS value FROM e""",
 )
 def counter_tracks(spark, sf_dir):
@@ -522,7 +522,7 @@ def counter_tracks(spark, sf_dir):
     if readers.lost_packets(spark, folder):
         raise ValueError("the trace has lost packets")
     values = readers.read_counter_slots(spark, folder, _SINCE).withColumn("iteration", F.lit(0))
-    zones = table(spark, sf_dir, "events").where("event_type <> 'error'").select(F.col("event_type").alias("name"))
+    zones = table(spark, sf_dir, "events").select(F.col("event_type").alias("name"))
     out = pipelines.counter_tracks(values, zones, {0: "items", 1: "cpu {cpu}"}, [0], per_cpu={1: 9})
     return out.select("counter_name", "ts", F.round("value", 6).alias("value"))
 

@@ -110,3 +110,10 @@ def test_members(spark):
     assert {r["name"]: r["_aliased_by"] for r in annotated.collect()} == {"a": [], "b": [0]}
     assert [(r["members"], r["arrays"], r["share"]) for r in summary.collect()] == [(1, 1, "100.00%")]
     assert sum(r["count"] for r in pipelines.size_distribution(members, [], "byte_size").collect()) == 3
+
+
+def test_counters_of_unknown_zones_are_left_out(spark):
+    values = spark.createDataFrame([(0, "a", 0, 5, 7.0), (0, "a", 0, 9, 9.0), (0, "a", 3, 5, 4.0), (0, "b", 0, 5, 1.0), (0, None, 0, 5, 1.0), (1, "a", 0, 2, 3.0)], "iteration int, name string, slot int, ts long, value double")
+    zones = spark.createDataFrame([("a",), ("a",), (None,), ("c",)], "name string")
+    got = pipelines.counter_tracks(values, zones, {0: "items", 1: "cpu {cpu}"}, [0], per_cpu={1: 9}).collect()
+    assert sorted((r["iteration"], r["counter_name"], r["ts"], r["value"]) for r in got) == [(0, "a cpu 2", 5, 4.0), (0, "a items", 5, 1.0), (0, "a items", 9, 3.0), (1, "a items", 2, 1.0)]
