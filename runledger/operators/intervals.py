@@ -158,6 +158,17 @@ def merge_intervals(df: DataFrame, keys: Sequence[str], start: str, end: str, va
     return swept.where("covers > 0 and end is not null")
 
 
+def covered(points: DataFrame, ranges: DataFrame, at: str, low: str, high: str, name: str = "covers", keys: Sequence[str] = ()) -> DataFrame:
+    """Points that some range low <= at < high of equal keys holds, with the number of these ranges.
+
+    Ranges are swept first, so a point meets the one elementary interval that it lies in: the rows are no more than the
+    points, however many ranges lie over one another. Keys are not null.
+    """
+    swept = merge_intervals(ranges.select(*keys, F.col(low).alias("_from"), F.col(high).alias("_to"), F.lit(0).alias("_v")), keys, "_from", "_to", "_v")
+    pieces = stored(swept.select(*keys, F.col("start").alias("_low"), F.col("end").alias("_high"), F.col("covers").alias("_covers")), "covers")
+    return range_join(points, pieces, at, "_low", "_high", keys=keys).select(*points.columns, F.col("_covers").alias(name))
+
+
 def sum_equal_intervals(df: DataFrame, keys: Sequence[str], start: str, end: str, value: str) -> DataFrame:
     """The strict form: only intervals with the same bounds are added up; sums of zero are left out."""
     return df.groupBy(*keys, F.col(start).alias("start"), F.col(end).alias("end")).agg(F.sum(value).alias("value")).where("value <> 0")
