@@ -78,7 +78,8 @@ def rollup_nested(nodes: DataFrame, edges: DataFrame, values: Sequence[str]) ->
     nodes: (id, values); edges: (parent, child, items), a child counting `items` times. Ways from a structure to what it holds
     are found by doubling: those of 1, 2, 4 and so on steps are joined with themselves, so rounds grow with the logarithm of the
     depth. Equal (top, node) ways are added up in each, so they don't grow with the number of paths. A structure that
-    holds itself raises. Rounds are stored, so plans stay short.
+    holds itself raises. Rounds are stored, so plans stay short. Joins are by merge: compressed files of ways look small enough to
+    be broadcast long after their rows are not.
     """
     exact = edges.groupBy(F.col("parent").alias("top"), F.col("child").alias("node")).agg(F.sum("items").cast("long").alias("times"))
     exact = stored(exact, "ways")
@@ -87,7 +88,7 @@ def rollup_nested(nodes: DataFrame, edges: DataFrame, values: Sequence[str]) ->
 
     def then(first: DataFrame, second: DataFrame) -> DataFrame:
         more = second.select(F.col("top").alias("_middle"), F.col("node").alias("_node"), F.col("times").alias("_times"))
-        return first.join(more, first["node"] == more["_middle"]).select("top", F.col("_node").alias("node"), (F.col("times") * F.col("_times")).alias("times"))
+        return first.join(more.hint("merge"), first["node"] == more["_middle"]).select("top", F.col("_node").alias("node"), (F.col("times") * F.col("_times")).alias("times"))
 
     summed = lambda df: df.groupBy("top", "node").agg(F.sum("times").alias("times"))
     while not exact.isEmpty():
@@ -96,7 +97,7 @@ def rollup_nested(nodes: DataFrame, edges: DataFrame, values: Sequence[str]) ->
         ways = stored(summed(ways.unionByName(then(exact, ways))), "ways")
         exact = stored(summed(then(exact, exact)), "ways")
     every = ways.unionByName(nodes.select(F.col("id").alias("top"), F.col("id").alias("node"), F.lit(1).cast("long").alias("times")))
-    totals = every.join(nodes, F.col("node") == F.col("id")).groupBy("top").agg(*[F.sum(F.col("times") * F.col(v)).alias(v) for v in values])
+    totals = every.join(nodes.hint("merge"), F.col("node") == F.col("id")).groupBy("top").agg(*[F.sum(F.col("times") * F.col(v)).alias(v) for v in values])
     return totals.withColumnRenamed("top", "id")
 
 

@@ -71,7 +71,7 @@ def nested_rollup(spark, sf_dir):
     parts = table(spark, sf_dir, "part")
     nodes = parts.select(F.col("p_partkey").alias("id"), F.col("p_size").alias("v"))
     edges = parts.where("p_partkey > 2").select(F.expr("p_partkey div 3").alias("parent"), F.col("p_partkey").alias("child"), (1 + F.col("p_size") % 3).alias("items"))
-    edges = edges.join(nodes.select(F.col("id").alias("parent")), "parent", "left_semi")
+    edges = edges.join(nodes.select(F.col("id").alias("parent")).hint("merge"), "parent", "left_semi")
     return layouts.rollup_nested(nodes, edges, ["v"])
 
 

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from runledger.operators import intervals as iv
+from runledger.operators import layouts
 from runledger.plans import registry
 
 
@@ -29,3 +30,17 @@ def test_covered_is_the_range_join_counted(spark):
     got = sorted(tuple(x) for x in iv.covered(p, r, "at", "low", "high", keys=["k"]).collect())
     count = lambda k, at: sum(k == key and None not in (at, low, high) and low <= at < high for key, low, high in ranges)
     assert got == sorted((k, at, count(k, at)) for k, at in points if count(k, at))
+
+
+def test_nested_totals_broadcast_nothing(spark, monkeypatch):
+    written = []
+    keep = layouts.stored
+    monkeypatch.setattr(layouts, "stored", lambda df, tag: written.append(df) or keep(df, tag))
+    out = registry.QUERIES["nested_rollup"](spark, "/root/testdata/sf0.001")
+    out.collect()
+    joins = 0
+    for df in [*written, out]:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan
+        joins += plan.count("SortMergeJoin")
+    assert joins > 2
