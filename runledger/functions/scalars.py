@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping, Sequence
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column
@@ -54,6 +55,25 @@ def hex_to_decimal(text: Column) -> Column:
     return F.conv(F.regexp_replace(F.trim(text), "^0[xX]", ""), 16, 10).cast("decimal(20,0)")
 
 
+#: Fixed value: half of the addresses of 64 bits.
+HALF = 1 << 63
+
+
+def ordered_address(text: Column) -> Column:
+    """Hexadecimal digits to a BIGINT in the order of unsigned addresses: the address less 2^63."""
+    return F.conv(text, 16, -10).cast("bigint").bitwiseXOR(F.lit(-HALF))
+
+
+def ordered_decimal(n: Column) -> Column:
+    """As ordered_address, of a DECIMAL address; later ones count as the last, 2^64 - 1, where no instruction of four bytes begins."""
+    return F.least(n - F.lit(Decimal(HALF)), F.lit(Decimal(HALF - 1))).cast("bigint")
+
+
+def ordered_to_hex(n: Column) -> Column:
+    """Lower-case digits of an address that ordered_address gives."""
+    return F.lower(F.hex(n.bitwiseXOR(F.lit(-HALF))))
+
+
 def decimal_to_hex(n: Column) -> Column:
     return F.concat(F.lit("0x"), F.lower(F.conv(n.cast("string"), 10, 16)))
 

@@ -39,7 +39,7 @@ def _cell(x: Column, level: int, kind: str) -> Column:
     return F.floor(F.greatest(F.lit(-largest), F.least(F.lit(largest), x.cast("double"))) / F.lit(float(FACTOR) ** level))
 
 
-def _levels(ranges: DataFrame, low: str, high: str, kind: str, bucket: float | None) -> tuple[Column, dict[int, int], int]:
+def _levels(ranges: DataFrame, low: str, high: str, kind: str, bucket: float | None) -> tuple[Column, dict[int, int], float]:
     """(the level of a range by its own width, the level that each of these is dealt at, pieces of all ranges at most).
 
     A level is left out if its ranges, cut into buckets of a finer one, are few beside all ranges. One aggregate.
@@ -54,17 +54,20 @@ def _levels(ranges: DataFrame, low: str, high: str, kind: str, bucket: float | N
     # Buckets that a number can tell apart, also at the bound that is furthest from zero.
     bits = {"whole": None, "decimal": 61, "double": EXACT_BITS}[kind]
     furthest = F.max(F.greatest(*[F.when(F.abs(F.col(c).cast("double")) < float("inf"), F.abs(F.col(c).cast("double"))) for c in (low, high)]))
-    found = ranges.where(F.col(high) > F.col(low)).groupBy(own.cast("int").alias("k")).agg(F.count("*").alias("n"), furthest.alias("far")).collect()
+    found = ranges.where(F.col(high) > F.col(low)).groupBy(own.cast("int").alias("k")).agg(F.count("*").alias("n"), F.sum(width).alias("wide"), furthest.alias("far")).collect()
     if bits is not None:
         far = max((r["far"] or 0 for r in found), default=0)
         least = max(-510 if kind == "double" and bucket is None else least, math.ceil((math.log2(far) if far else -1020) / 2 - bits / 2))
     counts: dict[int, int] = {}
+    wide: dict[int, float] = {}
     for r in found:
         k = max(least, r["k"])
         counts[k] = counts.get(k, 0) + r["n"]
+        wide[k] = wide.get(k, 0.0) + r["wide"]
     dealt, pieces, total, at = {}, 0, sum(counts.values()), least
     for k in sorted(counts):
-        cut = counts[k] * (FACTOR ** (k - at) + 1) if dealt and k - at < 31 else None
+        # A range meets a bucket for each of its widths, and one more.
+        cut = wide[k] / FACTOR**at + counts[k] if dealt and k - at < 31 else None
         if cut is None or pieces + cut > 4 * total + 1000:
             at, cut = k, 2 * counts[k]
         dealt[k] = at

@@ -122,12 +122,16 @@ def rebased(df: DataFrame, group: Sequence[str], ts: str, value: str, tie: Seque
     return joined.withColumns({value: F.col(value) - F.col("_v") + 1, f"rel_{ts}": F.col(ts) - F.col("_t")}).drop("_v", "_t")
 
 
-def per_call(instructions: DataFrame, calls: DataFrame, key: Sequence[str], run: Sequence[str], baseline: str, n: str = "n", count: str = "calls", name: str = "insn_per_call") -> DataFrame:
+def per_call(instructions: DataFrame, calls: DataFrame | None, key: Sequence[str], run: Sequence[str], baseline: str, n: str = "n", count: str = "calls", name: str = "insn_per_call") -> DataFrame:
     """Instructions of a call of each function and run, and their difference from the baseline run's.
 
-    Functions that only one side has are left out, as are rows of the baseline; run is one column.
+    Functions that only one side has are left out, as are rows of the baseline; run is one column. Without calls, the instructions
+    have their column.
     """
-    joined = instructions.select(*key, *run, n).join(calls.select(*key, *run, count), [*key, *run])
+    if calls is None:
+        joined = instructions.select(*key, *run, n, count).dropna(subset=[*key, *run])
+    else:
+        joined = instructions.select(*key, *run, n).join(calls.select(*key, *run, count), [*key, *run])
     each = joined.withColumn(name, F.try_divide(F.col(n).cast("double"), F.col(count)))
     own = each.where(F.col(run[0]) == baseline).select(*key, F.col(name).alias("_b"))
     return each.where(F.col(run[0]) != baseline).join(own, list(key)).withColumn(f"delta_{name}", F.col(name) - F.col("_b")).drop("_b")

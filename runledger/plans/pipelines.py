@@ -7,10 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runledger.functions.scalars import basename, decimal_to_hex
+from runledger.functions.scalars import HALF, basename, decimal_to_hex, ordered_decimal, ordered_to_hex
 from runledger.keys import keep_drop
 from runledger.operators import align, compare, coords, histogram, intervals, layouts, shape, trace
 from runledger.operators.quantiles import quantiles
@@ -175,24 +175,40 @@ def bounds_distribution(spark: SparkSession, path: str, large: int = 4096) -> tu
     return size_distribution(data.where("size is not null"), ["kind"], "size"), data.where(F.col("size") > large).orderBy(F.desc("size"), "source_loc")
 
 
+def executed(data: DataFrame, by: Sequence[Column | str], kernel: bool | None = None) -> DataFrame:
+    """Executions by address and more, of all addresses, of the kernel's or of others."""
+    if kernel is not None:
+        data = data.where((F.col("address") > trace.KERNEL_BASE - HALF) == F.lit(kernel))
+    return data.groupBy("address", *by).agg(F.count("*").alias("n"))
+
+
+def with_symbol(counts: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Counts by address with the symbol around it; an address outside all symbols stands for itself."""
+    ranges = symbols.select("name", ordered_decimal(F.col("addr")).alias("low"), ordered_decimal(F.col("addr") + F.col("size")).alias("high"))
+    named = intervals.range_join(counts, ranges, "address", "low", "high", how="left")
+    return named.withColumn("symbol", F.coalesce("name", F.concat(F.lit("0x"), ordered_to_hex(F.col("address")))))
+
+
+def executed_calls(counts: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Calls by symbol, from executions by address."""
+    starts = symbols.select("name", ordered_decimal(F.col("addr")).alias("addr"))
+    return trace.call_sites(counts, starts, "address")
+
+
 def instruction_histogram(spark: SparkSession, path: str, symbols: DataFrame, kernel: bool | None = None) -> tuple[DataFrame, DataFrame]:
     """(instructions by symbol and class, calls by symbol). Executions are counted by address before names are joined."""
     data = readers.read_instructions(spark, path)
-    if kernel is not None:
-        data = data.where(trace.is_kernel(F.col("pc")) == F.lit(kernel))
-    counts = data.groupBy("pc", trace.instruction_class(F.col("mnemonic"), F.col("operands")).alias("class")).agg(F.count("*").alias("n"))
-    ranges = symbols.select("name", F.col("addr").alias("low"), (F.col("addr") + F.col("size")).alias("high"))
-    named = intervals.range_join(counts, ranges, "pc", "low", "high", how="left")
-    symbol = F.coalesce("name", F.concat(F.lit("0x"), F.lower(F.conv(F.col("pc").cast("string"), 10, 16))))
-    per = trace.per_symbol(named.withColumn("symbol", symbol), "symbol", "class", "n")
-    return per, trace.call_sites(counts.groupBy("pc").agg(F.sum("n").alias("n")), symbols)
+    counts = executed(data, [trace.instruction_class(F.col("mnemonic"), F.col("operands")).alias("class")], kernel)
+    return trace.per_symbol(with_symbol(counts, symbols), "symbol", "class", "n"), executed_calls(executed(data, [], kernel), symbols)
 
 
 def instructions_per_call(icounts: DataFrame, calls: DataFrame, baseline: str, run: str = "dataset_gid") -> DataFrame:
     """Median instructions and calls of each function over a run's iterations, their ratio, and its change from the baseline run's."""
-    n = quantiles(icounts, ["symbol", run], {"n": ("instr_count", 0.5)})
-    c = quantiles(calls, ["symbol", run], {"calls": ("call_count", 0.5)})
-    return trace.per_call(n, c, ["symbol"], [run], baseline)
+    n, c = {"n": ("instr_count", 0.5)}, {"calls": ("call_count", 0.5)}
+    if calls is icounts:
+        # One table has both, so one pass finds both.
+        return trace.per_call(quantiles(icounts, ["symbol", run], n | c), None, ["symbol"], [run], baseline)
+    return trace.per_call(quantiles(icounts, ["symbol", run], n), quantiles(calls, ["symbol", run], c), ["symbol"], [run], baseline)
 
 
 def counter_tracks(values: DataFrame, zones: DataFrame, labels: Mapping[int, str], monotonic: Sequence[int] = (), run: Sequence[str] = ("iteration",), per_cpu: Mapping[int, int] | None = None) -> DataFrame:

@@ -253,12 +253,18 @@ def _instruction_files(spark, sf_dir):
     code = F.lit("add x1, x1, #1")
     for (flag, status), form in forms.items():
         code = F.when((F.col("l_returnflag") == flag) & (F.col("l_linestatus") == status), form).otherwise(code)
-    line = text_of("[0:%s] 0x%s: 0xd503201f %s", "l_orderkey", F.lower(F.hex(pc)), code)
-    lines = table(spark, sf_dir, "lineitem").select("l_linestatus", F.explode(F.array(line, F.lit("[0:1] something else"), F.lit("-- cut --"))).alias("value"))
+    text = lambda x: F.coalesce(x.cast("string"), F.lit("null"))
+    line = F.concat(F.lit("[0:"), text(F.col("l_orderkey")), F.lit("] 0x"), text(F.lower(F.hex(pc))), F.lit(": 0xd503201f "), text(code))
+    # Three lines of the file in one row.
+    lines = table(spark, sf_dir, "lineitem").select("l_linestatus", F.concat(line, F.lit("\n[0:1] something else\n-- cut --")).alias("value"))
     lines.write.partitionBy("l_linestatus").text(traces)
     return symbols, traces
 
 
+def _instructions(spark, traces):
+    return readers.parse_instructions(spark.read.schema("value string, l_linestatus string").text(traces))
+
+
 _INSTRUCTIONS_SQL = f"""i AS (SELECT l_linestatus, l_partkey * 16 + {_CODE_BASE} + 4 * (l_linenumber % 4) AS pc, l_partkey, l_linenumber % 4 AS k,
         CASE l_returnflag || l_linestatus WHEN 'AF' THEN 'ld_cap' WHEN 'AO' THEN 'ld_pair_int' WHEN 'NF' THEN 'st_pair_cap' WHEN 'NO' THEN 'st_int' WHEN 'RF' THEN 'cheri' ELSE 'other' END AS class FROM lineitem),
     named AS (SELECT i.*, coalesce('fn_' || p_partkey, '0x' || lower(hex(pc))) AS symbol FROM i LEFT JOIN part ON p_partkey = l_partkey AND k < 1 + p_size % 4)"""
@@ -305,13 +311,12 @@ def instructions_per_call(spark, sf_dir):
     """Medians over iterations of a function's instructions and calls, their ratio, and its change from the baseline run's."""
     symbols, traces = _instruction_files(spark, sf_dir)
     names = readers.read_symbols(spark, symbols)
-    data = readers.read_instructions(spark, f"{traces}/*").withColumn("l_linestatus", F.regexp_extract("file", "/l_linestatus=([A-Z])/", 1))
-    counts = data.groupBy("l_linestatus", "pc", trace.instruction_class(F.col("mnemonic"), F.col("operands")).alias("iteration")).agg(F.count("*").alias("n"))
-    ranges = names.select("name", F.col("addr").alias("low"), (F.col("addr") + F.col("size")).alias("high"))
-    found = intervals.range_join(counts, ranges, "pc", "low", "high", how="left")
-    symbol = F.coalesce("name", F.concat(F.lit("0x"), F.lower(F.conv(F.col("pc").cast("string"), 10, 16))))
-    first = F.sum(F.when(F.col("pc") % 16 == 0, F.col("n")).otherwise(0)).alias("call_count")
-    each = stored(found.groupBy(symbol.alias("symbol"), "l_linestatus", "iteration").agg(F.sum("n").alias("instr_count"), first), "functions")
+    data = _instructions(spark, traces)
+    counts = pipelines.executed(data, ["l_linestatus", trace.instruction_class(F.col("mnemonic"), F.col("operands")).alias("iteration")])
+    found = pipelines.with_symbol(counts, names)
+    # 2^63 is a multiple of 16.
+    first = F.sum(F.when(F.col("address") % 16 == 0, F.col("n")).otherwise(0)).alias("call_count")
+    each = stored(found.groupBy("symbol", "l_linestatus", "iteration").agg(F.sum("n").alias("instr_count"), first), "functions")
     out = pipelines.instructions_per_call(each, each, "F", "l_linestatus")
     return out.select("symbol", "l_linestatus", "n", "calls", *[F.round(c, 6).alias(c) for c in ("insn_per_call", "delta_insn_per_call")])
 

@@ -10,7 +10,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from runledger.functions.scalars import hex_to_decimal, normal_path, snake_case, text_to_bytes
+from runledger.functions.scalars import hex_to_decimal, normal_path, ordered_address, snake_case, text_to_bytes
 from runledger.operators.align import before_after
 from runledger.sources import splits
 
@@ -196,16 +196,20 @@ def read_transitions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_instructions(lines: DataFrame, column: str = "value", rejects: Observation | None = None) -> DataFrame:
-    """Executed instructions of trace lines: cpu, pc, opcode, mnemonic, operands; lines of other forms are left out.
+    """Executed instructions of trace lines: cpu, pc, address, opcode, mnemonic, operands; lines of other forms are left out.
 
-    rejects observes how many of these begin like an instruction, as `rejected`.
+    address is pc as a whole number in the order of unsigned ones (scalars.ordered_address). rejects observes how many of these
+    begin like an instruction, as `rejected`.
     """
     form = r"^\[(\d+):(\d+)\]\s+(?:0x)?([0-9a-fA-F]+):\s+(?:0x)?([0-9a-fA-F]+)\s+(\S+)\s*(.*)$"
-    take = lambda k: F.regexp_extract(column, form, k)
     rest = [c for c in lines.columns if c != column]
     if rejects is not None:
         lines = lines.observe(rejects, F.count_if(F.col(column).rlike(r"^\[\d+:\d+\]") & ~F.col(column).rlike(form)).alias("rejected"))
-    return lines.where(F.col(column).rlike(form)).select(*rest, take(1).cast("int").alias("cpu"), take(2).cast("bigint").alias("line"), hex_to_decimal(take(3)).alias("pc"), take(4).alias("opcode"), take(5).alias("mnemonic"), F.trim(take(6)).alias("operands"))
+    # One match gives all fields; none of them can hold a line feed.
+    fields = F.split(F.regexp_replace(column, form, "$1\n$2\n$3\n$4\n$5\n$6"), "\n")
+    told = lines.where(F.col(column).rlike(form)).select(*rest, fields.alias("_fields"))
+    take = lambda k: F.get("_fields", F.lit(k - 1))
+    return told.select(*rest, take(1).cast("int").alias("cpu"), take(2).cast("bigint").alias("line"), hex_to_decimal(take(3)).alias("pc"), ordered_address(take(3)).alias("address"), take(4).alias("opcode"), take(5).alias("mnemonic"), F.trim(take(6)).alias("operands"))
 
 
 def read_instructions(spark: SparkSession, path: str, rejects: Observation | None = None) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from pyspark.sql import functions as F
 
+from runledger.functions import scalars
 from runledger.operators import intervals as iv
 from runledger.operators import layouts
-from runledger.plans import registry
+from runledger.plans import registry, stores
+from runledger.sources import readers
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_bands_over_one_another_form_no_pairs(spark, tmp_path):
@@ -44,3 +48,22 @@ def test_nested_totals_broadcast_nothing(spark, monkeypatch):
         assert "Broadcast" not in plan
         joins += plan.count("SortMergeJoin")
     assert joins > 2
+
+
+def test_near_widths_share_a_level(spark):
+    # Sizes of functions: a quarter each of 4, 8, 12 and 16 bytes, level 1 and 2 by their widths.
+    code = spark.range(2_000).select((F.col("id") * 16).alias("low"), (F.col("id") * 16 + 4 + F.col("id") % 4 * 4).alias("high"))
+    assert set(iv._levels(code, "low", "high", "whole", None)[1].values()) == {1}
+    at = spark.range(0, 32_000, 4).withColumnRenamed("id", "at")
+    found = iv.range_join(at, code, "at", "low", "high", how="left")
+    assert "LeftAnti" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.agg(F.count("*"), F.count("low"), F.sum(F.col("at") - F.col("low"))).first()[:] == (8_000, 5_000, sum(4 * j for i in range(2_000) for j in range(i % 4 + 1)))
+
+
+def test_instructions_by_one_match_a_line(spark):
+    lines = ["[0:7] ffffffffffffffff: 0x1 a\x01b  x\x01y\tz ", "[1:8]\t0x0: 2 nop", "[0:1] something else", "[0:2] 0x8000000000000000: 0x3 str w1, [x2]", None, " [0:3] 0x1: 0x1 nop"]
+    got = readers.parse_instructions(spark.createDataFrame([(x, k) for k, x in enumerate(lines)], "value string, k int"))
+    want = [(0, 0, 7, 2**64 - 1, 2**63 - 1, "1", "a\x01b", "x\x01y\tz"), (1, 1, 8, 0, -(2**63), "2", "nop", ""), (3, 0, 2, 2**63, 0, "3", "str", "w1, [x2]")]
+    assert sorted(tuple(r) for r in got.select("k", "cpu", "line", F.col("pc").cast("decimal(20,0)"), "address", "opcode", "mnemonic", "operands").collect()) == want
+    assert [int(r[0], 16) for r in got.orderBy("k").select(scalars.ordered_to_hex(F.col("address"))).collect()] == [2**64 - 1, 0, 2**63]
+    assert [r[0] for r in got.orderBy("k").select(scalars.ordered_decimal(F.col("pc")) == F.col("address")).collect()] == [True] * 3
