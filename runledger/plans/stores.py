@@ -295,11 +295,12 @@ def exact_symbols(spark, sf_dir):
 
 @query("instruction_difference", f"WITH {_INSTRUCTIONS_SQL}, c AS (SELECT symbol, l_linestatus AS target, count(*) AS n FROM named GROUP BY ALL) SELECT a.symbol, a.target, a.n, a.n - coalesce(b.n, 0) AS n_diff FROM c a LEFT JOIN c b ON b.target = 'F' AND b.symbol = a.symbol WHERE a.target <> 'F'")
 def instruction_difference(spark, sf_dir):
-    """Instructions by symbol and target, against the baseline."""
+    """Instructions by symbol and target, against the baseline; all targets are counted and named together."""
     symbols, traces = _instruction_files(spark, sf_dir)
-    names = readers.read_symbols(spark, symbols)
-    each = {t: pipelines.instruction_histogram(spark, f"{traces}/l_linestatus={t}", names)[0] for t in ("F", "O")}
-    return pipelines.instruction_difference(each, "F")
+    data = _instructions(spark, traces).withColumnRenamed("l_linestatus", "target")
+    named = pipelines.with_symbol(pipelines.executed(data, ["target"]), readers.read_symbols(spark, symbols))
+    each = stored(named.groupBy("symbol", "target").agg(F.sum("n").alias("n")), "functions")
+    return trace.baseline_difference(each, ["symbol"], "target", "F", ["n"])
 
 
 @query(
