@@ -281,7 +281,8 @@ def instruction_histogram(spark, sf_dir):
 def called_functions(spark, sf_dir):
     """Executions of the first instruction of each function."""
     symbols, traces = _instruction_files(spark, sf_dir)
-    return pipelines.instruction_histogram(spark, f"{traces}/*", readers.read_symbols(spark, symbols))[1]
+    counts = pipelines.executed(readers.read_instructions(spark, f"{traces}/*"), [])
+    return pipelines.executed_calls(counts, readers.read_symbols(spark, symbols))
 
 
 @query("exact_symbols", f"WITH {_INSTRUCTIONS_SQL} SELECT pc::VARCHAR AS pc, 'fn_' || p_partkey AS name, n FROM (SELECT pc, count(*) AS n FROM i GROUP BY 1) JOIN part ON pc = p_partkey * 16 + {_CODE_BASE}")

@@ -60,6 +60,26 @@ def test_near_widths_share_a_level(spark):
     assert found.agg(F.count("*"), F.count("low"), F.sum(F.col("at") - F.col("low"))).first()[:] == (8_000, 5_000, sum(4 * j for i in range(2_000) for j in range(i % 4 + 1)))
 
 
+def test_calls_and_differences_read_traces_once(spark, monkeypatch):
+    def none(df, tag):
+        raise AssertionError(f"{tag} are stored for nothing")
+
+    monkeypatch.setattr(iv, "stored", none)
+    calls = registry.QUERIES["called_functions"](spark, SF)
+    assert calls._jdf.queryExecution().executedPlan().toString().count("Join") == 1
+    written = []
+    keep = stores.stored
+    monkeypatch.setattr(stores, "stored", lambda df, tag: written.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df, tag))
+    registry.QUERIES["instruction_difference"](spark, SF).collect()
+    # The listing of symbols and the traces of all targets.
+    assert sum(p.count("FileScan text") for p in written) == 2
+    written.clear()
+    out = registry.QUERIES["instructions_per_call"](spark, SF)
+    assert sum(p.count("FileScan text") for p in written) == 2
+    # Medians of instructions and calls together, joined with the baseline's alone.
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 1
+
+
 def test_instructions_by_one_match_a_line(spark):
     lines = ["[0:7] ffffffffffffffff: 0x1 a\x01b  x\x01y\tz ", "[1:8]\t0x0: 2 nop", "[0:1] something else", "[0:2] 0x8000000000000000: 0x3 str w1, [x2]", None, " [0:3] 0x1: 0x1 nop"]
     got = readers.parse_instructions(spark.createDataFrame([(x, k) for k, x in enumerate(lines)], "value string, k int"))
