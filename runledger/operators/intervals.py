@@ -39,10 +39,11 @@ def _cell(x: Column, level: int, kind: str) -> Column:
     return F.floor(F.greatest(F.lit(-largest), F.least(F.lit(largest), x.cast("double"))) / F.lit(float(FACTOR) ** level))
 
 
-def _levels(ranges: DataFrame, low: str, high: str, kind: str, bucket: float | None) -> tuple[Column, dict[int, int], float]:
+def _levels(ranges: DataFrame, low: str, high: str, kind: str, bucket: float | None, spread: float = 4) -> tuple[Column, dict[int, int], float]:
     """(the level of a range by its own width, the level that each of these is dealt at, pieces of all ranges at most).
 
-    A level is left out if its ranges, cut into buckets of a finer one, are few beside all ranges. One aggregate.
+    A level is left out if its ranges, cut into buckets of a finer one, are few beside all ranges: pieces stay below `spread` a
+    range (two are the least). One aggregate.
     """
     exact = {"whole": "decimal(20,0)", "double": "double"}.get(kind)
     a, z = (F.col(c).cast(exact) if exact else F.col(c) for c in (low, high))
@@ -68,7 +69,7 @@ def _levels(ranges: DataFrame, low: str, high: str, kind: str, bucket: float | N
     for k in sorted(counts):
         # A range meets a bucket for each of its widths, and one more.
         cut = wide[k] / FACTOR**at + counts[k] if dealt and k - at < 31 else None
-        if cut is None or pieces + cut > 4 * total + 1000:
+        if cut is None or pieces + cut > spread * total + 1000:
             at, cut = k, 2 * counts[k]
         dealt[k] = at
         pieces += cut
@@ -85,7 +86,8 @@ def range_join(points: DataFrame, ranges: DataFrame, at: str, low: str, high: st
     infinite bounds are bounds.
     """
     kind = _kind(points.schema[at].dataType, ranges.schema[low].dataType, ranges.schema[high].dataType)
-    level, dealt_at, pieces = _levels(ranges, low, high, kind, bucket)
+    # Each further level costs an inner join a copy of its points, a left join an anti-join too.
+    level, dealt_at, pieces = _levels(ranges, low, high, kind, bucket, 4 if how == "left" else 2.5)
     levels = sorted(set(dealt_at.values())) or [0]
     own = F.create_map(*[F.lit(x) for pair in dealt_at.items() for x in pair])[level] if dealt_at else F.lit(0)
     first, last = F.lit(None).cast("long"), F.lit(None).cast("long")

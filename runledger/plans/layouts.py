@@ -19,7 +19,9 @@ def _bounded(spark, sf_dir):
 
 @query("alias_pairs", f"WITH {MEMBERS_SQL}, {_ALIAS} SELECT owner, name, byte_offset, alias FROM pairs")
 def alias_pairs(spark, sf_dir):
-    return layouts.alias_pairs(_bounded(spark, sf_dir), ["owner"])
+    """Stored, since the members stand on all sides of the joins."""
+    slim = _bounded(spark, sf_dir).select("owner", "name", "byte_offset", "byte_size", "base", "top", "is_imprecise")
+    return layouts.alias_pairs(stored(slim, "members"), ["owner"])
 
 
 @query(

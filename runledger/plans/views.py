@@ -72,7 +72,8 @@ MEMBERS_SQL = """members AS (
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
-    lines = table(spark, sf_dir, "lineitem")
+    # One exchange serves both windows.
+    lines = table(spark, sf_dir, "lineitem").repartition("l_orderkey")
     one = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
     lines = lines.withColumn("_n", F.row_number().over(one)).where("_n = 1")
     before = Window.partitionBy("l_orderkey").orderBy("l_linenumber").rowsBetween(Window.unboundedPreceding, -1)

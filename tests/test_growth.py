@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from runledger.functions import scalars
 from runledger.operators import intervals as iv
 from runledger.operators import layouts
+from runledger.plans import layouts as layout_plans
 from runledger.plans import registry, stores
 from runledger.sources import readers
 
@@ -87,3 +88,16 @@ def test_instructions_by_one_match_a_line(spark):
     assert sorted(tuple(r) for r in got.select("k", "cpu", "line", F.col("pc").cast("decimal(20,0)"), "address", "opcode", "mnemonic", "operands").collect()) == want
     assert [int(r[0], 16) for r in got.orderBy("k").select(scalars.ordered_to_hex(F.col("address"))).collect()] == [2**64 - 1, 0, 2**63]
     assert [r[0] for r in got.orderBy("k").select(scalars.ordered_decimal(F.col("pc")) == F.col("address")).collect()] == [True] * 3
+
+
+def test_members_are_made_once_for_alias_pairs(spark, monkeypatch):
+    written = []
+    keep = layout_plans.stored
+    monkeypatch.setattr(layout_plans, "stored", lambda df, tag: written.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df, tag))
+    out = registry.QUERIES["alias_pairs"](spark, SF)
+    # One exchange for both windows; the joins read what was written.
+    assert [p.count("Exchange") for p in written] == [1]
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+    # Widths from 1 to 50 keep the level of their own in an inner join.
+    spread = spark.range(5_000).select((F.col("id") * 60).alias("low"), (F.col("id") * 60 + 1 + F.col("id") % 50).alias("high"))
+    assert iv._levels(spread, "low", "high", "whole", None, 2.5)[2] <= 2.5 * 5_000 + 1_000
