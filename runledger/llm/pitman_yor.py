@@ -412,6 +412,13 @@ def _pairs_reply(key: np.ndarray, number: np.ndarray, values: list[np.ndarray])
     return [2 * total[number] + owner], [(total == 1).sum(), (total == 2).sum(), len(n)]
 
 
+def _counts_reply(key: np.ndarray, number: np.ndarray, values: list[np.ndarray]) -> tuple[list[np.ndarray], list[float]]:
+    """Training count of each word; all training tokens and how many words have one."""
+    count = np.bincount(number, values[0], len(key)).astype(np.int64)
+    word = key != START
+    return [count[number]], [count[word].sum(), (count[word] > 0).sum()]
+
+
 def _words_reply(model: _Model | None, salt: int):
     """Totals of each word: training count, customers and tables at the root, tables in its own restaurant."""
 
@@ -469,21 +476,54 @@ def _discount(once: float, twice: float) -> float:
     return min(0.95, max(0.05, once / (once + 2 * twice) if once + twice else 0.5))
 
 
-def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, burn_in: int = BURN_IN, samples: int = SAMPLES) -> DataFrame:
-    """One row per row of docs: <id_col>, held_out, n_tokens, n_known, train_tokens, base_score, score.
-
-    Rows that held_out (a Column) holds for are scored but not learned from.
-    """
+def _blocks(docs: DataFrame, held_out: Column, id_col: str, text_col: str, row_col: str | None) -> tuple[DataFrame, int, int]:
+    """(blocks of all texts, their number, buckets for their keys)."""
     spark = docs.sparkSession
     small_batches(spark, 256)
-    n = tasks(spark, 1)
     row = F.monotonically_increasing_id() if row_col is None else F.col(row_col).cast("long")
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), row.alias("row"), held_out.cast("boolean").alias("held"))
     # Bucketed by block, so that joins move the small answers and not the blocks. Their blobs are compressed already.
-    blocks = _bucketed(source.mapInArrow(_cut(BLOCK_TOKENS), _BLOCK_SQL), "blocks", n)
+    blocks = _bucketed(source.mapInArrow(_cut(BLOCK_TOKENS), _BLOCK_SQL), "blocks", tasks(spark, 1))
     small_batches(spark, 4)
     count = blocks.count()
-    buckets = 1 << max(5, math.ceil(math.log2(max(1, count * BLOCK_TOKENS / BUCKET_TOKENS))))
+    return blocks, count, 1 << max(5, math.ceil(math.log2(max(1, count * BLOCK_TOKENS / BUCKET_TOKENS))))
+
+
+def base_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As score(), without the model's own column: <id_col>, held_out, n_tokens, n_known, train_tokens, base_score.
+
+    These follow from the counts of words alone, so one exchange finds them: no pairs, no seating.
+    """
+    blocks, count, buckets = _blocks(docs, held_out, id_col, text_col, None)
+    fan = min(FAN, buckets)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                b = _Block.read(r)
+                yield _asked(r["block"], b.words, [b.counts], fan)
+
+    words, (n, v, *_) = _exchange(blocks.select("block", "words", "counts").mapInArrow(ask, _ASK_SQL), _counts_reply, "words0", count, buckets)
+
+    def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                b = _Block.read(r)
+                columns = _base_columns(b, _told(r["words0"], 1)[0], n, v)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns.values()], names=list(columns))
+
+    joined = blocks.select("block", "ids", "rows", "held", "sizes", "pair_w", "tokens").join(words.hint("shuffle_hash"), "block")
+    out = joined.mapInArrow(final, "id long, row long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double")
+    return out.select(F.when(F.col("id") != NO_ID, F.col("id")).alias(id_col), "held_out", "n_tokens", "n_known", "train_tokens", "base_score")
+
+
+def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, burn_in: int = BURN_IN, samples: int = SAMPLES) -> DataFrame:
+    """One row per row of docs: <id_col>, held_out, n_tokens, n_known, train_tokens, base_score, score.
+
+    Rows that held_out (a Column) holds for are scored but not learned from.
+    """
+    n = tasks(docs.sparkSession, 1)
+    blocks, count, buckets = _blocks(docs, held_out, id_col, text_col, row_col)
     fan = min(FAN, buckets)
 
     def ask_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -555,10 +595,15 @@ def _scored(r: dict, models: list[_Model], chosen: list[int]) -> pa.RecordBatch:
         seated[pair > 3] = _kept(r[f"words{k}"])
         p += predictive(b, pair, seated, told, models[k])
     logs = np.log10(p / len(chosen))
-    n, v = models[0].n, models[0].v
-    base = np.log10((told[0] + 0.5) / (n + 0.5 * (v + 1)))
+    columns = _base_columns(b, told[0], models[0].n, models[0].v)
+    columns["score"] = np.add.reduceat(logs[b.tokens], np.cumsum(b.sizes) - b.sizes)
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns.values()], names=list(columns))
+
+
+def _base_columns(b: _Block, count: np.ndarray, n: float, v: float) -> dict[str, np.ndarray]:
+    """What follows from the training count of each word of a block, from all training tokens and the distinct ones."""
+    base = np.log10((count + 0.5) / (n + 0.5 * (v + 1)))
     word = b.pair_w[b.tokens]
     start = np.cumsum(b.sizes) - b.sizes
-    sums = [np.add.reduceat(x, start) for x in ((told[0][word] > 0).astype(np.int64), base[word], logs[b.tokens])]
-    columns = [b.ids, b.rows, b.held.astype(bool), b.sizes, sums[0], np.full(len(b.ids), int(n)), sums[1], sums[2]]
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["id", "row", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+    known, total = (np.add.reduceat(x, start) for x in ((count[word] > 0).astype(np.int64), base[word]))
+    return {"id": b.ids, "row": b.rows, "held_out": b.held.astype(bool), "n_tokens": b.sizes, "n_known": known, "train_tokens": np.full(len(b.ids), int(n)), "base_score": total}
