@@ -105,12 +105,21 @@ def call_sites(buckets: DataFrame, symbols: DataFrame, pc: str = "pc", addr: str
     return buckets.join(symbols, buckets[pc] == symbols[addr]).groupBy("name").agg(F.sum(n).alias("calls"))
 
 
-def baseline_difference(df: DataFrame, key: Sequence[str], target: str, baseline: str, values: Sequence[str]) -> DataFrame:
-    """Values of each other target minus the baseline's for the same key; a key that one side lacks counts as 0 there."""
-    own = df.where(F.col(target) == baseline).select(*key, *[F.col(v).alias(f"_b_{v}") for v in values])
-    rest = df.where(F.col(target) != baseline)
-    joined = rest.join(own, list(key), "left")
-    return joined.select(*key, target, *[F.col(v) for v in values], *[(F.col(v) - F.coalesce(F.col(f"_b_{v}"), F.lit(0))).alias(f"{v}_diff") for v in values])
+def baseline_difference(df: DataFrame, key: Sequence[str], target: str, baseline: str, values: Sequence[str], lacking: bool = True) -> DataFrame:
+    """Values of each other target minus the baseline's for the same key; a key that one side lacks counts as 0 there.
+
+    Every key of the baseline has a row for each other target; nulls are keys and targets like others. With lacking false, targets have
+    no rows for keys that they lack, and nulls equal nothing.
+    """
+    same = Column.eqNullSafe if lacking else Column.__eq__
+    own = df.where(same(F.col(target), F.lit(baseline))).select(*[F.col(c).alias(f"_b_{c}") for c in (*key, *values)])
+    rest = df.where(~same(F.col(target), F.lit(baseline)))
+    by = [*key, target] if lacking else list(key)
+    if lacking:
+        own = own.crossJoin(F.broadcast(rest.select(F.col(target).alias(f"_b_{target}")).distinct()))
+    joined = rest.join(own, [same(F.col(c), F.col(f"_b_{c}")) for c in by], "full" if lacking else "left")
+    named = joined.withColumns({c: F.coalesce(c, f"_b_{c}") for c in by} | {v: F.coalesce(v, F.lit(0)) for v in values})
+    return named.select(*key, target, *values, *[(F.col(v) - F.coalesce(f"_b_{v}", F.lit(0))).alias(f"{v}_diff") for v in values])
 
 
 def rebased(df: DataFrame, group: Sequence[str], ts: str, value: str, tie: Sequence[str] = ()) -> DataFrame:

@@ -294,9 +294,13 @@ def exact_symbols(spark, sf_dir):
     return found.where("name is not null").select(F.col("pc").cast("string").alias("pc"), "name", "n")
 
 
-@query("instruction_difference", f"WITH {_INSTRUCTIONS_SQL}, c AS (SELECT symbol, l_linestatus AS target, count(*) AS n FROM named GROUP BY ALL) SELECT a.symbol, a.target, a.n, a.n - coalesce(b.n, 0) AS n_diff FROM c a LEFT JOIN c b ON b.target = 'F' AND b.symbol = a.symbol WHERE a.target <> 'F'")
+@query(
+    "instruction_difference",
+    f"""WITH {_INSTRUCTIONS_SQL}, c AS (SELECT symbol, l_linestatus AS target, count(*) AS n FROM named GROUP BY ALL), t AS (SELECT DISTINCT target FROM c WHERE target IS DISTINCT FROM 'F'),
+    s AS (SELECT symbol, target, n, 0 AS b FROM c WHERE target IS DISTINCT FROM 'F' UNION ALL SELECT c.symbol, t.target, 0, c.n FROM c CROSS JOIN t WHERE c.target = 'F') SELECT symbol, target, sum(n)::BIGINT AS n, sum(n - b)::BIGINT AS n_diff FROM s GROUP BY ALL""",
+)
 def instruction_difference(spark, sf_dir):
-    """Instructions by symbol and target, against the baseline; all targets are counted and named together."""
+    """Instructions by symbol and target, against the baseline, also of symbols that only one of them runs; all targets are counted and named together."""
     symbols, traces = _instruction_files(spark, sf_dir)
     data = _instructions(spark, traces).withColumnRenamed("l_linestatus", "target")
     named = pipelines.with_symbol(pipelines.executed(data, ["target"]), readers.read_symbols(spark, symbols))

@@ -54,3 +54,21 @@ def test_thread_names_of_all_and_of_missing_partners(spark):
     frame = lambda given, columns: spark.createDataFrame(given, columns)
     out = trace.thread_names(frame([(1, "p")], "pid long, name string"), frame([(1, 5, "t")], "pid long, tid long, name string"), frame([(1, 5), (1, 6), (2, 5)], "pid long, tid long"))
     assert {tuple(r) for r in out.select("pid", "tid", "process", "thread").collect()} == {(1, 5, "p", "t"), (1, 6, "p", "unknown:6"), (2, 5, "undetected:2", "unknown:5")}
+
+
+def test_differences_of_symbols_that_one_side_lacks(spark):
+    size = {r["p_partkey"]: 1 + r["p_size"] % 4 for r in rows(spark, "part")}
+    name = lambda part, k: f"fn_{part}" if k < size.get(part, 0) else f"0x{part * 16 + 0x40000 + 4 * k:x}"
+    runs = Counter((name(r["l_partkey"], r["l_linenumber"] % 4), r["l_linestatus"]) for r in rows(spark, "lineitem"))
+    want = {s: (runs[s, "O"], runs[s, "O"] - runs[s, "F"]) for s, _ in runs}
+    got = registry.QUERIES["instruction_difference"](spark, SF).collect()
+    assert any(n == 0 for n, _ in want.values()) and len(got) == len(want)
+    assert {r["symbol"]: (r["n"], r["n_diff"]) for r in got} == want and {r["target"] for r in got} == {"O"}
+    counts = [("f", "a", 5), ("f", "b", 7), ("g", "a", 2), ("h", "c", 4), (None, "a", 1), (None, "c", 3), ("f", None, 6)]
+    df = spark.createDataFrame(counts, "k string, t string, n long")
+    full = {("f", "b", 7, 2), ("f", "c", 0, -5), ("f", None, 6, 1), ("h", "c", 4, 4), (None, "b", 0, -1), (None, "c", 3, 2), (None, None, 0, -1)}
+    full |= {("g", t, 0, -2) for t in ("b", "c", None)}
+    out = [tuple(r) for r in trace.baseline_difference(df, ["k"], "t", "a", ["n"]).collect()]
+    assert set(out) == full and len(out) == len(full)
+    own = trace.baseline_difference(df, ["k"], "t", "a", ["n"], lacking=False).collect()
+    assert {tuple(r) for r in own} == {("f", "b", 7, 2), ("h", "c", 4, 4), (None, "c", 3, 3)}
